@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, line_dedup, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op9_quality_classifier": quality.op9_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": exact_dedup.ORACLE,
+    "op3_line_dedup": line_dedup.ORACLE,
 }
