@@ -22,7 +22,7 @@ CAPACITY = 1024
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
 #: Rounds of multiplicative weights, and the weight's step.
-ROUNDS, STEP = 600, 0.5
+ROUNDS, STEP = 1500, 0.5
 #: Share of the fractional solution that is taken over; the rest leaves best fit the short lengths
 #: it needs to close the sequences that rounding opens.
 SHARE = 0.9
@@ -31,7 +31,7 @@ SHARE = 0.9
 
 #: Byte-level BPE never joins across a space that a non-space follows: such words are tokenized alone.
 _GAP = re.compile(r" (?=\S)")
-_WORDS_HELD, _CHARS_AT_ONCE = 400_000, 1_000_000
+_WORDS_HELD, _CHARS_AT_ONCE = 500_000, 1_000_000
 
 
 @functools.cache
@@ -147,30 +147,28 @@ def price(value: np.ndarray, capacity: int) -> tuple[float, Counter]:
     return float(best[capacity]), found
 
 
-def configuration_weights(demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[dict, np.ndarray, float]:
+def configuration_weights(demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[dict, float]:
     """Multiplicative weights for: least sum of x, every length covered.
 
-    Each round prices one configuration by knapsack under the current weights and lowers the
-    weights of the lengths it covers, in proportion to the share of their demand it covers.
-    Returns how often each configuration was used (scaled to cover the demand on average), the
-    average prices, and the best lower bound on the number of sequences.
+    A length starts at its share of a sequence. Each round prices one configuration by knapsack
+    under the current weights, uses it as often as its scarcest length allows, and lowers the
+    weights of the lengths it covers, exponentially in the share of their demand covered so far.
+    Returns how often each configuration was used (of one scale for all) and the best lower bound
+    on the number of sequences that the weights prove.
     """
     lengths = np.flatnonzero(demand)
-    weight = lengths / capacity  # a dual guess: a token is worth its share of a sequence
-    used: dict[tuple, float] = {}
-    prices, bound = np.zeros(len(demand)), 0.0
+    need = demand[lengths].astype(float)
+    covered, used, bound = np.zeros(len(lengths)), {}, 0.0
     for _ in range(rounds):
-        value = np.zeros(len(demand))
-        value[lengths] = weight
+        value = np.zeros(capacity + 1)
+        value[lengths] = lengths / capacity * np.exp(-STEP * (covered - covered.min()))
         top, config = price(value, capacity)
-        bound = max(bound, float(demand[lengths] @ weight) / top)
-        value /= top
-        prices += value
+        bound = max(bound, float(need @ value[lengths]) / top)
         often = min(demand[length] / k for length, k in config.items())
-        used[key] = used.get(key := tuple(sorted(config.items())), 0.0) + often
-        cover = np.array([config.get(int(length), 0) for length in lengths]) * often / demand[lengths]
-        weight = weight * np.exp(-STEP / (1 + _ / 20) * cover)
-    return used, prices / max(1, rounds), bound
+        key = tuple(sorted(config.items()))
+        used[key] = used.get(key, 0.0) + often
+        covered += np.array([config.get(int(length), 0) for length in lengths]) * often / need
+    return used, bound
 
 
 def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
