@@ -65,3 +65,33 @@ def spare(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
+    """(node, component): the smallest node reachable over ``edges`` (u, v), for nodes with an edge.
+
+    Alternating large-star and small-star steps: each node's neighbours are pointed to the smallest
+    neighbour until nothing changes, in a number of rounds that grows with the logarithm of the
+    longest path. A node with very many neighbours only meets one row (its smallest neighbour), so
+    its rows can be split over tasks. Each round's edges are written to the shared folder.
+    """
+    now = written(
+        edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name
+    )
+    state = None
+    while True:
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = (
+            both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        )
+        large = written(large, name)
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        now = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name)
+        seen = now.agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
+        if state == (seen.c, seen.x):
+            break
+        state = (seen.c, seen.x)
+    nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return nodes.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

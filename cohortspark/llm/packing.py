@@ -25,7 +25,7 @@ TOKENIZER = "byte_bpe_50k.json"
 ROUNDS, STEP = 1500, 0.5
 #: Share of the fractional solution that is taken over; the rest leaves best fit the short lengths
 #: it needs to close the sequences that rounding opens.
-SHARE = 0.9
+SHARE = 0.75
 
 # ---------------------------------------------------------------- tokens
 
@@ -174,9 +174,10 @@ def configuration_weights(demand: np.ndarray, capacity: int, rounds: int = ROUND
 def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
     """[(times, {length: count})]: sequences that hold every piece of ``histogram`` exactly once.
 
-    The fractional configurations are rounded down. What is left over goes, longest first, to the
-    fullest sequences that have room (best fit), many alike sequences at a time. The number of
-    entries depends on the number of distinct lengths, not on the number of pieces.
+    The fractional configurations, scaled to the program's lower bound, are rounded down. What is left
+    over goes, longest first, to the fullest sequences that have room (best fit), many alike
+    sequences at a time. The number of entries depends on the number of distinct lengths, not on
+    the number of pieces.
     """
     out: list[tuple[int, dict[int, int]]] = []
     left = np.zeros(capacity + 1, np.int64)
@@ -187,18 +188,7 @@ def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY) -> list[
             left[length] += count
     if not left.any():
         return out
-    used = configuration_weights(left, capacity)[0]
-    total = sum(used.values()) or 1.0
-    need = float(np.arange(capacity + 1) @ left) / capacity
-    for key, x in sorted(used.items(), key=lambda kx: -kx[1]):
-        limit = int(x / total * need * SHARE)
-        times = min([limit, *(int(left[length]) // k for length, k in key)])
-        if times:
-            out.append((times, dict(key)))
-            for length, k in key:
-                left[length] -= times * k
-    # Best fit on counts: groups of alike sequences, so the work depends on distinct lengths only.
-    groups: dict[tuple, int] = {}
+    groups: dict[tuple, int] = {}  # alike sequences, by what they hold
     rooms: dict[int, list[tuple]] = {}
 
     def hold(key: tuple, room: int, times: int) -> None:
@@ -206,6 +196,17 @@ def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY) -> list[
             rooms.setdefault(room, []).append(key)
         groups[key] = groups.get(key, 0) + times
 
+    used, bound = configuration_weights(left, capacity)
+    scale = SHARE * bound / sum(used.values())
+    for key, x in sorted(used.items(), key=lambda kx: -kx[1]):
+        times = int(x * scale)
+        while times and (key := tuple((n, k) for n, k in key if left[n] >= k)):  # lengths that are used up drop out
+            now = min([times, *(int(left[n]) // k for n, k in key)])
+            for n, k in key:
+                left[n] -= now * k
+            hold(key, capacity - sum(n * k for n, k in key), now)
+            times -= now
+    # Best fit on counts: the work depends on distinct lengths only.
     for length in range(capacity, 0, -1):
         count = int(left[length])
         while count:
