@@ -7,6 +7,7 @@ import functools
 import os
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -55,16 +56,23 @@ class WordTokens:
         self.path, self.held = path, {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """A word is held by its letters, with the space before it in its ids; the first word of a
+        text has no space before it and is held with a space instead, which no other word begins with."""
         parts = [_GAP.split(t) for t in texts]
-        for p in parts:  # the first word has no space before it
-            p[1:] = [" " + w for w in p[1:]]
-        new = list({w for p in parts for w in p}.difference(self.held))
+        for p in parts:
+            p[0] = " " + p[0]
+        found = [list(map(self.held.get, p)) for p in parts]
+        lacking = [i for i, row in enumerate(found) if None in row]
+        new = list({w for i in lacking for w, got in zip(parts[i], found[i], strict=True) if got is None})
         if len(self.held) + len(new) > _WORDS_HELD:
             self.held.clear()
-            new = list({w for p in parts for w in p})
-        for word, got in zip(new, _tokenizer(self.path).encode_batch(new, add_special_tokens=False), strict=True):
-            self.held[word] = np.array(got.ids, "<u4").tobytes()
-        return [b"".join(map(self.held.__getitem__, p)) for p in parts]
+            lacking, new = range(len(parts)), list({w for p in parts for w in p})
+        words = [w[1:] if w[0] == " " else " " + w for w in new]
+        for word, got in zip(new, _tokenizer(self.path).encode_batch_fast(words, add_special_tokens=False), strict=True):
+            self.held[word] = array("I", got.ids).tobytes()
+        for i in lacking:
+            found[i] = list(map(self.held.__getitem__, parts[i]))
+        return list(map(b"".join, found))
 
 
 @functools.cache
