@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_dedup, ngram_join, packing, quality, secrets, substring_dedup, suffix_dedup
+from . import exact_dedup, fingerprints, line_dedup, ngram_join, packing, quality, secrets, substring_dedup, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_ngram_jaccard_join": ngram_join.op7_ngram_jaccard_join,
+    "op8_document_fingerprints": fingerprints.op8_document_fingerprints,
     "op9_quality_classifier": quality.op9_quality_classifier,
     "op10_suffix_array_dedup": suffix_dedup.op10_suffix_array_dedup,
 }
