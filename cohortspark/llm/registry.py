@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints, line_dedup, ngram_join, packing, quality, secrets, substring_dedup, suffix_dedup
+from . import exact_dedup, fingerprints, line_dedup, ngram_join, packing, quality, sampled_pieces, secrets, substring_dedup, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_sampled_pieces": sampled_pieces.op4_sampled_pieces,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_ngram_jaccard_join": ngram_join.op7_ngram_jaccard_join,
