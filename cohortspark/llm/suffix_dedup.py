@@ -17,38 +17,52 @@ MIN_WORDS = 50
 #: Words of a minimiser, and the run of starts of which the smallest is taken. Any repeat of
 #: ``GRAM + WINDOW - 1`` = 50 words holds a whole window and so a common minimiser.
 GRAM, WINDOW = 12, 39
-#: Words of text on either side that travel with a suffix.
-CONTEXT = 50
+#: Words of text that travel with a suffix: from it on, and before it. A match of 50 words around a
+#: minimiser has at least ``GRAM`` of them from it on.
+AFTER, BEFORE = MIN_WORDS, MIN_WORDS - GRAM
 
 
-def _suffixes(docs: DataFrame, with_text: bool) -> DataFrame:
-    """(key, doc_id, at) of every retained suffix; with the words before and after it if asked."""
+def _keys(docs: DataFrame) -> DataFrame:
+    """(key, doc_id, at) of every retained suffix: the minimiser's hash, and its word number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = cell.as_py()
-                found = grams(word_hashes(text), GRAM)
-                if not found.size:
-                    continue
-                chosen = minimisers(found, WINDOW)
-                keys = found[chosen].view(np.int64).tolist()
-                if not with_text:
-                    rows += [(k, doc_id, at) for k, at in zip(keys, chosen.tolist(), strict=True)]
-                    continue
-                words = text.split()
+            parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = grams(word_hashes(text.as_py()), GRAM)
+                if found.size:
+                    chosen = minimisers(found, WINDOW)
+                    parts.append((found[chosen].view(np.int64), np.full(chosen.size, doc_id), chosen))
+            key, doc, at = (np.concatenate(c) for c in zip(*parts, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc.astype(np.int64)), pa.array(at.astype(np.int32))], ["key", "doc_id", "at"])
+
+    return docs.mapInArrow(run, "key long, doc_id long, at int")
+
+
+def _contexts(docs: DataFrame) -> DataFrame:
+    """(doc_id, at, before, after) for the places ``ats`` of each text: words before it, nearest first, and from it on."""
+    kinds = (pa.int64(), pa.int32(), pa.string(), pa.string())
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "at", "before", "after"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for doc_id, text, ats in zip(*(batch.column(c) for c in ("doc_id", "text", "ats")), strict=True):
+                words = text.as_py().split()
                 rows += [
-                    (k, doc_id, at, " ".join(words[max(0, at - CONTEXT) : at][::-1]), " ".join(words[at : at + CONTEXT]))
-                    for k, at in zip(keys, chosen.tolist(), strict=True)
+                    (doc_id.as_py(), at, " ".join(words[max(0, at - BEFORE) : at][::-1]), " ".join(words[at : at + AFTER]))
+                    for at in ats.as_py()
+                    if at < len(words)  # a repeated id may have a shorter text
                 ]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string())[: 5 if with_text else 3]
-            cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["key", "doc_id", "at", "before", "after"][: len(kinds)]
-            )
+                if len(rows) >= 2000:
+                    yield batch_of(rows)
+                    rows = []
+        if rows:
+            yield batch_of(rows)
 
-    return docs.mapInArrow(run, "key long, doc_id long, at int" + (", before string, after string" if with_text else ""))
+    return docs.mapInArrow(run, "doc_id long, at int, before string, after string")
 
 
 def _common(a: str, b: str) -> int:
@@ -116,18 +130,20 @@ def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, first, last, other): word ranges that stand in ``other`` as well.
 
     1. The keys of all retained suffixes are counted (combined in each task); only keys that
-       several documents have go on.
-    2. Their suffixes, with words around them, are sorted over the cluster by range. The order is
-       by suffix, then document and place, so equal suffixes of a hot passage spread over tasks.
+       several documents have go on. No text travels so far.
+    2. The places of these suffixes meet their texts, one list per document. The suffixes, with words
+       around them, are sorted over the cluster by range. The order is by suffix, then document and
+       place, so equal suffixes of a hot passage spread over tasks.
     3. Each suffix is compared with its neighbour, the match extended to the right and left. The
        first and last suffixes of the partitions are compared the same way, so no pair of
        neighbours is missed at the seams.
     """
+    suffixes = _keys(docs)
     keys = written(
-        _suffixes(docs, False).groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key"),
-        "suffix-keys",
+        suffixes.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key"), "suffix-keys"
     )
-    chosen = _suffixes(docs, True).join(keys, "key", "left_semi")
+    shared = suffixes.join(keys, "key", "left_semi").groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("ats"))
+    chosen = _contexts(docs.join(shared, "doc_id").select("doc_id", "text", "ats"))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     order = ("after", "before", "doc_id", "at")
     found = written(_neighbours(chosen.repartitionByRange(parts, *order).sortWithinPartitions(*order)), "suffix-matches")
