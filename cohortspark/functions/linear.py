@@ -13,9 +13,12 @@ class NotIdentifiable(ValueError):
 
 
 def solve_identifiable(matrix: np.ndarray, right: np.ndarray, what: str = "design") -> np.ndarray:
-    """Solve a symmetric system, or raise if its smallest eigenvalue is at most sqrt(eps) of the largest."""
-    values = np.linalg.eigvalsh((matrix + matrix.T) / 2)
-    if not np.all(np.isfinite(matrix)) or values[-1] <= 0 or values[0] <= math.sqrt(np.finfo(float).eps) * values[-1]:
+    """Solve a symmetric system, or raise if it is near singular whatever the units of its columns:
+    scaled to a unit diagonal, its smallest eigenvalue must be above sqrt(eps) of the largest."""
+    scale = np.sqrt(np.maximum(np.diag(matrix), np.finfo(float).tiny))
+    usable = bool(np.all(np.isfinite(matrix)) and np.all(np.diag(matrix) > 0))
+    values = np.linalg.eigvalsh((matrix + matrix.T) / 2 / np.outer(scale, scale)) if usable else np.zeros(1)
+    if not usable or values[0] <= math.sqrt(np.finfo(float).eps) * values[-1]:
         raise NotIdentifiable(f"{what} is not identifiable: smallest eigenvalue {values[0]:.3g}, largest {values[-1]:.3g}")
     return np.linalg.solve(matrix, right)
 

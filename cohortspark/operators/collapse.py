@@ -18,7 +18,8 @@ def finite(c: Column) -> Column:
 
 
 def clip(c: Column, lower: float, upper: float) -> Column:
-    return F.least(F.greatest(c, F.lit(float(lower))), F.lit(float(upper)))
+    # least and greatest skip nulls, so a missing value has to be kept missing
+    return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(float(lower))), F.lit(float(upper))))
 
 
 def unit_means(df: DataFrame, unit: str, bounds: dict[str, tuple[float, float]]) -> DataFrame:

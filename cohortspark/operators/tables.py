@@ -320,7 +320,7 @@ def bootstrap_test(
             yield pd.DataFrame({"hit": out})
 
     hits = table.sparkSession.range(simulations).mapInPandas(run, "hit int").agg(F.sum("hit")).first()[0]
-    return {"statistic": seen, "p_value": (hits + 1) / (simulations + 1), "status": "tested", "exceedances": hits}
+    return {"statistic": float(seen), "p_value": float((hits + 1) / (simulations + 1)), "status": "tested", "exceedances": int(hits)}
 
 
 def fisher_odds_ratio(four: DataFrame) -> DataFrame:

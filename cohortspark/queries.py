@@ -519,13 +519,13 @@ def dp_frequency_inference(spark, sf_dir):
 def _survival_rows(spark, sf_dir):
     e = _t(spark, sf_dir, "events")
     days = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.to_timestamp(F.lit("2024-01-01 00:00:00")))) / 86_400_000_000.0
-    kind = F.when((F.col("event_type") == "purchase") & (F.col("value") > 400), "purchase").when((F.col("event_type") == "error") & (F.col("value") > 450), "error")
+    kind = F.when((F.col("event_type") == "purchase") & (F.col("value") > 150), "purchase").when((F.col("event_type") == "error") & (F.col("value") > 180), "error")
     return e.select("user_id", "event_id", days.alias("days"), F.coalesce(kind, F.lit(CENSOR)).alias("cause"))
 
 
 _RECORDS = """
-WITH e AS (SELECT user_id, epoch_us(ts - TIMESTAMP '2024-01-01 00:00:00') / 86400000000.0 AS t, CASE WHEN event_type = 'purchase' AND value > 400 THEN 'purchase'
-WHEN event_type = 'error' AND value > 450 THEN 'error' ELSE 'censored' END AS cause FROM events),
+WITH e AS (SELECT user_id, epoch_us(ts - TIMESTAMP '2024-01-01 00:00:00') / 86400000000.0 AS t, CASE WHEN event_type = 'purchase' AND value > 150 THEN 'purchase'
+WHEN event_type = 'error' AND value > 180 THEN 'error' ELSE 'censored' END AS cause FROM events),
 r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY (cause <> 'censored') DESC, CASE WHEN cause <> 'censored' THEN t END,
 CASE WHEN cause = 'censored' THEN t END DESC, CASE cause WHEN 'purchase' THEN 0 WHEN 'error' THEN 1 ELSE 2 END) AS i FROM e WHERE t >= 0 AND t <= 30) WHERE i = 1),
 b AS (SELECT greatest(1, CAST(ceil(t / 2) AS INTEGER)) AS bin, cause AS outcome, count(*) AS n FROM r GROUP BY 1, 2),
