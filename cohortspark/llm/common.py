@@ -38,19 +38,28 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, scratch: list[str] | None = None) -> DataFrame:
     """``df`` written once as Parquet in the shared folder, and read again.
 
     Cuts lineage: what follows survives lost executors without redoing ``df``. The table is
-    removed when the driver ends.
+    removed when the driver ends, or with ``discard`` of the list ``scratch``, which gets its path.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/cohortspark-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
+    if scratch is not None:
+        scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, scratch: list[str]) -> None:
+    """Remove tables of ``written`` that nothing reads any more."""
+    for path in scratch:
+        _remove(spark, path)
+    scratch.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -79,17 +88,20 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name
     )
     state = None
+    old: list[str] = []  # of the round before
     while True:
+        passed, old = old, []
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (
             both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         )
-        large = written(large, name)
+        large = written(large, name, old)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        now = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name)
+        now = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name, old)
         seen = now.agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
+        discard(edges.sparkSession, passed)
         if state == (seen.c, seen.x):
             break
         state = (seen.c, seen.x)
