@@ -434,3 +434,92 @@ def ratio_interval(observed: float, expected: tuple[float, float], radius: float
     return (low / expected[1] if expected[1] > 0 else 0.0, high / expected[0] if expected[0] > 0 else _INF)
 
 
+
+
+def _box(count: float, radius: float) -> tuple[int, int]:
+    return max(0, math.ceil(count - radius)), math.floor(count + radius)
+
+
+def _risk_union(events: float, rest: float, radius: float, alpha: float) -> tuple[float, float]:
+    """Union of Clopper-Pearson intervals over all cells within ``radius``: the extremes are at corners."""
+    (e0, e1), (n0, n1) = _box(events, radius), _box(rest, radius)
+    return clopper_pearson(e0, e0 + n1, alpha)[0], clopper_pearson(e1, e1 + n0, alpha)[1]
+
+
+def standardized_risk_inference(strata: DataFrame, radius: float, level: float = 0.95, mechanism_share: float = 0.5) -> DataFrame:
+    """(lower, upper) of the standardised risk for noise and sampling jointly; the error is split over strata with weight."""
+    rows = strata.where("weight > 0").collect()  # public strata
+    total = sum(r.weight for r in rows)
+    alpha = (1 - level) * (1 - mechanism_share) / max(1, len(rows))
+    parts = [(r.weight / total, *_risk_union(r.events, r.nonevents, radius, alpha)) for r in rows]
+    return strata.sparkSession.createDataFrame([(float(sum(w * lo for w, lo, _ in parts)), float(sum(w * hi for w, _, hi in parts)))], "lower double, upper double")
+
+
+def causal_standardization_inference(cells_: DataFrame, weights: DataFrame, treated: str, event: str, radius: float, level: float = 0.95, mechanism_share: float = 0.5) -> DataFrame:
+    """Regions of the g-formula's risks and effects: each stratum and arm gets an equal share of the error."""
+    pick = lambda arm, hit: F.sum(F.when((F.col("treatment") == treated if arm else F.col("treatment") != treated) & ((F.col("outcome") == event) if hit else (F.col("outcome") != event)), F.col("n")).otherwise(0))
+    rows = cells_.groupBy("stratum").agg(*[pick(a, h).alias(f"c{a}{h}") for a in (1, 0) for h in (1, 0)]).join(F.broadcast(weights), "stratum").collect()
+    total = sum(r.weight for r in rows)
+    alpha = (1 - level) * (1 - mechanism_share) / max(1, 2 * len(rows))
+    low, high = [0.0, 0.0], [0.0, 0.0]
+    for r in rows:
+        for arm in (0, 1):
+            lo, hi = _risk_union(r[f"c{arm}1"], r[f"c{arm}0"], radius, alpha)
+            low[arm] += r.weight / total * lo
+            high[arm] += r.weight / total * hi
+    odds = lambda p: p / (1 - p) if p < 1 else _INF
+    out = [
+        ("risk_treated", low[1], high[1]),
+        ("risk_control", low[0], high[0]),
+        ("rd", low[1] - high[0], high[1] - low[0]),
+        ("rr", low[1] / high[0] if high[0] > 0 else 0.0, high[1] / low[0] if low[0] > 0 else _INF),
+        ("or", odds(low[1]) / odds(high[0]) if 0 < high[0] < 1 else 0.0, odds(high[1]) / odds(low[0]) if low[0] > 0 else _INF),
+    ]
+    return cells_.sparkSession.createDataFrame([(n, float(a), float(b)) for n, a, b in out], "effect string, lower double, upper double")
+
+
+def indirect_risk(strata: DataFrame, radius: float = 0.0) -> DataFrame:
+    """(events, nonevents, rate) by stratum -> observed over expected, with its range for cells within ``radius``.
+
+    Both grow with the events; the ratio is linear-fractional in every cell, so the range follows by
+    bisection on the ratio: it is at most t if the largest sum of e (1 - t rate) - t rate ne is at most 0.
+    """
+    one = strata.agg(F.sum("events").alias("o"), F.sum(F.col("rate") * (F.col("events") + F.col("nonevents"))).alias("e"))
+    rows = strata.collect()  # public strata
+
+    def extreme(upper: bool) -> float:
+        def best(t: float) -> float:
+            total = 0.0
+            for r in rows:
+                (e0, e1), (n0, n1) = (max(0.0, r.events - radius), r.events + radius), (max(0.0, r.nonevents - radius), r.nonevents + radius)
+                slope = 1 - t * r.rate
+                total += slope * ((e1 if slope > 0 else e0) if upper else (e0 if slope > 0 else e1)) - t * r.rate * (n0 if upper else n1)
+            return total
+
+        low, high = 0.0, 1.0
+        while best(high) > 0 and high < 1e12:
+            high *= 2
+        for _ in range(100):
+            mid = (low + high) / 2
+            low, high = (mid, high) if best(mid) > 0 else (low, mid)
+        return high
+
+    return one.select(
+        F.col("o").alias("observed"), F.col("e").alias("expected"), ratio(F.col("o"), F.col("e")).alias("ratio"),
+        F.lit(extreme(False)).alias("lower"), F.lit(extreme(True)).alias("upper"),
+    )
+
+
+def interpolated_quantiles(hist: DataFrame, probs: list[float]) -> DataFrame:
+    """(variable, prob, value): linear within the bin that holds the quantile; the first bin starts at its own end."""
+    w = W.partitionBy("variable").orderBy("bin")
+    t = hist.where("bin > 0").withColumns({
+        "cum": F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0)),
+        "total": F.sum("n").over(W.partitionBy("variable")),
+        "start": F.coalesce(F.lag("upper").over(w), F.col("upper")),
+    })
+    t = t.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+    share = (F.col("prob") * F.col("total") - (F.col("cum") - F.col("n"))) / F.col("n")
+    value = F.col("start") + F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)) * (F.col("upper") - F.col("start"))
+    hit = (F.col("n") > 0) & (F.col("cum") >= F.col("prob") * F.col("total"))
+    return t.where(hit).groupBy("variable", "prob").agg(F.min_by(value, "bin").alias("value"))

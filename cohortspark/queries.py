@@ -758,3 +758,62 @@ def formula_design(spark, sf_dir):
     df, names = design.one_hot(_customer_orders(spark, sf_dir), "o_orderpriority", PRIORITIES)
     fit = glm.fit_glm(df, f.response, ["balance", *names])
     return _rounded(fit.to_df(spark))
+
+
+# ------------------------------------------------------------------ joint inference and further derived figures
+
+
+def _standard(spark, sf_dir):
+    return _strata(spark, sf_dir).select((F.col("a") + F.col("c")).alias("events"), (F.col("b") + F.col("d")).alias("nonevents"), F.lit(1.0).alias("weight"), F.lit(0.1).alias("rate"))
+
+
+@query("dp_direct_standardization_inference")
+def dp_direct_standardization_inference(spark, sf_dir):
+    return _rounded(tables.standardized_risk_inference(_standard(spark, sf_dir), 2))
+
+
+@query("dp_indirect_standardization", _STRATA + """
+SELECT sum(a + c) AS observed, round(sum(0.1 * (a + b + c + d)), 6) AS expected, round(sum(a + c) / sum(0.1 * (a + b + c + d)), 6) AS ratio FROM s""")
+def dp_indirect_standardization(spark, sf_dir):
+    return _rounded(tables.indirect_risk(_standard(spark, sf_dir), 2).select("observed", "expected", "ratio"))
+
+
+@query("dp_indirect_standardization_region")
+def dp_indirect_standardization_region(spark, sf_dir):
+    return _rounded(tables.indirect_risk(_standard(spark, sf_dir), 2))
+
+
+@query("dp_indirect_standardization_inference")
+def dp_indirect_standardization_inference(spark, sf_dir):
+    one = tables.indirect_risk(_standard(spark, sf_dir)).first()
+    low, high = tables.ratio_interval(one.observed, (one.expected * 0.95, one.expected * 1.05), 2, 0.95)
+    return _rows(spark, [(one.ratio, low, high)], "ratio double, lower double, upper double")
+
+
+@query("dp_causal_standardization_inference")
+def dp_causal_standardization_inference(spark, sf_dir):
+    u = _t(spark, sf_dir, "documents").select("doc_id", F.when(F.col("lang") == "en", "en").otherwise("other").alias("stratum")).join(_t(spark, sf_dir, "labels"), "doc_id")
+    cells = u.groupBy("stratum", F.col("quality").cast("string").alias("treatment"), F.col("toxic").cast("string").alias("outcome")).agg(F.count("*").alias("n"))
+    weights = spark.createDataFrame([("en", 0.6), ("other", 0.4)], "stratum string, weight double")
+    return _rounded(tables.causal_standardization_inference(cells, weights, "1", "1", 2))
+
+
+@query("prevalence_ratio_inference")
+def prevalence_ratio_inference(spark, sf_dir):
+    names = {"risk_exposed": "prevalence_exposed", "risk_unexposed": "prevalence_unexposed", "rd": "pd", "rr": "pr", "or": "por"}
+    got = tables.epi2x2_inference(_four(spark, sf_dir), 3)
+    renamed = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return _rounded(got.select(F.element_at(renamed, F.col("effect")).alias("effect"), "lower", "upper"))
+
+
+@query("interpolated_quantile", _HIST + """, c AS (SELECT *, sum(n) OVER (ORDER BY bin) AS cum, sum(n) OVER () AS total, coalesce(lag(upper) OVER (ORDER BY bin), upper) AS start FROM t WHERE bin > 0),
+v AS (SELECT p, bin, start + least(1, greatest(0, (p * total - (cum - n)) / n)) * (upper - start) AS value FROM c, (VALUES (0.25::DOUBLE), (0.5), (0.75)) q(p) WHERE n > 0 AND cum >= p * total)
+SELECT 'o_totalprice' AS variable, p AS prob, round(arg_min(value, bin), 4) AS value FROM v GROUP BY p""")
+def interpolated_quantile(spark, sf_dir):
+    return _rounded(tables.interpolated_quantiles(_price_histogram(spark, sf_dir), [0.25, 0.5, 0.75]), 4)
+
+
+@query("vert_lasso_binomial")
+def vert_lasso_binomial(spark, sf_dir):
+    beta = lasso.fit_glm(_binary(spark, sf_dir), "toxic", ["size", "english"], "binomial", 0.01, max_iter=40)
+    return _rows(spark, list(zip(("(Intercept)", "size", "english"), map(float, beta), strict=True)), "term string, estimate double")

@@ -129,3 +129,13 @@ def test_negative_binomial_theta(data):
     fit, theta = categorical.fit_negative_binomial(data, "c", ["x1"])
     assert fit.coefficients == pytest.approx(glm.fit_glm(data, "c", ["x1"], "poisson").coefficients, abs=0.02)
     assert theta > 3
+
+
+def test_penalised_logistic_is_optimal(data):
+    beta = lasso.fit_glm(data, "z", ["x1", "x2"], "binomial", 0.05)
+    m = matrix(data, ["x1", "x2", "z"])
+    x = np.column_stack((np.ones(len(m)), m[:, :2]))
+    slope = x.T @ (m[:, 2] - 1 / (1 + np.exp(-x @ beta))) / len(m)
+    assert abs(slope[0]) < 1e-4
+    for s, b in zip(slope[1:], beta[1:], strict=True):
+        assert abs(s - 0.05 * np.sign(b)) < 1e-4 if b else abs(s) <= 0.05 + 1e-4

@@ -106,3 +106,12 @@ def test_noise_is_sticky_and_bounded(spark):
     first = draw("s")
     assert first == draw("s") != draw("t") and all(0 <= x <= 60 for x in first)
     assert abs(sum(first) / 200 - 50) < 1
+
+
+def test_indirect_region_holds_every_box_table(spark):
+    rows = [(4.0, 6.0, 0.2), (3.0, 9.0, 0.5)]
+    r = tables.indirect_risk(spark.createDataFrame(rows, "events double, nonevents double, rate double"), 1).first()
+    for cells in itertools.product(*[(x - 1, x, x + 1) for e, n, _ in rows for x in (e, n)]):
+        o = cells[0] + cells[2]
+        e = 0.2 * (cells[0] + cells[1]) + 0.5 * (cells[2] + cells[3])
+        assert r.lower - 1e-9 <= o / e <= r.upper + 1e-9
