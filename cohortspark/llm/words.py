@@ -32,6 +32,14 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     return total
 
 
+def grams_at(hashes: np.ndarray, at: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """A 64-bit hash of the ``k`` words from each place ``at`` on; each seed gives another hash."""
+    total = np.full(at.size, seed, np.uint64)
+    for i in range(k if at.size else 0):
+        total = _mix(total + hashes[at + i] * _PLACES[i % 48])
+    return total
+
+
 def local_minima(values: np.ndarray, radius: int) -> np.ndarray:
     """True where a value is smaller than the ``radius`` values before it and no larger than those after.
 
@@ -44,11 +52,9 @@ def local_minima(values: np.ndarray, radius: int) -> np.ndarray:
     return least
 
 
-def minimisers(values: np.ndarray, window: int) -> np.ndarray:
-    """Positions of the smallest value of each run of ``window`` values (the last of equal ones)."""
+def window_minimisers(values: np.ndarray, window: int) -> np.ndarray:
+    """For each run of ``window`` values the position of its smallest (the last of equal ones)."""
     n = values.size - window + 1
-    if n <= 0:
-        return np.array([values.size - 1 - int(values[::-1].argmin())]) if values.size else np.zeros(0, np.int64)
     best, at, width = values.copy(), np.arange(values.size), 1
     while width < window:  # doubling: the minimum of 2^j values, then of the whole window
         step = min(width, window - width)
@@ -56,7 +62,14 @@ def minimisers(values: np.ndarray, window: int) -> np.ndarray:
         take = b <= a
         best, at = np.where(take, b, a), np.where(take, at[step:], at[: at.size - step])
         width += step
-    return np.unique(at[:n])
+    return at[: max(n, 0)]
+
+
+def minimisers(values: np.ndarray, window: int) -> np.ndarray:
+    """Positions of the smallest value of each run of ``window`` values (the last of equal ones)."""
+    if values.size < window:
+        return np.array([values.size - 1 - int(values[::-1].argmin())]) if values.size else np.zeros(0, np.int64)
+    return np.unique(window_minimisers(values, window))
 
 
-__all__ = ["grams", "local_minima", "minimisers", "places", "word_hashes"]
+__all__ = ["grams", "grams_at", "local_minima", "minimisers", "places", "window_minimisers", "word_hashes"]

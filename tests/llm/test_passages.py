@@ -71,6 +71,51 @@ def test_planted_passage_at_any_offset(spark, find):
         assert texts[r.doc_id][r.start : r.end] in inside
 
 
+def runs_of(texts, least=50):
+    """Each run of ``least`` words with the documents that have it, and its places."""
+    seen = {}
+    for i, t in texts.items():
+        w = t.split()
+        for j in range(len(w) - least + 1):
+            seen.setdefault(tuple(w[j : j + least]), []).append((i, j))
+    return {k: v for k, v in seen.items() if len({i for i, _ in v}) > 1}
+
+
+def suffix_rows(spark, texts):
+    return xd.suffix_dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+
+
+def test_suffix_keeps_one_copy_of_each_passage(spark):
+    first, second = made(11, 60), made(12, 90)
+    texts = {i: " ".join(made(400 + i, 20 + 3 * i) + first + made(500 + i, 70)) for i in range(1, 31)}
+    texts |= {50: " ".join(made(13, 60) + second + made(14, 50)), 99: " ".join(second), 100: " ".join(made(13, 60)[:55] + second[20:])}
+    rows = suffix_rows(spark, texts)
+    went = covered(texts, [r for r in rows if not r.keep])
+    assert covered(texts, rows) == repeated_words(texts)
+    for places_of in runs_of(texts).values():  # the smallest document decides each run of 50 words
+        least = min(i for i, _ in places_of)
+        left = [i for i, j in places_of if not went.get(i, set()) & set(range(j, j + 50))]
+        assert left == [least]
+
+
+def test_suffix_decides_before_touching_passages_are_joined(spark):
+    first, second = made(15, 60), made(16, 70)
+    texts = {1: " ".join(first), 50: " ".join(first + second), 99: " ".join(second)}
+    rows = {(r.doc_id, r.words, r.keep, tuple(r.other_ids)) for r in suffix_rows(spark, texts)}
+    assert rows == {(1, 60, True, (50,)), (50, 60, False, (1,)), (50, 70, True, (99,)), (99, 70, False, (50,))}
+
+
+def test_suffix_repeated_id_with_two_texts(spark):
+    first, second = made(18, 80), made(19, 80)
+    rows = [(1, " ".join(first)), (1, " ".join(made(20, 30) + second)), (2, " ".join(second)), (3, " ".join(made(21, 9) + first))]
+    found = xd.suffix_dedup(spark.createDataFrame([*rows, rows[0]], "doc_id long, text string")).collect()
+    length = [len(" ".join(x)) for x in (first, second, made(20, 30), made(21, 9))]
+    assert sorted((r.doc_id, r.start, r.end, r.keep) for r in found) == [
+        (1, 0, length[0], True), (1, length[2] + 1, length[2] + 1 + length[1], True), (2, 0, length[1], False),
+        (3, length[3] + 1, length[3] + 1 + length[0], False),
+    ]
+
+
 def test_near_paragraphs(spark):
     base = made(5, 80)
     changed = [*base[:40], "changed", *base[41:]]
