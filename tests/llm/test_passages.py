@@ -116,6 +116,21 @@ def test_suffix_repeated_id_with_two_texts(spark):
     ]
 
 
+def test_suffix_common_endings_hide_no_repeat(spark):
+    # the closing's hash is so small that it is the minimiser of all that hold it
+    closing = min((made(5000 + i, 12) for i in range(3000)), key=lambda w: words.grams(words.word_hashes(" ".join(w)), 12)[0])
+    texts = {}
+    for i in range(40):  # pairs share 38 words and the closing, the others share the closing only
+        pair = made(600 + i, 38) + closing
+        texts |= {10 * i + j: " ".join(made(1000 + 10 * i + j, 40) + pair + made(2000 + 10 * i + j, 40)) for j in (0, 1)}
+        texts |= {10 * i + j: " ".join(made(1000 + 10 * i + j, 60) + closing + made(2000 + 10 * i + j, 40)) for j in range(2, 8)}
+    rows = suffix_rows(spark, texts)
+    assert covered(texts, rows) == repeated_words(texts)
+    assert {(r.doc_id, r.keep, tuple(r.other_ids)) for r in rows} == {
+        (10 * i + j, j == 0, (10 * i + 1 - j,)) for i in range(40) for j in (0, 1)
+    }
+
+
 def test_near_paragraphs(spark):
     base = made(5, 80)
     changed = [*base[:40], "changed", *base[41:]]
