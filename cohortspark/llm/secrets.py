@@ -20,10 +20,14 @@ BASE = (
 RANDOM = "random"
 #: Tokens that the battery tests.
 MIN_TOKEN = 20
-TOKEN = f"[A-Za-z0-9+/_=-]{{{MIN_TOKEN},}}"
+#: Their alphabets: signs that an alphabet does not hold separate tokens, '=' only pads the end.
+TOKENS = tuple(
+    f"[{letters}]{{{MIN_TOKEN},}}(?:={{1,2}}(?![A-Za-z0-9+/_=-]))?" for letters in ("A-Za-z0-9", "A-Za-z0-9+/", "A-Za-z0-9_-")
+)
 #: Encodings by their alphabets, the first that holds a whole token is inferred.
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ENCODINGS = (
+    (_DIGITS, r"^[0-9]+$"),
     (_DIGITS + "abcdef", r"^[0-9a-f]+$"),
     (_DIGITS + "ABCDEF", r"^[0-9A-F]+$"),
     (_UPPER + "234567", r"^[A-Z2-7]+$"),
@@ -155,6 +159,9 @@ def randomness(token: Column) -> Column:
 def _candidates(text: Column) -> Column:
     """array<struct<s,e,p,decoy>>: each long token with its p-value, and that of a decoy.
 
+    A run of letters, digits and signs is tested in each of its readings: whole where one alphabet
+    holds it, and the parts between '/' and '+', between '-' and '_', and between any sign.
+
     The decoy is ordinary text of the same length from around the token: what stands after it (or
     before it, near the end) without anything but letters and digits. Tokens of letters alone, of
     one case or with a capital first, are words and no candidates.
@@ -169,11 +176,30 @@ def _candidates(text: Column) -> Column:
         return F.struct(
             x["s"].alias("s"),
             x["e"].alias("e"),
-            F.when(~token.rlike("^([A-Z]?[a-z]+|[A-Z]+|[0-9]+)$"), randomness(token)).alias("p"),
+            F.when(~token.rlike("^([A-Z]?[a-z]+|[A-Z]+)$"), randomness(token)).alias("p"),
             F.when(F.length(near) >= n, randomness(F.substring(near, F.lit(1), n))).alias("decoy"),
         )
 
-    return F.transform(_spans(text, TOKEN), tested)
+    return F.transform(F.array_distinct(F.concat(*[_spans(text, t) for t in TOKENS])), tested)
+
+
+def _merged(spans: Column) -> Column:
+    """array<struct<s,e>>: spans that overlap become one."""
+    empty = F.array().cast("array<struct<s:int,e:int>>")
+
+    def closed(a: Column) -> Column:
+        return F.when(a["e"] < 0, a["out"]).otherwise(F.concat(a["out"], F.array(F.struct(a["s"].alias("s"), a["e"].alias("e")))))
+
+    return F.aggregate(
+        F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))),
+        F.struct(F.lit(-1).alias("s"), F.lit(-1).alias("e"), empty.alias("out")),
+        lambda a, x: F.struct(
+            F.when(x["s"] < a["e"], a["s"]).otherwise(x["s"]).alias("s"),
+            F.when(x["s"] < a["e"], F.greatest(a["e"], x["e"])).otherwise(x["e"]).alias("e"),
+            F.when(x["s"] < a["e"], a["out"]).otherwise(closed(a)).alias("out"),
+        ),
+        closed,
+    )
 
 
 def _band(length: Column) -> Column:
@@ -212,7 +238,7 @@ def secret_spans(text: Column, limits: dict[int, float]) -> Column:
     if limits:
         least = F.create_map(*[F.lit(v) for pair in limits.items() for v in pair])
         random = F.filter(_candidates(text), lambda x: x["p"] >= F.element_at(least, _band(x["e"] - x["s"])))
-        parts.append(of_kind(random, len(BASE)))
+        parts.append(of_kind(_merged(random), len(BASE)))
     return F.array_sort(F.concat(*parts))
 
 

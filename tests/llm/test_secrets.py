@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -62,6 +63,25 @@ def test_battery_adds_random_tokens_and_spares_words(spark):
     assert all(hits[i] == [] for i in range(60, 120))
 
 
+@pytest.mark.parametrize(
+    "before, letters, after",
+    [
+        ("AUTH=", "A-Za-z0-9", ""), ("https://host.org/get?id=7&sig=", "A-Za-z0-9", "&x=1"), ("SESSION_ID=", "0-9a-f", "; "),
+        ("srv/path/", "A-Za-z0-9", "-x"), ("number ", "0-9", " "), ("KEY=", "A-Za-z0-9+/", "=="),
+    ],
+)
+def test_glued_tokens_are_found(spark, before, letters, after):
+    rng = random.Random(before)
+    signs = [chr(c) for c in range(33, 127) if re.match(f"[{letters}]", chr(c))]
+    words = "ordinary words and internationalisation of counterrevolutionaries stay as they are in this text "
+    made = ["".join(rng.choice(signs) for _ in range(40)) for _ in range(60)]
+    docs = spark.createDataFrame([(i, f"{words}{before}{t}{after} {words}") for i, t in enumerate(made)], "doc_id long, text string")
+    start = len(words) + len(before)
+    found = [[(x.s, x.e) for x in r.secrets if x.k == len(secrets.BASE)] for r in secrets.scan(docs).collect()]
+    assert sum(any(s <= start and e >= start + 40 for s, e in spans) for spans in found) >= 50
+    assert all(len(spans) <= 1 for spans in found)
+
+
 def test_redact_and_empty(spark):
     docs = spark.createDataFrame(
         [(1, "a token=abcdefghijklmnop0123456789abcdef b", 5), (2, None, 0), (3, "clean", 5)], "doc_id long, text string, n_chars long"
