@@ -8,13 +8,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import spare, table, text_or_empty
+from .common import spare, table, text_or_empty, written
 
 #: Words, and runs of signs.
 TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -22,14 +20,12 @@ TOKEN = re.compile(r"\w+|[^\w\s]+")
 BITS = 18
 #: Labelled rows the model is fitted on at most (those with the smallest hash of their id).
 MAX_TRAIN = 20_000
-#: Models fitted side by side and then averaged.
-SHARDS = 8
 EPOCHS = 4
 #: Follow-the-regularised-leader parameters.
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.002, 0.02
 #: A document is predicted good from this score on.
 THRESHOLD = 0.3
-_WORDS_HELD = 400_000
+_WORDS_HELD = 100_000
 
 
 class _WordHashes(dict):
@@ -66,27 +62,30 @@ class QualityModel:
         return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
 
 
-def fit_ftrl(texts: list[str], labels: list[int], bits: int = BITS, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights after FTRL-proximal passes over the rows in the order given."""
+def sparse(text: str, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct feature indexes of a text, and counts / sqrt(number of n-grams)."""
+    index, counts = np.unique(features(text, bits), return_counts=True)
+    return index.astype(np.int32), (counts / max(1.0, float(counts.sum())) ** 0.5).astype(np.float32)
+
+
+def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray, float]], bits: int = BITS, epochs: int = EPOCHS) -> np.ndarray:
+    """Weights (2^bits, and the intercept last) after FTRL-proximal passes over rows (indexes, values, label) in order."""
     z, n = np.zeros(2**bits + 1), np.zeros(2**bits + 1)
 
-    def weight(at: np.ndarray) -> np.ndarray:
-        short = np.sign(z[at]) * L1 - z[at]
-        return np.where(np.abs(z[at]) <= L1, 0.0, short / ((BETA + np.sqrt(n[at])) / ALPHA + L2))
+    def weight(zs: np.ndarray, ns: np.ndarray) -> np.ndarray:
+        short = np.sign(zs) * L1 - zs
+        return np.where(np.abs(zs) <= L1, 0.0, short / ((BETA + np.sqrt(ns)) / ALPHA + L2))
 
-    rows = []
-    for text, label in zip(texts, labels, strict=True):
-        index, counts = np.unique(features(text, bits), return_counts=True)
-        x = counts / max(1.0, float(counts.sum())) ** 0.5
-        rows.append((np.append(index, 2**bits).astype(np.int64), np.append(x, 1.0), float(label)))
     for _ in range(epochs):
-        for at, x, label in rows:
-            w = weight(at)
+        for index, x, label in rows:
+            at, x = np.append(index, 2**bits), np.append(x, np.float32(1.0)).astype(np.float64)
+            zs, ns = z[at], n[at]
+            w = weight(zs, ns)
             g = (1 / (1 + np.exp(-np.clip(w @ x, -30, 30))) - label) * x
-            root = np.sqrt(n[at] + g * g)
-            z[at] += g - (root - np.sqrt(n[at])) / ALPHA * w
-            n[at] += g * g
-    return weight(np.arange(2**bits + 1))
+            after = ns + g * g
+            z[at] = zs + g - (np.sqrt(after) - np.sqrt(ns)) / ALPHA * w
+            n[at] = after
+    return weight(z, n)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -97,10 +96,11 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, bits: int = BITS) -> QualityModel:
     """Fit on at most ``max_train`` labelled rows that are not held out.
 
-    The rows are dealt to ``SHARDS`` tasks, each fits a model, and the weights are averaged: at
-    most 2^bits + 1 numbers come to the driver whatever the input. Rows with a null id or label
-    are not learned from; several labels of an id count as their majority (ties: good). Without
-    any labelled row all weights are 0 and every score is 0.5.
+    Features are taken from the rows' texts in parallel. The updates follow each other, so one task
+    makes them all, over sparse rows only, whose number ``max_train`` bounds whatever the input; at
+    most 2^bits + 1 weights come to the driver. Rows with a null id or label are not learned from;
+    several labels of an id count as their majority (ties: good). Without any labelled row all
+    weights are 0 and every score is 0.5.
     """
     chosen = (
         labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("double").alias("quality"))
@@ -111,41 +111,52 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, bits:
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_train)
     )
-    rows = (
+    texts = (
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
         .join(F.broadcast(chosen), "doc_id")
-        .withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS)))
+        .select(F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("turn"), "doc_id", F.xxhash64("text").alias("tie"), "label", "text")
     )
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(o=[zlib.crc32(str(i).encode()) for i in pdf.doc_id]).sort_values(["o", "doc_id", "text"])
-        w = fit_ftrl(list(pdf.text), list(pdf.label), bits)
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [sparse(t.as_py(), bits) for t in batch.column(4)]
+            index, x = pa.array([i for i, _ in both], pa.list_(pa.int32())), pa.array([v for _, v in both], pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], index, x], ["turn", "doc_id", "tie", "label", "index", "x"])
+
+    rows = written(texts.mapInArrow(taken, "turn long, doc_id long, tie long, label int, index array<int>, x array<float>"), "training-rows")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            held += [
+                (i.values.to_numpy(), v.values.to_numpy(), float(label))
+                for i, v, label in zip(batch.column(1), batch.column(2), batch.column(0).to_pylist(), strict=True)
+            ]
+        w = fit_ftrl(held, bits)
         at = np.flatnonzero(w)
-        return pd.DataFrame({"at": at, "w": w[at], "n": len(pdf)})
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(w[at])], ["at", "w"])
 
-    # An all-zero row per shard carries the shard's size, so that shards weigh by their rows.
-    parts = rows.groupBy("shard").applyInPandas(fit, "at int, w double, n long")
-    total = rows.count()
+    ordered = rows.repartition(1).sortWithinPartitions("turn", "doc_id", "tie").select("label", "index", "x")
     weights = np.zeros(2**bits + 1, np.float32)
-    for at, w in parts.groupBy("at").agg(F.sum(F.col("w") * F.col("n")).alias("w")).collect():
-        weights[at] = w / total
+    for at, w in ordered.mapInArrow(fit, "at int, w double").collect():
+        weights[at] = w
     return QualityModel(weights, bits)
 
 
 def score(docs: DataFrame, model: QualityModel, score_col: str = "score") -> DataFrame:
-    """``docs`` with the score of each whole text. A null text counts as empty: the intercept's score."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
-    kept = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
+    """``docs`` with the score of each whole text. A null text counts as empty: the intercept's score.
+
+    Only texts go to Python and only scores come back. A column of ``docs`` called ``score_col`` stays, and
+    the new one gets an underscore.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
         m = shared.value
-        for batch in batches:
-            got = pa.array([m.score(t.as_py() or "") for t in batch.column(at)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, got], [*batch.schema.names, score_col])
+        return pa.array([m.score(t.as_py()) for t in texts], pa.float64())
 
-    return docs.mapInArrow(run, kept)
+    return docs.withColumn(spare(docs, score_col), scored(text_or_empty()))
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
