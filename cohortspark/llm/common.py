@@ -17,11 +17,13 @@ NEAR = 0.8
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (local tests)
-    a temporary folder is made.
+    The cluster names it in ``spark.checkpoint.dir``. Only a local session may leave that unset
+    (tests); it gets a temporary folder, which executors on other machines would not see.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="cohortspark-")
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -76,6 +78,32 @@ def spare(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Keys with more than one in so many of all rows are hot: there are fewer of them than this number.
+HOT_SHARE = 2000
+_HOT_LEAST = 1000
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """``rows`` left-joined with ``facts``, which has one row per key and the number of rows of that key.
+
+    Rows of hot keys do not meet in one task: the facts of these keys, fewer than ``HOT_SHARE`` by their
+    definition, are broadcast; all others are joined by shuffle. ``count`` is dropped.
+    """
+    total = facts.agg(F.sum(count)).first()[0] or 0
+    is_hot = F.col(count) > max(total // HOT_SHARE, _HOT_LEAST)
+    hot, cold = facts.where(is_hot).drop(count), facts.where(~is_hot).drop(count)
+    if hot.isEmpty():
+        return rows.join(cold, keys, "left")
+    usual = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, "left")
+    return usual.unionByName(rows.join(F.broadcast(hot), keys))
+
+
+def spread(df: DataFrame, bytes_each: int = 64 * 2**20) -> int:
+    """Partitions for a sort of ``df`` by range: the session's number, or more where that would leave more than ``bytes_each`` in one."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // bytes_each, 1)
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component): the smallest node reachable over ``edges`` (u, v), for nodes with an edge.
 
