@@ -5,10 +5,12 @@ Everything on the main path is DataFrame functions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spare, table, text_or_empty
+from .common import spare, table, text_or_empty, written
 
 #: Kinds in the order in which they are listed, with their patterns and the group and length a match needs.
 #: The patterns are the query's contract.
@@ -48,8 +50,10 @@ def _spans(text: Column, pattern: str, group: int = 0, at_least: int = 1) -> Col
     """
     gaps = F.split(text, pattern, -1)
     whole = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.length(m))
-    need = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda m: F.length(m)) if group else whole
-    lengths = F.arrays_zip(F.transform(gaps, lambda g: F.length(g)).alias("g"), whole.alias("m"), need.alias("n"))
+    parts = [F.transform(gaps, lambda g: F.length(g)).alias("g"), whole.alias("m")]
+    if group:
+        parts.append(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda m: F.length(m)).alias("n"))
+    lengths = F.arrays_zip(*parts)
     empty = F.array().cast("array<struct<s:int,e:int>>")
     walked = F.aggregate(
         F.slice(lengths, F.lit(1), F.size(lengths) - 1),
@@ -57,7 +61,7 @@ def _spans(text: Column, pattern: str, group: int = 0, at_least: int = 1) -> Col
         lambda acc, x: F.struct(
             (acc["at"] + x["g"] + x["m"]).alias("at"),
             F.when(
-                x["n"] >= at_least,
+                x["n" if group else "m"] >= at_least,
                 F.concat(
                     acc["out"],
                     F.array(F.struct((acc["at"] + x["g"]).alias("s"), (acc["at"] + x["g"] + x["m"]).alias("e"))),
@@ -70,6 +74,11 @@ def _spans(text: Column, pattern: str, group: int = 0, at_least: int = 1) -> Col
     return F.when(text.rlike(pattern), walked).otherwise(empty)
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of ``value``, which is evaluated once however often ``then`` uses it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def _upper_normal(z: Column) -> Column:
     """P(Z > z) for z >= 0 by a polynomial in 1 / (1 + 0.2316419 z); off by less than 1e-7."""
     t = 1 / (1 + 0.2316419 * z)
@@ -91,10 +100,12 @@ def randomness(token: Column) -> Column:
     Chi-squared uniformity, runs about the middle of the alphabet, and lag-1 serial correlation;
     the three p-values are combined by Fisher's method (six degrees of freedom, closed form).
     """
-    bare = F.rtrim(F.replace(token, F.lit("="), F.lit(" ")))  # padding carries no information
-    alphabet = F.when(F.lit(False), "")
-    for letters, shape in ENCODINGS:
-        alphabet = alphabet.when(bare.rlike(shape), letters)
+
+    def alphabet(bare: Column) -> Column:
+        found = F.when(F.length(bare) < MIN_TOKEN, F.lit(None).cast("string"))
+        for letters, shape in ENCODINGS:
+            found = found.when(bare.rlike(shape), letters)
+        return found
 
     def battery(x: Column) -> Column:
         n, k = F.size(x["v"]).cast("double"), x["k"].cast("double")
@@ -143,17 +154,13 @@ def randomness(token: Column) -> Column:
 
         return F.element_at(F.transform(F.array(moved), tests), 1)
 
-    coded = F.when(
-        F.length(bare) >= MIN_TOKEN,
-        F.transform(
-            F.array(F.struct(bare.alias("b"), alphabet.alias("a"))),
-            lambda x: F.struct(
-                F.transform(F.filter(F.split(x["b"], ""), lambda c: c != ""), lambda c: F.instr(x["a"], c) - 1).alias("v"),
-                F.length(x["a"]).alias("k"),
-            ),
-        ),
-    )
-    return F.when(alphabet.isNotNull() & (F.length(bare) >= MIN_TOKEN), F.element_at(F.transform(coded, battery), 1))
+    def coded(x: Column) -> Column:
+        letters = F.filter(F.split(x["b"], ""), lambda c: c != "")
+        return F.struct(F.transform(letters, lambda c: F.instr(x["a"], c) - 1).alias("v"), F.length(x["a"]).alias("k"))
+
+    bare = F.rtrim(F.replace(token, F.lit("="), F.lit(" ")))  # padding carries no information
+    read = _let(bare, lambda b: F.struct(b.alias("b"), alphabet(b).alias("a")))
+    return _let(read, lambda x: F.when(x["a"].isNotNull(), _let(coded(x), battery)))
 
 
 def _candidates(text: Column) -> Column:
@@ -167,20 +174,28 @@ def _candidates(text: Column) -> Column:
     one case or with a capital first, are words and no candidates.
     """
 
-    def tested(x: Column) -> Column:
+    def after(x: Column) -> Column:
         n = x["e"] - x["s"]
-        token = F.substring(text, x["s"] + 1, n)
-        after = F.regexp_replace(F.substring(text, x["e"] + 1, n * 2), "[^A-Za-z0-9]", "")
-        before = F.regexp_replace(F.substring(text, F.greatest(x["s"] + 1 - n * 2, F.lit(1)), F.least(n * 2, x["s"])), "[^A-Za-z0-9]", "")
-        near = F.when(F.length(after) >= n, after).otherwise(before)
+        return F.struct(
+            x["s"].alias("s"), x["e"].alias("e"), n.alias("n"), F.substring(text, x["s"] + 1, n).alias("token"),
+            F.regexp_replace(F.substring(text, x["e"] + 1, n * 2), "[^A-Za-z0-9]", "").alias("after"),
+        )
+
+    def near(x: Column) -> Column:
+        before = F.regexp_replace(F.substring(text, F.greatest(x["s"] + 1 - x["n"] * 2, F.lit(1)), F.least(x["n"] * 2, x["s"])), "[^A-Za-z0-9]", "")
+        found = F.when(F.length(x["after"]) >= x["n"], x["after"]).otherwise(before)
+        return F.struct(x["s"].alias("s"), x["e"].alias("e"), x["n"].alias("n"), x["token"].alias("token"), found.alias("near"))
+
+    def tested(x: Column) -> Column:
         return F.struct(
             x["s"].alias("s"),
             x["e"].alias("e"),
-            F.when(~token.rlike("^([A-Z]?[a-z]+|[A-Z]+)$"), randomness(token)).alias("p"),
-            F.when(F.length(near) >= n, randomness(F.substring(near, F.lit(1), n))).alias("decoy"),
+            F.when(~x["token"].rlike("^([A-Z]?[a-z]+|[A-Z]+)$"), randomness(x["token"])).alias("p"),
+            F.when(F.length(x["near"]) >= x["n"], randomness(F.substring(x["near"], F.lit(1), x["n"]))).alias("decoy"),
         )
 
-    return F.transform(F.array_distinct(F.concat(*[_spans(text, t) for t in TOKENS])), tested)
+    spans = F.array_distinct(F.concat(*[_spans(text, t) for t in TOKENS]))
+    return F.transform(F.transform(F.transform(spans, after), near), tested)
 
 
 def _merged(spans: Column) -> Column:
@@ -206,17 +221,15 @@ def _band(length: Column) -> Column:
     return F.greatest(*[F.when(length >= b, i).otherwise(0) for i, b in enumerate(BANDS)])
 
 
-def thresholds(docs: DataFrame, fdr: float = FDR) -> dict[int, float]:
-    """Least p-value per length band at which a token counts as random.
+def thresholds(found: DataFrame, candidates: str, fdr: float = FDR) -> dict[int, float]:
+    """Least p-value per length band at which a token counts as random, from a column of ``_candidates``.
 
     Over all tokens of all documents: a threshold's false discoveries are estimated by the decoys
     that pass it (one more for safety), and must be at most ``fdr`` of the tokens that pass. A band
     without such a threshold finds nothing. At most bands x grid counts come to the driver.
     """
-    found = docs.select(F.explode(_candidates(text_or_empty())).alias("x")).select(
-        _band(F.col("x.e") - F.col("x.s")).alias("band"), "x.p", "x.decoy"
-    )
-    counts = found.groupBy("band").agg(
+    tokens = found.select(F.explode(candidates).alias("x")).select(_band(F.col("x.e") - F.col("x.s")).alias("band"), "x.p", "x.decoy")
+    counts = tokens.groupBy("band").agg(
         *[F.sum((F.col(c) >= t).cast("long")).alias(f"{c}{i}") for c in ("p", "decoy") for i, t in enumerate(P_GRID)]
     )
     out = {}
@@ -228,18 +241,20 @@ def thresholds(docs: DataFrame, fdr: float = FDR) -> dict[int, float]:
     return out
 
 
-def secret_spans(text: Column, limits: dict[int, float]) -> Column:
-    """array<struct<s,k,e>> sorted by start, then kind (its number in the order of listing)."""
+def _base(text: Column) -> Column:
+    """array<struct<s,k,e>> of the fixed patterns' spans, ``k`` the kind's number in the order of listing."""
+    return F.concat(*[_of_kind(_spans(text, pattern, group, n), i) for i, (_, pattern, group, n) in enumerate(BASE)])
+
+
+def _of_kind(spans: Column, kind: int) -> Column:
+    return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(kind).alias("k"), x["e"].alias("e")))
 
-    def of_kind(spans: Column, kind: int) -> Column:
-        return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(kind).alias("k"), x["e"].alias("e")))
 
-    parts = [of_kind(_spans(text, pattern, group, n), i) for i, (_, pattern, group, n) in enumerate(BASE)]
-    if limits:
-        least = F.create_map(*[F.lit(v) for pair in limits.items() for v in pair])
-        random = F.filter(_candidates(text), lambda x: x["p"] >= F.element_at(least, _band(x["e"] - x["s"])))
-        parts.append(of_kind(_merged(random), len(BASE)))
-    return F.array_sort(F.concat(*parts))
+def _random(candidates: Column, limits: dict[int, float]) -> Column:
+    if not limits:
+        return F.array().cast("array<struct<s:int,k:int,e:int>>")
+    least = F.create_map(*[F.lit(v) for pair in limits.items() for v in pair])
+    return _of_kind(_merged(F.filter(candidates, lambda x: x["p"] >= F.element_at(least, _band(x["e"] - x["s"])))), len(BASE))
 
 
 def _joined(spans: Column) -> Column:
@@ -247,13 +262,19 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(kinds, x["k"] + 1), x["s"], x["e"])), ",")
 
 
-def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
-    """``docs`` with an array column ``secrets`` (underscores if taken) of spans, sorted.
+def scan(docs: DataFrame, fdr: float = FDR, with_text: bool = True) -> DataFrame:
+    """``docs`` with an array column ``secrets`` (underscores if taken) of spans, sorted by start, then kind.
 
-    Two passes over whole texts: the first gathers test results of all tokens for the thresholds,
-    the second finds the spans; no text is shuffled. A null text counts as empty and has no span.
+    One pass over whole texts finds the fixed patterns' spans and the test results of all tokens, and writes
+    them beside the columns of ``docs`` (all but the text without ``with_text``); the thresholds and the
+    random spans come from what was written. No text is shuffled. A null text counts as empty and has no span.
     """
-    return docs.withColumn(spare(docs, "secrets"), secret_spans(text_or_empty(), thresholds(docs, fdr)))
+    base, candidates = spare(docs, "base_spans"), spare(docs, "candidates")
+    columns = [c for c in docs.columns if with_text or c != "text"]
+    text = text_or_empty()
+    found = written(docs.select(*columns, _base(text).alias(base), _candidates(text).alias(candidates)), "secret-candidates")
+    spans = F.array_sort(F.concat(F.col(base), _random(F.col(candidates), thresholds(found, candidates, fdr))))
+    return found.withColumn(spare(docs, "secrets"), spans).drop(base, candidates)
 
 
 def redact(docs: DataFrame, marker: str = "[SECRET]", fdr: float = FDR) -> DataFrame:
@@ -288,7 +309,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind: int) -> Column:
         return F.size(F.filter(spans, lambda x: x["k"] == kind)).cast("bigint")
 
-    return scan(docs).select(
+    return scan(docs, with_text=False).select(
         "doc_id",
         *[count(i).alias(f"n_{k}") for i, (k, *_) in enumerate(BASE)],
         F.sha2(_joined(base), 256).alias("base_sha256"),
