@@ -1,4 +1,4 @@
-"""Substring dedup: paragraphs by MinHash banding, verified, clustered; passages inside paragraphs by content-cut pieces."""
+"""Substring dedup: paragraphs and content-cut passages by MinHash bands, exact Jaccard similarity, components."""
 
 from __future__ import annotations
 
@@ -10,179 +10,311 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ngram_join
-from .common import NEAR, SHINGLE_WORDS, components, discard, table, text_or_empty, written
+from .common import NEAR, SHINGLE_WORDS, discard, join_facts, spare, table, text_or_empty, written
 from .words import grams, local_minima, places, word_hashes
 
-#: Bands and rows of a band; a pair at the similarity asked for shares a band with chance 1 - (1 - 0.8^3)^8 = 0.997.
+#: Bands of a line and rows of a band; a pair at the similarity asked for shares a band with chance 1 - (1 - 0.8^3)^8 = 0.997.
 BANDS, ROWS = 8, 3
+#: Bands of a passage. Passages must be equal, and equal ones share any band: in a near one would go words that no other document has.
+PASSAGE_BANDS = 1
 #: Repeats of fewer words are left alone.
 MIN_WORDS = 20
-#: Pieces end where a word pair's hash is smallest among this many on either side.
+#: Passages end where a word pair's hash is smallest among this many on either side.
 RADIUS = 6
-_PIECE, _PARAGRAPH = 0, 1
+#: Words on either side of a kept passage that its copies are compared with, to find where a repeat really ends.
+CONTEXT = 64
 _MULTIPLIERS = np.random.default_rng(11).integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1)
 
 
-def _units(doc_id, text: str) -> tuple[np.ndarray, ...] | None:
-    """Columns (kind, start, end, words, k1, k2, who) of the pieces, and per band of the paragraphs."""
+def _units(text: str) -> tuple[np.ndarray, ...] | None:
+    """(line, first, last, h1, h2, number of keys) of each unit, words by number and ``last`` exclusive, and all their keys.
+
+    Lines of ``MIN_WORDS`` words or more come first, then the passages between the cuts.
+    """
     hashes = word_hashes(text)
     if hashes.size < SHINGLE_WORDS:
         return None
-    starts, ends, new_line = places(text)
-    five, pairs = grams(hashes, SHINGLE_WORDS), grams(hashes, 2)
-    lines = np.flatnonzero(new_line)
-    cut = new_line.copy()
-    cut[:-1] |= local_minima(pairs, RADIUS)
-    out = []
-
-    def bounds(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        last = np.append(first[1:], hashes.size)
-        long = last - first >= SHINGLE_WORDS
-        return first[long], last[long]
-
-    a, b = bounds(np.flatnonzero(cut))
-    if a.size:
-        inner = np.stack((a, b - SHINGLE_WORDS + 1), 1).ravel()
-        sums = [np.add.reduceat(np.append(five * m, np.uint64(0)), inner)[::2] for m in (np.uint64(1), np.uint64(0x9E3779B97F4A7C15))]
-        mixed = np.add.reduceat(np.append(five ^ (five >> np.uint64(33)), np.uint64(0)), inner)[::2]
-        out.append((np.full(a.size, _PIECE), starts[a], ends[b - 1], b - a, sums[0] + (b - a).astype(np.uint64), mixed, np.full(a.size, doc_id)))
-    a, b = bounds(lines)
-    wide = b - a >= MIN_WORDS
-    a, b = a[wide], b[wide]
-    if a.size:
-        inner = np.stack((a, b - SHINGLE_WORDS + 1), 1).ravel()
-        least = [np.minimum.reduceat(np.append(five * m, np.uint64(2**64 - 1)), inner)[::2] for m in _MULTIPLIERS]
-        node = np.array([ngram_join.node_of(np.unique(five[i : j - SHINGLE_WORDS + 1])) for i, j in zip(a, b, strict=True)])
-        for band in range(BANDS):
-            key = np.full(a.size, band + 1, np.uint64)
-            for values in least[band * ROWS : (band + 1) * ROWS]:
-                key = ngram_join._mix(key + values * ngram_join._PLACES[9])
-            out.append((np.full(a.size, _PARAGRAPH), starts[a], ends[b - 1], b - a, key, np.full(a.size, band, np.uint64), node))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else None
-
-
-_FIELDS = ("doc_id", "kind", "start", "end", "words", "k1", "k2", "who")
+    new_line = places(text)[2]
+    five = grams(hashes, SHINGLE_WORDS)
+    cut = np.zeros(hashes.size, bool)
+    cut[0] = True
+    cut[:-1] |= local_minima(grams(hashes, 2), RADIUS)
+
+    def bounds(begin: np.ndarray, least: int) -> np.ndarray:
+        both = np.stack((begin, np.append(begin[1:], hashes.size)))
+        return both[:, both[1] - both[0] >= least]
+
+    lines, passages = bounds(np.flatnonzero(new_line), MIN_WORDS), bounds(np.flatnonzero(cut), SHINGLE_WORDS)
+    n = lines.shape[1]
+    first, last = np.concatenate((lines, passages), 1)
+    if not first.size:
+        return None
+    inner = np.stack((first, last - SHINGLE_WORDS + 1), 1).ravel()  # of the runs of five words inside each unit
+
+    def per_unit(values: np.ndarray, how: np.ufunc, units: int) -> np.ndarray:
+        return how.reduceat(np.append(values, values.dtype.type(0 if how is np.add else 2**64 - 1)), inner[: 2 * units])[::2] if units else values[:0]
+
+    h1 = per_unit(five * np.uint64(0x9E3779B97F4A7C15), np.add, first.size) + (last - first).astype(np.uint64)
+    h2 = per_unit(five ^ (five >> np.uint64(33)), np.add, first.size)
+    keys = np.zeros((BANDS, first.size), np.uint64)
+    for band in range(BANDS):
+        units = n if band >= PASSAGE_BANDS else first.size
+        key = np.full(units, band + 1, np.uint64)
+        for m in _MULTIPLIERS[band * ROWS : (band + 1) * ROWS]:
+            key = ngram_join._mix(key + per_unit(five * m, np.minimum, units) * ngram_join._PLACES[9])
+        keys[band, :units] = key
+    bands = np.where(np.arange(first.size) < n, BANDS, PASSAGE_BANDS)
+    flat = keys.T[np.arange(BANDS) < bands[:, None]]
+    return np.arange(first.size) < n, first, last, h1.view(np.int64), h2.view(np.int64), bands, flat.view(np.int64)
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """Pieces and paragraph bands of every document, with the keys under which equals meet."""
+    """Lines and passages of every document (doc_id, tie, text): their places, a 128-bit hash of their shingles, and their bands' keys."""
+    names = ["doc_id", "tie", "line", "first", "last", "h1", "h2", "keys"]
+    kinds = (pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if (own := _units(doc_id, text.as_py())) is not None:
-                    found.append((np.full(own[0].size, doc_id), *own))
-            cols = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * len(_FIELDS)
-            kinds = (pa.int64(), pa.int8(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64)).cast(k) for c, k in zip(cols, kinds, strict=True)],
-                list(_FIELDS),
-            )
+            found, ids, ties, size = [], [], [], 0
+            for i, text in enumerate(batch.column(2)):
+                if (own := _units(text.as_py())) is not None:
+                    found.append(own)
+                    ids.append(np.full(own[1].size, batch.column(0)[i].as_py()))
+                    ties.append(np.full(own[1].size, batch.column(1)[i].as_py()))
+                    size += own[1].size
+                if found and (size >= 100_000 or i + 1 == batch.num_rows):
+                    cols = [np.concatenate(c) for c in zip(*found, strict=True)]
+                    offsets = np.concatenate(([0], np.cumsum(cols[5]))).astype(np.int32)
+                    listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(cols[6]))
+                    own_cols = [pa.array(c).cast(k) for c, k in zip(cols[:5], kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(ties)), *own_cols, listed], names)
+                    found, ids, ties, size = [], [], [], 0
 
-    return docs.mapInArrow(run, "doc_id long, kind byte, start int, end int, words int, k1 long, k2 long, who long")
-
-
-def _near_paragraphs(hits: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, start, end, words, keep_id) of paragraphs that go: all of a component but the first."""
-    paragraphs = hits.where(F.col("kind") == _PARAGRAPH).select("doc_id", "start", "end", "words", F.col("who").alias("node")).distinct()
-    paragraphs = written(paragraphs, "paragraphs")
-    first = paragraphs.groupBy("node").agg(F.min(F.struct("doc_id", "start", "end")).alias("f")).select("node", "f.*")
-    wanted = first.groupBy("doc_id").agg(F.collect_list(F.struct("node", "start", "end")).alias("w"))
-    # The forest takes paragraphs for documents; a paragraph's id is its node.
-    texts = written(
-        docs.join(wanted, "doc_id")
-        .select("text", F.explode("w").alias("w"))
-        .select(F.col("w.node").alias("doc_id"), F.expr("substring(text, w.start + 1, w.end - w.start)").alias("text")),
-        "paragraph-texts",
+    return docs.select("doc_id", "tie", "text").mapInArrow(
+        run, "doc_id long, tie long, line boolean, first int, last int, h1 long, h2 long, keys array<long>"
     )
-    sigs = written(ngram_join._signatures(texts, ngram_join.depths()), "paragraph-signatures")
-    scratch: list[str] = []
-    links = written(ngram_join.near_links(sigs, texts, scratch, NEAR), "paragraph-links")
-    discard(docs.sparkSession, scratch)
-    found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), "paragraph-components")
-    grouped = paragraphs.join(found, "node")
-    keep = grouped.groupBy("component").agg(F.min(F.struct("doc_id", "start")).alias("k"))
-    return (
-        grouped.join(keep, "component")
-        .where("doc_id <> k.doc_id or start <> k.start")
-        .select("doc_id", "start", "end", "words", F.col("k.doc_id").alias("keep_id"))
+
+
+_PLACE = ["doc_id", "tie"]
+
+
+def _with_texts(listed: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows of ``listed`` (one per document) with the document's text; ``tie`` tells texts of one id apart."""
+    return listed.join(docs, _PLACE)
+
+
+def _sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, shingles) of units (doc_id, tie, first, last, node)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sets = [], []
+            for text, rows in zip(batch.column(0), batch.column(1), strict=True):
+                five = grams(word_hashes(text.as_py()), SHINGLE_WORDS)
+                for row in rows.as_py():
+                    nodes.append(row["node"])
+                    sets.append(np.unique(five[row["first"] : row["last"] - SHINGLE_WORDS + 1]).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+    listed = wanted.groupBy(*_PLACE).agg(F.collect_set(F.struct("node", "first", "last")).alias("rows"))
+    found = _with_texts(listed, docs).select("text", "rows").mapInArrow(run, "node long, shingles binary")
+    return found.dropDuplicates(["node"])
+
+
+def _classed(found: DataFrame, docs: DataFrame, scratch: list[str]) -> DataFrame:
+    """(row, doc_id, tie, line, first, last, component): units that share a band with another document's, by class."""
+    banded = found.select("doc_id", "h1", F.explode("keys").alias("key"))
+    shared = written(
+        banded.groupBy("key")
+        .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("h1").alias("f"), F.max("h1").alias("g"))
+        .where("lo < hi")
+        .select("key", (F.col("f") < F.col("g")).alias("mixed")),
+        "bands",
+        scratch,
     )
+    hits = found.select(*_PLACE, "line", "first", "last", "h1", "h2", F.explode("keys").alias("key")).join(shared, "key")
+    hits = written(hits, "band-hits", scratch)
+    places_ = hits.drop("key", "mixed").distinct().withColumn("row", F.monotonically_increasing_id())
+    places_ = written(places_, "band-units", scratch)
+    nodes = written(places_.groupBy("h1", "h2").agg(F.min("row").alias("node"), F.count("*").alias("n")), "band-nodes", scratch)
+    mixed = hits.where("mixed and line").select("key", "h1", "h2").distinct().join(nodes, ["h1", "h2"])
+    members = mixed.select(F.col("key").alias("bucket"), F.lit(0).alias("tree"), F.col("key").alias("hi"), F.lit(0).cast("bigint").alias("lo"), "node")
+    members = written(members, "band-members", scratch)
+    wanted = members.select(F.col("node").alias("row")).distinct().join(places_, "row").withColumnRenamed("row", "node")
+    sets = written(_sets(wanted, docs), "band-sets", scratch)
+    classes = ngram_join.connected(members, None, sets, NEAR, 0, scratch)[1]
+    named = nodes.join(classes, "node", "left").select("h1", "h2", "n", F.coalesce("component", "node").alias("component"))
+    return written(join_facts(places_, named, ["h1", "h2"], "n").drop("h1", "h2"), "classed", scratch)
 
 
-def _merge(spans: DataFrame) -> DataFrame:
-    """Runs of spans that touch, over at most ``SHINGLE_WORDS - 1`` words: one row per run of ``MIN_WORDS`` words or more."""
+def _removed(classed: DataFrame, scratch: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines and passages that go, with the document that keeps them (keep_id), and the kept passages (row, component).
+
+    Lines are decided first. A passage is kept by a document where no line that goes touches it, so that
+    what one decision keeps the other does not remove. Copies inside the keeping document stay.
+    """
+    lines = classed.where("line")
+    of_lines = lines.groupBy("component").agg(F.min("doc_id").alias("keep_id"), F.max("doc_id").alias("hi"), F.count("*").alias("n"))
+    of_lines = of_lines.where("keep_id < hi").drop("hi")
+    gone = written(join_facts(lines, of_lines, ["component"], "n").where("doc_id <> keep_id"), "lines-gone", scratch)
+    passages = classed.where("not line")
+    over = gone.select(*_PLACE, F.col("first").alias("a"), F.col("last").alias("b"))
+    touched = passages.join(over, _PLACE).where("first < b and last > a").select("row").distinct().withColumn("touched", F.lit(True))
+    passages = passages.join(touched, "row", "left")
+    free = F.col("touched").isNull()
+    of_passages = passages.groupBy("component").agg(
+        F.min(F.when(free, F.col("doc_id"))).alias("keep_id"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")
+    )
+    of_passages = of_passages.where("lo < hi and keep_id is not null").drop("lo", "hi")
+    both = written(join_facts(passages, of_passages, ["component"], "n").where("keep_id is not null"), "passages-classed", scratch)
+    kept = both.where("doc_id = keep_id and touched is null").groupBy("component").agg(F.min("row").alias("row"))
+    return gone, both.where("doc_id <> keep_id"), kept
+
+
+def _runs(gone: DataFrame) -> DataFrame:
+    """(doc_id, tie, first, last, keep_ids, left, right): runs of units that touch; the components of their outermost passages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
+            for doc_id, tie, spans in zip(*(batch.column(c).to_pylist() for c in (*_PLACE, "spans")), strict=True):
                 runs: list[list] = []
-                for s in sorted(row["spans"], key=lambda s: (s["start"], s["end"])):
-                    # pieces of fewer words than a shingle between two repeats go with them
-                    if runs and s["start"] <= runs[-1][1] + 40:
-                        if s["end"] > runs[-1][1]:
-                            runs[-1][2] += s["words"] if s["start"] >= runs[-1][1] else 0
-                            runs[-1][1] = s["end"]
-                            runs[-1][2] = max(runs[-1][2], s["words"])
+                for s in sorted(spans, key=lambda s: (s["first"], -s["last"])):
+                    if runs and s["first"] <= runs[-1][1]:
+                        if s["last"] > runs[-1][1]:
+                            runs[-1][1], runs[-1][4] = s["last"], s["component"]
                     else:
-                        runs.append([s["start"], s["end"], s["words"], set()])
-                    runs[-1][3].add(s["keep_id"])
-                out += [(row["doc_id"], a, b, n, sorted(ids)) for a, b, n, ids in runs if n >= MIN_WORDS]
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+                        runs.append([s["first"], s["last"], set(), s["component"], s["component"]])
+                    runs[-1][2].add(s["keep_id"])
+                out += [(doc_id, tie, a, b, sorted(ids), left, right) for a, b, ids, left, right in runs]
+            cols = list(zip(*out, strict=True)) or [[]] * 7
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [*_PLACE, "first", "last", "keep_ids", "left", "right"])
+
+    listed = gone.groupBy(*_PLACE).agg(F.collect_set(F.struct("first", "last", "keep_id", "component")).alias("spans"))
+    return listed.mapInArrow(run, "doc_id long, tie long, first int, last int, keep_ids array<long>, left long, right long")
+
+
+def _contexts(kept: DataFrame, lines_gone: DataFrame, docs: DataFrame) -> DataFrame:
+    """(component, before, after): hashes of the words around kept passages (doc_id, tie, first, last, component), up to lines that go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, rows, gone in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                hashes = word_hashes(text.as_py())
+                for row in rows:
+                    a, b = row["first"], row["last"]
+                    low = max([a - CONTEXT, 0, *(g["last"] for g in gone or () if g["last"] <= a)])
+                    high = min([b + CONTEXT, hashes.size, *(g["first"] for g in gone or () if g["first"] >= b)])
+                    out.append((row["component"], hashes[low:a].tobytes(), hashes[b:high].tobytes()))
+            cols = list(zip(*out, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["component", "before", "after"])
+
+    listed = kept.groupBy(*_PLACE).agg(F.collect_set(F.struct("component", "first", "last")).alias("rows"))
+    gone = lines_gone.groupBy(*_PLACE).agg(F.collect_set(F.struct("first", "last")).alias("gone"))
+    return (
+        _with_texts(listed.join(gone, _PLACE, "left"), docs)
+        .select("text", "rows", "gone")
+        .mapInArrow(run, "component long, before binary, after binary")
+        .dropDuplicates(["component"])
+    )
+
+
+def _extended(runs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Final rows: runs with the words of their keepers' contexts that stand beside them too, ``MIN_WORDS`` or more."""
+
+    def shared(a: np.ndarray, b: np.ndarray) -> int:
+        n = min(a.size, b.size)
+        unlike = np.flatnonzero(a[:n] != b[:n])
+        return int(unlike[0]) if unlike.size else n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc_id, tie, text, rows in zip(*(batch.column(c) for c in (*_PLACE, "text", "runs")), strict=True):
+                text = text.as_py()
+                hashes = word_hashes(text)
+                starts, ends, _ = places(text)
+                joined: list[list] = []
+                for row in sorted(rows.as_py(), key=lambda r: r["first"]):
+                    a, b = row["first"], row["last"]
+                    a -= shared(hashes[:a][::-1], np.frombuffer(row["before"] or b"", np.uint64)[::-1])
+                    b += shared(hashes[b:], np.frombuffer(row["after"] or b"", np.uint64))
+                    if joined and a <= joined[-1][1]:
+                        joined[-1][1] = max(joined[-1][1], b)
+                        joined[-1][2] |= set(row["keep_ids"])
+                    else:
+                        joined.append([a, b, set(row["keep_ids"])])
+                out += [
+                    (doc_id.as_py(), int(starts[a]), int(ends[b - 1]), b - a, sorted(ids), tie.as_py()) for a, b, ids in joined if b - a >= MIN_WORDS
+                ]
+            cols = list(zip(*out, strict=True)) or [[]] * 6
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "start", "end", "words", "keep_ids"]
+                [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "start", "end", "words", "keep_ids", "text_hash"]
             )
 
-    listed = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end", "words", "keep_id")).alias("spans"))
-    return listed.mapInArrow(run, "doc_id long, start int, end int, words int, keep_ids array<long>")
+    listed = runs.groupBy(*_PLACE).agg(F.collect_list(F.struct("first", "last", "keep_ids", "before", "after")).alias("runs"))
+    return _with_texts(listed, docs).mapInArrow(run, "doc_id long, start int, end int, words int, keep_ids array<long>, text_hash long")
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, end, words, keep_ids): passages that stand in another document too and can go.
+    """(doc_id, start, end, words, keep_ids, text_hash): passages that stand in another document too and can go.
 
-    ``start`` and ``end`` are code points; ``keep_ids`` are the documents that keep the passage.
+    ``start`` and ``end`` are code points; ``keep_ids`` are the documents that keep the words,
+    ``text_hash`` (xxhash64) tells texts of a repeated id apart.
 
-    - Paragraphs (lines) of ``MIN_WORDS`` words or more: MinHash signatures of five-word shingles,
-      in bands; paragraphs that share a band with a different paragraph go to the forest of the
-      n-gram join, which compares exactly; components of paragraphs of similarity 0.8 or more keep
-      their first paragraph.
-    - A passage inside longer paragraphs is found by pieces: paragraphs are cut at positions chosen
-      by the words around them, so a repeated passage is cut alike wherever it stands. Of equal
-      pieces (128-bit hash of their shingles) the document with the smallest id keeps its own.
-      Touching pieces are joined; runs shorter than ``MIN_WORDS`` words stay.
+    Units are lines of ``MIN_WORDS`` words or more, and passages: every text is cut at positions chosen by the
+    words around them, whatever lines it has, so a repeated passage is cut alike wherever it stands.
 
-    Keys are counted first, combined in each task, so that only keys that several documents share
-    meet again, and a key that a third of the documents share is one row on its side of the join.
+    1. MinHash bands over the five-word shingles of each unit (keys counted first, combined in each task, so
+       that only keys that several documents share meet again).
+    2. Different lines that share a band are compared, neighbours in a bucket first, then all pairs between the
+       components of a bucket; exact Jaccard similarity of 0.8 or more links them. Passages of a band are verified
+       by 128 bits of their shingles (similarity 1).
+    3. Components of units: of lines, the document with the smallest id keeps its own. Of passages, the smallest
+       document in which no line that goes touches it. So what goes is left in another document.
+    4. Units that go and touch are joined, and extended word by word as far as the keeper has the same words.
 
     Defined cases: null, blank and short texts have no passage; rows with a null id are left out;
-    rows that repeat an id are one document (repeats inside one document stay); an empty table gives
-    no rows. Other columns of ``docs`` are ignored.
+    rows that repeat an id are one document (repeats inside one document stay); repeated rows give
+    their rows once; an empty table gives no rows. Other columns of ``docs`` are ignored.
     """
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).where("doc_id is not null")
-    found = units(source)
-    shared = written(
-        found.groupBy("k1", "k2", "kind").agg(F.min("who").alias("lead"), F.max("who").alias("last")).where("lead < last").drop("last"),
-        "keys",
+    source = source.withColumn("tie", F.xxhash64("text"))
+    scratch: list[str] = []
+    classed = _classed(written(units(source), "units", scratch), source, scratch)
+    lines, passages, kept = _removed(classed, scratch)
+    spans = lines.select(*_PLACE, "first", "last", "keep_id", F.lit(None).cast("bigint").alias("component")).unionByName(
+        passages.select(*_PLACE, "first", "last", "keep_id", "component")
     )
-    hits = written(found.join(shared, ["k1", "k2", "kind"]).where("kind = 1 or who <> lead").drop("k1", "k2"), "hits")
-    pieces = hits.where(F.col("kind") == _PIECE).select("doc_id", "start", "end", "words", F.col("lead").alias("keep_id"))
-    return _merge(pieces.unionByName(_near_paragraphs(hits, source)))
+    runs = written(_runs(spans), "runs", scratch)
+    ends = runs.select(F.explode(F.array("left", "right")).alias("component")).where("component is not null")
+    keepers = kept.join(ends.distinct(), "component").join(classed.drop("component", "line"), "row")
+    contexts = written(_contexts(keepers, lines, source), "contexts", scratch)
+    for side, words in (("left", "before"), ("right", "after")):
+        counts = runs.groupBy(side).agg(F.count("*").alias("n"))
+        facts = contexts.select(F.col("component").alias(side), words).join(counts, side)
+        runs = join_facts(runs, facts, [side], "n")
+    found = written(_extended(runs, source).dropDuplicates(["doc_id", "text_hash", "start"]), "passages")
+    discard(docs.sparkSession, scratch)
+    return found
 
 
 def remove_passages(docs: DataFrame) -> DataFrame:
     """``docs`` without the passages that ``substring_dedup`` finds; ``n_chars`` follows."""
-    cuts = substring_dedup(docs).groupBy(F.col("doc_id").alias("id_")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts_"))
-    joined = docs.join(cuts, F.col("doc_id").cast("bigint") == F.col("id_"), "left")
+    id_, tie, cuts_ = (spare(docs, n) for n in ("id_of_cuts", "hash_of_cuts", "cuts"))
+    cuts = substring_dedup(docs).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("c")).toDF(id_, tie, cuts_)
+    joined = docs.join(cuts, (F.col("doc_id").cast("bigint") == F.col(id_)) & (F.xxhash64(text_or_empty()) == F.col(tie)), "left")
     text = F.col("text")
     kept = F.aggregate(
-        "cuts_",
+        cuts_,
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda a, x: F.struct(x["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, x["start"] - a["at"])).alias("out")),
         lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
     )
-    out = joined.withColumn("text", F.when(F.col("cuts_").isNull(), text).otherwise(kept)).select(*docs.columns)
+    out = joined.withColumn("text", F.when(F.col(cuts_).isNull(), text).otherwise(kept)).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out
 
 
