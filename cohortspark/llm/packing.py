@@ -10,6 +10,7 @@ import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +31,11 @@ SHARE = 0.75
 
 # ---------------------------------------------------------------- tokens
 
-#: Byte-level BPE never joins across a space that a non-space follows: such words are tokenized alone.
-_GAP = re.compile(r" (?=\S)")
-_WORDS_HELD, _CHARS_AT_ONCE = 500_000, 1_000_000
+#: Byte-level BPE never joins across a space or line feed that a non-space follows, nor between a letter and a sign
+#: of punctuation: what stands between is tokenized alone. Spaces are cut away, other signs begin the next part.
+_SIGNS = "\n.,;:!?"
+_GAP = re.compile(r" (?=[^\s.,;:!?])|(?<=[A-Za-z])(?=[.,;:!?])|(?<=\S)(?=\n\S)")
+_WORDS_HELD, _CHARS_AT_ONCE = 250_000, 1_000_000
 
 
 @functools.cache
@@ -50,29 +53,32 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class WordTokens:
-    """Ids of texts as little-endian unsigned 32-bit bytes; ids of a word are looked up after its first use."""
+    """Ids of texts as little-endian unsigned 32-bit bytes; ids of a word are looked up after its first use.
+
+    Two tables of at most ``_WORDS_HELD`` words (or those of one call): when the younger is full, it takes the
+    place of the older, and words that are met again move to the younger one.
+    """
 
     def __init__(self, path: str) -> None:
-        self.path, self.held = path, {}
+        self.path, self.held, self.older = path, {}, {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """A word is held by its letters, with the space before it in its ids; the first word of a
-        text has no space before it and is held with a space instead, which no other word begins with."""
+        """A part is held by its letters, with the space before it in its ids (one that begins with a sign or a line
+        feed has none); the first part of a text is held with a space instead, which no other begins with."""
         parts = [_GAP.split(t) for t in texts]
         for p in parts:
             p[0] = " " + p[0]
-        found = [list(map(self.held.get, p)) for p in parts]
-        lacking = [i for i, row in enumerate(found) if None in row]
-        new = list({w for i in lacking for w, got in zip(parts[i], found[i], strict=True) if got is None})
+        used = set(chain.from_iterable(parts))
+        new = used.difference(self.held)
         if len(self.held) + len(new) > _WORDS_HELD:
-            self.held.clear()
-            lacking, new = range(len(parts)), list({w for p in parts for w in p})
-        words = [w[1:] if w[0] == " " else " " + w for w in new]
+            self.older, self.held, new = self.held, {}, used
+        known = new.intersection(self.older)
+        self.held.update((w, self.older[w]) for w in known)
+        new = list(new.difference(known))
+        words = [w[1:] if w[0] == " " else w if w[0] in _SIGNS else " " + w for w in new]
         for word, got in zip(new, _tokenizer(self.path).encode_batch_fast(words, add_special_tokens=False), strict=True):
             self.held[word] = array("I", got.ids).tobytes()
-        for i in lacking:
-            found[i] = list(map(self.held.__getitem__, parts[i]))
-        return list(map(b"".join, found))
+        return [b"".join(map(self.held.__getitem__, p)) for p in parts]
 
 
 @functools.cache
