@@ -14,12 +14,24 @@ SHINGLE_WORDS = 5
 NEAR = 0.8
 
 
+#: Rows of an Arrow batch between Spark and Python, where the session has Spark's own number (10,000): rows hold whole texts.
+ARROW_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds at once, unless the user has set a number of rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     The cluster names it in ``spark.checkpoint.dir``. Only a local session may leave that unset
     (tests); it gets a temporary folder, which executors on other machines would not see.
     """
+    small_batches(spark)
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         if not spark.sparkContext.master.startswith("local"):

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import small_batches, table, text_or_empty
 
 MODEL = "piece_bpe_32k.model"
 #: Segmentations per text, and what a piece's score counts: P(segmentation) ~ exp(INVERSE * sum of scores).
@@ -293,6 +293,7 @@ def encode_samples(
     empty table gives no rows. Other columns are ignored.
     """
     path = path or model_path()
+    small_batches(docs.sparkSession)
     kinds = (pa.int64(), pa.int32(), pa.binary(), pa.float64(), pa.float64(), pa.float64())
     names = ["doc_id", "sample", "ids", "logp", "perturbed", "log_inclusion"]
 
