@@ -14,26 +14,26 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, text_or_empty
+from .common import small_batches, spare, table, text_or_empty
 
 MODEL = "piece_bpe_32k.model"
 #: Segmentations per text, and what a piece's score counts: P(segmentation) ~ exp(INVERSE * sum of scores).
 SAMPLES, INVERSE, SEED = 2, 0.002, 17
 #: Scores below this are marks of the model, not ranks; such pieces count as the rarest.
 _LEAST_SCORE = -32_000.0
-#: Longer words are cut into parts of so many characters, which no piece crosses.
+#: The segmentations of words up to this length are listed; longer words are walked piece by piece.
 WORD_CHARS = 16
-#: Partial segmentations of a word of less than this share of the word's mass are left out.
+#: Listed segmentations of less than this share of the word's mass are left out: a draw's grain is coarser.
 _LOG_TINY = math.log(1e-13)
-_WORDS_HELD, _CHARS_AT_ONCE = 700_000, 1_500_000
-#: Words with the blank before them, cut between letters and other signs: no piece of the model has
+_WORDS_HELD, _WAYS_HELD, _CHARS_AT_ONCE = 700_000, 6_000_000, 1_500_000
+#: Words with the blanks before them, cut between letters and other signs: no piece of the model has
 #: both, so the parts are independent.
-_WORD = re.compile(r" ?[^\W\d_²³]+| ?(?:(?![^\W\d_²³])[^ ])+| ")
+_WORD = re.compile(r" *[^\W\d_²³]+| *(?:(?![^\W\d_²³])[^ ])+| +")
 #: Ends of words up to this length are held for other words, and beginnings of this length with their pieces.
 _END_CHARS, _START_CHARS = 6, 4
 #: Cumulative shares of a word's segmentations are whole numbers of so many bits, so that a draw does not
 #: depend on which words a worker has met before.
-_CDF_BITS = 42
+_CDF_BITS = 40
 _ONE = 1 << _CDF_BITS
 #: How the model writes a blank; in a text this character is an ordinary one, of no piece.
 _MARK = "▁"
@@ -67,9 +67,14 @@ class Lattice:
         self.forget()
 
     def forget(self) -> None:
-        """Empty the table of words: per word the number of its segmentations, and flat columns over all of them."""
+        """Empty the table of words.
+
+        A word has a number; so has each place inside a long word, from the word's number on. Per number the
+        count of its options (segmentations of a word, or pieces that go on from a place), and flat columns over all options.
+        """
         self.kinds: dict[str, int] = {}
         self.count, self.logp, self.cdf, self.ids = array("q"), array("d"), array("q"), []
+        self.step = array("q")  # characters that an option of a long word takes; 0 for a whole word
         self.columns = None
 
     def types(self, parts: list[list[str]]) -> list[np.ndarray]:
@@ -78,7 +83,7 @@ class Lattice:
         lacking = [i for i, row in enumerate(found) if None in row]
         if lacking:
             new = dict.fromkeys(w for i in lacking for w, got in zip(parts[i], found[i], strict=True) if got is None)
-            if self.kinds and len(self.kinds) + len(new) > _WORDS_HELD:
+            if self.kinds and (len(self.count) + len(new) > _WORDS_HELD or len(self.ids) > _WAYS_HELD):
                 self.forget()
                 lacking, new = range(len(parts)), dict.fromkeys(w for p in parts for w in p)
             for word in new:
@@ -89,29 +94,53 @@ class Lattice:
         return [np.array(row, np.int64) for row in found]
 
     def flat(self) -> tuple[np.ndarray, ...]:
-        """(cdf, logp, start, count): segmentations of word t are start[t] … start[t] + count[t] - 1."""
+        """(cdf, logp, start, count, step): options of number t are start[t] … start[t] + count[t] - 1."""
         if self.columns is None:
             count = np.array(self.count, np.int64)
-            self.columns = (np.array(self.cdf, np.int64), np.array(self.logp), np.cumsum(count) - count, count)
+            self.columns = (np.array(self.cdf, np.int64), np.array(self.logp), np.cumsum(count) - count, count, np.array(self.step, np.int64))
         return self.columns
 
     def _add(self, word: str) -> None:
-        ways, base = self._ways(word, {}), len(self.kinds) << _CDF_BITS
-        self.kinds[word] = len(self.kinds)
+        self.kinds[word] = len(self.count)
+        if len(word) > WORD_CHARS:
+            self._add_long(word)
+            return
+        ways = self._ways(word, {})
         if len(ways) == 1:
-            self.count.append(1)
-            self.logp.append(0.0)
-            self.cdf.append(base + _ONE)
-            self.ids.append(ways[0][1])
+            self._options([(0.0, ways[0][1], 0)])
             return
         mass, ways = _likely(ways)
-        self.count.append(len(ways))
-        total = 0.0
-        for w, ids in ways:
-            total += math.exp(w - mass)
-            self.logp.append(w - mass)
+        self._options([(w - mass, ids, 0) for w, ids in ways])
+
+    def _options(self, options: list[tuple[float, bytes, int]]) -> None:
+        base, total = len(self.count) << _CDF_BITS, 0.0
+        self.count.append(len(options))
+        for logp, ids, step in options:
+            total += math.exp(logp)
+            self.logp.append(logp)
             self.cdf.append(base + min(int(total * _ONE), _ONE))
             self.ids.append(ids)
+            self.step.append(step)
+        self.cdf[-1] = base + _ONE
+
+    def _add_long(self, word: str) -> None:
+        """Sums over all segmentations from each place to the end; a place's options are the pieces that begin there."""
+        n = len(word)
+        rest, found = [0.0] * (n + 1), []
+        for at in range(n - 1, -1, -1):
+            options, j = [], at + 1
+            while j <= n and (head := word[at:j]) in self.begun:
+                if piece := self.pieces.get(head):
+                    options.append((piece[1] + rest[j], piece[0], j - at))
+                j += 1
+            if word[at] not in self.pieces:
+                data = word[at].encode("utf-8", "surrogatepass")
+                options.append((self.fallback * len(data) + rest[at + 1], array("I", [self.bytes[b] for b in data]).tobytes(), 1))
+            top = max(w for w, *_ in options)
+            rest[at] = top + math.log(sum(math.exp(w - top) for w, *_ in options))
+            found.append([(w - rest[at], ids, step) for w, ids, step in options])
+        for options in reversed(found):
+            self._options(options)
 
     def _start(self, head: str) -> tuple[list[tuple], bool]:
         """Pieces with which a word that begins with ``head`` can begin, up to its length, and whether a longer one may follow."""
@@ -177,12 +206,7 @@ def _likely(ways: list[tuple[float, bytes]]) -> tuple[float, list[tuple[float, b
 
 def words_of(text: str) -> list[str]:
     """The parts of a text whose segmentations do not depend on each other: words with the blank before them."""
-    if not text:
-        return []
-    out = _WORD.findall(" " + text)
-    if len(max(out, key=len)) > WORD_CHARS:
-        out = [w[i : i + WORD_CHARS] for w in out for i in range(0, len(w), WORD_CHARS)]
-    return out
+    return _WORD.findall(" " + text) if text else []
 
 
 def _below(mass: np.ndarray, bound: float, rng: np.random.Generator) -> np.ndarray:
@@ -197,43 +221,66 @@ def _rest(logp: np.ndarray) -> np.ndarray:
         return np.log(np.maximum(-np.expm1(logp), 0.0))
 
 
-def search(flat: tuple, types: np.ndarray, k: int, rng: np.random.Generator) -> list[tuple]:
+def search(flat: tuple, types: np.ndarray, sizes: np.ndarray, k: int, rng: np.random.Generator) -> list[tuple]:
     """Up to ``k`` distinct segmentations of one text, by falling perturbed score.
 
-    A-star over sets of segmentations: a set is all that share the words before some place with a
+    A-star over sets of segmentations: a set is all that share the choices before some place with a
     segmentation found earlier and differ from it there. Its log mass is known exactly from the
     lattice, so the largest perturbed score in the set can be drawn without looking inside. The set
     with the largest one is opened: its best segmentation is drawn and given out, and what is left
     of it falls apart by the place of the first difference, each part bounded by the score just
-    found. Returns (choice per word, log-probability, perturbed score, log inclusion probability);
-    the inclusion probability takes the next best score as the threshold.
+    found. A place is a word (its choices are segmentations), or in a long word the end of a piece
+    (its choices are the next pieces). Returns (choices, log-probability, perturbed score, log
+    inclusion probability); the inclusion probability takes the next best score as the threshold.
+    ``sizes`` holds the characters of long words, and 0 for the others.
     """
-    cdf, logp, start, count = flat
+    cdf, logp, start, count, step = flat
+    long = np.flatnonzero(sizes)
 
     def draw(kinds: np.ndarray) -> np.ndarray:
         at = np.searchsorted(cdf, (kinds << _CDF_BITS) + (rng.random(kinds.size) * _ONE).astype(np.int64), "right")
         return np.minimum(np.maximum(at, start[kinds]), start[kinds] + count[kinds] - 1)
 
-    path = draw(types)
+    def tail(unit: int, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers, choices and words of a draw from the word ``unit`` on, inside it from the number ``kind`` on."""
+        if not long.size:
+            return types[unit:], draw(types[unit:]), np.arange(unit, types.size)
+        parts = []
+        for i in [*long[np.searchsorted(long, unit) :].tolist(), types.size]:
+            if unit < i:
+                parts.append((types[unit:i], draw(types[unit:i]), np.arange(unit, i)))
+                kind = -1
+            if i < types.size:
+                kind, end, kinds, choices = int(types[i]) if kind < 0 else kind, int(types[i] + sizes[i]), [], []
+                while kind < end:
+                    kinds.append(kind)
+                    choices.append(int(draw(np.array([kind]))[0]))
+                    kind += int(step[choices[-1]])
+                parts.append((np.array(kinds, np.int64), np.array(choices, np.int64), np.full(len(kinds), i)))
+            unit, kind = i + 1, -1
+        return tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (types[:0],) * 3
+
+    path = tail(0, -1)
     score = -math.log(rng.exponential())
     out, frontier = [], []  # frontier: (scores, path, first place, excluded choices at the first place)
 
-    def open_up(path: np.ndarray, place: int, excluded: tuple, score: float) -> None:
-        """The parts left of the set (shares words before ``place``) when ``path`` is taken out of it."""
-        got = logp[path]
+    def open_up(path: tuple, place: int, excluded: tuple, score: float) -> None:
+        """The parts left of the set (shares choices before ``place``) when ``path`` is taken out of it."""
+        kinds, choices, _ = path
+        got = logp[choices]
         before = np.concatenate(([0.0], np.cumsum(got)))
         mass = before[place:-1] + _rest(got[place:])
-        excluded = (*excluded, int(path[place]))
-        if len(excluded) == count[types[place]]:
+        excluded = (*excluded, int(choices[place]))
+        if len(excluded) == count[kinds[place]]:
             mass[0] = -np.inf
         elif len(excluded) > 1:
             mass[0] = before[place] + math.log(max(1e-300, 1 - float(np.exp(logp[list(excluded)]).sum())))
-        mass[count[types[place:]] == 1] = -np.inf
+        mass[count[kinds[place:]] == 1] = -np.inf
         frontier.append((_below(mass, score, rng), path, place, excluded))
 
-    if path.size:
+    if path[0].size:
         open_up(path, 0, (), score)
-    out.append((path, score))
+    out.append((path[1], score))
     while len(out) < k:
         best = max(range(len(frontier)), key=lambda i: frontier[i][0].max(), default=None)
         if best is None or (score := float(frontier[best][0].max())) == -np.inf:
@@ -241,15 +288,18 @@ def search(flat: tuple, types: np.ndarray, k: int, rng: np.random.Generator) ->
         scores, parent, place, excluded = frontier[best]
         at = int(scores.argmax())
         scores[at] = -np.inf
-        excluded = excluded if at == 0 else (int(parent[place + at]),)
         at += place
-        kind = types[at]
+        kinds, choices, units = parent
+        excluded = excluded if at == place else (int(choices[at]),)
+        kind, unit = int(kinds[at]), int(units[at])
         options = np.setdiff1d(np.arange(start[kind], start[kind] + count[kind]), excluded)
         weight = np.exp(logp[options] - logp[options].max())
         chosen = options[min(int(np.searchsorted(np.cumsum(weight), rng.random() * weight.sum(), "right")), options.size - 1)]
-        path = np.concatenate((parent[:at], [chosen], draw(types[at + 1 :])))
+        inside = kind + int(step[chosen]) if sizes[unit] and kind + int(step[chosen]) < types[unit] + sizes[unit] else -1
+        rest = tail(unit, inside) if inside >= 0 else tail(unit + 1, -1)
+        path = tuple(np.concatenate(c) for c in zip((kinds[:at], choices[:at], units[:at]), ([kind], [chosen], [unit]), rest, strict=True))
         open_up(path, at, excluded, score)
-        out.append((path, score))
+        out.append((path[1], score))
     threshold = max((float(f[0].max()) for f in frontier), default=-np.inf)
     rows = []
     for path, score in out:
@@ -266,12 +316,14 @@ def _lattice(path: str, inverse: float) -> Lattice:
 
 def sample_texts(keys: list[int], texts: list[str], lattice: Lattice, k: int) -> list[list[tuple]]:
     """Per text its samples: (ids as little-endian 32-bit bytes, log-probability, perturbed score, log inclusion probability)."""
-    types = lattice.types([words_of(t) for t in texts])
+    parts = [words_of(t) for t in texts]
+    types = lattice.types(parts)
     flat, ids = lattice.flat(), lattice.ids
     out = []
-    for key, own in zip(keys, types, strict=True):
+    for key, words, own in zip(keys, parts, types, strict=True):
         rng = np.random.Generator(np.random.Philox(key=key))
-        rows = search(flat, own, k, rng)
+        sizes = np.array([n if n > WORD_CHARS else 0 for n in map(len, words)], np.int64)
+        rows = search(flat, own, sizes, k, rng)
         out.append([(b"".join([ids[i] for i in path.tolist()]), *rest) for path, *rest in rows])
     return out
 
@@ -286,8 +338,10 @@ def encode_samples(
     the log-probability that a segmentation is among the ``k`` given the threshold. Draws depend on
     the seed, the id and the text only, so a lost task gives the same rows again.
 
-    Blanks join the word after them, as in the model; pieces of several blanks are not used, and no
-    piece crosses the cuts of words longer than ``WORD_CHARS``. Defined cases: a null text counts as
+    Blanks join the word after them, as in the model. Words of more than ``WORD_CHARS`` characters are
+    walked piece by piece over sums to their end, so all their segmentations can be drawn. Of shorter
+    words those of less than 1e-13 of the word's mass are left out, less than the grain of a draw
+    (2^-40). Defined cases: a null text counts as
     empty; an empty text has one segmentation, without pieces; a text with fewer than ``k``
     segmentations gives as many as it has; rows that repeat an id and text repeat their samples; an
     empty table gives no rows. Other columns are ignored.
@@ -320,18 +374,18 @@ def encode_samples(
 
 
 def decode(samples: DataFrame, path: str | None = None) -> DataFrame:
-    """``samples`` with the column ``text`` that their ids spell. Null ids give a null text."""
+    """``samples`` with the column ``text`` (underscores if taken) that their ids spell. Null ids give a null text."""
     path = path or model_path()
-    at = samples.columns.index("ids")
+    at, name = samples.columns.index("ids"), spare(samples, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _processor(path)
         for batch in batches:
             got = [None if b.as_py() is None else model.decode(np.frombuffer(b.as_py(), "<u4").tolist()) for b in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.string())], [*batch.schema.names, "text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.string())], [*batch.schema.names, name])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in samples.schema.fields)
-    return samples.mapInArrow(run, f"{fields}, `text` string")
+    return samples.mapInArrow(run, f"{fields}, `{name}` string")
 
 
 def op4_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

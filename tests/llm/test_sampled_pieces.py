@@ -59,6 +59,51 @@ def test_first_and_second_draws_follow_sampling_without_replacement():
             assert r[3] <= 0
 
 
+def test_long_words_and_runs_of_blanks_have_their_whole_lattice(monkeypatch):
+    monkeypatch.setattr(sp, "WORD_CHARS", 3)
+    lattice = sp.Lattice(sp.model_path(), 0.0004)
+    text = "then  at ha"
+    p = every_segmentation(lattice, text)
+    assert sp.words_of(text) == [" then", "  at", " ha"]
+    n = 4000
+    drawn = sp.sample_texts(list(range(n)), [text] * n, lattice, 3)
+    first = Counter(unpack(r[0]) for r in drawn)
+    assert sum(abs(first[ids] / n - q) for ids, q in p.items()) < 0.1 + len(p) / n
+    second, want = Counter(unpack(r[1]) for r in drawn), Counter()
+    for a, pa_ in p.items():
+        for b, pb in p.items():
+            if a != b:
+                want[b] += pa_ * pb / (1 - pa_)
+    assert sum(abs(second[ids] / n - q) for ids, q in want.items()) < 0.1 + len(p) / n
+    for rows in drawn[:200]:
+        assert len({unpack(r) for r in rows}) == len(rows) == 3
+        assert all(r[1] == pytest.approx(math.log(p[unpack(r)]), abs=1e-9) for r in rows)
+
+
+@pytest.mark.parametrize("text", ["internationalisation", "a  responsibilities", "the   of"])
+def test_log_probabilities_of_long_words(text):
+    lattice = sp._lattice(sp.model_path(), sp.INVERSE)
+    p = every_segmentation(lattice, text)
+    for rows in sp.sample_texts(list(range(200)), [text] * 200, lattice, 4):
+        assert len({unpack(r) for r in rows}) == 4
+        assert all(r[1] == pytest.approx(math.log(p[unpack(r)]), abs=1e-9) for r in rows)
+
+
+def test_query_rows_match_brute_force_on_short_texts(spark):
+    texts = {1: "the end", 2: "a  b", 3: "so it is", 4: ""}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    lattice = sp._lattice(sp.model_path(), sp.INVERSE)
+    for r in sp.encode_samples(docs).collect():
+        p = every_segmentation(lattice, texts[r.doc_id])
+        assert r.logp == pytest.approx(math.log(p[tuple(np.frombuffer(r.ids, "<u4").tolist())]), abs=1e-9)
+
+
+def test_very_long_text_without_blanks(spark):
+    docs = spark.createDataFrame([(1, "ab" * 50_000), (2, "日本" * 3000)], "doc_id long, text string")
+    rows = sp.decode(sp.encode_samples(docs).withColumn("text", F.lit("x"))).collect()
+    assert {(r.doc_id, r.text_) for r in rows} == {(1, "ab" * 50_000), (2, "日本" * 3000)}
+
+
 def test_inclusion_weights_are_unbiased():
     """Sum of f / inclusion over all but the threshold sample estimates the mean of f."""
     lattice = sp._lattice(sp.model_path(), 0.0004)
