@@ -95,8 +95,8 @@ HOT_SHARE = 2000
 _HOT_LEAST = 1000
 
 
-def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], count: str) -> DataFrame:
-    """``rows`` left-joined with ``facts``, which has one row per key and the number of rows of that key.
+def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, how: str = "left") -> DataFrame:
+    """``rows`` joined (left or inner) with ``facts``, which has one row per key and the number of rows of that key.
 
     Rows of hot keys do not meet in one task: the facts of these keys, fewer than ``HOT_SHARE`` by their
     definition, are broadcast; all others are joined by shuffle. ``count`` is dropped.
@@ -105,8 +105,8 @@ def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], count: str) -
     is_hot = F.col(count) > max(total // HOT_SHARE, _HOT_LEAST)
     hot, cold = facts.where(is_hot).drop(count), facts.where(~is_hot).drop(count)
     if hot.isEmpty():
-        return rows.join(cold, keys, "left")
-    usual = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, "left")
+        return rows.join(cold, keys, how)
+    usual = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
     return usual.unionByName(rows.join(F.broadcast(hot), keys))
 
 

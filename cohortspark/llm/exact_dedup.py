@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty, written
+from .common import join_facts, table, text_or_empty, written
 
 #: Characters that do not count in a comparison: space, tab, line feed, vertical tab, form feed, return.
 BLANKS = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
@@ -54,9 +54,8 @@ def exact_dedup(
     2. Hashes that occur once are done. Rows of the others are grouped by hash *and* normalised
        text, so Spark compares the bytes. Equal rows merge in each task before the shuffle, so
        a hot group costs one row per task.
-    3. Decisions go back to the facts by hash: one row per hash on one side, so a hot hash on the
-       other is split by adaptive execution. Only hashes that stand for several texts (collisions)
-       go back by text.
+    3. Decisions go back to the facts by hash; those of hot hashes are broadcast, so that their rows do
+       not meet in one task. Only hashes that stand for several texts (collisions) go back by text.
 
     Defined cases: a null text counts as empty; all empty texts are one group. A null id is kept
     only if its group has no other. Rows that repeat an id with equal text share one decision and
@@ -68,19 +67,18 @@ def exact_dedup(
         norm.select("doc_id", "n", content_hash(F.col("norm")).alias("h"), F.sha2("norm", 256).alias("text_sha256")),
         "exact-facts",
     )
-    several = facts.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    several = written(facts.groupBy("h").agg(F.count("*").alias("rows")).where("rows > 1"), "exact-several")
     groups = written(
-        norm.withColumn("h", content_hash(F.col("norm")))
-        .join(several, "h", "left_semi")
+        join_facts(norm.withColumn("h", content_hash(F.col("norm"))), several, ["h"], "rows", "inner")
         .groupBy("h", "norm")
         .agg(F.max(_order(F.col("n"), F.col("doc_id"))).alias("best"), F.max("n").alias("most"), F.count("*").alias("c"))
         .select("h", F.sha2("norm", 256).alias("sha"), "norm", _keep_id(F.col("best"), F.col("most")).alias("keep_id"), "c"),
         "exact-groups",
     )
     texts = groups.groupBy("h").agg(
-        F.count("*").alias("texts"), F.min("keep_id").alias("keep_id"), F.min("c").alias("c")
+        F.count("*").alias("texts"), F.min("keep_id").alias("keep_id"), F.min("c").alias("c"), F.sum("c").alias("rows")
     )
-    plain = facts.join(texts, "h", "left")
+    plain = join_facts(facts, texts, ["h"], "rows")
     single = plain.where("texts is null or texts = 1").select(
         "doc_id",
         F.when(F.col("texts").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spare, table, text_or_empty, written
+from .common import join_facts, spare, table, text_or_empty, written
 
 #: A line on this many distinct sites is boilerplate.
 MIN_SITES = 10
@@ -26,14 +26,14 @@ def _line_key(line: Column) -> Column:
 
 
 def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """(line_key, first_doc) of every line that stands on ``min_sites`` distinct sites or more.
+    """(line_key, c, first_doc) of every line that stands on ``min_sites`` distinct sites or more.
 
     1. Occurrences per line (hash aggregation, combined in each task). A line with fewer
        occurrences than ``min_sites`` cannot spread wide enough; that drops nearly all lines
        without a sketch.
-    2. One HyperLogLog sketch of sites per remaining line; sketches merge by aggregation, so a
-       line that a third of all rows share costs one sketch per task.
-    3. Lines whose estimate is near the threshold get an exact distinct count.
+    2. One HyperLogLog sketch of sites per remaining line, straight from the occurrences; sketches merge by
+       aggregation, so a line that a third of all rows share costs one sketch per task.
+    3. Only lines whose estimate is near the threshold get their distinct sites listed and counted exactly.
     """
     lines = docs.select(
         "doc_id", "source", F.explode(F.transform(_lines(F.col("text")), _line_key)).alias("line_key")
@@ -42,26 +42,24 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
         lines.groupBy("line_key").agg(F.count("*").alias("c"), F.min("doc_id").alias("first_doc")).where(F.col("c") >= min_sites),
         "lines-often",
     )
-    # A site that repeats a line adds nothing: distinct pairs first, which also bounds what each sketch reads.
-    pairs = written(
-        lines.where("source is not null")
-        .select("line_key", "source")
-        .join(often.select("line_key"), "line_key", "left_semi")
-        .distinct(),
-        "line-sites",
+    placed = lines.where("source is not null").select("line_key", "source")
+    sketched = (
+        join_facts(placed, often.select("line_key", "c"), ["line_key"], "c", "inner")
+        .groupBy("line_key")
+        .agg(F.hll_sketch_estimate(F.hll_sketch_agg("source", F.lit(LG_K))).alias("sites"))
     )
-    sketched = pairs.groupBy("line_key").agg(F.hll_sketch_estimate(F.hll_sketch_agg("source", F.lit(LG_K))).alias("sites"))
     low, high = min_sites * (1 - NEAR_SHARE) - 1, min_sites * (1 + NEAR_SHARE) + 1
     sketched = written(sketched.where(F.col("sites") >= low), "line-sketches")
     sure = sketched.where(F.col("sites") > high).select("line_key")
+    near = sketched.where(F.col("sites") <= high).select("line_key").join(often.select("line_key", "c"), "line_key")
     exact = (
-        pairs.join(sketched.where(F.col("sites") <= high).select("line_key"), "line_key", "left_semi")
+        join_facts(placed, near, ["line_key"], "c", "inner")
         .groupBy("line_key")
         .agg(F.countDistinct("source").alias("sites"))
         .where(F.col("sites") >= min_sites)
         .select("line_key")
     )
-    return often.select("line_key", "first_doc").join(sure.unionByName(exact), "line_key", "left_semi")
+    return often.join(sure.unionByName(exact), "line_key", "left_semi")
 
 
 def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -80,26 +78,19 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
         raise ValueError("docs needs doc_id, text and source")
     names = spare(docs, "n_lines"), spare(docs, "n_removed")
     known = written(boilerplate_lines(docs.select("doc_id", "text", "source"), min_sites), "boilerplate")
-    # Only keys travel: (doc, line number) of lines to remove, then one short array per document.
-    hits = (
-        docs.select("doc_id", F.posexplode(F.transform(_lines(F.col("text")), _line_key)).alias("line_no", "line_key"))
-        .where("line_key is not null")
-        .join(known, "line_key")
-        .where("doc_id is null or doc_id <> first_doc")
-    )
-    cuts = hits.groupBy("doc_id").agg(F.collect_set("line_key").alias("cut_"))
-    joined = docs.withColumnRenamed("doc_id", "id_").join(cuts, F.col("id_").eqNullSafe(F.col("doc_id")), "left")
+    # Only keys travel: (doc, line key) of lines to remove, then one short array per document.
+    keys = docs.select("doc_id", F.explode(F.array_distinct(F.transform(_lines(F.col("text")), _line_key))).alias("line_key"))
+    hits = join_facts(keys.where("line_key is not null"), known, ["line_key"], "c", "inner").where("doc_id is null or doc_id <> first_doc")
+    id_, cut_ = spare(docs, "id_of_cuts"), spare(docs, "cut_lines")
+    cuts = hits.groupBy("doc_id").agg(F.collect_set("line_key").alias("c")).toDF(id_, cut_)
+    joined = docs.join(cuts, F.col("doc_id").eqNullSafe(F.col(id_)), "left")
     lines = _lines(F.col("text"))
-    stay = F.filter(lines, lambda x: _line_key(x).isNull() | ~F.array_contains(F.col("cut_"), _line_key(x)))
+    stay = F.filter(lines, lambda x: _line_key(x).isNull() | ~F.array_contains(F.col(cut_), _line_key(x)))
     out = {
-        c: F.col("id_").alias(c)
-        if c == "doc_id"
-        else F.when(F.col("cut_").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n")).alias("text")
-        if c == "text"
-        else F.col(c)
+        c: F.when(F.col(cut_).isNull(), F.col("text")).otherwise(F.array_join(stay, "\n")).alias("text") if c == "text" else F.col(c)
         for c in docs.columns
     }
-    n_removed = F.when(F.col("cut_").isNull(), 0).otherwise(F.size(lines) - F.size(stay))
+    n_removed = F.when(F.col(cut_).isNull(), 0).otherwise(F.size(lines) - F.size(stay))
     cut = joined.select(
         *out.values(),
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).alias(names[0]),

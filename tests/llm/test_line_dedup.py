@@ -45,3 +45,20 @@ def test_query_and_empty(spark):
     assert sorted(map(tuple, got), key=repr) == brute(rows, ld.MIN_SITES)
     docs = spark.createDataFrame([], "doc_id long, text string, source string, n_chars long")
     assert ld.line_dedup(docs).count() == 0
+
+
+def test_clashing_names_and_long_lines(spark):
+    line = "w " * 30_000
+    rows = [(i, f"{line}\nown {i}", f"s{i % 12}", 1, 2, 3) for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, id_ int, cut_ int, line_key int")
+    out = {r.doc_id: r for r in ld.line_dedup(docs).collect()}
+    assert out[0].text == rows[0][1] and all(out[i].text == f"own {i}" and out[i].n_removed == 1 for i in range(1, 24))
+    assert all((r.id_, r.cut_, r.line_key) == (1, 2, 3) for r in out.values())
+
+
+def test_sketches_decide_as_exact_counts(spark):
+    """Lines on 5 to 40 sites, many times each: those from 10 sites on go, whatever side of the threshold they are on."""
+    rows = [(1000 * k + i, f"line {k}", f"site {i % k}") for k in range(5, 41) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r.first_doc // 1000 for r in ld.boilerplate_lines(docs).collect()}
+    assert found == set(range(10, 41))
