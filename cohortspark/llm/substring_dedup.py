@@ -104,7 +104,7 @@ def _with_texts(listed: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, shingles) of units (doc_id, tie, first, last, node)."""
+    """The shingle sets of units (doc_id, tie, first, last, node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,11 +113,11 @@ def _sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
                 five = grams(word_hashes(text.as_py()), SHINGLE_WORDS)
                 for row in rows.as_py():
                     nodes.append(row["node"])
-                    sets.append(np.unique(five[row["first"] : row["last"] - SHINGLE_WORDS + 1]).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
+                    sets.append(np.unique(five[row["first"] : row["last"] - SHINGLE_WORDS + 1]))
+            yield ngram_join.set_rows(nodes, sets)
 
     listed = wanted.groupBy(*_PLACE).agg(F.collect_set(F.struct("node", "first", "last")).alias("rows"))
-    found = _with_texts(listed, docs).select("text", "rows").mapInArrow(run, "node long, shingles binary")
+    found = _with_texts(listed, docs).select("text", "rows").mapInArrow(run, ngram_join._SET)
     return found.dropDuplicates(["node"])
 
 
@@ -142,7 +142,7 @@ def _classed(found: DataFrame, docs: DataFrame, scratch: list[str]) -> DataFrame
     members = written(members, "band-members", scratch)
     wanted = members.select(F.col("node").alias("row")).distinct().join(places_, "row").withColumnRenamed("row", "node")
     sets = written(_sets(wanted, docs), "band-sets", scratch)
-    classes = ngram_join.connected(members, None, sets, NEAR, 0, scratch)[1]
+    classes = ngram_join.connected(members, sets, NEAR, scratch)[1]
     named = nodes.join(classes, "node", "left").select("h1", "h2", "n", F.coalesce("component", "node").alias("component"))
     return written(join_facts(places_, named, ["h1", "h2"], "n").drop("h1", "h2"), "classed", scratch)
 
