@@ -5,20 +5,24 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.linear import solve_identifiable
 from ..functions.special import chisq_sf, digamma, trigamma
+from ..sources.scratch import held, releasing
 from .design import as_matrix, as_vector, design, linear, sums, triangle, vector
 from .glm import Fit, fit_glm
 
 
+@releasing
 def fit_multinomial(df: DataFrame, response: str, predictors: list[str], levels: list[str], max_iter: int = 50, tol: float = 1e-9) -> Fit:
     """Joint softmax regression by Newton; the first level is the reference. One aggregation a step."""
     x = design(predictors)
     p, k = len(x), len(levels) - 1
-    data = df.select(response, *predictors).na.drop()
+    data = held(df.select(response, *predictors).na.drop())
     theta = np.zeros((k, p))
     converged, step = False, 0
     for step in range(1, max_iter + 1):
@@ -51,6 +55,7 @@ def fit_multinomial(df: DataFrame, response: str, predictors: list[str], levels:
     return Fit(names, theta.ravel(), np.linalg.inv(hessian), "multinomial", got["n"], -2 * got["ll"], float("nan"), -2 * got["ll"] + 2 * k * p, step, converged)
 
 
+@releasing
 def fit_ordinal(df: DataFrame, response: str, predictors: list[str], levels: list[str], max_iter: int = 60, tol: float = 1e-9) -> Fit:
     """Proportional odds, P(y <= k) = logistic(theta_k - eta), by Fisher scoring with halved steps.
 
@@ -62,6 +67,7 @@ def fit_ordinal(df: DataFrame, response: str, predictors: list[str], levels: lis
     for i, v in enumerate(levels):
         place = place.when(F.col(response) == v, i)
     data = df.select(response, *predictors).na.drop().withColumn("place", place).where("place is not null")
+    data = held(data)
     counts = {r.place: r.c for r in data.groupBy("place").agg(F.count("*").alias("c")).collect()}
     total = sum(counts.values())
     cum = np.cumsum([counts.get(i, 0) for i in range(k)]) / total
@@ -107,12 +113,14 @@ def fit_ordinal(df: DataFrame, response: str, predictors: list[str], levels: lis
     return Fit(names, par, np.linalg.inv(information), "ordinal", float(total), -2 * got["ll"], float("nan"), -2 * got["ll"] + 2 * (k + p), step, converged)
 
 
+@releasing
 def ordinal_warm(df: DataFrame, response: str, predictors: list[str], levels: list[str]) -> dict:
     """Cumulative logits threshold by threshold, slopes pooled by inverse variance, and a test that they are equal."""
     fits = []
+    df = held(df.select(response, *predictors))
     for i in range(1, len(levels)):
         data = df.withColumn("above", F.when(F.col(response).isin(levels[i:]), 1.0).otherwise(0.0))
-        fits.append(fit_glm(data, "above", predictors, "binomial"))
+        fits.append(fit_glm(data, "above", predictors, "binomial", hold=False))
     slopes = np.array([f.coefficients[1:] for f in fits])
     weight = 1 / np.array([f.se[1:] ** 2 for f in fits])
     pooled = (slopes * weight).sum(0) / weight.sum(0)
@@ -131,11 +139,22 @@ def theta_moments(df: DataFrame, response: str) -> DataFrame:
     )
 
 
+@F.pandas_udf(DoubleType())
+def _digamma(x: pd.Series) -> pd.Series:
+    return x.map(digamma)
+
+
+@F.pandas_udf(DoubleType())
+def _trigamma(x: pd.Series) -> pd.Series:
+    return x.map(trigamma)
+
+
+@releasing
 def profile_theta(df: DataFrame, response: str, mean, start: float = 1.0, max_iter: int = 100, tol: float = 1e-10) -> float:
-    """Newton on log theta for given means. Counts enter through their distinct values, the rest through sums."""
+    """Newton on log theta for given means. Gamma terms are taken once per distinct count, on the cluster."""
     data = df.select(F.col(response).cast("double").alias("y"), mean.alias("mu"))
-    values = [(r.y, r.c) for r in data.groupBy("y").agg(F.count("*").alias("c")).collect()]
-    n = sum(c for _, c in values)
+    values = held(data.groupBy("y").agg(F.count("*").cast("double").alias("c")))
+    n = sums(values, {"n": F.col("c")})["n"]
     theta = start
     for _ in range(max_iter):
         t = F.lit(theta)
@@ -143,8 +162,9 @@ def profile_theta(df: DataFrame, response: str, mean, start: float = 1.0, max_it
             "s": F.log(t / (t + F.col("mu"))) + 1 - (t + F.col("y")) / (t + F.col("mu")),
             "h": F.col("mu") / (t * (t + F.col("mu"))) + (F.col("y") - F.col("mu")) / ((t + F.col("mu")) * (t + F.col("mu"))),
         })
-        score = sum(c * digamma(y + theta) for y, c in values) - n * digamma(theta) + got["s"]
-        slope = sum(c * trigamma(y + theta) for y, c in values) - n * trigamma(theta) + got["h"]
+        gammas = sums(values, {"d": F.col("c") * _digamma(F.col("y") + t), "t": F.col("c") * _trigamma(F.col("y") + t)})
+        score = gammas["d"] - n * digamma(theta) + got["s"]
+        slope = gammas["t"] - n * trigamma(theta) + got["h"]
         curve = theta * score + theta * theta * slope
         move = -theta * score / curve if curve < 0 else math.copysign(0.5, score)
         move = max(-1.0, min(1.0, move))
@@ -154,9 +174,11 @@ def profile_theta(df: DataFrame, response: str, mean, start: float = 1.0, max_it
     return theta
 
 
+@releasing
 def fit_negative_binomial(df: DataFrame, response: str, predictors: list[str], joint: bool = True, max_iter: int = 50, tol: float = 1e-8) -> tuple[Fit, float]:
     """NB2: Poisson start, then theta by profile Newton and beta by Fisher scoring in turn (once if not ``joint``)."""
-    fit = fit_glm(df, response, predictors, "poisson")
+    df = held(df.select(response, *predictors))
+    fit = fit_glm(df, response, predictors, "poisson", hold=False)
     x = design(predictors)
     p, y = len(x), F.col(response).cast("double")
     beta, theta, step = fit.coefficients.copy(), 1.0, 0

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.linear import nelder_mead, solve_identifiable
+from ..sources.scratch import held, releasing
 from .design import as_matrix, as_vector, design, linear, sums, triangle, vector
 from .glm import Fit, _mean, fit_glm
 
@@ -21,11 +22,12 @@ def cluster_sums(df: DataFrame, cluster: str, response: str, predictors: list[st
     return df.groupBy(cluster).agg(F.count("*").cast("double").alias("n"), F.sum(y).alias("sy"), *[F.sum(c).alias(f"sx_{i}") for i, c in enumerate(x)])
 
 
+@releasing
 def fit_lmm(df: DataFrame, cluster: str, response: str, predictors: list[str], reml: bool = True) -> tuple[Fit, dict]:
     """Random-intercept model. For a variance ratio r the likelihood needs, per cluster size n, the sums of
     s s' over clusters of that size, weighted by r / (1 + n r): so the optimiser works on one small table.
     """
-    data = df.select(cluster, response, *predictors).na.drop()
+    data = held(df.select(cluster, response, *predictors).na.drop())
     x = design(predictors)
     p, y = len(x), F.col(response).cast("double")
     got = sums(data, triangle(x, F.lit(1.0)) | vector(x, y) | {"yy": y * y, "n": F.lit(1.0)})
@@ -57,6 +59,7 @@ def fit_lmm(df: DataFrame, cluster: str, response: str, predictors: list[str], r
     return fit, {"sigma2": sigma2, "sigma_b2": r * sigma2, "icc": r / (1 + r), "clusters": int(number.sum())}
 
 
+@releasing
 def fit_gee(
     df: DataFrame, cluster: str, response: str, predictors: list[str], family: str = "gaussian", corstr: str = "exchangeable", order: str | None = None,
     max_iter: int = 50, tol: float = 1e-8,
@@ -65,10 +68,10 @@ def fit_gee(
 
     Each step sums scores and information per cluster; ar1 works on neighbours in ``order`` by ``lag``.
     """
-    data = df.select(cluster, response, *predictors, *([order] if order else [])).na.drop()
+    data = held(df.select(cluster, response, *predictors, *([order] if order else [])).na.drop())
     x = design(predictors)
     p = len(x)
-    first = fit_glm(data, response, predictors, family)
+    first = fit_glm(data, response, predictors, family, hold=False)
     beta, alpha, step = first.coefficients.copy(), 0.0, 0
     per_cluster = None
     for step in range(1, max_iter + 1):
@@ -121,6 +124,7 @@ def fit_gee(
     return Fit(first.names, beta, robust, "gee", first.n, float("nan"), float("nan"), float("nan"), step, step < max_iter), alpha
 
 
+@releasing
 def fit_glmm(df: DataFrame, cluster: str, response: str, predictors: list[str], max_outer: int = 60, tol: float = 1e-6) -> tuple[Fit, dict]:
     """Binomial random intercept by penalised quasi-likelihood.
 
@@ -128,13 +132,12 @@ def fit_glmm(df: DataFrame, cluster: str, response: str, predictors: list[str],
     sums only. Each round: one Newton step for the cluster effects and the fixed effects together
     (the cluster block is diagonal), then the variance from the effects and their posterior variances.
     """
-    data = df.select(cluster, response, *predictors).na.drop()
+    data = held(df.select(cluster, response, *predictors).na.drop())
     x = design(predictors)
     p, y = len(x), F.col(response).cast("double")
-    beta = fit_glm(data, response, predictors, "binomial").coefficients.copy()
+    beta = fit_glm(data, response, predictors, "binomial", hold=False).coefficients.copy()
     variance, step = 0.5, 0
     effects = data.select(cluster).distinct().withColumn("b", F.lit(0.0))
-    spark = df.sparkSession
     for step in range(1, max_outer + 1):
         eta = linear(x, beta) + F.col("b")
         mu = 1 / (1 + F.exp(-eta))
@@ -155,8 +158,7 @@ def fit_glmm(df: DataFrame, cluster: str, response: str, predictors: list[str],
         beta = beta + move
         shift = sum((F.col(f"wx_{i}") * F.lit(float(m)) for i, m in enumerate(move)), F.lit(0.0))
         moved = clusters.select(cluster, (F.col("b") + (rb - shift) / d).alias("b"), (1 / d).alias("v"))
-        # one row per cluster is materialised, so the next round does not redo this one
-        moved = moved.checkpoint() if spark.sparkContext.getCheckpointDir() else moved.persist()
+        moved = held(moved)  # one row per cluster, so the next round does not redo this one
         new = moved.agg(F.avg(F.col("b") * F.col("b") + F.col("v")).alias("s")).first().s
         effects = moved.select(cluster, "b")
         done = float(np.abs(move).max()) <= tol and abs(new - variance) <= tol * (1 + variance)
@@ -168,10 +170,12 @@ def fit_glmm(df: DataFrame, cluster: str, response: str, predictors: list[str],
     return fit, {"sigma_b2": variance, "icc": variance / (variance + math.pi**2 / 3)}
 
 
+@releasing
 def fit_ipw(df: DataFrame, outcome: str, outcome_predictors: list[str], treatment: str, propensity_predictors: list[str], family: str = "gaussian") -> Fit:
     """Propensity by logistic regression, inverse-probability weights, weighted outcome model."""
+    df = held(df.select(*dict.fromkeys([outcome, *outcome_predictors, treatment, *propensity_predictors])))
     x = design(propensity_predictors)
-    score = 1 / (1 + F.exp(-linear(x, fit_glm(df, treatment, propensity_predictors, "binomial").coefficients)))
+    score = 1 / (1 + F.exp(-linear(x, fit_glm(df, treatment, propensity_predictors, "binomial", hold=False).coefficients)))
     weighted = df.withColumn("ipw_weight", F.when(F.col(treatment) == 1, 1 / score).otherwise(1 / (1 - score)))
     return fit_glm(weighted, outcome, outcome_predictors, family, weights="ipw_weight")
 
@@ -184,6 +188,7 @@ def rubin(estimates: list[np.ndarray], covariances: list[np.ndarray]) -> tuple[n
     return mean, np.mean(covariances, axis=0) + (1 + 1 / m) * between
 
 
+@releasing
 def fit_mi(df: DataFrame, unit: str, response: str, predictors: list[str], impute: str, m: int = 20, family: str = "gaussian", seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Multiple imputation of one predictor from the others and the response; one model per imputation, Rubin's rules.
 
@@ -191,7 +196,8 @@ def fit_mi(df: DataFrame, unit: str, response: str, predictors: list[str], imput
     the seed, the imputation and the unit only.
     """
     others = [response, *[c for c in predictors if c != impute]]
-    model = fit_glm(df.where(F.col(impute).isNotNull()), impute, others)
+    df = held(df.select(*dict.fromkeys([unit, response, *predictors])))
+    model = fit_glm(df.where(F.col(impute).isNotNull()), impute, others, hold=False)
     sigma2 = model.deviance / max(model.n - len(model.names), 1)
     rng = np.random.default_rng(seed)
     x = design(others)
@@ -201,7 +207,7 @@ def fit_mi(df: DataFrame, unit: str, response: str, predictors: list[str], imput
         u = [(F.pmod(F.xxhash64(F.col(unit), F.lit(seed), F.lit(i), F.lit(k)), F.lit(2**52)) + 0.5) / F.lit(float(2**52)) for k in (0, 1)]
         normal = F.sqrt(-2 * F.log(u[0])) * F.cos(2 * math.pi * u[1])
         filled = df.withColumn(impute, F.coalesce(F.col(impute).cast("double"), linear(x, drawn) + math.sqrt(sigma2) * normal))
-        fit = fit_glm(filled, response, predictors, family)
+        fit = fit_glm(filled, response, predictors, family, hold=False)
         estimates.append(fit.coefficients)
         covariances.append(fit.covariance)
     return rubin(estimates, covariances)

@@ -6,10 +6,13 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.linear import NotIdentifiable, psd_clip, solve_identifiable
+from ..sources.scratch import held, releasing
 from .design import as_matrix, as_vector, design, linear, sums, triangle, vector
 
 
@@ -49,6 +52,11 @@ class Fit:
         return spark.createDataFrame(rows, "term string, estimate double, se double")
 
 
+@F.pandas_udf(DoubleType())
+def log_gamma(x: pd.Series) -> pd.Series:
+    return x.map(math.lgamma)
+
+
 def softplus(eta: Column) -> Column:
     return F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta)))
 
@@ -75,6 +83,7 @@ def _deviance(family: str, y: Column, eta: Column) -> Column:
     return 2 * (mu - y * eta + F.when(y > 0, y * F.log(y) - y).otherwise(0.0))
 
 
+@releasing
 def fit_glm(
     df: DataFrame,
     response: str,
@@ -88,14 +97,17 @@ def fit_glm(
     max_iter: int = 100,
     tol: float = 1e-10,
     start: np.ndarray | None = None,
+    hold: bool = True,
 ) -> Fit:
     """Fit by Newton steps on the mean loss plus lambda/2 |beta|^2 (the intercept is penalised too).
 
     ``missing``: rows with a missing value raise (``fail``) or take the column's mean (``mean_impute``).
-    Collinear designs and separation raise ``NotIdentifiable``.
+    Collinear designs and separation raise ``NotIdentifiable``. The pruned design is written once and
+    each step scans it; ``hold=False`` leaves that out for tables that are cheap to read again.
     """
     used = [response, *predictors, *([weights] if weights else []), *([offset] if offset else [])]
-    data = df.select(*[F.col(c).cast("double").alias(c) for c in used])
+    data = df.select(*[F.col(c).cast("double").alias(c) for c in dict.fromkeys(used)])
+    data = held(data) if hold else data
     if missing == "mean_impute":
         means = data.agg(*[F.avg(c).alias(c) for c in predictors]).first()
         data = data.fillna({c: means[c] for c in predictors if means[c] is not None})
@@ -147,8 +159,8 @@ def fit_glm(
         null = sums(data, {"d": w * _deviance(family, y, eta0)})["d"]
         if family == "poisson":
             logs = {"l": w * (y * linear(x, beta) + y * shift - F.exp(linear(x, beta) + shift))}
-            # log y! is summed per distinct count, so the driver sees the counts' values only
-            faculty = sum(r.c * math.lgamma(r.y + 1) for r in data.groupBy(y.alias("y")).agg(F.sum(w).alias("c")).collect())
+            counts = data.groupBy(y.alias("y")).agg(F.sum(w).alias("c"))  # log y! is taken once per distinct count, on the cluster
+            faculty = sums(counts, {"f": F.col("c") * log_gamma(F.col("y") + 1)})["f"]
             aic = -2 * (sums(data, logs)["l"] - faculty) + 2 * p
         else:
             aic = got["dev"] + 2 * p

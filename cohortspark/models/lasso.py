@@ -7,6 +7,7 @@ import math
 import numpy as np
 
 from ..functions.special import log_choose
+from ..sources.scratch import held, releasing
 
 
 def moments_of(row, predictors: list[str]) -> tuple[np.ndarray, np.ndarray, float, float]:
@@ -108,6 +109,7 @@ def select(
     return {"lambda_min": best[0], "lambda_parsimonious": max(r[0] for r in near), "path": rows, "coefficients": best[3]}
 
 
+@releasing
 def fit_glm(df, response: str, predictors: list[str], family: str, lam: float, max_iter: int = 500, tol: float = 1e-7) -> np.ndarray:
     """L1-penalised binomial or Poisson regression by accelerated proximal gradient with restarts.
 
@@ -121,6 +123,7 @@ def fit_glm(df, response: str, predictors: list[str], family: str, lam: float, m
 
     x = design(predictors)
     p, y = len(x), F.col(response).cast("double")
+    df = held(df.select(response, *predictors))
     start = sums(df, triangle(x, F.lit(1.0)) | {"n": F.lit(1.0)})
     n = start["n"]
     step = 4 / np.linalg.eigvalsh(as_matrix(start, p) / n)[-1] if family == "binomial" else 1 / np.linalg.eigvalsh(as_matrix(start, p) / n)[-1]

@@ -9,15 +9,27 @@ from pyspark.sql import functions as F
 
 from ..functions.linear import solve_identifiable
 from ..operators.collapse import right_closed
+from ..sources.scratch import held, releasing
 from .design import as_matrix, as_vector, design, linear, sums
 from .glm import Fit, fit_glm
 
 
-def risk_sets(df: DataFrame, time: str, event: str, predictors: list[str], beta: np.ndarray) -> DataFrame:
+#: Ranges of time over which sums are cumulated before they are cumulated inside each range.
+RANGES = 64
+
+
+def time_ranges(df: DataFrame, time: str) -> list[float]:
+    """Ends of at most ``RANGES`` ranges of about equally many rows."""
+    return sorted(set(df.approxQuantile(time, [i / RANGES for i in range(1, RANGES)], 0.002)))
+
+
+def risk_sets(df: DataFrame, time: str, event: str, predictors: list[str], beta: np.ndarray, ends: list[float] = ()) -> DataFrame:
     """Per event time: deaths, their covariate sums, and the weighted sums over all at risk.
 
     Rows are first summed per time (combined in each task), so what is cumulated in time order has as
-    many rows as there are distinct times, not as there are units.
+    many rows as there are distinct times, not as there are units. Sums over the ranges of time that
+    ``ends`` divides (one row each) come first, then each range cumulates its own times, so continuous
+    times do not meet in one task.
     """
     x = design(predictors, intercept=False)
     w = F.exp(linear(x, beta))
@@ -27,18 +39,26 @@ def risk_sets(df: DataFrame, time: str, event: str, predictors: list[str], beta:
     per_time = df.groupBy(F.col(time).cast("double").alias("time")).agg(
         F.sum(d).alias("d"), *[F.sum(d * c).alias(f"e_{i}") for i, c in enumerate(x)], *[F.sum(v).alias(k) for k, v in parts.items()]
     )
-    later = W.orderBy(F.col("time").desc()).rowsBetween(W.unboundedPreceding, 0)
-    return per_time.select("time", "d", *[f"e_{i}" for i in range(len(x))], *[F.sum(k).over(later).alias(k) for k in parts]).where("d > 0")
+    per_time = per_time.withColumn("range", sum((F.when(F.col("time") > e, 1).otherwise(0) for e in ends), F.lit(0)))
+    totals = per_time.groupBy("range").agg(*[F.sum(k).alias(f"t_{k}") for k in parts])
+    after = W.orderBy(F.col("range").desc()).rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select("range", *[F.coalesce(F.sum(f"t_{k}").over(after), F.lit(0.0)).alias(f"t_{k}") for k in parts])
+    later = W.partitionBy("range").orderBy(F.col("time").desc()).rowsBetween(W.unboundedPreceding, 0)
+    within = per_time.select("range", "time", "d", *[f"e_{i}" for i in range(len(x))], *[F.sum(k).over(later).alias(k) for k in parts]).where("d > 0")
+    joined = within.join(F.broadcast(totals), "range")  # at most RANGES rows
+    return joined.select("time", "d", *[f"e_{i}" for i in range(len(x))], *[(F.col(k) + F.col(f"t_{k}")).alias(k) for k in parts])
 
 
+@releasing
 def fit_cox(df: DataFrame, time: str, event: str, predictors: list[str], max_iter: int = 30, tol: float = 1e-9, step_cap: float = 1.0) -> Fit:
     """Newton on the Breslow partial likelihood; each step is one aggregation by time and one of the results."""
-    data = df.select(time, event, *predictors).na.drop()
+    data = held(df.select(time, event, *predictors).na.drop())
+    ends = time_ranges(data, time)
     p = len(predictors)
     beta, converged, step = np.zeros(p), False, 0
     null = None
     for step in range(1, max_iter + 1):
-        r = risk_sets(data, time, event, predictors, beta)
+        r = risk_sets(data, time, event, predictors, beta, ends)
         mean = [F.col(f"s1_{i}") / F.col("s0") for i in range(p)]
         parts = {f"g_{i}": F.col(f"e_{i}") - F.col("d") * mean[i] for i in range(p)}
         parts |= {f"h_{i}_{j}": F.col("d") * (F.col(f"s2_{i}_{j}") / F.col("s0") - mean[i] * mean[j]) for j in range(p) for i in range(j + 1)}

@@ -198,7 +198,11 @@ def diagnostic2x2(four: DataFrame) -> DataFrame:
 
 
 def diagnostic2x2_inference(four: DataFrame, radius: float, level: float = 0.95, mechanism_share: float = 0.5) -> DataFrame:
-    """Clopper-Pearson unions over the count box for the proportions of a diagnostic table."""
+    """Clopper-Pearson unions over the count box for the proportions of a diagnostic table, and what follows from sensitivity and specificity.
+
+    Balanced accuracy, likelihood ratios, diagnostic odds ratio and Youden's index grow with both of these
+    (the negative ratio falls), so their regions are those of the joint box.
+    """
     x = {k: float(v) for k, v in four.first().asDict().items() if k in "abcd"}
     alpha = (1 - level) * (1 - mechanism_share) / 6
     low = {k: max(0, math.ceil(v - radius)) for k, v in x.items()}
@@ -210,6 +214,12 @@ def diagnostic2x2_inference(four: DataFrame, radius: float, level: float = 0.95,
         lower = clopper_pearson(add(low, e), add(low, e) + add(high, ne), alpha)[0]
         upper = clopper_pearson(add(high, e), add(high, e) + add(low, ne), alpha)[1]
         rows.append((name, float(lower), float(upper)))
+    (s0, s1), (t0, t1) = rows[0][1:], rows[1][1:]
+    over = lambda x, y: x / y if y > 0 else _INF
+    rows += [
+        ("balanced_accuracy", (s0 + t0) / 2, (s1 + t1) / 2), ("lr_positive", over(s0, 1 - t0), over(s1, 1 - t1)), ("lr_negative", over(1 - s1, t1), over(1 - s0, t0)),
+        ("dor", over(s0 * t0, (1 - s0) * (1 - t0)), over(s1 * t1, (1 - s1) * (1 - t1))), ("youden", s0 + t0 - 1, s1 + t1 - 1),
+    ]
     return four.sparkSession.createDataFrame(rows, "measure string, lower double, upper double")
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import checks
 from .models import categorical, clustered, design, glm, inference, lasso, survival_models
 from .operators import privacy, release, survival, tables
 from .plans import registry
@@ -211,17 +213,29 @@ def vert_cor(spark, sf_dir):
     return _rows(spark, [(names[i], names[j], float(r[i, j])) for i in range(3) for j in range(i + 1, 3)], "x string, y string, r double")
 
 
-@query("vert_pca")
+@query("vert_pca")  # its SQL stands with that of the models, below
 def vert_pca(spark, sf_dir):
     names = ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]
     found = glm.pca(glm.correlation_from_gram(_gram(spark, sf_dir).first(), names), names)
     return _rows(spark, [(c, v, pct, cum, k, load[k]) for c, v, _, _, pct, cum, _, load in found for k in names], "component int, eigenvalue double, percent double, cumulative double, variable string, loading double")
 
 
-@query("pca_trace", "SELECT 4 AS variables, 4.0::DOUBLE AS trace, 100.0::DOUBLE AS percent")
-def pca_trace(spark, sf_dir):
-    one = vert_pca(spark, sf_dir).select("component", "eigenvalue", "percent").distinct()
-    return one.agg(F.count("*").cast("int").alias("variables"), F.round(F.sum("eigenvalue"), 4).alias("trace"), F.round(F.sum("percent"), 3).alias("percent"))
+_CORRELATIONS = _LINE_UNITS + ", r AS (SELECT " + ", ".join(
+    f"corr({a}, {b}) AS r_{i}_{j}" if i < j else f"1.0::DOUBLE AS r_{i}_{i}" for j, b in enumerate("qdte") for i, a in enumerate("qdte") if i <= j
+) + " FROM u)"
+_R4 = [[f"r_{min(i, j)}_{max(i, j)}" for j in range(4)] for i in range(4)]
+_R3 = " + ".join(f"({checks.det([[_R4[i][j] for j in range(4) if j != k] for i in range(4) if i != k])})" for k in range(4))
+
+
+@query("pca_invariants", _CORRELATIONS + f"""
+SELECT 4 AS variables, round({" + ".join(f"{v} * {v}" for row in _R4 for v in row)}, 4) AS squares, round({checks.det(_R4)}, 4) AS product, round(({_R3}) / ({checks.det(_R4)}), 4) AS inverses FROM r""")
+def pca_invariants(spark, sf_dir):
+    """Sums of the eigenvalues' squares and inverses, and their product: the matrix has them without eigenvalues."""
+    one = vert_pca(spark, sf_dir).select("component", "eigenvalue").distinct()
+    return one.agg(
+        F.count("*").cast("int").alias("variables"), F.round(F.sum(F.col("eigenvalue") * F.col("eigenvalue")), 4).alias("squares"),
+        F.round(F.product("eigenvalue"), 4).alias("product"), F.round(F.sum(1 / F.col("eigenvalue")), 4).alias("inverses"),
+    )
 
 
 @query("dp_gaussian_gram", """
@@ -291,13 +305,16 @@ def vert_lasso_path(spark, sf_dir):
     return _rows(spark, rows, "lambda double, term string, estimate double")
 
 
-@query("vert_lasso_optimality", "SELECT 20 AS fits, true AS optimal, true AS same_by_proximal")
-def vert_lasso_optimality(spark, sf_dir):
+@query("vert_lasso_fit")
+def vert_lasso_fit(spark, sf_dir):
+    """Per penalty below the largest: active predictors, what the fit gains over the mean alone, and whether it is optimal by either algorithm."""
     g, c, _, _ = lasso.moments_of(_gram(spark, sf_dir).first(), ["l_quantity", "l_discount", "l_tax"])
-    found = lasso.path(g, c, points=20)
-    gap = max(lasso.kkt_gap(g, c, b, lam) for lam, b in found)
-    other = max(float(np.abs(lasso.proximal(g, c, lam) - b).max()) for lam, b in found)
-    return spark.createDataFrame([(len(found), gap < 1e-8, other < 1e-5)], "fits int, optimal boolean, same_by_proximal boolean")
+    rows = []
+    for lam, b in lasso.path(g, c, points=20)[1:]:
+        same = float(np.abs(lasso.proximal(g, c, lam) - b).max()) < 1e-5
+        gain = lasso.objective(g, c, b, lam) + c[0] * c[0] / (2 * g[0, 0])
+        rows.append((lam, int((b[1:] != 0).sum()), float(1000 * gain), bool(same and lasso.kkt_gap(g, c, b, lam) < 1e-8)))
+    return _rows(spark, rows, "lambda double, active int, gain double, optimal boolean")
 
 
 @query("vert_lasso_select")
@@ -754,9 +771,10 @@ def numeric_preflight(spark, sf_dir):
 
 @query("formula_design")
 def formula_design(spark, sf_dir):
-    f = design.parse_formula("price ~ balance + urgency")
+    f = design.parse_formula("price ~ balance + o_orderpriority")
     df, names = design.one_hot(_customer_orders(spark, sf_dir), "o_orderpriority", PRIORITIES)
-    fit = glm.fit_glm(df, f.response, ["balance", *names])
+    terms = [n for p in f.predictors for n in (names if p == "o_orderpriority" else [p])]
+    fit = glm.fit_glm(df, f.response, terms)
     return _rounded(fit.to_df(spark))
 
 
@@ -817,3 +835,270 @@ def interpolated_quantile(spark, sf_dir):
 def vert_lasso_binomial(spark, sf_dir):
     beta = lasso.fit_glm(_binary(spark, sf_dir), "toxic", ["size", "english"], "binomial", 0.01, max_iter=40)
     return _rows(spark, list(zip(("(Intercept)", "size", "english"), map(float, beta), strict=True)), "term string, estimate double")
+
+
+# ------------------------------------------------------------------ SQL of fitted models and exact intervals
+
+_R = "WITH RECURSIVE "
+_Z = "1.959963984540054"
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", _R, 1)
+
+
+_BINARY = """SELECT toxic::DOUBLE AS y, quality::DOUBLE AS quality, ln(1 + n_chars) AS size, (CASE WHEN lang = 'en' THEN 1 ELSE 0 END)::DOUBLE AS english
+FROM documents JOIN labels USING (doc_id)"""
+_BINARY_FIT = checks.logistic(_BINARY, ["1::DOUBLE", "size", "english"])
+_BINARY_NAMES = ["(Intercept)", "size", "english"]
+ORACLES["vert_glm_binomial"] = f"{_R}{_BINARY_FIT} {checks.terms(_BINARY_NAMES)}"
+ORACLES["inference_confint"] = f"{_R}{_BINARY_FIT} " + " UNION ALL ".join(
+    f"SELECT '{n}' AS term, round(b_{i} - {_Z} * sqrt({v}), 6) AS lower, round(b_{i} + {_Z} * sqrt({v}), 6) AS upper FROM est"
+    for i, (n, v) in enumerate(zip(_BINARY_NAMES, checks.inverse_diagonal(3), strict=True))
+)
+ORACLES["inference_tests"] = f"""{_R}{_BINARY_FIT}, {checks.logistic(_BINARY, ["1::DOUBLE", "size"], tag="r")},
+t AS (SELECT 'lr' AS test, estr.dev - est.dev AS statistic FROM est, estr UNION ALL SELECT 'wald', b_2 / sqrt({checks.inverse_diagonal(3)[2]}) FROM est
+UNION ALL SELECT 'contrast', (h_1_1 - h_0_1 * h_0_1 / h_0_0) * b_1 * b_1 + 2 * (h_1_2 - h_0_1 * h_0_2 / h_0_0) * b_1 * b_2 + (h_2_2 - h_0_2 * h_0_2 / h_0_0) * b_2 * b_2 FROM est),
+z AS (SELECT *, CASE test WHEN 'lr' THEN sqrt(statistic) ELSE abs(statistic) END AS z FROM t)
+SELECT test, round(statistic, 6) AS statistic, round(CASE test WHEN 'contrast' THEN exp(-statistic / 2) ELSE 2 * {checks.normal_sf("z")} END, 6) AS p_value FROM z"""
+
+_PEOPLE = _RECORDS + """, u AS (SELECT user_id, greatest(1, CAST(ceil(t / 2) AS INTEGER)) * 2.0::DOUBLE AS time, (cause <> 'censored')::INTEGER AS event,
+(user_id % 2 = 0)::INTEGER::DOUBLE AS even, (user_id * 7 % 11) / 11.0::DOUBLE AS x FROM r)"""
+_COX_SUMS = """SELECT i, b_0, b_1, sum(d * (s_0_0 / s0 - s_0 * s_0 / (s0 * s0))) AS h_0_0, sum(d * (s_0_1 / s0 - s_0 * s_1 / (s0 * s0))) AS h_0_1,
+sum(d * (s_1_1 / s0 - s_1 * s_1 / (s0 * s0))) AS h_1_1, sum(e_0 - d * s_0 / s0) AS g_0, sum(e_1 - d * s_1 / s0) AS g_1
+FROM (SELECT i, b_0, b_1, k.time, d, e_0, e_1, sum(exp(b_0 * even + b_1 * x)) AS s0, sum(exp(b_0 * even + b_1 * x) * even) AS s_0, sum(exp(b_0 * even + b_1 * x) * x) AS s_1,
+sum(exp(b_0 * even + b_1 * x) * even * even) AS s_0_0, sum(exp(b_0 * even + b_1 * x) * even * x) AS s_0_1, sum(exp(b_0 * even + b_1 * x) * x * x) AS s_1_1
+FROM {it} JOIN k ON true JOIN u ON u.time >= k.time GROUP BY i, b_0, b_1, k.time, d, e_0, e_1) GROUP BY i, b_0, b_1"""
+ORACLES["cox"] = f"""{_recursive(_PEOPLE)}, k AS (SELECT time, sum(event)::DOUBLE AS d, sum(event * even) AS e_0, sum(event * x) AS e_1 FROM u GROUP BY time HAVING sum(event) > 0),
+{checks.steps(_COX_SUMS.format(it="it"), 2, 25)}, est AS ({_COX_SUMS.format(it="(SELECT 0 AS i, b_0, b_1 FROM fin)")}) {checks.terms(["even", "x"])}"""
+
+_HAZARD = """SELECT (p.last = k AND event = 1)::INTEGER::DOUBLE AS y, (k = 1)::INTEGER::DOUBLE AS bin_1, (k = 2)::INTEGER::DOUBLE AS bin_2, (k = 3)::INTEGER::DOUBLE AS bin_3, even
+FROM range(1, 4) g(k) JOIN (SELECT *, CASE WHEN time <= 4 THEN 1 WHEN time <= 10 THEN 2 ELSE 3 END AS last FROM u) p ON k <= p.last"""
+_HAZARD_NAMES = ["bin_1", "bin_2", "bin_3", "even"]
+ORACLES["discrete_hazard"] = f"{_recursive(_PEOPLE)}, {checks.logistic(_HAZARD, _HAZARD_NAMES)} {checks.terms(_HAZARD_NAMES)}"
+
+_ORDERS = """SELECT o_orderkey, o_custkey, c_nationkey, o_orderdate, o_orderpriority, o_orderstatus, o_totalprice / 1e5 AS price, c_acctbal / 1e4 AS balance
+FROM orders JOIN customer ON o_custkey = c_custkey"""
+
+
+def _softmax_sql() -> str:
+    x = ["1::DOUBLE", "price"]
+    e = [f"exp(b_{2 * a} + b_{2 * a + 1} * price)" for a in (0, 1)]
+    total = f"(1 + {e[0]} + {e[1]})"
+    prob = [f"({v} / {total})" for v in e]
+    hit = [f"(o_orderstatus = '{s}')::INTEGER" for s in STATUSES[1:]]
+    parts = [f"sum(({hit[a]} - {prob[a]}) * {x[i]}) AS g_{2 * a + i}" for a in (0, 1) for i in (0, 1)]
+    for a in (0, 1):
+        for b in range(a, 2):
+            weight = f"{prob[a]} * ({int(a == b)} - {prob[b]})"
+            parts += [f"sum({weight} * {x[i]} * {x[j]}) AS h_{2 * a + i}_{2 * b + j}" for i in (0, 1) for j in (0, 1) if 2 * a + i <= 2 * b + j]
+    sums = "SELECT i, " + checks.betas(4) + ", " + ", ".join(parts) + " FROM {it}, d GROUP BY i, " + checks.betas(4)
+    names = [f"{s}:{n}" for s in STATUSES[1:] for n in ("(Intercept)", "price")]
+    last = sums.format(it=f"(SELECT 0 AS i, {checks.betas(4)} FROM fin)")
+    return f"{_R}d AS ({_ORDERS}), {checks.steps(sums.format(it='it'), 4, 15)}, est AS ({last}) {checks.terms(names, digits=5)}"
+
+
+ORACLES["multinomial"] = _softmax_sql()
+
+
+def _ordinal_sql() -> str:
+    k = len(PRIORITIES) - 1
+    upto = ["0", *[f"(1 / (1 + exp(-(b_{j} - b_{k} * price))))" for j in range(k)], "1"]
+    inner = ", ".join(f"{u} AS u_{i}" for i, u in enumerate(upto))
+    dens = ["0", *[f"(u_{i} * (1 - u_{i}))" for i in range(1, k + 1)], "0"]
+    prob = [f"(u_{i + 1} - u_{i})" for i in range(k + 1)]
+
+    def slopes(i: int) -> list[str]:
+        return [dens[i + 1] if j == i else f"(-{dens[i]})" if j == i - 1 else "0" for j in range(k)] + [f"(-({dens[i + 1]} - {dens[i]}) * price)"]
+
+    every = [slopes(i) for i in range(k + 1)]
+    parts = []
+    for j in range(k + 1):
+        cases = " ".join(f"WHEN '{v}' THEN {every[i][j]} / {prob[i]}" for i, v in enumerate(PRIORITIES))
+        parts.append(f"sum(CASE o_orderpriority {cases} END) AS g_{j}")
+        for m in range(j + 1):
+            both = [f"{s[m]} * {s[j]} / {q}" for s, q in zip(every, prob, strict=True) if "0" not in (s[m], s[j])]
+            parts.append(f"sum({' + '.join(both) or '0'}) AS h_{m}_{j}")
+    b = checks.betas(k + 1)
+    sums = "SELECT i, " + b + ", " + ", ".join(parts) + f" FROM (SELECT i, {b}, o_orderpriority, price, {inner} FROM {{it}}, d) GROUP BY i, " + b
+    share = [f"(SELECT ln(avg((o_orderpriority <= '{v}')::INTEGER) / (1 - avg((o_orderpriority <= '{v}')::INTEGER))) FROM d)" for v in PRIORITIES[:-1]]
+    names = [f"{a}|{c}" for a, c in zip(PRIORITIES, PRIORITIES[1:], strict=False)] + ["price"]
+    last = sums.format(it=f"(SELECT 0 AS i, {b} FROM fin)")
+    return f"{_R}d AS ({_ORDERS}), {checks.steps(sums.format(it='it'), k + 1, 10, [*share, '0'])}, est AS ({last}) {checks.terms(names, digits=5)}"
+
+
+ORACLES["ordinal"] = _ordinal_sql()
+
+_ABOVE = f"SELECT k, (o_orderpriority > k)::INTEGER::DOUBLE AS y, price FROM ({_ORDERS}), (VALUES {', '.join(f'({v!r})' for v in PRIORITIES[:-1])}) v(k)"
+ORACLES["ordinal_pooled"] = f"""{_R}{checks.logistic(_ABOVE, ["1::DOUBLE", "price"], keys="k")},
+w AS (SELECT b_1, 1 / ({checks.inverse_diagonal(2)[1]}) AS w FROM est), m AS (SELECT sum(w * b_1) / sum(w) AS slope FROM w), q AS (SELECT slope, sum(w * (b_1 - slope) * (b_1 - slope)) AS s FROM w, m GROUP BY slope)
+SELECT round(slope, 6) AS slope, round(s, 6) AS statistic, 3 AS df, round(2 * {checks.normal_sf("sqrt(s)")} + sqrt(2 * s / pi()) * exp(-s / 2), 6) AS p_value FROM q"""
+
+def _robust_terms(names: list[str]) -> str:
+    """Estimates with sandwich errors of two coefficients from h's (information) and m's (outer products)."""
+    d = "(h_0_0 * h_1_1 - h_0_1 * h_0_1)"
+    rows = [("b_0", "h_1_1", "-h_0_1"), ("b_1", "-h_0_1", "h_0_0")]
+    return " UNION ALL ".join(
+        f"SELECT '{n}' AS term, round({b}, 6) AS estimate, round(sqrt(({u}) * ({u}) * m_0_0 + 2 * ({u}) * ({v}) * m_0_1 + ({v}) * ({v}) * m_1_1) / {d}, 6) AS se FROM est"
+        for n, (b, u, v) in zip(names, rows, strict=True)
+    )
+
+
+_OLS_START = ["(SELECT regr_intercept(price, balance) FROM d)", "(SELECT regr_slope(price, balance) FROM d)"]
+_OUTER = "sum(u_0) AS g_0, sum(u_1) AS g_1, sum(u_0 * u_0) AS m_0_0, sum(u_0 * u_1) AS m_0_1, sum(u_1 * u_1) AS m_1_1"
+_EXCHANGEABLE = f"""SELECT i, b_0, b_1, sum(f * m - w * m * m) AS h_0_0, sum(f * sx - w * m * sx) AS h_0_1, sum(f * sxx - w * sx * sx) AS h_1_1, {_OUTER}
+FROM (SELECT *, f * se - w * m * se AS u_0, f * ze - w * sx * se AS u_1 FROM (SELECT *, 1 / (1 - alpha) AS f, alpha / ((1 - alpha) * (1 + alpha * (m - 1))) AS w FROM (
+SELECT *, greatest(-1 / greatest(max(m) OVER o - 1, 1) + 1e-6, least(0.95, sum((se * se - see) / 2) OVER o / greatest(sum(m * (m - 1) / 2) OVER o, 1) / (sum(see) OVER o / (sum(m) OVER o - 2)))) AS alpha FROM (
+SELECT *, sy - b_0 * m - b_1 * sx AS se, sxy - b_0 * sx - b_1 * sxx AS ze, syy + b_0 * b_0 * m + b_1 * b_1 * sxx - 2 * b_0 * sy - 2 * b_1 * sxy + 2 * b_0 * b_1 * sx AS see
+FROM {{it}}, c) WINDOW o AS (PARTITION BY i)))) GROUP BY i, b_0, b_1"""
+ORACLES["gee_exchangeable"] = f"""{_R}d AS ({_ORDERS}), c AS (SELECT o_custkey, count(*)::DOUBLE AS m, sum(price) AS sy, sum(balance) AS sx, sum(price * balance) AS sxy,
+sum(balance * balance) AS sxx, sum(price * price) AS syy FROM d GROUP BY o_custkey),
+{checks.steps(_EXCHANGEABLE.format(it="it"), 2, 20, _OLS_START)}, est AS ({_EXCHANGEABLE.format(it="(SELECT 0 AS i, b_0, b_1 FROM fin)")}) {_robust_terms(["(Intercept)", "balance"])}"""
+
+_AR1 = f"""SELECT i, b_0, b_1, sum(h0) AS h_0_0, sum(h1) AS h_0_1, sum(h2) AS h_1_1, {_OUTER} FROM (
+SELECT i, b_0, b_1, o_custkey, sum(s * e + coalesce(t * (ep + e), 0)) AS u_0, sum(s * balance * e + coalesce(t * (balance * ep + xp * e), 0)) AS u_1,
+sum(s + coalesce(t * 2 * (xp * 0 + 1), 0)) AS h0, sum(s * balance + coalesce(t * (xp + balance), 0)) AS h1, sum(s * balance * balance + coalesce(t * 2 * xp * balance, 0)) AS h2 FROM (
+SELECT *, (CASE WHEN ep IS NULL AND last THEN 1 - alpha * alpha WHEN ep IS NULL OR last THEN 1.0 ELSE 1 + alpha * alpha END) / (1 - alpha * alpha) AS s, -alpha / (1 - alpha * alpha) AS t FROM (
+SELECT *, greatest(-0.95, least(0.95, (sum(e * ep) OVER o / count(ep) OVER o) / (sum(e * e) OVER o / count(*) OVER o))) AS alpha FROM (
+SELECT *, price - b_0 - b_1 * balance AS e, yp - b_0 - b_1 * xp AS ep FROM {{it}}, l) WINDOW o AS (PARTITION BY i)))
+GROUP BY i, b_0, b_1, o_custkey) GROUP BY i, b_0, b_1"""
+ORACLES["gee_ar1"] = f"""{_R}d AS ({_ORDERS}), l AS (SELECT o_custkey, price, balance, lag(price) OVER w AS yp, lag(balance) OVER w AS xp, lead(price) OVER w IS NULL AS last
+FROM d WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+{checks.steps(_AR1.format(it="it"), 2, 12, _OLS_START)}, est AS ({_AR1.format(it="(SELECT 0 AS i, b_0, b_1 FROM fin)")}) {_robust_terms(["(Intercept)", "balance"])}"""
+
+_PROPENSITY = checks.logistic(_BINARY.replace("toxic::DOUBLE AS y", "quality::DOUBLE AS y, toxic::DOUBLE AS toxic"), ["1::DOUBLE", "size", "english"])
+ORACLES["ipw"] = f"""{_R}{_PROPENSITY}, v AS (SELECT toxic, quality AS q, CASE WHEN quality = 1 THEN 1 / p ELSE 1 / (1 - p) END AS w
+FROM (SELECT d.*, 1 / (1 + exp(-(b_0 + b_1 * size + b_2 * english))) AS p FROM d, est)),
+s AS (SELECT sum(w) AS a, sum(w * q) AS b, sum(w * q * q) AS c, sum(w * toxic) AS y0, sum(w * toxic * q) AS y1, sum(w * toxic * toxic) AS yy, count(*) AS n FROM v),
+f AS (SELECT *, (y0 * c - y1 * b) / (a * c - b * b) AS b0, (a * y1 - b * y0) / (a * c - b * b) AS b1 FROM s), g AS (SELECT *, (yy - b0 * y0 - b1 * y1) / (n - 2) AS v FROM f)
+SELECT '(Intercept)' AS term, round(b0, 6) AS estimate, round(sqrt(v * c / (a * c - b * b)), 6) AS se FROM g UNION ALL SELECT 'quality', round(b1, 6), round(sqrt(v * a / (a * c - b * b)), 6) FROM g"""
+
+_DUMMIES = {v: f"o_orderpriority_{re.sub('[^0-9A-Za-z]', '_', v)}" for v in PRIORITIES[1:]}
+ORACLES["formula_design"] = f"""WITH d AS ({_ORDERS}), g AS (SELECT o_orderpriority AS k, count(*) AS n, avg(price) AS y, avg(balance) AS x FROM d GROUP BY 1),
+s AS (SELECT sum((balance - x) * (balance - x)) AS sxx, sum((balance - x) * (price - y)) AS sxy, sum((price - y) * (price - y)) AS syy, count(*) AS m FROM d JOIN g ON k = o_orderpriority),
+f AS (SELECT *, sxy / sxx AS slope, (syy - sxy * sxy / sxx) / (m - {len(PRIORITIES) + 1}) AS v FROM s), r AS (SELECT n AS n0, y AS y0, x AS x0 FROM g WHERE k = '{PRIORITIES[0]}')
+SELECT '(Intercept)' AS term, round(y0 - slope * x0, 6) AS estimate, round(sqrt(v * (1 / n0::DOUBLE + x0 * x0 / sxx)), 6) AS se FROM r, f
+UNION ALL SELECT 'balance', round(slope, 6), round(sqrt(v / sxx), 6) FROM f
+UNION ALL SELECT CASE k {' '.join(f"WHEN '{v}' THEN '{n}'" for v, n in _DUMMIES.items())} END, round(y - y0 - slope * (x - x0), 6), round(sqrt(v * (1 / n::DOUBLE + 1 / n0::DOUBLE + (x - x0) * (x - x0) / sxx)), 6)
+FROM g, r, f WHERE k <> '{PRIORITIES[0]}'"""
+
+
+def _unions(source: str, cells: dict[str, tuple[str, str]], radius: int) -> str:
+    """Pairs of ``clopper_pearson``: per name the corners of the box around (events, others), sums of k cells moving by k * radius."""
+    rows = []
+    for name, (e, ne) in cells.items():
+        low = lambda keys: " + ".join(f"greatest(0, ceil({k} - {radius}))" for k in keys)
+        high = lambda keys: " + ".join(f"floor({k} + {radius})" for k in keys)
+        rows.append(f"SELECT '{name}' AS name, 'lower' AS side, {low(e)} AS x, {low(e)} + {high(ne)} AS n FROM {source}")
+        rows.append(f"SELECT '{name}', 'upper', {high(e)}, {high(e)} + {low(ne)} FROM {source}")
+    return " UNION ALL ".join(rows)
+
+
+def _effects_sql(one: str, nil: str, names: tuple[str, ...]) -> str:
+    """Regions of two risks and their effects from limits (name, lower, upper)."""
+    rows = [(names[0], "l1", "u1"), (names[1], "l0", "u0"), (names[2], "l1 - u0", "u1 - l0"), (names[3], "l1 / u0", "u1 / l0"),
+            (names[4], "l1 / (1 - l1) / (u0 / (1 - u0))", "u1 / (1 - u1) / (l0 / (1 - l0))")]
+    both = f"b AS (SELECT p.lower AS l1, p.upper AS u1, q.lower AS l0, q.upper AS u0 FROM limits p, limits q WHERE p.name = '{one}' AND q.name = '{nil}')"
+    return f"{both} " + " UNION ALL ".join(f"SELECT '{n}' AS effect, round({lo}, 6) AS lower, round({hi}, 6) AS upper FROM b" for n, lo, hi in rows)
+
+
+_EPI_LIMITS = f"{_recursive(_CELLS)}, {checks.clopper_pearson(_unions('f', {'one': ('a', 'b'), 'nil': ('c', 'd')}, 3), '0.05 * 0.5 / 3')}, "
+ORACLES["dp_epi2x2_inference"] = _EPI_LIMITS + _effects_sql("one", "nil", ("risk_exposed", "risk_unexposed", "rd", "rr", "or"))
+ORACLES["prevalence_ratio_inference"] = _EPI_LIMITS + _effects_sql("one", "nil", ("prevalence_exposed", "prevalence_unexposed", "pd", "pr", "por"))
+_DIAGNOSTICS = {"sensitivity": ("a", "b"), "specificity": ("d", "c"), "ppv": ("a", "c"), "npv": ("d", "b"), "prevalence": ("ab", "cd"), "accuracy": ("ad", "bc")}
+ORACLES["dp_diagnostic2x2_inference"] = f"""{_recursive(_CELLS)}, {checks.clopper_pearson(_unions("f", _DIAGNOSTICS, 3), "0.05 * 0.5 / 6")},
+p AS (SELECT name AS measure, lower, upper FROM limits), s AS (SELECT lower AS sl, upper AS su FROM p WHERE measure = 'sensitivity'), v AS (SELECT lower AS tl, upper AS tu FROM p WHERE measure = 'specificity')
+SELECT measure, round(lower, 6) AS lower, round(upper, 6) AS upper FROM p UNION ALL SELECT 'balanced_accuracy', round((sl + tl) / 2, 6), round((su + tu) / 2, 6) FROM s, v
+UNION ALL SELECT 'lr_positive', round(sl / (1 - tl), 6), round(su / (1 - tu), 6) FROM s, v UNION ALL SELECT 'lr_negative', round((1 - su) / tu, 6), round((1 - sl) / tl, 6) FROM s, v
+UNION ALL SELECT 'dor', round(sl / (1 - sl) * tl / (1 - tl), 6), round(su / (1 - su) * tu / (1 - tu), 6) FROM s, v
+UNION ALL SELECT 'youden', round(sl + tl - 1, 6), round(su + tu - 1, 6) FROM s, v"""
+ORACLES["dp_frequency_inference"] = f"""{_R}f AS ({ORACLES["dp_frequency"]}), t AS (SELECT *, sum(n) OVER () - n AS rest, count(*) OVER () AS levels FROM f),
+{checks.clopper_pearson("SELECT level AS name, 'lower' AS side, greatest(0, n - 3) AS x, greatest(0, n - 3) + rest + 3 AS n FROM t UNION ALL SELECT level, 'upper', n + 3, n + 3 + greatest(0, rest - 3) FROM t", "0.05 * 0.5 / 5")}
+SELECT name AS level, round(lower, 6) AS lower, round(upper, 6) AS upper FROM limits"""
+_STRATUM_RISKS = checks.clopper_pearson(
+    "SELECT stratum AS name, 'lower' AS side, greatest(0, a + c - 2) AS x, greatest(0, a + c - 2) + b + d + 2 AS n FROM s UNION ALL SELECT stratum, 'upper', a + c + 2, a + c + 2 + greatest(0, b + d - 2) FROM s",
+    "0.05 * 0.5 / 4",
+)
+ORACLES["dp_direct_standardization_inference"] = f"{_recursive(_STRATA)}, {_STRATUM_RISKS} SELECT round(avg(lower), 6) AS lower, round(avg(upper), 6) AS upper FROM limits"
+_ARMS = """SELECT lang_ || arm AS name, side, CASE side WHEN 'lower' THEN greatest(0, e - 2) ELSE e + 2 END AS x,
+CASE side WHEN 'lower' THEN greatest(0, e - 2) + n + 2 ELSE e + 2 + greatest(0, n - 2) END AS n FROM arms, (VALUES ('lower'), ('upper')) v(side)"""
+ORACLES["dp_causal_standardization_inference"] = f"""{_R}arms AS (SELECT CASE WHEN lang = 'en' THEN 'en' ELSE 'other' END AS lang_, quality AS arm, count(*) FILTER (WHERE toxic = 1) AS e,
+count(*) FILTER (WHERE toxic = 0) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2), {checks.clopper_pearson(_ARMS, "0.05 * 0.5 / 4").replace("limits AS", "each AS")},
+limits AS (SELECT right(name, 1) AS name, sum(w * lower) AS lower, sum(w * upper) AS upper FROM each JOIN (VALUES ('en', 0.6::DOUBLE), ('other', 0.4)) v(g, w) ON name LIKE g || '%' GROUP BY 1),
+{_effects_sql("1", "0", ("risk_treated", "risk_control", "rd", "rr", "or"))}"""
+ORACLES["direct_standardization_gamma"] = f"""{_recursive(_RATES)}, w AS (SELECT cases, standard / sum(standard) OVER () / person_time AS k FROM s),
+o AS (SELECT sum(k * cases) AS e, sum(k * k * cases) AS v, max(k) AS m FROM w),
+{checks.gamma_quantiles("SELECT 'lower' AS name, e * e / v AS x, 0.025::DOUBLE AS a FROM o UNION ALL SELECT 'upper', (e + m) * (e + m) / (v + m * m), 0.975 FROM o")}
+SELECT round(e * 1e5, 6) AS estimate, round(sqrt(v) * 1e5, 6) AS se, round((SELECT hi FROM found WHERE name = 'lower') * v / e * 1e5, 6) AS lower,
+round((SELECT hi FROM found WHERE name = 'upper') * (v + m * m) / (e + m) * 1e5, 6) AS upper FROM o"""
+ORACLES["dp_indirect_standardization_inference"] = f"""{_recursive(_STRATA)}, o AS (SELECT sum(a + c) AS o, sum(0.1 * (a + b + c + d)) AS e FROM s),
+{checks.gamma_quantiles("SELECT 'lower' AS name, greatest(0, o - 2)::DOUBLE AS x, (0.05 * 0.5 / 2)::DOUBLE AS a FROM o UNION ALL SELECT 'upper', o + 2 + 1, 1 - 0.05 * 0.5 / 2 FROM o")}
+SELECT round(o / e, 6) AS ratio, round((SELECT hi FROM found WHERE name = 'lower') / (e * 1.05), 6) AS lower, round((SELECT hi FROM found WHERE name = 'upper') / (e * 0.95), 6) AS upper FROM o"""
+
+_HALVES = [_CURVE.replace("FROM events)", f"FROM events WHERE user_id % 2 = {k})").strip() for k in (0, 1)]
+ORACLES["dp_survival_contrast"] = f"""WITH one AS ({_HALVES[0]} SELECT * FROM c), nil AS ({_HALVES[1]} SELECT * FROM c)
+SELECT one.time, round(one.s - nil.s, 6) AS difference, CASE WHEN nil.s > 0 THEN round(one.s / nil.s, 6) END AS ratio,
+CASE WHEN nil.s > 0 THEN 'estimated' WHEN one.s > 0 THEN 'infinite' ELSE 'undefined' END AS status FROM one JOIN nil USING (bin)"""
+_AREA = "SELECT tau, sum(greatest(0, least(time, tau) - t0) * s0) AS r FROM c, (VALUES (15.0::DOUBLE), (30.0)) v(tau) GROUP BY tau"
+ORACLES["dp_rmst_contrast"] = f"""WITH one AS ({_HALVES[0]} {_AREA}), nil AS ({_HALVES[1]} {_AREA})
+SELECT tau, round(one.r - nil.r, 6) AS difference, round(one.r / nil.r, 6) AS ratio, 'estimated' AS status FROM one JOIN nil USING (tau)"""
+ORACLES["dp_survival_band"] = _RECORDS + """, b2 AS (SELECT bin, sum(n) FILTER (WHERE outcome <> 'censored')::DOUBLE AS e, sum(n) FILTER (WHERE outcome = 'censored')::DOUBLE AS c FROM h GROUP BY bin),
+r2 AS (SELECT *, coalesce(sum(e + c) OVER (ORDER BY bin DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS later FROM b2),
+h2 AS (SELECT bin, coalesce(greatest(0, e - 2) / nullif(greatest(0, e - 2) + c + 1 + later + 3 * (15 - bin), 0), 0) AS low,
+coalesce((e + 2) / nullif(e + 2 + greatest(0, c - 1) + greatest(0, later - 3 * (15 - bin)), 0), 0) AS high FROM r2)
+SELECT bin, round(CASE WHEN max(high) OVER w >= 1 THEN 0 ELSE exp(sum(CASE WHEN high < 1 THEN ln(1 - high) ELSE 0 END) OVER w) END, 6) AS lower,
+round(CASE WHEN max(low) OVER w >= 1 THEN 0 ELSE exp(sum(CASE WHEN low < 1 THEN ln(1 - low) ELSE 0 END) OVER w) END, 6) AS upper FROM h2 WINDOW w AS (ORDER BY bin)"""
+ORACLES["federation_schema"] = """SELECT table_name AS server, column_name AS "column", CASE WHEN column_name = 'doc_id' THEN 'identifier' WHEN data_type = 'VARCHAR' THEN 'categorical' ELSE 'numeric' END AS kind,
+CASE WHEN column_name = 'doc_id' THEN 'id' ELSE 'data' END AS role FROM duckdb_columns() WHERE table_name = 'labels' OR table_name = 'documents' AND column_name IN ('doc_id', 'lang', 'source')"""
+ORACLES["numeric_preflight"] = """SELECT count(DISTINCT l_orderkey) * 105000.0::DOUBLE * 105000 AS largest_sum, round(15.95 - log10(count(DISTINCT l_orderkey) * 105000.0::DOUBLE * 105000), 6) AS digits_left,
+CASE WHEN 15.95 - log10(count(DISTINCT l_orderkey) * 105000.0::DOUBLE * 105000) >= 6 THEN 'double' ELSE 'decimal' END AS backend FROM lineitem"""
+
+_UNIT_SCALED = _LINE_UNITS + """, v AS (SELECT (q - 1) / 49 AS x1, d / 0.1 AS x2, t / 0.08 AS x3, (e - 900) / 104100 AS y FROM u),
+m AS (SELECT var_pop(x1) AS s11, var_pop(x2) AS s22, var_pop(x3) AS s33, covar_pop(x1, x2) AS s12, covar_pop(x1, x3) AS s13, covar_pop(x2, x3) AS s23,
+covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2, covar_pop(x3, y) AS c3, avg(x1) AS a1, avg(x2) AS a2, avg(x3) AS a3, avg(y) AS ay FROM v)"""
+
+
+def _soft_sql(x: str) -> str:
+    return f"(CASE WHEN {x} > 0 THEN 1 ELSE -1 END * greatest(abs({x}) - lam, 0))"
+
+
+_LASSO = f"""{_recursive(_UNIT_SCALED)}, it AS (SELECT 0 AS i, greatest(abs(c1), abs(c2), abs(c3)) * power(0.001::DOUBLE, k / 19.0::DOUBLE) AS lam, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2, 0.0::DOUBLE AS b3 FROM m, range(0, 20) r(k)
+UNION ALL SELECT i + 1, lam, n1, n2, {_soft_sql("(c3 - s13 * n1 - s23 * n2)")} / s33 FROM (SELECT *, {_soft_sql("(c2 - s12 * n1 - s23 * b3)")} / s22 AS n2 FROM (
+SELECT *, {_soft_sql("(c1 - s12 * b2 - s13 * b3)")} / s11 AS n1 FROM it, m WHERE i < 60))), fin AS (SELECT * FROM it, m WHERE i = 60)"""
+ORACLES["vert_lasso_path"] = f"""{_LASSO} SELECT round(lam, 6) AS "lambda", '(Intercept)' AS term, round(ay - b1 * a1 - b2 * a2 - b3 * a3, 6) AS estimate FROM fin
+UNION ALL SELECT round(lam, 6), 'l_quantity', round(b1, 6) + 0 FROM fin UNION ALL SELECT round(lam, 6), 'l_discount', round(b2, 6) + 0 FROM fin UNION ALL SELECT round(lam, 6), 'l_tax', round(b3, 6) + 0 FROM fin"""
+
+#: Eigenvalues of a 4 x 4 correlation matrix: roots of its characteristic polynomial by simultaneous iteration; loadings are cofactors of R - v I.
+_POLY = f"""c AS (SELECT *, -4.0::DOUBLE AS p3, {" + ".join(f"({_R4[i][i]} * {_R4[j][j]} - {_R4[i][j]} * {_R4[i][j]})" for i in range(4) for j in range(i + 1, 4))} AS p2,
+-({_R3}) AS p1, {checks.det(_R4)} AS p0 FROM r)"""
+_VALUE = "((((z{k} + p3) * z{k} + p2) * z{k} + p1) * z{k} + p0)"
+_ROOTS = ", ".join(
+    f"z{k} - {_VALUE.format(k=k)} / ({' * '.join(f'(z{k} - z{j})' for j in range(4) if j != k)}) AS z{k}" for k in range(4)
+)
+_SHIFTED = [[f"(r_{i}_{i} - v)" if i == j else _R4[i][j] for j in range(4)] for i in range(4)]
+
+
+def _cofactor(i: int, j: int) -> str:
+    minor = checks.det([[_SHIFTED[a][b] for b in range(4) if b != j] for a in range(4) if a != i])
+    return f"({'-' if (i + j) % 2 else ''}({minor}))"
+
+
+_NAMES4 = ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]
+_LOADINGS = " UNION ALL ".join(f"SELECT component, v, '{n}' AS variable, w{i} AS w FROM n" for i, n in enumerate(_NAMES4))
+_WIDEST = " ".join(f"WHEN {_cofactor(i, i)} * {_cofactor(i, i)} >= m THEN {i}" for i in range(4))
+ORACLES["vert_pca"] = f"""{_recursive(_CORRELATIONS)}, {_POLY},
+it AS (SELECT 0 AS i, 0.41::DOUBLE AS z0, 0.93::DOUBLE AS z1, 1.07::DOUBLE AS z2, 1.72::DOUBLE AS z3 UNION ALL SELECT i + 1, {_ROOTS} FROM it, c WHERE i < 200
+AND least(abs(z0 - z1), abs(z0 - z2), abs(z0 - z3), abs(z1 - z2), abs(z1 - z3), abs(z2 - z3)) > 1e-14),
+e AS (SELECT row_number() OVER (ORDER BY v DESC) AS component, v FROM (SELECT unnest([z0, z1, z2, z3]) AS v FROM it WHERE i = (SELECT max(i) FROM it))),
+m AS (SELECT component, v, r.*, greatest({", ".join(f"{_cofactor(i, i)} * {_cofactor(i, i)}" for i in range(4))}) AS m FROM e, r),
+k AS (SELECT *, CASE {_WIDEST} END AS k FROM m),
+a AS (SELECT component, v, {", ".join(f"CASE k {' '.join(f'WHEN {i} THEN {_cofactor(i, j)}' for i in range(4))} END AS a{j}" for j in range(4))} FROM k),
+g AS (SELECT *, greatest(abs(a0), abs(a1), abs(a2), abs(a3)) AS top, sqrt(a0 * a0 + a1 * a1 + a2 * a2 + a3 * a3) AS size FROM a),
+n AS (SELECT component, v, {", ".join(f"a{j} / size * sign(CASE {' '.join(f'WHEN abs(a{t}) = top THEN a{t}' for t in range(4))} END) AS w{j}" for j in range(4))} FROM g),
+l AS ({_LOADINGS})
+SELECT CAST(component AS INTEGER) AS component, round(v, 6) AS eigenvalue, round(25 * v, 6) AS percent, round(25 * sum(v) OVER (PARTITION BY variable ORDER BY component), 6) AS cumulative,
+variable, round(w, 6) AS loading FROM l"""
+_KKT = "greatest(" + ", ".join(f"CASE WHEN b{k} <> 0 THEN abs(s{k} - lam * sign(b{k})) ELSE greatest(0, abs(s{k}) - lam) END" for k in (1, 2, 3)) + ")"
+ORACLES["vert_lasso_fit"] = f"""{_LASSO}, s AS (SELECT *, c1 - s11 * b1 - s12 * b2 - s13 * b3 AS s1, c2 - s12 * b1 - s22 * b2 - s23 * b3 AS s2, c3 - s13 * b1 - s23 * b2 - s33 * b3 AS s3 FROM fin)
+SELECT round(lam, 6) AS "lambda", CAST((b1 <> 0)::INTEGER + (b2 <> 0)::INTEGER + (b3 <> 0)::INTEGER AS INTEGER) AS active, round(1000 * (lam * (abs(b1) + abs(b2) + abs(b3)) + (s11 * b1 * b1 + s22 * b2 * b2 + s33 * b3 * b3
++ 2 * (s12 * b1 * b2 + s13 * b1 * b3 + s23 * b2 * b3)) / 2 - c1 * b1 - c2 * b2 - c3 * b3), 6) AS gain, {_KKT} < 1e-8 AS optimal FROM s WHERE lam < (SELECT max(lam) FROM s)"""

@@ -139,3 +139,42 @@ def test_penalised_logistic_is_optimal(data):
     assert abs(slope[0]) < 1e-4
     for s, b in zip(slope[1:], beta[1:], strict=True):
         assert abs(s - 0.05 * np.sign(b)) < 1e-4 if b else abs(s) <= 0.05 + 1e-4
+
+
+@pytest.mark.parametrize("model", ["glm", "poisson", "cox", "gee", "glmm", "multinomial", "ordinal", "negative_binomial", "mi", "lmm", "lasso"])
+def test_a_fit_reads_its_source_once(spark, model):
+    read = spark.sparkContext.accumulator(0)
+
+    def rows(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            rng = np.random.default_rng(7)
+            u = rng.normal(size=(120, 2))[pdf.id]
+            pdf["x"], pdf["y"], pdf["g"] = u[:, 0], (u[:, 0] + u[:, 1] > 0).astype(float), pdf.id % 12
+            pdf["n"], pdf["t"] = np.floor(np.exp(1 + u[:, 1])), 1.0 + pdf.id % 9
+            pdf["c"] = [("a", "b", "c")[int(v > -0.5) + int(v > 0.5)] for v in u[:, 1]]
+            yield pdf
+
+    df = spark.range(0, 120, 1, 2).mapInPandas(rows, "id long, x double, y double, g long, n double, t double, c string")
+    {
+        "glm": lambda: glm.fit_glm(df, "y", ["x"], "binomial"), "poisson": lambda: glm.fit_glm(df, "n", ["x"], "poisson"),
+        "cox": lambda: survival_models.fit_cox(df, "t", "y", ["x"]), "gee": lambda: clustered.fit_gee(df, "g", "n", ["x"]),
+        "glmm": lambda: clustered.fit_glmm(df, "g", "y", ["x"], max_outer=4), "multinomial": lambda: categorical.fit_multinomial(df, "c", ["x"], list("abc")),
+        "ordinal": lambda: categorical.fit_ordinal(df, "c", ["x"], list("abc")), "negative_binomial": lambda: categorical.fit_negative_binomial(df, "n", ["x"], max_iter=4),
+        "mi": lambda: clustered.fit_mi(df, "id", "y", ["x", "t"], "x", m=2), "lmm": lambda: clustered.fit_lmm(df, "g", "n", ["x"]),
+        "lasso": lambda: lasso.fit_glm(df, "y", ["x"], "binomial", 0.01, max_iter=5),
+    }[model]()
+    assert read.value == 120
+
+
+def test_risk_sets_by_ranges_match_plain_sums(spark):
+    rng = np.random.default_rng(4)
+    t, e, x = rng.exponential(size=300), rng.integers(0, 2, 300), rng.normal(size=300)
+    df = spark.createDataFrame(list(zip(t.tolist(), e.tolist(), x.tolist(), strict=True)), "t double, e int, x double")
+    ends = survival_models.time_ranges(df, "t")
+    assert 30 <= len(ends) <= survival_models.RANGES
+    got = {r.time: (r.s0, r.s1_0) for r in survival_models.risk_sets(df, "t", "e", ["x"], np.array([0.3]), ends).collect()}
+    assert len(got) == e.sum()
+    for time, (s0, s1) in got.items():
+        w = np.exp(0.3 * x[t >= time])
+        assert abs(s0 - w.sum()) < 1e-9 and abs(s1 - (w * x[t >= time]).sum()) < 1e-9
