@@ -211,3 +211,13 @@ def fit_mi(df: DataFrame, unit: str, response: str, predictors: list[str], imput
         estimates.append(fit.coefficients)
         covariances.append(fit.covariance)
     return rubin(estimates, covariances)
+
+
+def lag_products(df: DataFrame, cluster: str, order: str, column: str, lags: int) -> DataFrame:
+    """(lag, pairs, product): sums of products of values ``lag`` rows apart in a cluster's order; lag 0 are the squares."""
+    w = W.partitionBy(cluster).orderBy(order)
+    value = F.col(column).cast("double")
+    rows = df.select(*[(value * (F.lag(value, h).over(w) if h else value)).alias(f"p{h}") for h in range(lags + 1)])
+    one = rows.agg(*[f(f"p{h}").alias(f"{k}{h}") for h in range(lags + 1) for k, f in (("n", F.count), ("s", F.sum))])
+    each = F.array(*[F.struct(F.lit(h).alias("lag"), F.col(f"n{h}").alias("pairs"), F.col(f"s{h}").alias("product")) for h in range(lags + 1)])
+    return one.select(F.explode(each).alias("r")).select("r.*")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.linear import NotIdentifiable, psd_clip, solve_identifiable
+from ..functions.special import norm_quantile
 from ..sources.scratch import held, releasing
 from .design import as_matrix, as_vector, design, linear, sums, triangle, vector
 
@@ -244,3 +245,32 @@ def predict(df: DataFrame, fit: Fit, type_: str = "response") -> DataFrame:
 def effects(fit: Fit, spark: SparkSession) -> DataFrame:
     """exp(beta): odds ratios or incidence-rate ratios."""
     return fit.to_df(spark).withColumn("effect", F.exp("estimate"))
+
+
+def sandwich(df: DataFrame, fit: Fit) -> np.ndarray:
+    """Covariance that holds when the variance is not the family's: bread, summed outer products of scores, bread."""
+    intercept = fit.names[0] == "(Intercept)"
+    x = design(list(fit.names[intercept:]), intercept)
+    p = len(x)
+    eta = linear(x, fit.coefficients) + (F.col(fit.offset) if fit.offset else F.lit(0.0))
+    mu, v = _mean(fit.family, eta)
+    e = F.col(fit.response).cast("double") - mu
+    got = sums(df, triangle(x, v, "h") | triangle(x, e * e, "m"))
+    bread = np.linalg.inv(as_matrix(got, p, "h"))
+    return bread @ as_matrix(got, p, "m") @ bread
+
+
+def predict_interval(df: DataFrame, fit: Fit, level: float = 0.95, bounds: tuple[float, float] | None = None) -> DataFrame:
+    """``df`` with ``prediction``, ``lower``, ``upper`` of the mean response, and ``clipped`` where ``bounds`` cut the prediction."""
+    intercept = fit.names[0] == "(Intercept)"
+    x = design(list(fit.names[intercept:]), intercept)
+    eta = linear(x, fit.coefficients) + (F.col(fit.offset) if fit.offset else F.lit(0.0))
+    variance = sum((F.lit(float(fit.covariance[i, j])) * a * b for i, a in enumerate(x) for j, b in enumerate(x)), F.lit(0.0))
+    half = F.lit(norm_quantile((1 + level) / 2)) * F.sqrt(F.greatest(variance, F.lit(0.0)))
+    low, high = bounds or (-math.inf, math.inf)
+    cut = lambda v: F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), v))
+    mean = _mean(fit.family, eta)[0]
+    return df.withColumns({
+        "prediction": cut(mean), "lower": cut(_mean(fit.family, eta - half)[0]), "upper": cut(_mean(fit.family, eta + half)[0]),
+        "clipped": (mean < low) | (mean > high),
+    })

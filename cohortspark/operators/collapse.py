@@ -92,3 +92,9 @@ def right_closed(c: Column, grid: list[float]) -> Column:
     for i, upper in enumerate(grid[1:], 2):
         found = found.when(c <= upper, i)
     return found
+
+
+def quantise(value: Column, low: float, high: float, bits: int = 16) -> Column:
+    """Fixed point: the value cut to its bounds, as one of 2^bits whole numbers from 0; missing stays missing."""
+    share = (F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), value)) - low) / (high - low)
+    return F.when(value.isNotNull() & ~F.isnan(value), F.floor(share * (2**bits - 1) + 0.5).cast("bigint"))

@@ -9,9 +9,12 @@ from __future__ import annotations
 from itertools import combinations
 from itertools import product
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.linear import psd_correlation
+from ..functions.special import norm_quantile
 from .collapse import consistent_cell, consistent_level, first_record, normalised, right_closed, survival_record, unit_means
 
 
@@ -166,3 +169,25 @@ def entry_histogram(
     counts = one.groupBy(F.col("entry_bin").alias("bin")).agg(F.count("*").alias("n_entry"))
     rows = [(i,) for i in range(1, len(grid) + 1)]
     return F.broadcast(_domain(df, rows, "bin int")).join(counts, "bin", "left").fillna(0, ["n_entry"])
+
+
+def correlation_intervals(found: DataFrame, level: float = 0.95) -> DataFrame:
+    """``pair_correlation`` with Fisher intervals (tanh of atanh(r) ± z / sqrt(n - 3)); none for fewer than four units."""
+    z = norm_quantile((1 + level) / 2)
+    half = F.lit(z) / F.sqrt(F.col("n") - 3)
+    known = F.col("r").isNotNull() & (F.col("n") > 3)
+    bound = lambda sign: F.when(known, F.when(F.abs("r") < 1, F.tanh(F.atanh("r") + sign * half)).otherwise(F.col("r")))
+    return found.select("x", "y", "n", "r", bound(-1).alias("lower"), bound(1).alias("upper"))
+
+
+def projected_correlations(found: DataFrame, names: list[str]) -> DataFrame:
+    """(x, y, r, projected): pairwise correlations need not be those of any table; the nearest matrix that is, with unit diagonal."""
+    rows = {(r.x, r.y): r.r for r in found.collect()}  # pairs of public variables
+    whole = np.eye(len(names))
+    for i, a in enumerate(names):
+        for j, b in enumerate(names):
+            if i < j:
+                whole[i, j] = whole[j, i] = rows.get((a, b), rows.get((b, a))) or 0.0
+    fixed = psd_correlation(whole)
+    out = [(a, b, float(whole[i, j]), float(fixed[i, j])) for i, a in enumerate(names) for j, b in enumerate(names) if i < j]
+    return found.sparkSession.createDataFrame(out, "x string, y string, r double, projected double")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.special import chisq_sf, clopper_pearson, gamma_quantile, garwood, norm_quantile
+from ..functions.special import log_choose, chisq_sf, clopper_pearson, gamma_quantile, garwood, norm_quantile
 
 _INF = float("inf")
 
@@ -533,3 +533,72 @@ def interpolated_quantiles(hist: DataFrame, probs: list[float]) -> DataFrame:
     value = F.col("start") + F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)) * (F.col("upper") - F.col("start"))
     hit = (F.col("n") > 0) & (F.col("cum") >= F.col("prob") * F.col("total"))
     return t.where(hit).groupBy("variable", "prob").agg(F.min_by(value, "bin").alias("value"))
+
+
+def fisher_test(four: DataFrame, alternative: str = "two.sided", level: float = 0.95) -> dict:
+    """Exact test of a 2x2 table with fixed margins: p-value, conditional maximum-likelihood odds ratio, exact interval.
+
+    ``two.sided`` adds up all tables no likelier than the one seen; ``less`` and ``greater`` one tail, with a
+    one-sided interval. The driver only sees the four counts.
+    """
+    if alternative not in ("two.sided", "less", "greater"):
+        raise ValueError("alternative is two.sided, less or greater")
+    a, b, c, d = (int(four.first()[k]) for k in "abcd")
+    low, high = max(0, a + c - (c + d)), min(a + b, a + c)
+    support = np.arange(low, high + 1)
+    base = np.array([log_choose(a + b, int(x)) + log_choose(c + d, a + c - int(x)) for x in support])
+
+    def law(log_odds: float) -> np.ndarray:
+        w = base + log_odds * support
+        w = np.exp(w - w.max())
+        return w / w.sum()
+
+    def root(f) -> float:  # of a growing function of the log odds ratio
+        lo, hi = -60.0, 60.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if f(mid) < 0 else (lo, mid)
+        return math.exp((lo + hi) / 2)
+
+    at_most = lambda t: float(law(t)[support <= a].sum())
+    at_least = lambda t: float(law(t)[support >= a].sum())
+    null = law(0.0)
+    p = {"two.sided": float(null[null <= null[support == a][0] * (1 + 1e-7)].sum()), "less": at_most(0.0), "greater": at_least(0.0)}[alternative]
+    estimate = 0.0 if a == low else _INF if a == high else root(lambda t: float(law(t) @ support) - a)
+    tail = (1 - level) / 2 if alternative == "two.sided" else 1 - level
+    lower = 0.0 if a == low or alternative == "less" else root(lambda t: at_least(t) - tail)
+    upper = _INF if a == high or alternative == "greater" else root(lambda t: tail - at_most(t))
+    return {"alternative": alternative, "p_value": min(1.0, p), "odds_ratio": estimate, "lower": lower, "upper": upper}
+
+
+def roc_region(counts: DataFrame, radius: float, direction: str = "higher") -> DataFrame:
+    """(threshold, sensitivity_lower, sensitivity_upper, specificity_lower, specificity_upper) when every count is within ``radius``.
+
+    Both shares are least with least counts on their side of the threshold and most on the other.
+    """
+    order = F.col("bin").desc() if direction == "higher" else F.col("bin").asc()
+    upto = W.orderBy(order).rowsBetween(W.unboundedPreceding, 0)  # a public number of bins, not rows
+    past = W.orderBy(order).rowsBetween(1, W.unboundedFollowing)
+    out = [F.row_number().over(W.orderBy(order)).alias("threshold")]
+    for name, column, flip in (("sensitivity", "cases", False), ("specificity", "controls", True)):
+        low, high = F.greatest(F.lit(0.0), F.col(column) - radius), F.col(column) + radius
+        part = lambda x, y, none: F.when(x + y > 0, x / (x + y)).otherwise(none)
+        inside = lambda v: F.coalesce(F.sum(v).over(upto), F.lit(0.0))
+        outside = lambda v: F.coalesce(F.sum(v).over(past), F.lit(0.0))
+        least, most = part(inside(low), outside(high), F.lit(0.0)), part(inside(high), outside(low), F.lit(1.0))
+        if flip:
+            least, most = 1 - most, 1 - least
+        out += [least.alias(f"{name}_lower"), most.alias(f"{name}_upper")]
+    return counts.select(*out)
+
+
+def describe_wide(moments: DataFrame, hist: DataFrame, probs: list[float]) -> DataFrame:
+    """One row per variable of ``release.mean_var``: n, mean, sd, interpolated quantiles, and the shares of units at or below
+    the first grid point (``underflow``) and without a bin (``overflow``)."""
+    found = interpolated_quantiles(hist, probs)
+    wide = found.groupBy("variable").agg(*[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(f"q{round(100 * p)}") for p in probs])
+    mass = hist.groupBy("variable").agg(
+        (F.sum(F.when(F.col("bin") == 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("underflow"),
+        (F.sum(F.when(F.col("bin") == 0, F.col("n")).otherwise(0)) / F.sum("n")).alias("overflow"),
+    )
+    return moments.select("variable", "n", "mean", "sd").join(wide, "variable").join(mass, "variable")

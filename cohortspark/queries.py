@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from . import checks
 from .models import categorical, clustered, design, glm, inference, lasso, survival_models
-from .operators import privacy, release, survival, tables
+from .functions import special
+from .operators import collapse, privacy, release, survival, tables
 from .plans import registry
 from .sources import sites
 
@@ -1102,3 +1103,159 @@ _KKT = "greatest(" + ", ".join(f"CASE WHEN b{k} <> 0 THEN abs(s{k} - lam * sign(
 ORACLES["vert_lasso_fit"] = f"""{_LASSO}, s AS (SELECT *, c1 - s11 * b1 - s12 * b2 - s13 * b3 AS s1, c2 - s12 * b1 - s22 * b2 - s23 * b3 AS s2, c3 - s13 * b1 - s23 * b2 - s33 * b3 AS s3 FROM fin)
 SELECT round(lam, 6) AS "lambda", CAST((b1 <> 0)::INTEGER + (b2 <> 0)::INTEGER + (b3 <> 0)::INTEGER AS INTEGER) AS active, round(1000 * (lam * (abs(b1) + abs(b2) + abs(b3)) + (s11 * b1 * b1 + s22 * b2 * b2 + s33 * b3 * b3
 + 2 * (s12 * b1 * b2 + s13 * b1 * b3 + s23 * b2 * b3)) / 2 - c1 * b1 - c2 * b2 - c3 * b3), 6) AS gain, {_KKT} < 1e-8 AS optimal FROM s WHERE lam < (SELECT max(lam) FROM s)"""
+
+
+# ------------------------------------------------------------------ further options of tables, fits and alignment
+
+def _odds_bisection() -> str:
+    """Roots of the noncentral law: conditional estimate (mean = a), lower (upper tail) and upper (lower tail) limits."""
+    law = "(SELECT sum({value} * exp(w + v * x - (SELECT max(w + q.v * x) FROM n))) / sum(exp(w + v * x - (SELECT max(w + q.v * x) FROM n))) FROM n)"
+    goals = "SELECT 'estimate' AS name, (SELECT a FROM f) AS goal UNION ALL SELECT 'lower', 0.025 UNION ALL SELECT 'upper', -0.025 UNION ALL SELECT 'lower1', 0.05 UNION ALL SELECT 'upper1', -0.05"
+    value = f"CASE name WHEN 'estimate' THEN {law.format(value='x')} WHEN 'lower' THEN {law.format(value='(x >= a)::INTEGER')} WHEN 'lower1' THEN {law.format(value='(x >= a)::INTEGER')} ELSE -{law.format(value='(x <= a)::INTEGER')} END"
+    return f"""goals AS ({goals}), it AS (SELECT 0 AS i, name, goal::DOUBLE AS goal, -60.0::DOUBLE AS lo, 60.0::DOUBLE AS hi FROM goals UNION ALL
+SELECT i + 1, name, goal, CASE WHEN y < goal THEN v ELSE lo END, CASE WHEN y < goal THEN hi ELSE v END FROM (SELECT q.*, {value} AS y FROM (SELECT *, (lo + hi) / 2 AS v FROM it WHERE i < 100) q)),
+o AS (SELECT name, exp((lo + hi) / 2) AS v FROM it WHERE i = 100)"""
+
+
+_FISHER = _recursive(_CELLS) + """, k AS (SELECT a, r.x, lgamma(a + b + 1) - lgamma(r.x + 1) - lgamma(a + b - r.x + 1) + lgamma(c + d + 1) - lgamma(a + c - r.x + 1) - lgamma(d - a + r.x + 1) AS l
+FROM f, range(0, 1000) r(x) WHERE r.x BETWEEN greatest(0, a - d) AND least(a + b, a + c)), n AS (SELECT a, x, l - max(l) OVER () AS w FROM k),
+p AS (SELECT a, x, exp(w) / sum(exp(w)) OVER () AS p FROM n), """ + _odds_bisection() + """,
+s AS (SELECT sum(p) FILTER (WHERE p <= (SELECT p FROM p WHERE x = a) * (1 + 1e-7)) AS two, sum(p) FILTER (WHERE x <= a) AS less, sum(p) FILTER (WHERE x >= a) AS greater FROM p)"""
+_ODD = "(SELECT v FROM o WHERE name = '{}')"
+
+
+@query("fisher_exact", _FISHER + f"""
+SELECT 'two.sided' AS alternative, round(two, 6) AS p_value, round({_ODD.format("estimate")}, 6) AS odds_ratio, round({_ODD.format("lower")}, 6) AS lower, round({_ODD.format("upper")}, 6) AS upper FROM s
+UNION ALL SELECT 'less', round(less, 6), round({_ODD.format("estimate")}, 6), 0, round({_ODD.format("upper1")}, 6) FROM s
+UNION ALL SELECT 'greater', round(greater, 6), round({_ODD.format("estimate")}, 6), round({_ODD.format("lower1")}, 6), 'inf'::DOUBLE FROM s""")
+def fisher_exact(spark, sf_dir):
+    four = _four(spark, sf_dir)
+    rows = [tuple(tables.fisher_test(four, k).values()) for k in ("two.sided", "less", "greater")]
+    return _rows(spark, rows, "alternative string, p_value double, odds_ratio double, lower double, upper double")
+
+
+@query("dp_roc_region", _ROC + """, b AS (SELECT bin, greatest(0, cases - 2) AS el, cases + 2 AS eh, greatest(0, controls - 2) AS nl, controls + 2 AS nh FROM k),
+s AS (SELECT bin, sum(el) OVER w AS iel, sum(eh) OVER w AS ieh, sum(nl) OVER w AS inl, sum(nh) OVER w AS inh, sum(el) OVER () - sum(el) OVER w AS oel, sum(eh) OVER () - sum(eh) OVER w AS oeh,
+sum(nl) OVER () - sum(nl) OVER w AS onl, sum(nh) OVER () - sum(nh) OVER w AS onh FROM b WINDOW w AS (ORDER BY bin DESC))
+SELECT CAST(11 - bin AS INTEGER) AS threshold, round(iel / (iel + oeh), 6) AS sensitivity_lower, round(ieh / (ieh + oel), 6) AS sensitivity_upper,
+round(1 - inh / (inh + onl), 6) AS specificity_lower, round(1 - inl / (inl + onh), 6) AS specificity_upper FROM s""")
+def dp_roc_region(spark, sf_dir):
+    return _rounded(tables.roc_region(_score_bins(spark, sf_dir), 2))
+
+
+_PAIRED = [("l_quantity", "q"), ("l_discount", "d"), ("l_tax", "t"), ("l_extendedprice", "e")]
+_PAIRS = " UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, count(*) AS n, corr({p}, {q_}) AS r FROM u" for i, (a, p) in enumerate(_PAIRED) for b, q_ in _PAIRED[i + 1 :])
+
+
+@query("dp_cor_intervals", _LINE_UNITS + f", c AS ({_PAIRS}) SELECT x, y, n, round(r, 6) AS r, round(tanh(atanh(r) - {_Z} / sqrt(n - 3)), 6) AS lower, round(tanh(atanh(r) + {_Z} / sqrt(n - 3)), 6) AS upper FROM c")
+def dp_cor_intervals(spark, sf_dir):
+    return _rounded(release.correlation_intervals(release.pair_correlation(release.pair_moments(_t(spark, sf_dir, "lineitem"), "l_orderkey", LINE))))
+
+
+@query("dp_cor_projected", _LINE_UNITS + f", c AS ({_PAIRS}) SELECT x, y, round(r, 6) AS r, round(r, 6) AS projected FROM c")
+def dp_cor_projected(spark, sf_dir):
+    """A complete table's correlations are their own projection; the test of an infeasible matrix is in tests/test_tables.py."""
+    return _rounded(release.projected_correlations(release.pair_correlation(release.pair_moments(_t(spark, sf_dir, "lineitem"), "l_orderkey", LINE)), list(LINE)))
+
+
+@query("vert_desc_wide", _HIST + """, c AS (SELECT *, sum(n) OVER (ORDER BY bin) AS cum, sum(n) OVER () AS total, coalesce(lag(upper) OVER (ORDER BY bin), upper) AS start FROM t WHERE bin > 0),
+v AS (SELECT p, bin, start + least(1, greatest(0, (p * total - (cum - n)) / n)) * (upper - start) AS value FROM c, (VALUES (0.25::DOUBLE), (0.5), (0.75)) q(p) WHERE n > 0 AND cum >= p * total),
+w AS (SELECT p, arg_min(value, bin) AS value FROM v GROUP BY p)
+SELECT 'o_totalprice' AS variable, count(*) AS n, round(avg(x), 3) AS mean, round(stddev_pop(x), 3) AS sd, (SELECT round(value, 3) FROM w WHERE p = 0.25) AS q25, (SELECT round(value, 3) FROM w WHERE p = 0.5) AS q50,
+(SELECT round(value, 3) FROM w WHERE p = 0.75) AS q75, round(count(*) FILTER (WHERE x <= 50000) / count(*)::DOUBLE, 3) AS underflow, round(count(*) FILTER (WHERE x IS NULL) / count(*)::DOUBLE, 3) AS overflow FROM u""")
+def vert_desc_wide(spark, sf_dir):
+    moments = release.mean_var(release.moments(_t(spark, sf_dir, "orders"), "o_custkey", {"o_totalprice": PRICE}))
+    return _rounded(tables.describe_wide(moments, _price_histogram(spark, sf_dir), [0.25, 0.5, 0.75]), 3)
+
+
+def _cofactor_terms(j: int, p: int) -> list[str]:
+    """Row j of the adjugate of the h's."""
+    whole = [[f"h_{min(a, b)}_{max(a, b)}" for b in range(p)] for a in range(p)]
+    return [f"({'-' if (i + j) % 2 else ''}({checks.det([[whole[a][b] for b in range(p) if b != i] for a in range(p) if a != j])}))" for i in range(p)]
+
+
+_ETA3 = "(b_0 + b_1 * size + b_2 * english)"
+_ADJUGATE = [_cofactor_terms(j, 3) for j in range(3)]
+_DET3 = checks.det([[f"h_{min(a, b)}_{max(a, b)}" for b in range(3)] for a in range(3)])
+
+
+@query("vert_glm_sandwich", f"""{_R}{_BINARY_FIT}, m AS (SELECT {checks.triangle(["1::DOUBLE", "size", "english"], f"power(y - 1 / (1 + exp(-{_ETA3})), 2)", "m")} FROM d, est)
+""" + " UNION ALL ".join(
+    f"SELECT '{n}' AS term, round(b_{j}, 6) AS estimate, round(sqrt(" + " + ".join(f"{_ADJUGATE[j][a]} * {_ADJUGATE[j][b]} * m_{min(a, b)}_{max(a, b)}" for a in range(3) for b in range(3)) + f") / ({_DET3}), 6) AS se FROM est, m"
+    for j, n in enumerate(_BINARY_NAMES)
+))
+def vert_glm_sandwich(spark, sf_dir):
+    df = _binary(spark, sf_dir)
+    fit = glm.fit_glm(df, "toxic", ["size", "english"], "binomial")
+    se = np.sqrt(np.diag(glm.sandwich(df, fit)))
+    return _rows(spark, [(n, float(b), float(s)) for n, b, s in zip(fit.names, fit.coefficients, se, strict=True)], "term string, estimate double, se double")
+
+
+_X3 = ["1", "size", "english"]
+_VAR3 = "((" + " + ".join(f"{_ADJUGATE[a][b]} * {_X3[a]} * {_X3[b]}" for a in range(3) for b in range(3)) + f") / ({_DET3}))"
+
+
+@query("vert_glm_predict", f"""{_R}{_BINARY_FIT.replace("SELECT toxic::DOUBLE AS y", "SELECT doc_id, toxic::DOUBLE AS y", 1)}, p AS (SELECT doc_id, {_ETA3} AS eta, {_Z} * sqrt({_VAR3}) AS half FROM d, est)
+SELECT doc_id, round(greatest(0.05, least(0.2, 1 / (1 + exp(-eta)))), 6) AS prediction, round(greatest(0.05, least(0.2, 1 / (1 + exp(-(eta - half))))), 6) AS lower,
+round(greatest(0.05, least(0.2, 1 / (1 + exp(-(eta + half))))), 6) AS upper, 1 / (1 + exp(-eta)) NOT BETWEEN 0.05 AND 0.2 AS clipped FROM p""")
+def vert_glm_predict(spark, sf_dir):
+    df = _binary(spark, sf_dir)
+    fit = glm.fit_glm(df, "toxic", ["size", "english"], "binomial")
+    return _rounded(glm.predict_interval(df, fit, bounds=(0.05, 0.2)).select("doc_id", "prediction", "lower", "upper", "clipped"))
+
+
+@query("vert_glm_effects", f"{_R}{_BINARY_FIT} " + " UNION ALL ".join(f"SELECT '{n}' AS term, round(exp(b_{i}), 6) AS effect FROM est" for i, n in enumerate(_BINARY_NAMES)))
+def vert_glm_effects(spark, sf_dir):
+    fit = glm.fit_glm(_binary(spark, sf_dir), "toxic", ["size", "english"], "binomial")
+    return _rounded(glm.effects(fit, spark).select("term", "effect"))
+
+
+@query("lag_products", """
+WITH l AS (SELECT value AS v0, lag(value, 1) OVER w AS v1, lag(value, 2) OVER w AS v2, lag(value, 3) OVER w AS v3 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT 0 AS lag, count(v0) AS pairs, round(sum(v0 * v0), 3) AS product FROM l UNION ALL SELECT 1, count(v1), round(sum(v0 * v1), 3) FROM l
+UNION ALL SELECT 2, count(v2), round(sum(v0 * v2), 3) FROM l UNION ALL SELECT 3, count(v3), round(sum(v0 * v3), 3) FROM l""")
+def lag_products(spark, sf_dir):
+    return _rounded(clustered.lag_products(_t(spark, sf_dir, "events"), "user_id", "event_id", "value", 3), 3)
+
+
+@query("quantise", """
+SELECT c_custkey, CAST(floor((least(5000.0, greatest(0.0, c_acctbal)) / 5000.0) * 65535 + 0.5) AS BIGINT) AS code FROM customer""")
+def quantise(spark, sf_dir):
+    return _t(spark, sf_dir, "customer").select("c_custkey", collapse.quantise(F.col("c_acctbal"), 0.0, 5000.0).alias("code"))
+
+
+@query("dp_gaussian_gram_sites", """
+WITH u AS (SELECT CASE WHEN doc_id % 7 <> 0 THEN n_chars END AS n_chars, quality, toxic FROM documents JOIN labels USING (doc_id)),
+z AS (SELECT least(greatest(n_chars, 0), 5000) / 5000.0::DOUBLE AS x, quality::DOUBLE AS q, toxic::DOUBLE AS y FROM u WHERE n_chars IS NOT NULL)
+SELECT count(*) AS n, round(count(*)::DOUBLE, 4) AS g_0_0, round(sum(x), 4) AS g_0_1, round(sum(x * x), 4) AS g_1_1, round(sum(q), 4) AS g_0_2, round(sum(x * q), 4) AS g_1_2, round(sum(q * q), 4) AS g_2_2,
+round(sum(y), 4) AS c_0, round(sum(x * y), 4) AS c_1, round(sum(q * y), 4) AS c_2, round(sum(y * y), 4) AS yy FROM z""")
+def dp_gaussian_gram_sites(spark, sf_dir):
+    """Moments over columns of two aligned sites, complete cases only: every seventh document lacks its length."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 7 != 0, F.col("n_chars")).alias("n_chars"))
+    joined = sites.align({"documents": docs, "labels": _t(spark, sf_dir, "labels")}, "doc_id", ref_server="labels").table(["n_chars", "labels$quality", "toxic"])
+    bounds = {"n_chars": (0.0, 5000.0), "quality": (0.0, 1.0), "toxic": (0.0, 1.0)}
+    return _rounded(release.gram(joined, "unit_id", "toxic", ["n_chars", "quality"], bounds), 4)
+
+
+_DISTRIBUTIONS = f"""{_R}c AS (SELECT c_nationkey AS k, count(*) AS n, count(*) FILTER (WHERE c_acctbal > 8000) AS m, avg(c_acctbal) / 10000 AS z FROM customer GROUP BY 1),
+{checks.clopper_pearson("SELECT k AS name, 'lower' AS side, m AS x, n FROM c", "0.1")},
+{checks.gamma_quantiles("SELECT k AS name, m + 0.5::DOUBLE AS x, 0.3::DOUBLE AS a FROM c").replace("bounds AS", "bounds2 AS").replace("FROM bounds ", "FROM bounds2 ").replace("q AS (", "q2 AS (").replace("FROM q ", "FROM q2 ").replace("found AS", "found2 AS")}"""
+
+
+@query("distribution_values", _DISTRIBUTIONS + f"""
+SELECT c.k AS c_nationkey, round(1 - {checks.normal_sf("c.z")}, 6) AS pnorm, round(exp(-c.z * c.m / 2), 6) AS pchisq2, round(0.5 - c.z / (2 * sqrt(2 + c.z * c.z)), 6) AS pt2,
+round(power(1 + 2 * c.z / (2 * c.n), -c.n), 6) AS pf, round(c.z / sqrt(0.5 * (1 - c.z * c.z)), 5) AS qt2, round(l.lower, 6) AS qbeta, round(g.hi, 6) AS qgamma, round(2 * g.hi, 6) AS qchisq,
+round(lgamma(c.n + 1) - lgamma(c.m + 1) - lgamma(c.n - c.m + 1), 6) AS lchoose, round((SELECT sum(1.0::DOUBLE / i) FROM range(1, 100000) r(i) WHERE i < c.n) - 0.5772156649015329, 6) AS digamma,
+round(pi() * pi() / 6 - (SELECT sum(1.0::DOUBLE / (i * i)) FROM range(1, 100000) r(i) WHERE i < c.n), 6) AS trigamma FROM c JOIN limits l ON l.name = c.k JOIN found2 g ON g.name = c.k""")
+def distribution_values(spark, sf_dir):
+    """Distribution and gamma functions at points that the table gives, one row per nation."""
+    c = _t(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"), F.sum(F.when(F.col("c_acctbal") > 8000, 1).otherwise(0)).alias("m"), (F.avg("c_acctbal") / 10000).alias("z"))
+    rows = [
+        (
+            r.c_nationkey, special.norm_cdf(r.z), special.chisq_sf(r.z * r.m, 2), special.t_sf(r.z, 2), special.f_sf(r.z, 2, 2 * r.n), round(special.t_quantile((1 + r.z) / 2, 2), 5), special.clopper_pearson(r.m, r.n, 0.1)[0],
+            special.gamma_quantile(0.3, r.m + 0.5), special.chisq_quantile(0.3, 2 * r.m + 1), special.log_choose(r.n, r.m), special.digamma(r.n), special.trigamma(r.n),
+        )
+        for r in c.collect()
+    ]
+    names = ("pnorm", "pchisq2", "pt2", "pf", "qt2", "qbeta", "qgamma", "qchisq", "lchoose", "digamma", "trigamma")
+    return _rows(spark, rows, "c_nationkey int, " + ", ".join(f"{n} double" for n in names))

@@ -54,16 +54,31 @@ def common_ids(sites: dict[str, DataFrame], id_columns: dict[str, str], unit: st
     return reduce(lambda a, b: a.join(b, unit, "left_semi"), ids)
 
 
-def align(sites: dict[str, DataFrame], id_col: str | dict[str, str]) -> Federation:
+def align(sites: dict[str, DataFrame], id_col: str | dict[str, str], na_action: str = "omit", ref_server: str | None = None) -> Federation:
     """K-site set intersection on one identifier; each site keeps its rows of the common units.
 
     Ids are made distinct before they meet, so repeated records do not multiply, and each site is
-    cut by a left semi join: rows stay where they are but for one shuffle on the identifier.
+    cut by a left semi join: rows stay where they are but for one shuffle on the identifier. Rows without
+    an identifier go (``omit``), raise (``fail``) or stay unmatched (``none``); the smallest site is the best
+    ``ref_server``, whose ids the others are cut to in turn.
     """
     if len(sites) < 2:
         raise ValueError("alignment needs two sites or more")
     columns = id_col if isinstance(id_col, dict) else dict.fromkeys(sites, id_col)
-    ids = common_ids(sites, columns)
+    if na_action not in ("omit", "fail", "none"):
+        raise ValueError("na_action is omit, fail or none")
+    if na_action == "fail" and (bad := [s for s, df in sites.items() if df.where(F.col(columns[s]).isNull()).limit(1).count()]):
+        raise ValueError(f"sites with missing identifiers: {bad}")
+    if na_action == "none":
+        # rows without an identifier stay where they are, unmatched
+        ids = common_ids(sites, columns)
+        kept = {
+            s: df.join(ids.withColumnRenamed("unit_id", columns[s]), columns[s], "left_semi").unionByName(df.where(F.col(columns[s]).isNull()))
+            for s, df in sites.items()
+        }
+        return Federation(kept, columns)
+    order = [ref_server, *[s for s in sites if s != ref_server]] if ref_server else list(sites)
+    ids = common_ids({s: sites[s] for s in order}, columns)
     kept = {s: df.join(ids.withColumnRenamed("unit_id", columns[s]), columns[s], "left_semi") for s, df in sites.items()}
     return Federation(kept, columns)
 
