@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import ngram_join
 from .common import NEAR, SHINGLE_WORDS, discard, join_facts, spare, table, text_or_empty, written
-from .words import grams, local_minima, places, word_hashes
+from .words import _PLACES, _mix, grams, hashed_places, local_minima, word_hashes
 
 #: Bands of a line and rows of a band; a pair at the similarity asked for shares a band with chance 1 - (1 - 0.8^3)^8 = 0.997.
 BANDS, ROWS = 8, 3
@@ -31,10 +31,9 @@ def _units(text: str) -> tuple[np.ndarray, ...] | None:
 
     Lines of ``MIN_WORDS`` words or more come first, then the passages between the cuts.
     """
-    hashes = word_hashes(text)
+    hashes, _, _, new_line = hashed_places(text)
     if hashes.size < SHINGLE_WORDS:
         return None
-    new_line = places(text)[2]
     five = grams(hashes, SHINGLE_WORDS)
     cut = np.zeros(hashes.size, bool)
     cut[0] = True
@@ -50,19 +49,26 @@ def _units(text: str) -> tuple[np.ndarray, ...] | None:
     if not first.size:
         return None
     inner = np.stack((first, last - SHINGLE_WORDS + 1), 1).ravel()  # of the runs of five words inside each unit
+    sums = np.zeros((2, five.size + 1), np.uint64)
+    sums[0, :-1], sums[1, :-1] = five * np.uint64(0x9E3779B97F4A7C15), five ^ (five >> np.uint64(33))
+    h1, h2 = np.add.reduceat(sums, inner, axis=1)[:, ::2]
+    h1 = h1 + (last - first).astype(np.uint64)
+
+    def keys_of(bands: int, ends: np.ndarray) -> np.ndarray:
+        """(bands, units): one key per band, of the minima of its rows."""
+        values = np.full((bands * ROWS, five.size + 1), np.uint64(2**64 - 1))
+        np.multiply(five[None, :], _MULTIPLIERS[: bands * ROWS, None], out=values[:, :-1])
+        least = np.minimum.reduceat(values, ends, axis=1)[:, ::2].reshape(bands, ROWS, -1)
+        key = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[:, None], least.shape[2], axis=1)
+        for r in range(ROWS):
+            key = _mix(key + least[:, r] * _PLACES[9])
+        return key
 
-    def per_unit(values: np.ndarray, how: np.ufunc, units: int) -> np.ndarray:
-        return how.reduceat(np.append(values, values.dtype.type(0 if how is np.add else 2**64 - 1)), inner[: 2 * units])[::2] if units else values[:0]
-
-    h1 = per_unit(five * np.uint64(0x9E3779B97F4A7C15), np.add, first.size) + (last - first).astype(np.uint64)
-    h2 = per_unit(five ^ (five >> np.uint64(33)), np.add, first.size)
     keys = np.zeros((BANDS, first.size), np.uint64)
-    for band in range(BANDS):
-        units = n if band >= PASSAGE_BANDS else first.size
-        key = np.full(units, band + 1, np.uint64)
-        for m in _MULTIPLIERS[band * ROWS : (band + 1) * ROWS]:
-            key = ngram_join._mix(key + per_unit(five * m, np.minimum, units) * ngram_join._PLACES[9])
-        keys[band, :units] = key
+    if n:
+        keys[:, :n] = keys_of(BANDS, inner[: 2 * n])
+    if n < first.size:
+        keys[:PASSAGE_BANDS, n:] = keys_of(PASSAGE_BANDS, inner[2 * n :])
     bands = np.where(np.arange(first.size) < n, BANDS, PASSAGE_BANDS)
     flat = keys.T[np.arange(BANDS) < bands[:, None]]
     return np.arange(first.size) < n, first, last, h1.view(np.int64), h2.view(np.int64), bands, flat.view(np.int64)
@@ -121,8 +127,10 @@ def _sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     return found.dropDuplicates(["node"])
 
 
-def _classed(found: DataFrame, docs: DataFrame, scratch: list[str]) -> DataFrame:
+def _classed(docs: DataFrame, scratch: list[str]) -> DataFrame:
     """(row, doc_id, tie, line, first, last, component): units that share a band with another document's, by class."""
+    early: list[str] = []  # tables that go once the hits are written
+    found = written(units(docs), "units", early)
     banded = found.select("doc_id", "h1", F.explode("keys").alias("key"))
     shared = written(
         banded.groupBy("key")
@@ -130,10 +138,11 @@ def _classed(found: DataFrame, docs: DataFrame, scratch: list[str]) -> DataFrame
         .where("lo < hi")
         .select("key", (F.col("f") < F.col("g")).alias("mixed")),
         "bands",
-        scratch,
+        early,
     )
     hits = found.select(*_PLACE, "line", "first", "last", "h1", "h2", F.explode("keys").alias("key")).join(shared, "key")
     hits = written(hits, "band-hits", scratch)
+    discard(docs.sparkSession, early)
     places_ = hits.drop("key", "mixed").distinct().withColumn("row", F.monotonically_increasing_id())
     places_ = written(places_, "band-units", scratch)
     nodes = written(places_.groupBy("h1", "h2").agg(F.min("row").alias("node"), F.count("*").alias("n")), "band-nodes", scratch)
@@ -234,8 +243,7 @@ def _extended(runs: DataFrame, docs: DataFrame) -> DataFrame:
             out = []
             for doc_id, tie, text, rows in zip(*(batch.column(c) for c in (*_PLACE, "text", "runs")), strict=True):
                 text = text.as_py()
-                hashes = word_hashes(text)
-                starts, ends, _ = places(text)
+                hashes, starts, ends, _ = hashed_places(text)
                 joined: list[list] = []
                 for row in sorted(rows.as_py(), key=lambda r: r["first"]):
                     a, b = row["first"], row["last"]
@@ -284,7 +292,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).where("doc_id is not null")
     source = source.withColumn("tie", F.xxhash64("text"))
     scratch: list[str] = []
-    classed = _classed(written(units(source), "units", scratch), source, scratch)
+    classed = _classed(source, scratch)
     lines, passages, kept = _removed(classed, scratch)
     spans = lines.select(*_PLACE, "first", "last", "keep_id", F.lit(None).cast("bigint").alias("component")).unionByName(
         passages.select(*_PLACE, "first", "last", "keep_id", "component")

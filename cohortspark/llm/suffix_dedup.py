@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, table, text_or_empty, written
-from .words import grams, grams_at, places, window_minimisers, word_hashes
+from .words import grams, grams_at, hashed_places, window_minimisers, word_hashes
 
 #: Repeats of this many words or more are reported.
 MIN_WORDS = 50
@@ -86,8 +86,7 @@ def _heads(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for doc_id, copy, text, slots in zip(*(batch.column(c) for c in ("doc_id", "copy", "text", "slots")), strict=True):
                 doc_id, copy, text = doc_id.as_py(), copy.as_py(), text.as_py()
-                hashes = word_hashes(text)
-                starts, ends, _ = places(text)
+                hashes, starts, ends, _ = hashed_places(text)
                 of_head = _slots(hashes)
                 known, first, heads = np.unique(of_head, return_index=True, return_counts=True)
                 slot, same, least, most = (slots.values.field(i).to_numpy(zero_copy_only=False) for i in range(4))
