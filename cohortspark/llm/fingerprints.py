@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty, written
+from .common import spread, table, text_or_empty, written
 
 #: Levels of phrases; a phrase of the last one has about 27 characters.
 LEVELS = 3
@@ -166,11 +166,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     other, ordered by a hash of their texts. A single row is its own next document. An empty table
     gives no rows. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
     source = source.withColumn("tie", F.xxhash64("text"))
-    ordered = source.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    ordered = source.repartitionByRange(spread(source), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the row whose next one is not known yet

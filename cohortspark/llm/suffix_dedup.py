@@ -172,7 +172,6 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     """
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).where("doc_id is not null")
     order = ("doc_id", "copy", "at")
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.bool_())
     names = [x.split()[0] for x in _ROW.split(", ")]
 
@@ -207,7 +206,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
         if held:
             yield joined(held)
 
-    return repeats(source).repartition(parts, "doc_id").sortWithinPartitions(*order).mapInArrow(run, _ROW)
+    return repeats(source).repartition("doc_id").sortWithinPartitions(*order).mapInArrow(run, _ROW)
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
