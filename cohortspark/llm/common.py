@@ -111,9 +111,13 @@ def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, h
 
 
 def spread(df: DataFrame, bytes_each: int = 64 * 2**20) -> int:
-    """Partitions for a sort of ``df`` by range: the session's number, or more where that would leave more than ``bytes_each`` in one."""
+    """Partitions for a sort of ``df`` by range: the session's number, or more where that would leave more than ``bytes_each`` in one.
+
+    Tables of unknown size (rows that did not come from files) get the session's number.
+    """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // bytes_each, 1)
+    known = size // bytes_each if size < 2**60 else 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), known, 1)
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
