@@ -75,9 +75,11 @@ def _units(text: str) -> tuple[np.ndarray, ...] | None:
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """Lines and passages of every document (doc_id, tie, text): their places, a 128-bit hash of their shingles, and their bands' keys."""
-    names = ["doc_id", "tie", "line", "first", "last", "h1", "h2", "keys"]
-    kinds = (pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+    """Lines and passages of every document (doc_id, tie, text): a 128-bit hash of their shingles, and their bands' keys.
+
+    ``place`` holds the first word's number, that after the last word (31 bits), and whether it is a line (1 bit).
+    """
+    names = ["doc_id", "tie", "place", "h1", "h2", "keys"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,12 +94,13 @@ def units(docs: DataFrame) -> DataFrame:
                     cols = [np.concatenate(c) for c in zip(*found, strict=True)]
                     offsets = np.concatenate(([0], np.cumsum(cols[5]))).astype(np.int32)
                     listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(cols[6]))
-                    own_cols = [pa.array(c).cast(k) for c, k in zip(cols[:5], kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(ties)), *own_cols, listed], names)
+                    place = (cols[1] << 32) | (cols[2] << 1) | cols[0]
+                    flat = [np.concatenate(ids), np.concatenate(ties), place, cols[3], cols[4]]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, flat), listed], names)
                     found, ids, ties, size = [], [], [], 0
 
     return docs.select("doc_id", "tie", "text").mapInArrow(
-        run, "doc_id long, tie long, line boolean, first int, last int, h1 long, h2 long, keys array<long>"
+        run, "doc_id long, tie long, place long, h1 long, h2 long, keys array<long>"
     )
 
 
@@ -128,25 +131,26 @@ def _sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _classed(docs: DataFrame, scratch: list[str]) -> DataFrame:
-    """(row, doc_id, tie, line, first, last, component): units that share a band with another document's, by class."""
+    """(row, doc_id, tie, line, first, last, component): units that share a band with another unit, by class."""
     early: list[str] = []  # tables that go once the hits are written
     found = written(units(docs), "units", early)
-    banded = found.select("doc_id", "h1", F.explode("keys").alias("key"))
-    shared = written(
-        banded.groupBy("key")
-        .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("h1").alias("f"), F.max("h1").alias("g"))
-        .where("lo < hi")
-        .select("key", (F.col("f") < F.col("g")).alias("mixed")),
-        "bands",
-        early,
-    )
-    hits = found.select(*_PLACE, "line", "first", "last", "h1", "h2", F.explode("keys").alias("key")).join(shared, "key")
-    hits = written(hits, "band-hits", scratch)
+    shared = written(found.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "bands", early)
+    hits = found.select(*_PLACE, "place", "h1", "h2", F.explode("keys").alias("key")).join(shared, "key")
+    hits = written(
+        hits.select(
+            "key", *_PLACE, "h1", "h2", (F.col("place") % 2 == 1).alias("line"), F.shiftright("place", 32).cast("int").alias("first"),
+            (F.shiftright("place", 1).bitwiseAND(F.lit(2**31 - 1))).cast("int").alias("last"),
+        ),
+        "band-hits",
+        scratch,
+    )
     discard(docs.sparkSession, early)
-    places_ = hits.drop("key", "mixed").distinct().withColumn("row", F.monotonically_increasing_id())
+    places_ = hits.drop("key").distinct().withColumn("row", F.monotonically_increasing_id())
     places_ = written(places_, "band-units", scratch)
     nodes = written(places_.groupBy("h1", "h2").agg(F.min("row").alias("node"), F.count("*").alias("n")), "band-nodes", scratch)
-    mixed = hits.where("mixed and line").select("key", "h1", "h2").distinct().join(nodes, ["h1", "h2"])
+    lines = hits.where("line").select("key", "h1", "h2").distinct()
+    mixed = lines.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    mixed = lines.join(mixed, "key").join(nodes, ["h1", "h2"])
     members = mixed.select(F.col("key").alias("bucket"), F.lit(0).alias("tree"), F.col("key").alias("hi"), F.lit(0).cast("bigint").alias("lo"), "node")
     members = written(members, "band-members", scratch)
     wanted = members.select(F.col("node").alias("row")).distinct().join(places_, "row").withColumnRenamed("row", "node")
@@ -277,7 +281,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     words around them, whatever lines it has, so a repeated passage is cut alike wherever it stands.
 
     1. MinHash bands over the five-word shingles of each unit (keys counted first, combined in each task, so
-       that only keys that several documents share meet again).
+       that only keys of several units meet again).
     2. Different lines that share a band are compared, neighbours in a bucket first, then all pairs between the
        components of a bucket; exact Jaccard similarity of 0.8 or more links them. Passages of a band are verified
        by 128 bits of their shingles (similarity 1).
