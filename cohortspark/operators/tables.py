@@ -16,6 +16,15 @@ from pyspark.sql import functions as F
 from ..functions.special import log_choose, chisq_sf, clopper_pearson, gamma_quantile, garwood, norm_quantile
 
 _INF = float("inf")
+#: Strata and levels of a public domain come to the driver, and are broadcast, up to this number.
+MAX_PUBLIC = 10_000
+
+
+def public(df: DataFrame) -> DataFrame:
+    """``df``, or an error if it has more rows than a public domain may."""
+    if df.limit(MAX_PUBLIC + 1).count() > MAX_PUBLIC:
+        raise ValueError(f"more than {MAX_PUBLIC} strata or levels")
+    return df
 
 
 def cells(table: DataFrame, exposed: str, event: str) -> DataFrame:
@@ -398,7 +407,7 @@ def causal_standardization(cells_: DataFrame, weights: DataFrame, treated: str,
             for name, c in ((f"e{arm}", F.col("outcome") == event), (f"t{arm}", F.lit(True)))
         ]
     )
-    t = arms.join(F.broadcast(weights), "stratum").withColumn("w", F.col("weight") / F.sum("weight").over(W.partitionBy()))
+    t = arms.join(F.broadcast(public(weights)), "stratum").withColumn("w", F.col("weight") / F.sum("weight").over(W.partitionBy()))
     one = t.agg(
         F.sum(F.col("w") * F.col("e1") / F.col("t1")).alias("p1"),
         F.sum(F.col("w") * F.col("e0") / F.col("t0")).alias("p0"),
@@ -425,7 +434,7 @@ def histogram_quantiles(hist: DataFrame, probs: list[float]) -> DataFrame:
 
 def frequency_regions(freq: DataFrame, radius: float, level: float = 0.95, dp_fraction: float = 0.5) -> DataFrame:
     """Per level a joint region of its proportion: Clopper-Pearson over the count box, the error split over levels."""
-    rows = freq.collect()  # levels of a public domain
+    rows = public(freq).collect()
     alpha = (1 - level) * (1 - dp_fraction) / max(1, len(rows))
     total = sum(r.n for r in rows)
     out = []
@@ -458,7 +467,7 @@ def _risk_union(events: float, rest: float, radius: float, alpha: float) -> tupl
 
 def standardized_risk_inference(strata: DataFrame, radius: float, level: float = 0.95, mechanism_share: float = 0.5) -> DataFrame:
     """(lower, upper) of the standardised risk for noise and sampling jointly; the error is split over strata with weight."""
-    rows = strata.where("weight > 0").collect()  # public strata
+    rows = public(strata.where("weight > 0")).collect()
     total = sum(r.weight for r in rows)
     alpha = (1 - level) * (1 - mechanism_share) / max(1, len(rows))
     parts = [(r.weight / total, *_risk_union(r.events, r.nonevents, radius, alpha)) for r in rows]
@@ -468,7 +477,7 @@ def standardized_risk_inference(strata: DataFrame, radius: float, level: float =
 def causal_standardization_inference(cells_: DataFrame, weights: DataFrame, treated: str, event: str, radius: float, level: float = 0.95, mechanism_share: float = 0.5) -> DataFrame:
     """Regions of the g-formula's risks and effects: each stratum and arm gets an equal share of the error."""
     pick = lambda arm, hit: F.sum(F.when((F.col("treatment") == treated if arm else F.col("treatment") != treated) & ((F.col("outcome") == event) if hit else (F.col("outcome") != event)), F.col("n")).otherwise(0))
-    rows = cells_.groupBy("stratum").agg(*[pick(a, h).alias(f"c{a}{h}") for a in (1, 0) for h in (1, 0)]).join(F.broadcast(weights), "stratum").collect()
+    rows = cells_.groupBy("stratum").agg(*[pick(a, h).alias(f"c{a}{h}") for a in (1, 0) for h in (1, 0)]).join(F.broadcast(public(weights)), "stratum").collect()
     total = sum(r.weight for r in rows)
     alpha = (1 - level) * (1 - mechanism_share) / max(1, 2 * len(rows))
     low, high = [0.0, 0.0], [0.0, 0.0]
@@ -495,7 +504,7 @@ def indirect_risk(strata: DataFrame, radius: float = 0.0) -> DataFrame:
     bisection on the ratio: it is at most t if the largest sum of e (1 - t rate) - t rate ne is at most 0.
     """
     one = strata.agg(F.sum("events").alias("o"), F.sum(F.col("rate") * (F.col("events") + F.col("nonevents"))).alias("e"))
-    rows = strata.collect()  # public strata
+    rows = public(strata).collect()
 
     def extreme(upper: bool) -> float:
         def best(t: float) -> float:

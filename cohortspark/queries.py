@@ -302,7 +302,7 @@ def _counts(spark, sf_dir):
 def vert_lasso_path(spark, sf_dir):
     names = ["l_quantity", "l_discount", "l_tax"]
     g, c, _, _ = lasso.moments_of(_gram(spark, sf_dir).first(), names)
-    rows = [(lam, n, float(b)) for lam, beta in lasso.path(g, c, points=20) for n, b in zip(["(Intercept)", *names], beta, strict=True)]
+    rows = [(lam, n, float(b)) for lam, beta in lasso.path(g, c) for n, b in zip(["(Intercept)", *names], beta, strict=True)]
     return _rows(spark, rows, "lambda double, term string, estimate double")
 
 
@@ -311,7 +311,7 @@ def vert_lasso_fit(spark, sf_dir):
     """Per penalty below the largest: active predictors, what the fit gains over the mean alone, and whether it is optimal by either algorithm."""
     g, c, _, _ = lasso.moments_of(_gram(spark, sf_dir).first(), ["l_quantity", "l_discount", "l_tax"])
     rows = []
-    for lam, b in lasso.path(g, c, points=20)[1:]:
+    for lam, b in lasso.path(g, c)[1:]:
         same = float(np.abs(lasso.proximal(g, c, lam) - b).max()) < 1e-5
         gain = lasso.objective(g, c, b, lam) + c[0] * c[0] / (2 * g[0, 0])
         rows.append((lam, int((b[1:] != 0).sum()), float(1000 * gain), bool(same and lasso.kkt_gap(g, c, b, lam) < 1e-8)))
@@ -722,7 +722,7 @@ def gee_ar1(spark, sf_dir):
 @query("glmm")
 def glmm(spark, sf_dir):
     df = _customer_orders(spark, sf_dir).withColumn("urgent", F.when(F.col("o_orderpriority") == "1-URGENT", 1.0).otherwise(0.0))
-    fit, parts = clustered.fit_glmm(df, "c_nationkey", "urgent", ["balance"], max_outer=12)
+    fit, parts = clustered.fit_glmm(df, "c_nationkey", "urgent", ["balance"])
     return _rows(spark, [*((n, float(b)) for n, b in zip(fit.names, fit.coefficients, strict=True)), ("icc", parts["icc"])], "term string, estimate double")
 
 
@@ -734,7 +734,7 @@ def ipw(spark, sf_dir):
 @query("mi")
 def mi(spark, sf_dir):
     df = _binary(spark, sf_dir).withColumn("size", F.when(F.col("doc_id") % 7 != 5, F.col("size")))
-    mean, cov = clustered.fit_mi(df, "doc_id", "toxic", ["size", "english"], "size", m=5)
+    mean, cov = clustered.fit_mi(df, "doc_id", "toxic", ["size", "english"], "size")
     return _rows(spark, [(n, float(b), float(v)) for n, b, v in zip(("(Intercept)", "size", "english"), mean, np.sqrt(np.diag(cov)), strict=True)], "term string, estimate double, se double")
 
 
@@ -1063,7 +1063,7 @@ def _soft_sql(x: str) -> str:
     return f"(CASE WHEN {x} > 0 THEN 1 ELSE -1 END * greatest(abs({x}) - lam, 0))"
 
 
-_LASSO = f"""{_recursive(_UNIT_SCALED)}, it AS (SELECT 0 AS i, greatest(abs(c1), abs(c2), abs(c3)) * power(0.001::DOUBLE, k / 19.0::DOUBLE) AS lam, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2, 0.0::DOUBLE AS b3 FROM m, range(0, 20) r(k)
+_LASSO = f"""{_recursive(_UNIT_SCALED)}, it AS (SELECT 0 AS i, greatest(abs(c1), abs(c2), abs(c3)) * power(0.001::DOUBLE, k / 49.0::DOUBLE) AS lam, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2, 0.0::DOUBLE AS b3 FROM m, range(0, 50) r(k)
 UNION ALL SELECT i + 1, lam, n1, n2, {_soft_sql("(c3 - s13 * n1 - s23 * n2)")} / s33 FROM (SELECT *, {_soft_sql("(c2 - s12 * n1 - s23 * b3)")} / s22 AS n2 FROM (
 SELECT *, {_soft_sql("(c1 - s12 * b2 - s13 * b3)")} / s11 AS n1 FROM it, m WHERE i < 60))), fin AS (SELECT * FROM it, m WHERE i = 60)"""
 ORACLES["vert_lasso_path"] = f"""{_LASSO} SELECT round(lam, 6) AS "lambda", '(Intercept)' AS term, round(ay - b1 * a1 - b2 * a2 - b3 * a3, 6) AS estimate FROM fin

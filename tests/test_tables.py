@@ -1,6 +1,8 @@
 import itertools
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cohortspark.operators import collapse, privacy, release, survival, tables
 from cohortspark.sources import sites
@@ -115,3 +117,36 @@ def test_indirect_region_holds_every_box_table(spark):
         o = cells[0] + cells[2]
         e = 0.2 * (cells[0] + cells[1]) + 0.5 * (cells[2] + cells[3])
         assert r.lower - 1e-9 <= o / e <= r.upper + 1e-9
+
+
+def test_projection_of_infeasible_correlations(spark):
+    pairs = spark.createDataFrame([("a", "b", 50, 0.9), ("a", "c", 50, 0.9), ("b", "c", 50, -0.9)], "x string, y string, n long, r double")
+    got = {(r.x, r.y): r.projected for r in release.projected_correlations(pairs, ["a", "b", "c"]).collect()}
+    m = np.array([[1, got["a", "b"], got["a", "c"]], [got["a", "b"], 1, got["b", "c"]], [got["a", "c"], got["b", "c"], 1]])
+    assert np.linalg.eigvalsh(m)[0] > -1e-9 and 0 < got["a", "b"] < 0.9 and -0.9 < got["b", "c"] < 0
+    (row,) = [r for r in release.correlation_intervals(pairs).collect() if (r.x, r.y) == ("b", "c")]
+    assert row.lower < -0.9 < row.upper < 0
+
+
+def test_alignment_of_missing_identifiers(spark):
+    a = spark.createDataFrame([(1, "p"), (None, "q"), (3, "r")], "id long, v string")
+    b = spark.createDataFrame([(1, 0), (2, 1), (None, 2)], "id long, w int")
+    omit = sites.align({"a": a, "b": b}, "id", ref_server="b")
+    assert [r.v for r in omit.sites["a"].collect()] == ["p"]
+    none = sites.align({"a": a, "b": b}, "id", na_action="none")
+    assert sorted(r.v for r in none.sites["a"].collect()) == ["p", "q"] and sorted(r.w for r in none.sites["b"].collect()) == [0, 2]
+    with pytest.raises(ValueError, match="missing identifiers"):
+        sites.align({"a": a, "b": b}, "id", na_action="fail")
+
+
+def test_fisher_of_extreme_tables(spark):
+    none = spark.createDataFrame([(0, 10, 5, 5)], "a int, b int, c int, d int")
+    got = tables.fisher_test(none)
+    assert got["odds_ratio"] == 0 and got["lower"] == 0 and 0 < got["upper"] < 1.1 and abs(got["p_value"] - 0.0325077399) < 1e-9
+    with pytest.raises(ValueError):
+        tables.fisher_test(none, "both")
+
+
+def test_quantise_keeps_missing_missing(spark):
+    df = spark.createDataFrame([(0.0,), (None,), (float("nan"),), (9.0,), (-3.0,)], "x double")
+    assert [r[0] for r in df.select(collapse.quantise(F.col("x"), 0.0, 5.0, 8)).collect()] == [0, None, None, 255, 0]
