@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 
@@ -834,8 +835,8 @@ def interpolated_quantile(spark, sf_dir):
 
 @query("vert_lasso_binomial")
 def vert_lasso_binomial(spark, sf_dir):
-    beta = lasso.fit_glm(_binary(spark, sf_dir), "toxic", ["size", "english"], "binomial", 0.01, max_iter=40)
-    return _rows(spark, list(zip(("(Intercept)", "size", "english"), map(float, beta), strict=True)), "term string, estimate double")
+    beta = lasso.fit_glm(_binary(spark, sf_dir), "toxic", ["size", "english"], "binomial", 0.01, max_iter=2000, tol=1e-9)
+    return _rounded(spark.createDataFrame(list(zip(("(Intercept)", "size", "english"), map(float, beta), strict=True)), "term string, estimate double"), 4)
 
 
 # ------------------------------------------------------------------ SQL of fitted models and exact intervals
@@ -1259,3 +1260,46 @@ def distribution_values(spark, sf_dir):
     ]
     names = ("pnorm", "pchisq2", "pt2", "pf", "qt2", "qbeta", "qgamma", "qchisq", "lchoose", "digamma", "trigamma")
     return _rows(spark, rows, "c_nationkey int, " + ", ".join(f"{n} double" for n in names))
+
+_LMM_VALUE = """(n - 2) * ln((yy_ - c0_ * (c0_ * m11 - c1_ * m01) / (m00 * m11 - m01 * m01) - c1_ * (c1_ * m00 - c0_ * m01) / (m00 * m11 - m01 * m01)) / (n - 2)) + ld + ln(m00 * m11 - m01 * m01)"""
+
+
+def _lmm_at(source: str) -> str:
+    """Restricted likelihood of random intercepts at each variance ratio r of ``source``, by sums per cluster size."""
+    w = "r / (1 + k.n * r)"
+    cut = {"m00": ("n", "n * n"), "m01": ("sx", "n * sx"), "m11": ("sxx", "sx * sx"), "c0_": ("sy", "n * sy"), "c1_": ("sxy", "sx * sy"), "yy_": ("syy", "sy * sy")}
+    sums = ", ".join(f"sum({a if a != 'n' else 'k.n'}) - sum({w} * {b.replace('n *', 'k.n *').replace('* n', '* k.n')}) AS {name}" for name, (a, b) in cut.items())
+    return f"SELECT *, {_LMM_VALUE} AS value FROM (SELECT r, {sums}, sum(k.n) AS n, sum(ln(1 + k.n * r)) AS ld FROM ({source}), k GROUP BY r)"
+
+
+_LMM_GRID = "SELECT 0.0::DOUBLE AS r UNION ALL SELECT exp(-12 + 15 * j / 300.0::DOUBLE) FROM range(0, 301) g(j)"
+ORACLES["lmm"] = f"""{_R}d AS ({_ORDERS}), k AS (SELECT count(*)::DOUBLE AS n, sum(balance) AS sx, sum(price) AS sy, sum(balance * balance) AS sxx, sum(balance * price) AS sxy, sum(price * price) AS syy FROM d GROUP BY c_nationkey),
+grid AS ({_lmm_at(_LMM_GRID)}), best AS (SELECT arg_min(r, value) AS r FROM grid),
+it AS (SELECT 0 AS i, ln(r) - 0.06 AS lo, ln(r) + 0.06 AS hi FROM best WHERE r > 0 UNION ALL
+SELECT i + 1, CASE WHEN left_ < right_ THEN lo ELSE lo + (hi - lo) / 3 END, CASE WHEN left_ < right_ THEN hi - (hi - lo) / 3 ELSE hi END FROM (
+SELECT i, lo, hi, max(value) FILTER (WHERE side = 0) AS left_, max(value) FILTER (WHERE side = 1) AS right_ FROM (SELECT i, lo, hi, side, v.value FROM (
+SELECT i, lo, hi, side, exp(lo + (hi - lo) * (side + 1) / 3) AS r FROM it, (VALUES (0), (1)) s(side) WHERE i < 60) q, LATERAL ({_lmm_at("SELECT q.r AS r")}) v) GROUP BY i, lo, hi)),
+fin AS ({_lmm_at("SELECT coalesce((SELECT exp((lo + hi) / 2) FROM it WHERE i = 60), 0.0) AS r")}),
+f AS (SELECT *, (c0_ * m11 - c1_ * m01) / (m00 * m11 - m01 * m01) AS b0, (c1_ * m00 - c0_ * m01) / (m00 * m11 - m01 * m01) AS b1 FROM fin), g AS (SELECT *, (yy_ - c0_ * b0 - c1_ * b1) / (n - 2) AS s2 FROM f)
+SELECT '(Intercept)' AS term, round(b0, 6) AS estimate FROM g UNION ALL SELECT 'balance', round(b1, 6) FROM g UNION ALL SELECT 'sigma2', round(s2, 6) FROM g UNION ALL SELECT 'sigma_b2', round(r * s2, 6) FROM g"""
+
+_CRITERIA = " UNION ALL ".join(
+    f"SELECT '{k}' AS criterion, lam, n * ln(vy - 2 * (c1 * b1 + c2 * b2 + c3 * b3) + s11 * b1 * b1 + s22 * b2 * b2 + s33 * b3 * b3 + 2 * (s12 * b1 * b2 + s13 * b1 * b3 + s23 * b2 * b3)) + {p} * (a + 1){e} AS ic FROM v2"
+    for k, p, e in (("AIC", "2", ""), ("BIC", "ln(n)", ""), ("EBIC", "ln(n)", " + CASE WHEN a IN (1, 2) THEN ln(3) ELSE 0 END"))
+)
+ORACLES["vert_lasso_select"] = f"""{_LASSO}, v2 AS (SELECT fin.*, (b1 <> 0)::INTEGER + (b2 <> 0)::INTEGER + (b3 <> 0)::INTEGER AS a, w.n, w.vy FROM fin, (SELECT count(*)::DOUBLE AS n, var_pop(y) AS vy FROM v) w),
+ic AS ({_CRITERIA}), b AS (SELECT criterion, min(ic) AS least FROM ic GROUP BY 1)
+SELECT criterion, round(arg_min(lam, ic), 6) AS lambda_min, round(max(lam) FILTER (WHERE ic <= least + abs(least) * 0.02), 6) AS lambda_parsimonious FROM ic JOIN b USING (criterion) GROUP BY criterion"""
+ORACLES["dp_indirect_standardization_region"] = _STRATA + """, e AS (SELECT a + c AS e, b + d AS m FROM s)
+SELECT sum(e) AS observed, round(sum(0.1 * (e + m)), 6) AS expected, round(sum(e) / sum(0.1 * (e + m)), 6) AS ratio,
+round(sum(greatest(0, e - 2)) / sum(0.1 * (greatest(0, e - 2) + m + 2)), 6) AS lower, round(sum(e + 2) / sum(0.1 * (e + 2 + greatest(0, m - 2))), 6) AS upper FROM e"""
+_NOISE_SPEC = privacy.spec_hash({"family": "contingency", "row": "lang", "col": "toxic"})
+_DRAW = "floor(ln((CAST('0x' || substr(sha256(concat_ws('|', 'secret', '{seed}', '{tag}', row, col)), 1, 13) AS BIGINT) + 0.5) / power(16, 13)::DOUBLE) / {p!r})"
+_DRAWS = {t: _DRAW.format(seed=_NOISE_SPEC, tag=t, p=math.log(privacy.geometric_scale(1.0, 2.0))) for t in ("up", "down")}
+ORACLES["dp_noisy_contingency"] = _TABLE + f" SELECT row, col, CAST(greatest(0, n + {_DRAWS['up']} - {_DRAWS['down']}) AS BIGINT) AS n FROM t"
+#: The penalised fit with size alone, which the last condition proves optimal: no gain from the other predictor exceeds the penalty.
+_MU2 = "(1 / (1 + exp(-(b_0 + b_1 * size))))"
+_ACTIVE_STEP = f"""SELECT i, b_0, b_1, {checks.triangle(["1::DOUBLE", "size"], f"{_MU2} * (1 - {_MU2})")}, sum(y - {_MU2}) AS g_0, sum((y - {_MU2}) * size) - 0.01 * count(*) * sign(b_1) AS g_1 FROM it, d GROUP BY i, b_0, b_1"""
+ORACLES["vert_lasso_binomial"] = f"""{_R}d AS ({_BINARY}), {checks.steps(_ACTIVE_STEP, 2, 60, ["(SELECT ln(avg(y) / (1 - avg(y))) FROM d)", "0.01"])},
+k AS (SELECT b_0, b_1, abs(avg((y - {_MU2}) * english)) <= 0.01 AS optimal FROM fin, d GROUP BY b_0, b_1)
+SELECT '(Intercept)' AS term, round(b_0, 4) AS estimate FROM k WHERE optimal UNION ALL SELECT 'size', round(b_1, 4) FROM k WHERE optimal UNION ALL SELECT 'english', 0.0::DOUBLE FROM k WHERE optimal"""
