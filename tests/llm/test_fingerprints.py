@@ -60,3 +60,57 @@ def test_odd_rows(spark):
     assert fp.fingerprints(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     (only,) = fp.fingerprints(spark.createDataFrame([(9, "abcd")], "doc_id long, text string")).collect()
     assert only.edited_sha256 == hashlib.sha256(b"abab").hexdigest() and only.near_next == 1.0
+
+
+def plain_mix(x):
+    for _ in range(2):
+        x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & (2**64 - 1)
+    return x ^ (x >> 32)
+
+
+def plain_sketch(text):
+    """The fingerprint by a parser of its own: symbols in lists, one at a time."""
+    names = [plain_mix(ord(c)) for c in text]
+    for _ in range(fp.LEVELS):
+        runs = []
+        for n in names:
+            if runs and runs[-1][0] == n:
+                runs[-1][1] += 1
+            else:
+                runs.append([n, 1])
+        names = [n if k == 1 else plain_mix((n + k) % 2**64) for n, k in runs]
+        labels = names
+        for _ in range(4):
+            new = []
+            for i, v in enumerate(labels):
+                differ = v ^ labels[i - 1] if i else 1
+                low = (differ & -differ).bit_length() - 1
+                new.append(2 * low + (v >> low & 1))
+            labels = new
+        phrases = []
+        for i, n in enumerate(names):
+            if i == 0 or 0 < i < len(names) - 1 and labels[i - 1] < labels[i] > labels[i + 1]:
+                phrases.append([])
+            phrases[-1].append(n)
+        names = [plain_mix(sum(plain_mix(n ^ plain_mix(min(j, 255) + 1)) for j, n in enumerate(p)) % 2**64) for p in phrases]
+    slots = [0xFFFF] * fp.SLOTS
+    for n in names:
+        slots[n % fp.SLOTS] = min(slots[n % fp.SLOTS], min(n >> 16 & 0xFFFF, 0xFFFE))
+    return "".join(f"{v:04x}" for v in slots)
+
+
+def test_query_matches_a_plain_parser(spark):
+    texts = dict(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
+    ids = sorted(texts)
+    following = dict(zip(ids, [*ids[1:], ids[0]], strict=True))
+    for r in fp.op8_document_fingerprints(spark, SF).collect():
+        t, f = texts[r.doc_id], texts[following[r.doc_id]]
+        if len(t) > 6000:
+            continue  # the plain parser is slow; the lengths above are in the other tests
+        assert r.fingerprint == plain_sketch(t)
+        assert r.edited_fingerprint == plain_sketch(t[: len(t) - len(t) // 2] + f[: len(t) // 2])
+
+
+def test_plain_parser_on_odd_texts():
+    for text in ["", "a", "aa", "ab" * 50, "a" * 300 + "b", "é𝔸 ꙮ\n\t", "abc" * 100 + "x" * 9, "\u0000\u0001"]:
+        assert fp.shown(fp.sketches([text]))[0] == plain_sketch(text)
