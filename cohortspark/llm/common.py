@@ -95,12 +95,16 @@ HOT_SHARE = 2000
 _HOT_LEAST = 1000
 
 
-def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, how: str = "left") -> DataFrame:
+def join_facts(
+    rows: DataFrame, facts: DataFrame, keys: list[str], count: str, how: str = "left", scratch: list[str] | None = None, ready: bool = False
+) -> DataFrame:
     """``rows`` joined (left or inner) with ``facts``, which has one row per key and the number of rows of that key.
 
     Rows of hot keys do not meet in one task: the facts of these keys, fewer than ``HOT_SHARE`` by their
-    definition, are broadcast; all others are joined by shuffle. ``count`` is dropped.
+    definition, are broadcast; all others are joined by shuffle. ``count`` is dropped. The facts are read
+    several times and so written first, unless they are ``ready`` (read from a table as they are).
     """
+    facts = facts if ready else written(facts, "facts", scratch)
     total = facts.agg(F.sum(count)).first()[0] or 0
     is_hot = F.col(count) > max(total // HOT_SHARE, _HOT_LEAST)
     hot, cold = facts.where(is_hot).drop(count), facts.where(~is_hot).drop(count)

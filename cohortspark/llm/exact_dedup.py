@@ -69,7 +69,7 @@ def exact_dedup(
     )
     several = written(facts.groupBy("h").agg(F.count("*").alias("rows")).where("rows > 1"), "exact-several")
     groups = written(
-        join_facts(norm.withColumn("h", content_hash(F.col("norm"))), several, ["h"], "rows", "inner")
+        join_facts(norm.withColumn("h", content_hash(F.col("norm"))), several, ["h"], "rows", "inner", ready=True)
         .groupBy("h", "norm")
         .agg(F.max(_order(F.col("n"), F.col("doc_id"))).alias("best"), F.max("n").alias("most"), F.count("*").alias("c"))
         .select("h", F.sha2("norm", 256).alias("sha"), "norm", _keep_id(F.col("best"), F.col("most")).alias("keep_id"), "c"),

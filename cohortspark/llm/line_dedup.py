@@ -44,7 +44,7 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     )
     placed = lines.where("source is not null").select("line_key", "source")
     sketched = (
-        join_facts(placed, often.select("line_key", "c"), ["line_key"], "c", "inner")
+        join_facts(placed, often.select("line_key", "c"), ["line_key"], "c", "inner", ready=True)
         .groupBy("line_key")
         .agg(F.hll_sketch_estimate(F.hll_sketch_agg("source", F.lit(LG_K))).alias("sites"))
     )
@@ -80,7 +80,7 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     known = written(boilerplate_lines(docs.select("doc_id", "text", "source"), min_sites), "boilerplate")
     # Only keys travel: (doc, line key) of lines to remove, then one short array per document.
     keys = docs.select("doc_id", F.explode(F.array_distinct(F.transform(_lines(F.col("text")), _line_key))).alias("line_key"))
-    hits = join_facts(keys.where("line_key is not null"), known, ["line_key"], "c", "inner").where("doc_id is null or doc_id <> first_doc")
+    hits = join_facts(keys.where("line_key is not null"), known, ["line_key"], "c", "inner", ready=True).where("doc_id is null or doc_id <> first_doc")
     id_, cut_ = spare(docs, "id_of_cuts"), spare(docs, "cut_lines")
     cuts = hits.groupBy("doc_id").agg(F.collect_set("line_key").alias("c")).toDF(id_, cut_)
     joined = docs.join(cuts, F.col("doc_id").eqNullSafe(F.col(id_)), "left")

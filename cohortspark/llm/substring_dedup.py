@@ -157,7 +157,7 @@ def _classed(docs: DataFrame, scratch: list[str]) -> DataFrame:
     sets = written(_sets(wanted, docs), "band-sets", scratch)
     classes = ngram_join.connected(members, sets, NEAR, scratch)[1]
     named = nodes.join(classes, "node", "left").select("h1", "h2", "n", F.coalesce("component", "node").alias("component"))
-    return written(join_facts(places_, named, ["h1", "h2"], "n").drop("h1", "h2"), "classed", scratch)
+    return written(join_facts(places_, named, ["h1", "h2"], "n", scratch=scratch).drop("h1", "h2"), "classed", scratch)
 
 
 def _removed(classed: DataFrame, scratch: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -169,17 +169,17 @@ def _removed(classed: DataFrame, scratch: list[str]) -> tuple[DataFrame, DataFra
     lines = classed.where("line")
     of_lines = lines.groupBy("component").agg(F.min("doc_id").alias("keep_id"), F.max("doc_id").alias("hi"), F.count("*").alias("n"))
     of_lines = of_lines.where("keep_id < hi").drop("hi")
-    gone = written(join_facts(lines, of_lines, ["component"], "n").where("doc_id <> keep_id"), "lines-gone", scratch)
+    gone = written(join_facts(lines, of_lines, ["component"], "n", "inner", scratch).where("doc_id <> keep_id"), "lines-gone", scratch)
     passages = classed.where("not line")
     over = gone.select(*_PLACE, F.col("first").alias("a"), F.col("last").alias("b"))
     touched = passages.join(over, _PLACE).where("first < b and last > a").select("row").distinct().withColumn("touched", F.lit(True))
-    passages = passages.join(touched, "row", "left")
+    passages = written(passages.join(touched, "row", "left"), "passages-touched", scratch)
     free = F.col("touched").isNull()
     of_passages = passages.groupBy("component").agg(
         F.min(F.when(free, F.col("doc_id"))).alias("keep_id"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")
     )
     of_passages = of_passages.where("lo < hi and keep_id is not null").drop("lo", "hi")
-    both = written(join_facts(passages, of_passages, ["component"], "n").where("keep_id is not null"), "passages-classed", scratch)
+    both = written(join_facts(passages, of_passages, ["component"], "n", "inner", scratch), "passages-classed", scratch)
     kept = both.where("doc_id = keep_id and touched is null").groupBy("component").agg(F.min("row").alias("row"))
     return gone, both.where("doc_id <> keep_id"), kept
 
@@ -308,7 +308,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     for side, words in (("left", "before"), ("right", "after")):
         counts = runs.groupBy(side).agg(F.count("*").alias("n"))
         facts = contexts.select(F.col("component").alias(side), words).join(counts, side)
-        runs = join_facts(runs, facts, [side], "n")
+        runs = join_facts(runs, facts, [side], "n", scratch=scratch)
     found = written(_extended(runs, source).dropDuplicates(["doc_id", "text_hash", "start"]), "passages")
     discard(docs.sparkSession, scratch)
     return found
