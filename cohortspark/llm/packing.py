@@ -4,6 +4,7 @@ multiplicative weights with knapsack pricing, then rounded."""
 from __future__ import annotations
 
 import functools
+import gc
 import os
 import re
 import zlib
@@ -31,10 +32,12 @@ SHARE = 0.75
 
 # ---------------------------------------------------------------- tokens
 
-#: Byte-level BPE never joins across a space or line feed that a non-space follows, nor between a letter and a sign
-#: of punctuation: what stands between is tokenized alone. Spaces are cut away, other signs begin the next part.
-_SIGNS = "\n.,;:!?"
-_GAP = re.compile(r" (?=[^\s.,;:!?])|(?<=[A-Za-z])(?=[.,;:!?])|(?<=\S)(?=\n\S)")
+#: Parts of a text that byte-level BPE tokenizes alone: words of letters and digits with the space before them, and
+#: what stands between. An apostrophe or a second blank before a word stays with it, as what BPE makes of these
+#: depends on the word.
+_ALNUM = r"[^\W_]+(?:'[^\W_]+)*"
+_BETWEEN = r"(?:[^ \w]|_| (?![^\W_]))+"
+_PART = re.compile(rf" ?{_ALNUM}|{_BETWEEN}(?:(?:(?<=')|(?<=\s[^\S ])){_ALNUM})?")
 _WORDS_HELD, _CHARS_AT_ONCE = 250_000, 1_000_000
 
 
@@ -63,11 +66,13 @@ class WordTokens:
         self.path, self.held, self.older = path, {}, {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """A part is held by its letters, with the space before it in its ids (one that begins with a sign or a line
-        feed has none); the first part of a text is held with a space instead, which no other begins with."""
-        parts = [_GAP.split(t) for t in texts]
-        for p in parts:
-            p[0] = " " + p[0]
+        gc.disable()  # millions of strings, no cycles
+        try:
+            return self._encoded(list(map(_PART.findall, texts)))
+        finally:
+            gc.enable()
+
+    def _encoded(self, parts: list[list[str]]) -> list[bytes]:
         used = set(chain.from_iterable(parts))
         new = used.difference(self.held)
         if len(self.held) + len(new) > _WORDS_HELD:
@@ -75,8 +80,7 @@ class WordTokens:
         known = new.intersection(self.older)
         self.held.update((w, self.older[w]) for w in known)
         new = list(new.difference(known))
-        words = [w[1:] if w[0] == " " else w if w[0] in _SIGNS else " " + w for w in new]
-        for word, got in zip(new, _tokenizer(self.path).encode_batch_fast(words, add_special_tokens=False), strict=True):
+        for word, got in zip(new, _tokenizer(self.path).encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.held[word] = array("I", got.ids).tobytes()
         return [b"".join(map(self.held.__getitem__, p)) for p in parts]
 

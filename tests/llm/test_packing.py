@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter
 
@@ -6,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortspark.llm import packing
+from cohortspark.llm import packing as pk
 
 SF = "/root/testdata/sf0.001"
 TEXTS = [None, "", " lead", "a  b \n c　 d", "a\n \nb \n\n c", "x\x85 y\xa0 z", "trail  ", "é\x1c \x1d a", "word " * 3000, "same", "same"]
@@ -93,3 +95,23 @@ def test_plan_covers_exactly_and_is_near_the_bound(seed):
         else:
             bins[fit] -= n
     assert sum(t for t, _ in plan) <= len(bins) * 1.01 + 1
+
+
+def test_parts_tokenize_as_whole_texts():
+    rng = random.Random(1)
+    signs = [*"ab1 \n\t'_.,sé日Ⓐ²\u0301\xa0\r!-", "'s", "'ll", "  ", "\n\n", " '"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 14))) for _ in range(8000)]
+    path = pk.tokenizer_path()
+    plain = pk._tokenizer(path)
+    got = pk.WordTokens(path).encode(texts)
+    assert [np.frombuffer(b, "<u4").tolist() for b in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_tables_of_words_take_turns(monkeypatch):
+    monkeypatch.setattr(pk, "_WORDS_HELD", 50)
+    words = pk.WordTokens(pk.tokenizer_path())
+    texts = [f"word{i % 70} number{i} again, and it's so\n\nnew" for i in range(300)]
+    plain = pk._tokenizer(pk.tokenizer_path())
+    for t in texts:
+        assert np.frombuffer(words.encode([t])[0], "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+        assert len(words.held) <= 60 and len(words.older) <= 60
