@@ -38,7 +38,7 @@ SHARE = 0.75
 _ALNUM = r"[^\W_]+(?:'[^\W_]+)*"
 _BETWEEN = r"(?:[^ \w]|_| (?![^\W_]))+"
 _PART = re.compile(rf" ?{_ALNUM}|{_BETWEEN}(?:(?:(?<=')|(?<=\s[^\S ])){_ALNUM})?")
-_WORDS_HELD, _CHARS_AT_ONCE = 250_000, 1_000_000
+_WORDS_HELD, _CHARS_AT_ONCE = 400_000, 2_000_000
 
 
 @functools.cache
