@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,6 +83,22 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+#: Characters that a Python worker takes apart at a time.
+CHARS_AT_ONCE = 2_000_000
+
+
+def slices(texts: list[str]) -> Iterator[slice]:
+    """Runs of texts of about ``CHARS_AT_ONCE`` characters, and one text more at most."""
+    begin = chars = 0
+    for i, t in enumerate(texts):
+        chars += len(t)
+        if chars >= CHARS_AT_ONCE:
+            yield slice(begin, i + 1)
+            begin, chars = i + 1, 0
+    if begin < len(texts):
+        yield slice(begin, len(texts))
+
+
 def spare(df: DataFrame, name: str) -> str:
     """``name``, or ``name`` with underscores if ``df`` has such a column (Spark ignores case)."""
     taken = {c.lower() for c in df.columns}

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty, written
+from .common import slices, table, text_or_empty, written
 
 CAPACITY = 1024
 END_ID = 2
@@ -38,7 +38,7 @@ SHARE = 0.75
 _ALNUM = r"[^\W_]+(?:'[^\W_]+)*"
 _BETWEEN = r"(?:[^ \w]|_| (?![^\W_]))+"
 _PART = re.compile(rf" ?{_ALNUM}|{_BETWEEN}(?:(?:(?<=')|(?<=\s[^\S ])){_ALNUM})?")
-_WORDS_HELD, _CHARS_AT_ONCE = 400_000, 2_000_000
+_WORDS_HELD = 400_000
 
 
 @functools.cache
@@ -90,18 +90,6 @@ def _word_tokens(path: str) -> WordTokens:
     return WordTokens(path)
 
 
-def _slices(texts: list[str]) -> Iterator[slice]:
-    """Runs of texts of about ``_CHARS_AT_ONCE`` characters."""
-    begin = chars = 0
-    for i, t in enumerate(texts):
-        chars += len(t)
-        if chars >= _CHARS_AT_ONCE:
-            yield slice(begin, i + 1)
-            begin, chars = i + 1, 0
-    if begin < len(texts):
-        yield slice(begin, len(texts))
-
-
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): every document's ids and an end id, cut to the capacity.
 
@@ -116,7 +104,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             rows = []
-            for part in _slices(texts):
+            for part in slices(texts):
                 for doc_id, data in zip(ids[part], _word_tokens(path).encode(texts[part]), strict=True):
                     data += end
                     n = len(data) // 4

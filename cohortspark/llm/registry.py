@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints, line_dedup, ngram_join, packing, quality, sampled_pieces, secrets, substring_dedup, suffix_dedup
+from . import exact_dedup, fingerprints, line_dedup, ngram_join, packing, periodic_runs, quality, sampled_pieces, secrets, substring_dedup, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_document_fingerprints": fingerprints.op8_document_fingerprints,
     "op9_quality_classifier": quality.op9_quality_classifier,
     "op10_suffix_array_dedup": suffix_dedup.op10_suffix_array_dedup,
+    "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
