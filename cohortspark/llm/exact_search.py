@@ -276,9 +276,9 @@ def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = f"""
 WITH v AS (
-    SELECT vec_id, list_transform(embedding, x -> floor({SCALE} * x::DOUBLE)) AS v FROM embeddings
+    SELECT vec_id, [floor({SCALE} * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-      AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+      AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
 ), scored AS (
     SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
     FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % {QUERY_EVERY} = 0
