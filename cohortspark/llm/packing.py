@@ -3,6 +3,7 @@ multiplicative weights with knapsack pricing, then rounded."""
 
 from __future__ import annotations
 
+import base64
 import functools
 import gc
 import os
@@ -10,7 +11,7 @@ import re
 import zlib
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -24,6 +25,8 @@ from .common import slices, table, text_or_empty, written
 CAPACITY = 1024
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
+#: The same vocabulary as ranks, for words of ASCII characters, which are most; other libraries may know other letters.
+RANKS = "byte_bpe_50k.tiktoken"
 #: Rounds of multiplicative weights, and the weight's step.
 ROUNDS, STEP = 1500, 0.5
 #: Share of the fractional solution that is taken over; the rest leaves best fit the short lengths
@@ -49,6 +52,17 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@functools.cache
+def ascii_encoder(path: str) -> Callable[[str], list[int]]:
+    """Ids of an ASCII text by a file of ranks; no string in it is special."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as file:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    return tiktoken.Encoding("ascii", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
@@ -64,14 +78,31 @@ class WordTokens:
 
     def __init__(self, path: str) -> None:
         self.path, self.held, self.older = path, {}, {}
+        self.ascii = ascii_encoder(tokenizer_path(RANKS)) if path == tokenizer_path() else None
+        #: Strings that are tokens of their own wherever they stand, before anything else is looked at.
+        self.added = {t.content: (i, t) for i, t in _tokenizer(path).get_added_tokens_decoder().items()}
+        self.cut = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
+        #: Some added tokens take blanks along or need a word's edge; texts with such ones are left to the tokenizer whole.
+        self.plain = not any(t.lstrip or t.rstrip or t.single_word for _, t in self.added.values())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         gc.disable()  # millions of strings, no cycles
         try:
-            return self._encoded(list(map(_PART.findall, texts)))
+            special = {i for i, t in enumerate(texts) if any(a in t for a in self.added)}
+            got = self._encoded([_PART.findall("" if i in special else t) for i, t in enumerate(texts)])
+            for i in special:
+                got[i] = self._between_added(texts[i])
+            return got
         finally:
             gc.enable()
 
+    def _between_added(self, text: str) -> bytes:
+        if not self.plain:
+            return array("I", _tokenizer(self.path).encode(text, add_special_tokens=False).ids).tobytes()
+        own = [array("I", [self.added[a][0]]).tobytes() for a in self.cut.findall(text)]
+        rest = self._encoded(list(map(_PART.findall, self.cut.split(text))))
+        return rest[0] + b"".join(a + r for a, r in zip(own, rest[1:], strict=True))
+
     def _encoded(self, parts: list[list[str]]) -> list[bytes]:
         used = set(chain.from_iterable(parts))
         new = used.difference(self.held)
@@ -79,7 +110,11 @@ class WordTokens:
             self.older, self.held, new = self.held, {}, used
         known = new.intersection(self.older)
         self.held.update((w, self.older[w]) for w in known)
-        new = list(new.difference(known))
+        new = new.difference(known)
+        if self.ascii:
+            self.held.update((w, array("I", self.ascii(w)).tobytes()) for w in new if w.isascii())
+            new = [w for w in new if not w.isascii()]
+        new = list(new)
         for word, got in zip(new, _tokenizer(self.path).encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.held[word] = array("I", got.ids).tobytes()
         return [b"".join(map(self.held.__getitem__, p)) for p in parts]

@@ -10,7 +10,7 @@ from cohortspark.llm import packing
 from cohortspark.llm import packing as pk
 
 SF = "/root/testdata/sf0.001"
-TEXTS = [None, "", " lead", "a  b \n c　 d", "a\n \nb \n\n c", "x\x85 y\xa0 z", "trail  ", "é\x1c \x1d a", "word " * 3000, "same", "same"]
+TEXTS = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>\n", None, "", " lead", "a  b \n c　 d", "a\n \nb \n\n c", "x\x85 y\xa0 z", "trail  ", "é\x1c \x1d a", "word " * 3000, "same", "same"]
 
 
 def ids(text):
@@ -99,7 +99,7 @@ def test_plan_covers_exactly_and_is_near_the_bound(seed):
 
 def test_parts_tokenize_as_whole_texts():
     rng = random.Random(1)
-    signs = [*"ab1 \n\t'_.,sé日Ⓐ²\u0301\xa0\r!-", "'s", "'ll", "  ", "\n\n", " '"]
+    signs = [*"ab1 \n\t'_.,sé日Ⓐ²\u0301\xa0\r!-", "'s", "'ll", "  ", "\n\n", " '", "<|endoftext|>", "<|endoftext", "|>"]
     texts = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 14))) for _ in range(8000)]
     path = pk.tokenizer_path()
     plain = pk._tokenizer(path)
@@ -107,6 +107,13 @@ def test_parts_tokenize_as_whole_texts():
     assert [np.frombuffer(b, "<u4").tolist() for b in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_an_added_token_is_one_id_as_the_tokenizer_says(spark):
+    docs = spark.createDataFrame([(1, "a <|endoftext|> b"), (2, "<|endoftext|>" * 3000)], "doc_id long, text string")
+    rows = pk.pieces(docs).collect()
+    assert [r.length for r in rows if r.doc_id == 1] == [len(pk._tokenizer(pk.tokenizer_path()).encode("a <|endoftext|> b", add_special_tokens=False).ids) + 1] == [5]
+    assert sum(r.length for r in rows if r.doc_id == 2) == 3001
+
+
 def test_tables_of_words_take_turns(monkeypatch):
     monkeypatch.setattr(pk, "_WORDS_HELD", 50)
     words = pk.WordTokens(pk.tokenizer_path())
