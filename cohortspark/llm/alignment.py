@@ -8,6 +8,7 @@ import gc
 import hashlib
 import os
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import chain
 
@@ -19,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import small_batches, table, text_or_empty, written
+from .packing import ascii_encoder, tokenizer_path
 
 BYTE_MODEL, BYTE_RANKS, PIECE_MODEL = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 #: Characters of a unit: the documents whose distinct chunks are aligned together, and whose pairs are one row.
@@ -36,34 +38,26 @@ PAIR = 2**32
 # ---------------------------------------------------------------- tokens
 
 
-def token_path(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 class Tokenizers:
     """Ids of space and chunk by both tokenizers, and the bytes of every id."""
 
     def __init__(self, byte_model: str, byte_ranks: str, piece_model: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
         import sentencepiece
-        import tiktoken
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(byte_model)
         self.whole.encode_special_tokens = True  # their strings in a text are plain text
         with open(byte_ranks, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        # The same vocabulary and merges. Only for ASCII: elsewhere the libraries may know other letters.
-        self.ascii = tiktoken.Encoding("ascii", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.a_bytes = [b""] * self.whole.get_vocab_size()
+        self.ascii = ascii_encoder(byte_ranks)
+        self.a_bytes = [b""] * max(self.whole.get_vocab_size(), sentencepiece.SentencePieceProcessor(model_file=piece_model).vocab_size())
         for piece, i in ranks.items():
             self.a_bytes[i] = piece
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=piece_model)
         self.b_bytes = [self._piece(i) for i in range(self.pieces.vocab_size())]
-        self.a_sizes, self.b_sizes = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes))
+        self.shown = [m + str(i) for m in _MARKS for i in range(len(self.a_bytes))]  # of a B id too: there are fewer of them
+        self.a_sizes, self.b_sizes, self.shown_sizes = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes, self.shown))
 
     def _piece(self, i: int) -> bytes:
         piece = self.pieces.id_to_piece(i)
@@ -93,68 +87,80 @@ def chunks_of(text: str) -> list[str]:
 
 # ---------------------------------------------------------------- intervals
 
-#: Every first token that begins in a B token or at its start (ASOF), and every B token that begins inside an A token (range).
+#: Each A token with the B token in which it begins (ASOF), and with every B token that begins inside it (range).
 _LINKS = """
-SELECT a.chunk, a.id * 4294967296 + b.id AS pair FROM a ASOF JOIN b ON a.start >= b.start
-UNION ALL
-SELECT a.chunk, a.id * 4294967296 + b.id FROM a JOIN b ON b.start > a.start AND b.start < a.stop
-ORDER BY chunk, pair
+SELECT chunk, pair FROM (
+    SELECT a.chunk, a.id * 4294967296 + b.id AS pair FROM a ASOF JOIN b ON a.start >= b.start
+    UNION ALL
+    SELECT a.chunk, a.id * 4294967296 + b.id FROM a JOIN b ON b.start > a.start AND b.start < a.stop
+) ORDER BY chunk
 """
 
-#: Both sides' tokens in order of groups: a group ends where tokens of both sides end, so its number is a running sum of such ends.
+#: A group ends where tokens of both sides end; a token's group is the number of such ends before it: a running sum.
 _GROUPS = """
-WITH cut AS (SELECT stop FROM a INTERSECT SELECT stop FROM b),
-both_sides AS (
-    SELECT 0 AS side, n, chunk, id, stop, stop IN (SELECT stop FROM cut) AS ends FROM a
-    UNION ALL SELECT 1, n, chunk, id, stop, stop IN (SELECT stop FROM cut) FROM b
-)
-SELECT side, chunk, id, coalesce(sum(ends::INT) OVER (PARTITION BY side ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS grp
-FROM both_sides ORDER BY grp, side, n
+SELECT coalesce(sum((stop IN (SELECT stop FROM {other}))::INT) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS grp
+FROM {own} ORDER BY n
 """
 
+#: What stands before an id in a document's groups: nothing at the start of a chunk, then by what begins with it.
+_MARKS = ("", ";", "|", ",")
 
-def _intervals(ids: list[list[int]], sizes: np.ndarray) -> dict[str, np.ndarray]:
-    """Table of tokens: number, chunk, id, and bytes from start to stop, all chunks one behind the other."""
+
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     counts = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter(chain.from_iterable(ids), np.int64, int(counts.sum()))
+    return np.fromiter(chain.from_iterable(ids), np.int64, int(counts.sum())), counts
+
+
+def _intervals(flat: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray]:
+    """Table of tokens: number, chunk, id, and bytes from start to stop, all chunks one behind the other."""
     stop = np.cumsum(sizes[flat])
-    return {"n": np.arange(len(flat)), "chunk": np.repeat(np.arange(len(ids)), counts), "id": flat, "start": stop - sizes[flat], "stop": stop}
+    return {"n": np.arange(len(flat)), "chunk": np.repeat(np.arange(len(counts)), counts), "id": flat, "start": stop - sizes[flat], "stop": stop}
+
 
+def _same(flat: np.ndarray, counts: np.ndarray, table: list[bytes], sizes: np.ndarray, text: list[bytes]) -> np.ndarray:
+    """Whether the tokens' bytes are the text, for each chunk."""
+    lengths = _sums(sizes[flat], np.cumsum(counts))
+    whole, ends = b"".join(map(table.__getitem__, flat.tolist())), np.cumsum(lengths)
+    if (lengths == np.fromiter(map(len, text), np.int64, len(text))).all() and whole == b"".join(text):
+        return np.ones(len(text), bool)
+    return np.array([whole[e - n : e] == t for e, n, t in zip(ends.tolist(), lengths.tolist(), text, strict=True)], bool)
 
-def align_chunks(chunks: list[str], tokens: Tokenizers) -> list[tuple | None]:
-    """For each chunk (number of A tokens, of B tokens, of groups, groups as text, pairs as bytes); None where bytes differ."""
+
+def align_chunks(chunks: list[str], tokens: Tokenizers) -> list[tuple | bool]:
+    """For each chunk (number of A tokens, of B tokens, of groups, groups as text, pairs as bytes); False where bytes differ."""
     import duckdb
 
     ids_a, ids_b = tokens.encode(chunks)
-    out: list[tuple | None] = [None] * len(chunks)
     text = [b" " + c.encode() for c in chunks]
-    right = [
-        i
-        for i, (c, a, b) in enumerate(zip(text, ids_a, ids_b, strict=True))
-        if b"".join(map(tokens.a_bytes.__getitem__, a)) == c and b"".join(map(tokens.b_bytes.__getitem__, b)) == c
-    ]
-    if not right:
+    (flat_a, counts_a), (flat_b, counts_b) = _flat(ids_a), _flat(ids_b)
+    right = _same(flat_a, counts_a, tokens.a_bytes, tokens.a_sizes, text) & _same(flat_b, counts_b, tokens.b_bytes, tokens.b_sizes, text)
+    if not right.all():
+        out: list[tuple | bool] = [False] * len(chunks)
+        at = np.flatnonzero(right).tolist()
+        for i, got in zip(at, align_chunks([chunks[i] for i in at], tokens) if at else [], strict=True):
+            out[i] = got
         return out
-    a, b = _intervals([ids_a[i] for i in right], tokens.a_sizes), _intervals([ids_b[i] for i in right], tokens.b_sizes)
+    a, b = _intervals(flat_a, counts_a, tokens.a_sizes), _intervals(flat_b, counts_b, tokens.b_sizes)
     with duckdb.connect(config={"threads": 1}) as db:
         db.register("a", pa.table(a))
         db.register("b", pa.table(b))
         links = db.sql(_LINKS).fetchnumpy()
-        groups = db.sql(_GROUPS).fetchnumpy()
-    n = np.arange(len(right) + 1)
-    n_a, n_b = np.bincount(a["chunk"], minlength=len(right)), np.bincount(b["chunk"], minlength=len(right))
-    link_at = np.searchsorted(links["chunk"], n)
-    pairs = np.ascontiguousarray(links["pair"], np.int64)
-    side, grp, of = groups["side"], groups["grp"], groups["chunk"]
+        grp_a, grp_b = (db.sql(_GROUPS.format(own=x, other=y)).fetchnumpy()["grp"] for x, y in (("a", "b"), ("b", "a")))
+    grp = np.concatenate((grp_a, grp_b))
+    order = np.argsort(grp, kind="stable")  # of two sorted runs; A's tokens come first
+    grp, of, side = grp[order], np.concatenate((a["chunk"], b["chunk"]))[order], order >= len(grp_a)
     new_group = np.diff(grp, prepend=-1) != 0
-    new_side, new_chunk = np.diff(side, prepend=0) != 0, np.diff(of, prepend=-1) != 0
-    marks = np.where(new_chunk, "", np.where(new_group, ";", np.where(new_side, "|", ","))).tolist()
-    parts = [m + str(i) for m, i in zip(marks, groups["id"].tolist(), strict=True)]
-    at = np.searchsorted(of, n).tolist()
-    n_groups = np.bincount(of[new_group], minlength=len(right))
-    for k, (i, na, nb, ng) in enumerate(zip(right, n_a.tolist(), n_b.tolist(), n_groups.tolist(), strict=True)):
-        out[i] = (na, nb, ng, "".join(parts[at[k] : at[k + 1]]), pairs[link_at[k] : link_at[k + 1]].tobytes())
-    return out
+    mark = np.where(np.diff(of, prepend=-1) != 0, 0, np.where(new_group, 1, np.where(np.diff(side, prepend=False), 2, 3)))
+    code = mark * len(tokens.a_bytes) + np.concatenate((flat_a, flat_b))[order]
+    shown = "".join(map(tokens.shown.__getitem__, code.tolist()))
+    n = np.arange(len(chunks) + 1)
+    at = np.concatenate(([0], np.cumsum(tokens.shown_sizes[code])))[np.searchsorted(of, n)].tolist()
+    pairs, cut = links["pair"].tobytes(), (8 * np.searchsorted(links["chunk"], n)).tolist()
+    n_groups = np.bincount(of[new_group], minlength=len(chunks)).tolist()
+    return [
+        (na, nb, ng, shown[s:e], pairs[p:q])
+        for na, nb, ng, s, e, p, q in zip(counts_a.tolist(), counts_b.tolist(), n_groups, at, at[1:], cut, cut[1:], strict=False)
+    ]
 
 
 class Aligner:
@@ -163,17 +169,20 @@ class Aligner:
     def __init__(self, paths: tuple[str, ...]) -> None:
         self.tokens, self.held, self.older = _tokenizers(*paths), {}, {}
 
-    def aligned(self, chunks: list[str]) -> list[tuple | None]:
-        found = {c: self.held[c] if c in self.held else self.older[c] for c in chunks if c in self.held or c in self.older}
-        new = [c for c in chunks if c not in found]
+    def aligned(self, chunks: list[str]) -> list[tuple | bool]:
+        found = list(map(self.held.get, chunks))
+        missing = [i for i, f in enumerate(found) if f is None]
+        for i in missing:
+            found[i] = self.older.get(chunks[i])
+        new = [i for i in missing if found[i] is None]
         for begin in range(0, len(new), CHUNKS_AT_ONCE):
             part = new[begin : begin + CHUNKS_AT_ONCE]
-            found.update(zip(part, align_chunks(part, self.tokens), strict=True))
-        keep = {c: v for c, v in found.items() if len(c) <= CHUNK_CHARS and c not in self.held}
-        if len(self.held) + len(keep) > CHUNKS_HELD:
+            for i, got in zip(part, align_chunks([chunks[i] for i in part], self.tokens), strict=True):
+                found[i] = got
+        if len(self.held) + len(missing) > CHUNKS_HELD:
             self.older, self.held = self.held, {}
-        self.held.update(keep)
-        return [found[c] for c in chunks]
+        self.held.update((chunks[i], found[i]) for i in missing if len(chunks[i]) <= CHUNK_CHARS)
+        return found
 
 
 @functools.cache
@@ -203,10 +212,11 @@ def _unit(unit: int, ids: list, texts: list[str], aligner: Aligner) -> dict[str,
     ``pairs`` of each chunk's links; both end at ``ref_ends`` and ``chunk_ends``. ``counts`` are
     the pairs' links in the unit.
     """
-    number: dict[str, int] = {}
-    refs = [[number.setdefault(c, len(number)) for c in chunks_of(t)] if t else [] for t in texts]
+    number: defaultdict[str, int] = defaultdict()
+    number.default_factory = number.__len__
+    refs = [list(map(number.__getitem__, chunks_of(t))) if t else [] for t in texts]
     found = aligner.aligned(list(number))
-    wrong = {i for i, f in enumerate(found) if f is None}
+    wrong = {i for i, f in enumerate(found) if not f}
     if wrong:
         refs = [[] if any(r in wrong for r in set(doc)) else doc for doc in refs]
         found = [f or (0, 0, 0, "", b"") for f in found]
@@ -258,7 +268,7 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str
 
 
 def _paths(byte_model: str | None, byte_ranks: str | None, piece_model: str | None) -> tuple[str, ...]:
-    return byte_model or token_path(BYTE_MODEL), byte_ranks or token_path(BYTE_RANKS), piece_model or token_path(PIECE_MODEL)
+    return byte_model or tokenizer_path(BYTE_MODEL), byte_ranks or tokenizer_path(BYTE_RANKS), piece_model or tokenizer_path(PIECE_MODEL)
 
 
 def units(docs: DataFrame, paths: tuple[str, ...]) -> DataFrame:
@@ -350,7 +360,7 @@ def align(docs: DataFrame, byte_model: str | None = None, byte_ranks: str | None
 def aligned_groups(text: str, byte_model: str | None = None, byte_ranks: str | None = None, piece_model: str | None = None) -> list[tuple[list[int], list[int]]]:
     """The groups of one text: (A ids, B ids), in order. For a look at single texts."""
     found = align_chunks(chunks_of(text), _tokenizers(*_paths(byte_model, byte_ranks, piece_model))) if text else []
-    if any(f is None for f in found):
+    if not all(found):
         return []
     return [tuple([int(i) for i in s.split(",")] for s in g.split("|")) for f in found for g in f[3].split(";")]
 
