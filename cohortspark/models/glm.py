@@ -206,6 +206,8 @@ def correlation_from_gram(row, variables: list[str]) -> np.ndarray:
     full = np.block([[g[1:, 1:], c[1:, None]], [c[None, 1:], np.array([[got["yy"]]])]])
     mean = np.append(g[0, 1:], c[0]) / n
     cov = full / n - np.outer(mean, mean)
+    if n < 2 or (flat := [v for v, c, f in zip(variables, np.diag(cov), np.diag(full), strict=True) if c <= 1e-12 * max(f / n, np.finfo(float).tiny)]):
+        raise NotIdentifiable(f"no variance, so no correlation: {flat if n >= 2 else variables}")
     scale = np.sqrt(np.diag(cov))
     out = cov / np.outer(scale, scale)
     np.fill_diagonal(out, 1.0)
@@ -224,6 +226,8 @@ def pca(correlation: np.ndarray, names: list[str], components: int | None = None
     moved = radius * math.sqrt(p * (p - 1))
     total = values.sum()
     out = []
+    if components is not None and not 1 <= components <= p:
+        raise ValueError(f"components is 1 to {p}")
     for i in range(components or p):
         v = vectors[:, i] * (1 if vectors[np.argmax(np.abs(vectors[:, i])), i] > 0 else -1)
         gap = values[i] - values[i + 1] if i + 1 < p else values[i]

@@ -21,10 +21,11 @@ MAX_PUBLIC = 10_000
 
 
 def public(df: DataFrame) -> DataFrame:
-    """``df``, or an error if it has more rows than a public domain may."""
-    if df.limit(MAX_PUBLIC + 1).count() > MAX_PUBLIC:
+    """``df`` as a local table, or an error if it has more rows than a public domain may. Its source is read once."""
+    rows = df.limit(MAX_PUBLIC + 1).collect()
+    if len(rows) > MAX_PUBLIC:
         raise ValueError(f"more than {MAX_PUBLIC} strata or levels")
-    return df
+    return df.sparkSession.createDataFrame(rows, df.schema)
 
 
 def cells(table: DataFrame, exposed: str, event: str) -> DataFrame:
@@ -289,57 +290,80 @@ def chi_squared_test(table: DataFrame, correct: bool = True) -> dict:
     return {"statistic": stat, "df": df, "p_value": chisq_sf(stat, df), "status": "tested"}
 
 
+#: Replicates that are drawn as one array; each such block has a seed of its own.
+_BLOCK = 500
+
+
+def fixed_margins(rng: np.random.Generator, rows: np.ndarray, cols: np.ndarray, size: int) -> np.ndarray:
+    """``size`` tables with both margins fixed, under independence: cell after cell from hypergeometric laws, all tables at once."""
+    out = np.zeros((size, len(rows), len(cols)), np.int64)
+    left = np.tile(cols.astype(np.int64), (size, 1))
+    for i, total in enumerate(rows[:-1]):
+        need = np.full(size, int(total))
+        for j in range(len(cols) - 1):
+            out[:, i, j] = rng.hypergeometric(left[:, j], left[:, j + 1 :].sum(1), need)
+            need -= out[:, i, j]
+            left[:, j] -= out[:, i, j]
+        out[:, i, -1] = need
+        left[:, -1] -= need
+    out[:, -1] = left
+    return out
+
+
 def bootstrap_test(
     table: DataFrame, radius_scale: float = 0.0, simulations: int = 9999, correct: bool = True, fisher: bool = False, seed: int = 1
 ) -> dict:
     """Parametric-bootstrap p-value (exceedances + 1) / (simulations + 1), replicates dealt over the cluster.
 
-    Under independence with the table's margins; ``fisher`` draws a 2x2 table with both margins fixed and
-    uses the signed root statistic. ``radius_scale`` is the scale of two-sided geometric noise that the
-    released cells carry, added to every replicate as well. Replicates are seeded one by one.
+    Under independence with the table's margins; ``fisher`` draws tables of any number of rows and columns with
+    both margins fixed, and uses the root statistic of the first cell for 2x2 tables, chi-squared for others.
+    ``radius_scale`` is the scale of two-sided geometric noise that the released cells carry, added to every
+    replicate as well. Blocks of replicates are seeded one by one, so the p-value is the same however
+    they are dealt out.
     """
-    pdf = table.toPandas().pivot_table(index="row", columns="col", values="n", aggfunc="sum").fillna(0)
+    cells_ = public(table).collect()
+    pdf = pd.DataFrame([(r["row"], r["col"], r["n"]) for r in cells_], columns=["row", "col", "n"]).pivot_table(index="row", columns="col", values="n", aggfunc="sum").fillna(0)
     observed = pdf.to_numpy(float)
     total = math.floor(observed.sum() + 0.5)
     p_row, p_col = observed.sum(1) / max(observed.sum(), 1), observed.sum(0) / max(observed.sum(), 1)
     if total <= 0 or (total * np.outer(p_row, p_col)).min() < 5:
         return {"statistic": None, "p_value": None, "status": "not_tested"}
-
-    def statistic(x: np.ndarray) -> float:
-        t = x.sum()
-        if t <= 0:
-            return math.inf
-        e = np.outer(x.sum(1), x.sum(0)) / t
-        if e.min() <= 0:
-            return math.inf  # an invalid refit counts as an exceedance
-        if fisher:
-            return abs(x[0, 0] - e[0, 0]) / math.sqrt(e[0, 0])
-        gap = np.abs(x - e)
-        if correct and x.shape == (2, 2):
-            gap -= min(0.5, gap.min())
-        return float((gap * gap / e).sum())
-
-    seen = statistic(observed)
+    four = observed.shape == (2, 2)
+
+    def statistics(x: np.ndarray) -> np.ndarray:
+        """Of each table in ``x``; an invalid refit counts as an exceedance."""
+        t = x.sum(axis=(1, 2))
+        e = x.sum(axis=2)[:, :, None] * x.sum(axis=1)[:, None, :] / np.maximum(t, 1)[:, None, None]
+        valid = (t > 0) & (e.min(axis=(1, 2)) > 0)
+        e = np.where(valid[:, None, None], e, 1.0)
+        if fisher and four:
+            out = np.abs(x[:, 0, 0] - e[:, 0, 0]) / np.sqrt(e[:, 0, 0])
+        else:
+            gap = np.abs(x - e)
+            if correct and four:
+                gap = gap - np.minimum(0.5, gap.min(axis=(1, 2)))[:, None, None]
+            out = (gap * gap / e).sum(axis=(1, 2))
+        return np.where(valid, out, math.inf)
+
+    seen = float(statistics(observed[None])[0])
 
     def run(batches):
-        for pdf_ in batches:
-            out = []
-            for i in pdf_.id:
-                rng = np.random.default_rng((seed, int(i)))
+        for blocks in batches:
+            hits = []
+            for block in blocks.id:
+                rng, size = np.random.default_rng((seed, int(block))), min(_BLOCK, simulations - int(block) * _BLOCK)
                 if fisher:
-                    rows, cols = np.rint(observed.sum(1)).astype(int), np.rint(observed.sum(0)).astype(int)
-                    first = rng.hypergeometric(cols[0], cols[1], rows[0])
-                    x = np.array([[first, rows[0] - first], [cols[0] - first, cols[1] - rows[0] + first]], float)
+                    x = fixed_margins(rng, np.rint(observed.sum(1)), np.rint(observed.sum(0)), size).astype(float)
                 else:
-                    x = rng.multinomial(total, np.outer(p_row, p_col).ravel()).reshape(observed.shape).astype(float)
+                    x = rng.multinomial(total, np.outer(p_row, p_col).ravel(), size).reshape(size, *observed.shape).astype(float)
                 if radius_scale > 0:
                     stop = 1 - math.exp(-1 / radius_scale)
                     x = np.maximum(x + rng.geometric(stop, x.shape) - rng.geometric(stop, x.shape), 0)
-                out.append(int(statistic(x) >= seen - 1e-12))
-            yield pd.DataFrame({"hit": out})
+                hits.append(int((statistics(x) >= seen - 1e-12).sum()))
+            yield pd.DataFrame({"hit": hits})
 
-    hits = table.sparkSession.range(simulations).mapInPandas(run, "hit int").agg(F.sum("hit")).first()[0]
-    return {"statistic": float(seen), "p_value": float((hits + 1) / (simulations + 1)), "status": "tested", "exceedances": int(hits)}
+    hits = table.sparkSession.range(-(-simulations // _BLOCK)).mapInPandas(run, "hit int").agg(F.sum("hit")).first()[0] or 0
+    return {"statistic": seen, "p_value": float((hits + 1) / (simulations + 1)), "status": "tested", "exceedances": int(hits)}
 
 
 def fisher_odds_ratio(four: DataFrame) -> DataFrame:
@@ -530,13 +554,25 @@ def indirect_risk(strata: DataFrame, radius: float = 0.0) -> DataFrame:
 
 
 def interpolated_quantiles(hist: DataFrame, probs: list[float]) -> DataFrame:
-    """(variable, prob, value): linear within the bin that holds the quantile; the first bin starts at its own end."""
+    """(variable, prob, value): linear within the bin that holds the quantile.
+
+    ``hist`` (variable, bin, upper, n) may have a column ``lower``, where the grid begins: without it the
+    first bin starts at its own end. Mass in bin -1 lies below the grid, and mass in a later bin whose ``upper``
+    is null above it: both count in the total, and a quantile that falls into them is the grid's lower end (the
+    first bin's end, without ``lower``) or upper end. Bin 0 (units without a value) is left out.
+    """
     w = W.partitionBy("variable").orderBy("bin")
-    t = hist.where("bin > 0").withColumns({
+    whole = W.partitionBy("variable")
+    inside = F.col("bin") > 0
+    first = F.min(F.when(inside, F.col("upper"))).over(whole)
+    begin = F.coalesce(F.min("lower").over(whole), first) if "lower" in hist.columns else first
+    last = F.max(F.when(inside, F.col("upper"))).over(whole)
+    t = hist.where("bin <> 0").withColumns({
         "cum": F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0)),
-        "total": F.sum("n").over(W.partitionBy("variable")),
-        "start": F.coalesce(F.lag("upper").over(w), F.col("upper")),
-    })
+        "total": F.sum("n").over(whole),
+        "start": F.when(~inside, begin).when(F.col("upper").isNull(), last).otherwise(F.greatest(F.coalesce(F.lag("upper").over(w), begin), begin)),
+        "end": F.when(~inside, begin).when(F.col("upper").isNull(), last).otherwise(F.col("upper")),
+    }).drop("upper").withColumnRenamed("end", "upper")
     t = t.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
     share = (F.col("prob") * F.col("total") - (F.col("cum") - F.col("n"))) / F.col("n")
     value = F.col("start") + F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)) * (F.col("upper") - F.col("start"))
