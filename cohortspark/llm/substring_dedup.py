@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import ngram_join
 from .common import NEAR, SHINGLE_WORDS, discard, join_facts, spare, table, text_or_empty, written
-from .words import _PLACES, _mix, grams, hashed_places, local_minima, word_hashes
+from .words import _PLACES, _mix, grams, grams_at, hashed_places, local_minima, word_hashes
 
 #: Bands of a line and rows of a band; a pair at the similarity asked for shares a band with chance 1 - (1 - 0.8^3)^8 = 0.997.
 BANDS, ROWS = 8, 3
@@ -208,34 +208,85 @@ def _runs(gone: DataFrame) -> DataFrame:
     return listed.mapInArrow(run, "doc_id long, tie long, first int, last int, keep_ids array<long>, left long, right long")
 
 
-def _contexts(kept: DataFrame, lines_gone: DataFrame, docs: DataFrame) -> DataFrame:
-    """(component, before, after): hashes of the words around kept passages (doc_id, tie, first, last, component), up to lines that go."""
+def _contexts(kept: DataFrame, spans: DataFrame, docs: DataFrame) -> DataFrame:
+    """(component, head, tail, before, after) of kept passages (doc_id, tie, first, last, component, outer).
+
+    ``head`` and ``tail`` are hashes of the eight words around the passage's ends. ``before`` and
+    ``after`` are hashes of the words around an ``outer`` one. All stop at words that go from this document: what
+    they hold stands here, next to the passage.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text, rows, gone in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 hashes = word_hashes(text.as_py())
+                stops = np.zeros(hashes.size + 1, np.int64)
+                for g in gone or ():
+                    stops[g["first"]] += 1
+                    stops[g["last"]] -= 1
+                away = np.flatnonzero(np.cumsum(stops)[:-1] > 0)
                 for row in rows:
                     a, b = row["first"], row["last"]
-                    low = max([a - CONTEXT, 0, *(g["last"] for g in gone or () if g["last"] <= a)])
-                    high = min([b + CONTEXT, hashes.size, *(g["first"] for g in gone or () if g["first"] >= b)])
-                    out.append((row["component"], hashes[low:a].tobytes(), hashes[b:high].tobytes()))
-            cols = list(zip(*out, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["component", "before", "after"])
-
-    listed = kept.groupBy(*_PLACE).agg(F.collect_set(F.struct("component", "first", "last")).alias("rows"))
-    gone = lines_gone.groupBy(*_PLACE).agg(F.collect_set(F.struct("first", "last")).alias("gone"))
+                    at = int(np.searchsorted(away, a))
+                    low = max(a - CONTEXT, int(away[at - 1]) + 1 if at else 0)
+                    high = min(b + CONTEXT, int(away[at]) if at < away.size else hashes.size)
+                    head = _seam(hashes, a) if a - low >= SEAM else None
+                    tail = _seam(hashes, b) if high - b >= SEAM else None
+                    around = (hashes[low:a].tobytes(), hashes[b:high].tobytes()) if row["outer"] else (None, None)
+                    out.append((row["component"], head, tail, *around))
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["component", "head", "tail", "before", "after"])
+
+    listed = kept.groupBy(*_PLACE).agg(F.collect_set(F.struct("component", "first", "last", "outer")).alias("rows"))
+    gone = spans.groupBy(*_PLACE).agg(F.collect_set(F.struct("first", "last")).alias("gone"))
     return (
         _with_texts(listed.join(gone, _PLACE, "left"), docs)
         .select("text", "rows", "gone")
-        .mapInArrow(run, "component long, before binary, after binary")
+        .mapInArrow(run, "component long, head long, tail long, before binary, after binary")
         .dropDuplicates(["component"])
     )
 
 
-def _extended(runs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Final rows: runs with the words of their keepers' contexts that stand beside them too, ``MIN_WORDS`` or more."""
+#: Words on either side of a seam: a run of five words over it lies within these.
+SEAM = SHINGLE_WORDS - 1
+
+
+def _seam(hashes: np.ndarray, at: int) -> int:
+    """A hash of the words around ``at``, ``SEAM`` on either side."""
+    return int(grams_at(hashes, np.array([at - SEAM]), 2 * SEAM, 3).view(np.int64)[0])
+
+
+def _rows_of(units: list[dict], hashes: np.ndarray) -> list[list]:
+    """[first, last, keep_ids] of stretches that can go whole: every five words in one stand next to each other where they are kept.
+
+    Units that only touch are parted, unless the keeper of one has the same words around the seam.
+    """
+    rows: list[list] = []
+    tail = None  # of the unit that ends the last row
+    for u in sorted(units, key=lambda u: (u["first"], -u["last"])):
+        a, b = u["first"], u["last"]
+        if rows and b <= rows[-1][1]:
+            rows[-1][2].add(u["keep_id"])
+            continue
+        end = rows[-1][1] if rows else -1
+        seam = _seam(hashes, a) if a == end and (tail is not None or u["head"] is not None) and SEAM <= a <= hashes.size - SEAM else None
+        if rows and (end - a >= SEAM or seam is not None and seam in (tail, u["head"])):
+            rows[-1][1] = b
+            rows[-1][2].add(u["keep_id"])
+        else:
+            rows.append([max(a, end), b, {u["keep_id"]}])
+        tail = u["tail"]
+    return rows
+
+
+def _extended(runs: DataFrame, units: DataFrame, docs: DataFrame) -> DataFrame:
+    """Final rows of ``MIN_WORDS`` or more: stretches of units, longer by words that their keepers' contexts have beside them too.
+
+    ``units`` (doc_id, tie, first, last, keep_id, head, tail): what goes, and with a null keep_id what others rely on
+    in this document, contexts included; no stretch grows over that.
+    """
 
     def shared(a: np.ndarray, b: np.ndarray) -> int:
         n = min(a.size, b.size)
@@ -245,30 +296,41 @@ def _extended(runs: DataFrame, docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, tie, text, rows in zip(*(batch.column(c) for c in (*_PLACE, "text", "runs")), strict=True):
-                text = text.as_py()
+            for doc_id, tie, text, ends_, units_ in zip(*(batch.column(c) for c in (*_PLACE, "text", "runs", "units")), strict=True):
+                text, units_ = text.as_py(), units_.as_py()
                 hashes, starts, ends, _ = hashed_places(text)
-                joined: list[list] = []
-                for row in sorted(rows.as_py(), key=lambda r: r["first"]):
+                free = np.ones(hashes.size, bool)
+                for u in units_:
+                    if u["keep_id"] is None:
+                        free[max(u["first"], 0) : u["last"]] = False
+                held = np.flatnonzero(~free)
+                rows = _rows_of([u for u in units_ if u["keep_id"] is not None], hashes)
+                by_start, by_end = {r[0]: r for r in rows}, {r[1]: r for r in rows}
+                for row in sorted(ends_.as_py(), key=lambda r: r["first"]):
                     a, b = row["first"], row["last"]
-                    a -= shared(hashes[:a][::-1], np.frombuffer(row["before"] or b"", np.uint64)[::-1])
-                    b += shared(hashes[b:], np.frombuffer(row["after"] or b"", np.uint64))
-                    if joined and a <= joined[-1][1]:
-                        joined[-1][1] = max(joined[-1][1], b)
-                        joined[-1][2] |= set(row["keep_ids"])
-                    else:
-                        joined.append([a, b, set(row["keep_ids"])])
-                out += [
-                    (doc_id.as_py(), int(starts[a]), int(ends[b - 1]), b - a, sorted(ids), tie.as_py()) for a, b, ids in joined if b - a >= MIN_WORDS
-                ]
+                    one, two = by_start.get(a), by_end.get(b)
+                    k = int(np.searchsorted(held, a))
+                    before = a - (int(held[k - 1]) + 1 if k else 0)  # words that may go, to the left
+                    k = int(np.searchsorted(held, b))
+                    after = (int(held[k]) if k < held.size else hashes.size) - b
+                    if one:
+                        one[0] -= min(before, shared(hashes[:a][::-1], np.frombuffer(row["before"] or b"", np.uint64)[::-1]))
+                    if two:
+                        two[1] += min(after, shared(hashes[b:], np.frombuffer(row["after"] or b"", np.uint64)))
+                end = 0
+                for a, b, ids in sorted(rows, key=lambda r: r[0]):
+                    a, end = max(a, end), max(b, end)  # words between two runs may belong to both
+                    if b - a >= MIN_WORDS:
+                        out.append((doc_id.as_py(), int(starts[a]), int(ends[b - 1]), b - a, sorted(ids), tie.as_py()))
             cols = list(zip(*out, strict=True)) or [[]] * 6
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "start", "end", "words", "keep_ids", "text_hash"]
             )
 
-    listed = runs.groupBy(*_PLACE).agg(F.collect_list(F.struct("first", "last", "keep_ids", "before", "after")).alias("runs"))
-    return _with_texts(listed, docs).mapInArrow(run, "doc_id long, start int, end int, words int, keep_ids array<long>, text_hash long")
+    listed = runs.groupBy(*_PLACE).agg(F.collect_list(F.struct("first", "last", "before", "after")).alias("runs"))
+    own = units.groupBy(*_PLACE).agg(F.collect_list(F.struct("first", "last", "keep_id", "head", "tail")).alias("units"))
+    return _with_texts(listed.join(own, _PLACE), docs).mapInArrow(run, "doc_id long, start int, end int, words int, keep_ids array<long>, text_hash long")
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
@@ -287,7 +349,10 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
        by 128 bits of their shingles (similarity 1).
     3. Components of units: of lines, the document with the smallest id keeps its own. Of passages, the smallest
        document in which no line that goes touches it. So what goes is left in another document.
-    4. Units that go and touch are joined, and extended word by word as far as the keeper has the same words.
+    4. Units that go and touch are joined where their keeper has the same words around the seam, and longer word by
+       word as far as the keeper has the same words and keeps them. No stretch grows over words of its own
+       document that others rely on (a kept passage and the words around it). So, but for near lines, every
+       five words of a row stand next to each other in some document after all rows have gone.
 
     Defined cases: null, blank and short texts have no passage; rows with a null id are left out;
     rows that repeat an id are one document (repeats inside one document stay); repeated rows give
@@ -301,15 +366,23 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     spans = lines.select(*_PLACE, "first", "last", "keep_id", F.lit(None).cast("bigint").alias("component")).unionByName(
         passages.select(*_PLACE, "first", "last", "keep_id", "component")
     )
+    spans = written(spans, "spans", scratch)
     runs = written(_runs(spans), "runs", scratch)
-    ends = runs.select(F.explode(F.array("left", "right")).alias("component")).where("component is not null")
-    keepers = kept.join(ends.distinct(), "component").join(classed.drop("component", "line"), "row")
-    contexts = written(_contexts(keepers, lines, source), "contexts", scratch)
+    ends = runs.select(F.explode(F.array("left", "right")).alias("component")).where("component is not null").distinct()
+    keepers = kept.join(classed.drop("component", "line"), "row").join(ends.withColumn("outer", F.lit(True)), "component", "left")
+    keepers = written(keepers.select("component", *_PLACE, "first", "last", F.coalesce("outer", F.lit(False)).alias("outer")), "keepers", scratch)
+    contexts = written(_contexts(keepers, spans, source), "contexts", scratch)
     for side, words in (("left", "before"), ("right", "after")):
         counts = runs.groupBy(side).agg(F.count("*").alias("n"))
         facts = contexts.select(F.col("component").alias(side), words).join(counts, side)
         runs = join_facts(runs, facts, [side], "n", scratch=scratch)
-    found = written(_extended(runs, source).dropDuplicates(["doc_id", "text_hash", "start"]), "passages")
+    seams = contexts.select("component", "head", "tail").join(spans.groupBy("component").agg(F.count("*").alias("n")), "component")
+    going = join_facts(spans, seams, ["component"], "n", scratch=scratch)
+    reach = F.when(F.col("outer"), CONTEXT).otherwise(SEAM)
+    null = F.lit(None).cast("bigint")
+    relied = keepers.select(*_PLACE, (F.col("first") - reach).alias("first"), (F.col("last") + reach).alias("last"), null.alias("keep_id"), null.alias("head"), null.alias("tail"))
+    units_ = going.select(*_PLACE, "first", "last", "keep_id", "head", "tail").unionByName(relied)
+    found = written(_extended(runs, units_, source).dropDuplicates(["doc_id", "text_hash", "start"]), "passages")
     discard(docs.sparkSession, scratch)
     return found
 

@@ -193,6 +193,52 @@ def test_substring_loses_no_text(spark, seed):
         assert not [j for j in lost if tuple(passage[j : j + 5]) in inside]
 
 
+def lost_runs(spark, texts):
+    """Runs of five words inside rows that stand nowhere after removal, and all rows."""
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = sd.substring_dedup(docs).collect()
+    left = {r.doc_id: r.text.split() for r in sd.remove_passages(docs).collect()}
+    stands = {tuple(w[j : j + 5]) for w in left.values() for j in range(len(w) - 4)}
+    parts = [texts[r.doc_id][r.start : r.end].split() for r in rows]
+    return [p[j : j + 5] for p in parts for j in range(len(p) - 4) if tuple(p[j : j + 5]) not in stands], rows, stands
+
+
+def test_passages_over_a_removed_line_are_not_lost(spark):
+    """A line that goes cuts a passage, so that two documents keep its parts for each other."""
+    texts, passages = {}, []
+    for g in range(40):
+        line, x = made(7000 + g, 40), made(8000 + g, 60)
+        a, b, c = (" ".join(made(9000 + 3 * g + k, 30)) for k in range(3))
+        texts |= {3 * g: " ".join(line), 3 * g + 1: f"{a} {' '.join(x)}\n{' '.join(line)}", 3 * g + 2: f"{b} {' '.join(x + line[:25])} {c}"}
+        passages.append(x + line)
+    lost, rows, stands = lost_runs(spark, texts)
+    assert rows and not lost
+    words_left = {w for run in stands for w in run}
+    assert all(w in words_left for p in passages for w in p)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_every_five_words_of_a_row_stand_somewhere(spark, seed):
+    """Blocks in any order and company, cut anywhere, with line ends inside them; lines of a block are exact copies."""
+    rng = random.Random(100 + seed)
+    blocks = [made(5000 * (seed + 1) + i, rng.randint(15, 80)) for i in range(10)]
+    texts = {}
+    for i in range(40):
+        words_: list[str] = []
+        for _ in range(rng.randint(1, 5)):
+            block = rng.choice(blocks)
+            begin, end = rng.choice([0, 0, rng.randrange(len(block))]), rng.choice([len(block), len(block), rng.randrange(len(block)) + 1])
+            words_ += block[begin:end] if rng.random() < 0.8 else made(rng.random(), rng.randint(2, 40))
+        ends = sorted(rng.sample(range(len(words_) + 1), min(len(words_), rng.choice([0, 0, 1, 2]))))
+        texts[i] = "\n".join(" ".join(words_[a:b]) for a, b in zip([0, *ends], [*ends, len(words_)], strict=True))
+    lost, rows, _ = lost_runs(spark, texts)
+    assert rows
+    # a line that goes for one like it may lose the words in which they differ, and no other row loses any
+    sets = [{ln[j : j + 5] for j in range(len(ln) - 4)} for ln in {tuple(ln.split()) for t in texts.values() for ln in t.split("\n")} if len(ln) >= 20]
+    near = {x for i, one in enumerate(sets) for j, two in enumerate(sets) if i != j and len(one & two) >= 0.8 * len(one | two) for x in one}
+    assert not [x for x in lost if tuple(x) not in near]
+
+
 def test_substring_matches_brute_force(spark):
     """Every word of an exact repeat of 50 words or more goes from all documents but one or stands in a near line; clean documents stay."""
     texts = dict(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
