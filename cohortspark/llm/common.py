@@ -87,12 +87,12 @@ def text_or_empty(name: str = "text") -> Column:
 CHARS_AT_ONCE = 2_000_000
 
 
-def slices(texts: list[str]) -> Iterator[slice]:
-    """Runs of texts of about ``CHARS_AT_ONCE`` characters, and one text more at most."""
+def slices(texts: list[str], at_once: int = CHARS_AT_ONCE) -> Iterator[slice]:
+    """Runs of texts of about ``at_once`` characters, and one text more at most."""
     begin = chars = 0
     for i, t in enumerate(texts):
         chars += len(t)
-        if chars >= CHARS_AT_ONCE:
+        if chars >= at_once:
             yield slice(begin, i + 1)
             begin, chars = i + 1, 0
     if begin < len(texts):

@@ -12,7 +12,6 @@ import zlib
 from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +34,39 @@ SHARE = 0.75
 
 # ---------------------------------------------------------------- tokens
 
-#: Parts of a text that byte-level BPE tokenizes alone: words of letters and digits with the space before them, and
-#: what stands between. An apostrophe or a second blank before a word stays with it, as what BPE makes of these
-#: depends on the word.
-_ALNUM = r"[^\W_]+(?:'[^\W_]+)*"
-_BETWEEN = r"(?:[^ \w]|_| (?![^\W_]))+"
-_PART = re.compile(rf" ?{_ALNUM}|{_BETWEEN}(?:(?:(?<=')|(?<=\s[^\S ])){_ALNUM})?")
-_WORDS_HELD = 400_000
+_WORDS_HELD, _CHARS_AT_ONCE = 600_000, 4_000_000
+_rng = np.random.default_rng(23)
+#: Two values for each byte, and the odd base of the polynomial that hashes bytes.
+_BYTES = _rng.integers(0, 2**64, (2, 256), np.uint64)
+_BASE = int(_rng.integers(0, 2**63)) * 2 + 1
+
+
+@functools.lru_cache(4)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64."""
+    step = lambda b: np.multiply.accumulate(np.array([1, *[b] * size], np.uint64))
+    return step(_BASE), step(pow(_BASE, -1, 2**64))
+
+
+def _begins(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where words begin in UTF-8 bytes of texts that begin at ``starts``: there, and at single blanks between two visible characters.
+
+    Byte-level BPE begins anew at such a space or line end, whatever stands around it. Beside characters of two and three
+    bytes among which there are other blanks no word begins, so words may be longer than need be, never wrong.
+    """
+    at = np.flatnonzero((data == 32) | (data == 10))
+    at = at[(at >= 3) & (at < data.size - 1)]
+    before, second, third, after = data[at - 1], data[at - 2], data[at - 3], data[at + 1]
+    visible = (before > 32) & ((before < 128) | (second != 0xC2) & ((third < 0xE1) | (third > 0xE3)))
+    visible &= (after > 32) & ((after < 128) | (after != 0xC2) & ((after < 0xE1) | (after > 0xE3)))
+    first = np.zeros(data.size + 1, bool)
+    first[at[visible]] = True
+    first[starts] = True
+    # a blank at a text's start, or one that is a text's first or last byte, has no visible character on one side
+    ends = starts[(starts > 0) & (starts <= data.size)] - 1
+    blank = ends[(data[ends] == 32) | (data[ends] == 10)]
+    first[blank[~np.isin(blank, starts)]] = False
+    return np.flatnonzero(first[:-1])
 
 
 @functools.cache
@@ -70,7 +95,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class WordTokens:
-    """Ids of texts as little-endian unsigned 32-bit bytes; ids of a word are looked up after its first use.
+    """Ids of texts as little-endian unsigned 32-bit bytes; ids of a word are looked up after its first use, by 128 bits of hash.
 
     Two tables of at most ``_WORDS_HELD`` words (or those of one call): when the younger is full, it takes the
     place of the older, and words that are met again move to the younger one.
@@ -89,7 +114,7 @@ class WordTokens:
         gc.disable()  # millions of strings, no cycles
         try:
             special = {i for i, t in enumerate(texts) if any(a in t for a in self.added)}
-            got = self._encoded([_PART.findall("" if i in special else t) for i, t in enumerate(texts)])
+            got = self._encoded(["" if i in special else t for i, t in enumerate(texts)])
             for i in special:
                 got[i] = self._between_added(texts[i])
             return got
@@ -100,24 +125,62 @@ class WordTokens:
         if not self.plain:
             return array("I", _tokenizer(self.path).encode(text, add_special_tokens=False).ids).tobytes()
         own = [array("I", [self.added[a][0]]).tobytes() for a in self.cut.findall(text)]
-        rest = self._encoded(list(map(_PART.findall, self.cut.split(text))))
+        rest = self._encoded(self.cut.split(text))
         return rest[0] + b"".join(a + r for a, r in zip(own, rest[1:], strict=True))
 
-    def _encoded(self, parts: list[list[str]]) -> list[bytes]:
-        used = set(chain.from_iterable(parts))
-        new = used.difference(self.held)
-        if len(self.held) + len(new) > _WORDS_HELD:
-            self.older, self.held, new = self.held, {}, used
-        known = new.intersection(self.older)
-        self.held.update((w, self.older[w]) for w in known)
-        new = new.difference(known)
-        if self.ascii:
-            self.held.update((w, array("I", self.ascii(w)).tobytes()) for w in new if w.isascii())
-            new = [w for w in new if not w.isascii()]
-        new = list(new)
-        for word, got in zip(new, _tokenizer(self.path).encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.held[word] = array("I", got.ids).tobytes()
-        return [b"".join(map(self.held.__getitem__, p)) for p in parts]
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        """Words of all texts at once: hashed as bytes, each distinct one looked up, ids gathered by their numbers."""
+        parts = [t.encode("utf-8", "surrogatepass") for t in texts]
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        whole = b"".join(parts)
+        if not whole:
+            return [b""] * len(texts)
+        data = np.frombuffer(whole, np.uint8)
+        starts = np.concatenate(([0], ends[:-1]))
+        begin = _begins(data, starts)
+        stop = np.append(begin[1:], data.size)
+        power, inverse = _powers(max(1 << (data.size).bit_length(), 1 << 20))
+        keys = []
+        for values in _BYTES:
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values[data] * power[: data.size])))
+            h = (sums[stop] - sums[begin]) * inverse[begin] + (stop - begin).astype(np.uint64)
+            keys.append(h ^ (h >> np.uint64(29)))
+        key, at, number = np.unique(keys[0], return_index=True, return_inverse=True)
+        check = keys[1][at]
+        if (check[number] != keys[1]).any():  # two words of one hash: never seen, and then nothing is looked up
+            return [b"".join(array("I", ids).tobytes() for ids in self._ids([t])) for t in texts]
+        found = self._learn(key.tolist(), check.tolist(), begin[at].tolist(), stop[at].tolist(), whole)
+        flat, count = np.frombuffer(b"".join(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first, each = np.cumsum(count) - count, count[number]
+        upto = np.cumsum(each)
+        ids = flat[np.repeat(first[number] - upto + each, each) + np.arange(int(upto[-1]))]
+        cuts = np.concatenate(([0], upto))[np.searchsorted(begin, np.append(starts, data.size))].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _learn(self, keys: list[int], checks: list[int], begin: list[int], stop: list[int], whole: bytes) -> list[bytes]:
+        """Ids of the words ``whole[begin:stop]`` as bytes."""
+        got = list(map(self.held.get, keys))
+        missing = [i for i, v in enumerate(got) if v is None or v[0] != checks[i]]
+        if len(self.held) + len(missing) > _WORDS_HELD:
+            self.older, self.held = self.held, {}
+        new = []
+        for i in missing:
+            v = self.older.get(keys[i])
+            if v is None or v[0] != checks[i]:
+                new.append(i)
+            else:
+                got[i] = v
+        for i, ids in zip(new, self._ids([whole[begin[i] : stop[i]].decode("utf-8", "surrogatepass") for i in new]), strict=True):
+            got[i] = (checks[i], array("I", ids).tobytes())
+        self.held.update((keys[i], got[i]) for i in missing)
+        return [v[1] for v in got]
+
+    def _ids(self, parts: list[str]) -> list[list[int]]:
+        out = [self.ascii(p) if self.ascii and p.isascii() else None for p in parts]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, got in zip(rest, _tokenizer(self.path).encode_batch_fast([parts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = got.ids
+        return out
 
 
 @functools.cache
@@ -139,7 +202,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             rows = []
-            for part in slices(texts):
+            for part in slices(texts, _CHARS_AT_ONCE):
                 for doc_id, data in zip(ids[part], _word_tokens(path).encode(texts[part]), strict=True):
                     data += end
                     n = len(data) // 4
