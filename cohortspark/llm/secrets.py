@@ -41,6 +41,16 @@ ENCODINGS = (
 BANDS = (20, 24, 32, 40, 64)
 P_GRID = (0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5)
 FDR = 0.1
+#: Share of pieces of ordinary prose (letters and digits of texts in four languages) with a p-value of at least each of
+#: ``P_GRID``, per band: what the decoys are taken to be where a table has few. It counts as so many decoys.
+PROSE = (
+    (0.17, 0.13, 0.09, 0.07, 0.045, 0.022, 0.012, 0.005, 0.0012),
+    (0.05, 0.037, 0.023, 0.016, 0.0095, 0.0045, 0.0024, 0.001, 0.0004),
+    (0.0055, 0.004, 0.0026, 0.0017, 0.001, 0.0006, 0.0003, 0.0002, 0.0001),
+    (0.0011, 0.0008, 0.0005, 0.0003, 0.0002, 0.0001, 0.0001, 0.0001, 0.0001),
+    (0.0011, 0.0008, 0.0005, 0.0003, 0.0002, 0.0001, 0.0001, 0.0001, 0.0001),
+)
+PROSE_DECOYS = 1000
 
 
 def _spans(text: Column, pattern: str, group: int = 0, at_least: int = 1) -> Column:
@@ -224,21 +234,26 @@ def _band(length: Column) -> Column:
 def thresholds(found: DataFrame, candidates: str, fdr: float = FDR) -> dict[int, float]:
     """Least p-value per length band at which a token counts as random, from a column of ``_candidates``.
 
-    Over all tokens of all documents: a threshold's false discoveries are estimated by the decoys
-    that pass it (one more for safety), and must be at most ``fdr`` of the tokens that pass. A band
-    without such a threshold finds nothing. At most bands x grid counts come to the driver.
+    Over all tokens of all documents: the share of decoys that pass a threshold, those of ``PROSE`` included, times the
+    tokens tested is what would pass if no token were random; it must be at most ``fdr`` of the tokens that do pass.
+    So one token is found in a table of its own as in a large one, and the table's own decoys
+    decide where there are many. At most bands x grid counts come to the driver.
     """
     tokens = found.select(F.explode(candidates).alias("x")).select(_band(F.col("x.e") - F.col("x.s")).alias("band"), "x.p", "x.decoy")
     counts = tokens.groupBy("band").agg(
-        *[F.sum((F.col(c) >= t).cast("long")).alias(f"{c}{i}") for c in ("p", "decoy") for i, t in enumerate(P_GRID)]
+        *[F.count(c).alias(f"{c}s") for c in ("p", "decoy")],
+        *[F.coalesce(F.sum((F.col(c) >= t).cast("long")), F.lit(0)).alias(f"{c}{i}") for c in ("p", "decoy") for i, t in enumerate(P_GRID)],
     )
-    out = {}
-    for row in counts.collect():
-        for i, t in enumerate(P_GRID):
-            if 1 + (row[f"decoy{i}"] or 0) <= fdr * (row[f"p{i}"] or 0):
-                out[row.band] = t
-                break
-    return out
+    return {row.band: t for row in counts.collect() if (t := threshold(row.asDict(), fdr)) is not None}
+
+
+def threshold(counts: dict[str, int], fdr: float = FDR) -> float | None:
+    """The least of ``P_GRID`` that holds the rate, from one band's counts of tokens (p) and decoys; None if none does."""
+    for i, t in enumerate(P_GRID):
+        share = (counts[f"decoy{i}"] + PROSE_DECOYS * PROSE[counts["band"]][i]) / (counts["decoys"] + PROSE_DECOYS)
+        if counts[f"p{i}"] and share * counts["ps"] <= fdr * counts[f"p{i}"]:
+            return t
+    return None
 
 
 def _base(text: Column) -> Column:

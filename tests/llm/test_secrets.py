@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -91,3 +92,72 @@ def test_redact_and_empty(spark):
     assert rows[2].text is None and rows[3].text == "clean"
     assert secrets.redact(docs.limit(0)).count() == 0
     assert secrets.redact(docs).columns == docs.columns
+
+
+def battery(token):
+    """The three tests and Fisher's method in plain Python, with the normal law's own tails."""
+    bare = token.rstrip("=")
+    letters = next((a for a, shape in secrets.ENCODINGS if re.match(shape, bare)), None)
+    if letters is None or len(bare) < secrets.MIN_TOKEN:
+        return None
+    v, k, n = [letters.index(c) for c in bare], len(letters), len(bare)
+    upper = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    chi = sum((v.count(i) - n / k) ** 2 / (n / k) for i in range(k))
+    df = k - 1
+    z_chi = ((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    high = [2 * x >= k for x in v]
+    runs = 1 + sum(a != b for a, b in zip(high, high[1:]))
+    both = 2 * sum(high) * (n - sum(high))
+    spread = both * (both - n) / (n * n * (n - 1))
+    p_runs = 2 * upper(abs(runs - both / n - 1) / math.sqrt(spread)) if spread > 0 else 0.0
+    mean = sum(v) / n
+    var = sum((x - mean) ** 2 for x in v) / n
+    lag = sum((a - mean) * (b - mean) for a, b in zip(v, v[1:]))
+    p_lag = 2 * upper(abs((lag / (n * var) + 1 / n) * math.sqrt(n))) if var > 0 else 0.0
+    half = -sum(math.log(max(p, 1e-300)) for p in (upper(z_chi), p_runs, p_lag))
+    return math.exp(-half) * (1 + half + half * half / 2)
+
+
+def test_battery_equals_plain_python(spark):
+    rng = random.Random(3)
+    alphabets = [a for a, _ in secrets.ENCODINGS]
+    tokens = ["".join(rng.choice(rng.choice(alphabets)) for _ in range(rng.randint(15, 80))) for _ in range(200)]
+    tokens += ["".join(rng.choice(a) for _ in range(rng.randint(20, 70))) for a in alphabets for _ in range(20)] + ["a" * 30, "ab" * 20, "0123456789" * 3]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(tokens)], "i int, t string").select("i", secrets.randomness(F.col("t")).alias("p")).collect()
+    for r in got:
+        want = battery(tokens[r.i])
+        assert (r.p is None) == (want is None)
+        assert want is None or r.p == pytest.approx(want, abs=2e-6)
+
+
+@pytest.mark.parametrize("copies", [1, 9, 30])
+def test_a_token_is_found_whatever_the_size_of_the_table(spark, copies):
+    rng = random.Random(copies)
+    words = "ordinary words and internationalisation of counterrevolutionaries stay as they are in this text "
+    made = []
+    while len(made) < copies:  # tokens of p-values that every threshold for their length lets pass
+        token = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
+        if battery(token) > 0.05:
+            made.append(token)
+    docs = spark.createDataFrame([(i, f"{words}{t} {words}") for i, t in enumerate(made)], "doc_id long, text string")
+    found = [[(x.s, x.e) for x in r.secrets] for r in secrets.scan(docs).collect()]
+    assert found == [[(len(words), len(words) + 40)]] * copies
+
+
+def test_thresholds_hold_the_rate():
+    none = {f"{c}{i}": 0 for c in ("p", "decoy") for i in range(len(secrets.P_GRID))} | {"decoys": 0}
+    full = lambda n: {f"p{i}": n for i in range(len(secrets.P_GRID))}
+    assert secrets.threshold(none | full(1) | {"ps": 1, "band": 3}) == 0.001
+    assert secrets.threshold(none | full(1) | {"ps": 1, "band": 0}) == 0.005
+    assert secrets.threshold(none | full(1) | {"ps": 5000, "band": 3}) is None  # one of many: as many pass in prose
+    many = {f"decoy{i}": 900_000 for i in range(len(secrets.P_GRID))} | {"decoys": 1_000_000}
+    assert secrets.threshold(none | full(800_000) | many | {"ps": 1_000_000, "band": 3}) is None  # the table's own decoys decide
+
+
+def test_prose_has_few_random_spans_and_long_texts_are_whole(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(F.regexp_replace("text", "[0-9A-Z=:+/_-]", "").alias("text")).withColumn("doc_id", F.monotonically_increasing_id())
+    assert sum(len([x for x in r.secrets if x.k == len(secrets.BASE)]) for r in secrets.scan(docs).collect()) <= 2
+    token = hashlib.sha256(b"x").hexdigest()
+    long = "plain words " * 100_000 + token
+    (row,) = secrets.scan(spark.createDataFrame([(1, long)], "doc_id long, text string")).collect()
+    assert (len(long) - 64, len(long)) in [(x.s, x.e) for x in row.secrets]
