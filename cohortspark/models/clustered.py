@@ -13,6 +13,7 @@ from ..functions.linear import nelder_mead, solve_identifiable
 from ..sources.scratch import held, releasing
 from .design import as_matrix, as_vector, design, linear, sums, triangle, vector
 from .glm import Fit, _mean, fit_glm
+from .mixed import with_effects
 
 
 def cluster_sums(df: DataFrame, cluster: str, response: str, predictors: list[str]) -> DataFrame:
@@ -137,12 +138,13 @@ def fit_glmm(df: DataFrame, cluster: str, response: str, predictors: list[str],
     p, y = len(x), F.col(response).cast("double")
     beta = fit_glm(data, response, predictors, "binomial", hold=False).coefficients.copy()
     variance, step = 0.5, 0
-    effects = data.select(cluster).distinct().withColumn("b", F.lit(0.0))
+    effects = held(data.select(cluster).distinct().withColumn("b", F.lit(0.0)))
+    number = effects.count()
     for step in range(1, max_outer + 1):
         eta = linear(x, beta) + F.col("b")
         mu = 1 / (1 + F.exp(-eta))
         w = mu * (1 - mu)
-        one = data.join(effects, cluster).groupBy(cluster).agg(
+        one = with_effects(data, effects, cluster, number).groupBy(cluster).agg(
             F.first("b").alias("b"), F.sum(w).alias("w"), F.sum(y - mu).alias("r"), *[F.sum(w * c).alias(f"wx_{i}") for i, c in enumerate(x)],
             *[F.sum(v).alias(k) for k, v in (triangle(x, w) | vector(x, y - mu)).items()],
         )

@@ -233,10 +233,29 @@ def diagnostic2x2_inference(four: DataFrame, radius: float, level: float = 0.95,
     return four.sparkSession.createDataFrame(rows, "measure string, lower double, upper double")
 
 
-def roc(counts: DataFrame, direction: str = "higher") -> DataFrame:
-    """(threshold, sensitivity, specificity) of ordered bins (bin, cases, controls): k + 1 points, nothing positive first."""
+def in_order(counts: DataFrame, score_order: list) -> DataFrame:
+    """``counts`` (bin, cases, controls) of named score levels with their places in ``score_order`` as bins, from 1, lowest first.
+
+    Every level must stand in the order, once; levels without units get zeros.
+    """
+    if len(set(score_order)) != len(score_order) or not score_order:
+        raise ValueError("score_order lists each level once")
+    rows = {r["bin"]: r for r in counts.limit(MAX_PUBLIC + 1).collect()}  # levels of a public domain
+    if unknown := sorted(map(str, set(rows) - set(score_order))):
+        raise ValueError(f"levels without a place in score_order: {unknown[:5]}")
+    zero = {"cases": 0, "controls": 0}
+    placed = [(i, float(rows.get(v, zero)["cases"]), float(rows.get(v, zero)["controls"])) for i, v in enumerate(score_order, 1)]
+    return counts.sparkSession.createDataFrame(placed, "bin int, cases double, controls double")
+
+
+def roc(counts: DataFrame, direction: str = "higher", score_order: list | None = None) -> DataFrame:
+    """(threshold, sensitivity, specificity) of ordered bins (bin, cases, controls): k + 1 points, nothing positive first.
+
+    Bins are in the order of their numbers, or named levels in ``score_order``, lowest first.
+    """
     if direction not in ("higher", "lower"):
         raise ValueError("direction is higher or lower")
+    counts = in_order(counts, score_order) if score_order else counts
     order = F.col("bin").desc() if direction == "higher" else F.col("bin").asc()
     w = W.orderBy(order).rowsBetween(W.unboundedPreceding, 0)  # a public number of bins, not rows
     total = W.partitionBy()
@@ -249,8 +268,9 @@ def roc(counts: DataFrame, direction: str = "higher") -> DataFrame:
     return none.unionByName(points)
 
 
-def auc(counts: DataFrame, direction: str = "higher") -> DataFrame:
+def auc(counts: DataFrame, direction: str = "higher", score_order: list | None = None) -> DataFrame:
     """Tie-adjusted area: sum of cases x (controls below + half the ties) over cases x controls."""
+    counts = in_order(counts, score_order) if score_order else counts
     order = F.col("bin").asc() if direction == "higher" else F.col("bin").desc()
     below = F.coalesce(F.sum("controls").over(W.orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     part = counts.withColumn("u", F.col("cases") * (below + 0.5 * F.col("controls")))

@@ -304,3 +304,29 @@ _POISSON_STEP = f"""SELECT i, b_0, b_1, {checks.triangle(["1::DOUBLE", "spent"],
 ORACLES["vert_lasso_poisson"] = f"""{_R}d AS ({_COUNTS}), {checks.steps(_POISSON_STEP, 2, 40, ["(SELECT ln(avg(y)) FROM d)", "0"])},
 k AS (SELECT b_0, b_1, b_1 > 0 AND abs(avg((y - {_MU3}) * balance)) <= 0.5 AS optimal FROM fin, d GROUP BY b_0, b_1)
 SELECT '(Intercept)' AS term, round(b_0, 4) AS estimate FROM k WHERE optimal UNION ALL SELECT 'spent', round(b_1, 4) FROM k WHERE optimal UNION ALL SELECT 'balance', 0.0::DOUBLE FROM k WHERE optimal"""
+
+
+# ------------------------------------------------------------------ scores of named levels
+
+_BY_PRIORITY = """WITH k AS (SELECT CAST(i AS INTEGER) AS bin, count(*) FILTER (WHERE o_orderstatus = 'F')::DOUBLE AS cases, count(*) FILTER (WHERE o_orderstatus <> 'F')::DOUBLE AS controls
+FROM orders JOIN (VALUES ('5-LOW', 1), ('4-NOT SPECIFIED', 2), ('3-MEDIUM', 3), ('2-HIGH', 4), ('1-URGENT', 5)) v(p, i) ON p = o_orderpriority GROUP BY i)"""
+
+
+def _by_priority(spark, sf_dir):
+    done = F.col("o_orderstatus") == "F"
+    return _t(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("bin")).agg(
+        F.sum(F.when(done, 1).otherwise(0)).alias("cases"), F.sum(F.when(done, 0).otherwise(1)).alias("controls")
+    )
+
+
+@query("dp_roc_levels", _BY_PRIORITY + """
+SELECT 0 AS threshold, 0.0::DOUBLE AS sensitivity, 1.0::DOUBLE AS specificity UNION ALL
+SELECT CAST(6 - bin AS INTEGER), round(sum(cases) OVER (ORDER BY bin DESC) / sum(cases) OVER (), 6), round(1 - sum(controls) OVER (ORDER BY bin DESC) / sum(controls) OVER (), 6) FROM k""")
+def dp_roc_levels(spark, sf_dir):
+    return _rounded(tables.roc(_by_priority(spark, sf_dir), score_order=PRIORITIES[::-1]))
+
+
+@query("dp_auc_levels", _BY_PRIORITY + """, b AS (SELECT cases, controls, coalesce(sum(controls) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM k)
+SELECT sum(cases) AS cases, sum(controls) AS controls, round(sum(cases * (below + 0.5 * controls)) / (sum(cases) * sum(controls)), 6) AS auc FROM b""")
+def dp_auc_levels(spark, sf_dir):
+    return _rounded(tables.auc(_by_priority(spark, sf_dir), score_order=PRIORITIES[::-1]))

@@ -28,14 +28,22 @@ class Federation:
                 rows.append((name, f.name, kind, "id" if is_id else "data"))
         return spark.createDataFrame(rows, "server string, column string, kind string, role string")
 
-    def owner(self, column: str) -> tuple[str, str]:
-        """(server, column) of a name, bare or ``server$column``; an ambiguous or id name is an error."""
+    def owner(self, column: str, kind: str | None = None) -> tuple[str, str]:
+        """(server, column) of a name, bare or ``server$column``; an ambiguous or id name is an error, and one of another ``kind``.
+
+        ``kind`` is numeric or categorical, as in ``schema``.
+        """
         server, _, bare = column.rpartition("$")
         owners = [s for s, df in self.sites.items() if bare in df.columns and (not server or s == server)]
         if len(owners) != 1:
             raise ValueError(f"column {column!r} has {len(owners)} owners; write server$column")
         if self.id_columns[owners[0]] == bare:
             raise ValueError(f"{column!r} is an identifier and no data column")
+        if kind not in (None, "numeric", "categorical"):
+            raise ValueError("kind is numeric or categorical")
+        found = "numeric" if isinstance(self.sites[owners[0]].schema[bare].dataType, T.NumericType) else "categorical"
+        if kind and kind != found:
+            raise ValueError(f"{column!r} is {found}, not {kind}")
         return owners[0], bare
 
     def table(self, columns: list[str], unit: str = "unit_id") -> DataFrame:

@@ -18,7 +18,7 @@ def test_flagship(spark):
 
 
 PLAIN = ("psi_align", "dp_contingency_cross", "dp_mean_var", "dp_cor", "chisq", "dp_auc", "dp_frequency", "dp_kaplan_meier")
-FITTED = ("cox", "ordinal", "multinomial", "gee_ar1", "ipw", "formula_design", "fisher_exact", "vert_pca", "dp_diagnostic2x2_inference", "lmm", "vert_glm_predict", "dp_noisy_contingency")
+FITTED = ("cox", "ordinal", "multinomial", "gee_ar1", "ipw", "formula_design", "fisher_exact", "vert_pca", "dp_diagnostic2x2_inference", "lmm", "vert_glm_predict", "dp_noisy_contingency", "lmm_slopes", "release_vector", "manifest_difference", "glm_exact", "dp_roc_levels")
 
 
 @pytest.mark.parametrize("name", PLAIN + FITTED)

@@ -11,6 +11,7 @@ from cohortspark.functions.linear import NotIdentifiable
 from cohortspark.models import clustered, glm, imputation, lasso, link, wide
 from cohortspark.operators import guards, layout, tables
 from cohortspark.sources import hash_tree as trees
+from cohortspark.sources import sites
 
 # ------------------------------------------------------------------ wide
 
@@ -311,3 +312,20 @@ def test_public_reads_its_source_once(spark, monkeypatch):
         tables.public(spark.range(5).toDF("id"))
 
 
+
+
+def test_scores_of_named_levels_and_kinds_of_columns(spark):
+    counts = spark.createDataFrame([("high", 6, 1), ("low", 1, 5)], "bin string, cases long, controls long")
+    got = tables.roc(counts, score_order=["low", "mid", "high"]).orderBy("threshold").collect()
+    assert [(r.threshold, round(r.sensitivity, 6), round(r.specificity, 6)) for r in got] == [(0, 0.0, 1.0), (1, round(6 / 7, 6), round(5 / 6, 6)), (2, round(6 / 7, 6), round(5 / 6, 6)), (3, 1.0, 0.0)]
+    assert tables.auc(counts, score_order=["low", "mid", "high"]).first().auc == pytest.approx((6 * 5 + 0.5 * (6 * 1 + 1 * 5)) / 42)
+    for order in (["low"], ["low", "low", "high"], []):
+        if order:
+            with pytest.raises(ValueError):
+                tables.roc(counts, score_order=order)
+    one = spark.createDataFrame([(1, 2.0, "a")], "id long, x double, c string")
+    f = sites.Federation({"s": one, "t": one.select("id")}, {"s": "id", "t": "id"})
+    assert f.owner("x", "numeric") == ("s", "x") and f.owner("c", "categorical") == ("s", "c") and f.owner("s$x") == ("s", "x")
+    for name, kind in (("x", "categorical"), ("c", "numeric"), ("x", "other"), ("id", None)):
+        with pytest.raises(ValueError):
+            f.owner(name, kind)
