@@ -226,14 +226,12 @@ def _contexts(kept: DataFrame, spans: DataFrame, docs: DataFrame) -> DataFrame:
                     stops[g["first"]] += 1
                     stops[g["last"]] -= 1
                 away = np.flatnonzero(np.cumsum(stops)[:-1] > 0)
-                for row in rows:
-                    a, b = row["first"], row["last"]
-                    at = int(np.searchsorted(away, a))
-                    low = max(a - CONTEXT, int(away[at - 1]) + 1 if at else 0)
-                    high = min(b + CONTEXT, int(away[at]) if at < away.size else hashes.size)
-                    head = _seam(hashes, a) if a - low >= SEAM else None
-                    tail = _seam(hashes, b) if high - b >= SEAM else None
-                    around = (hashes[low:a].tobytes(), hashes[b:high].tobytes()) if row["outer"] else (None, None)
+                a, b = (np.fromiter((r[k] for r in rows), np.int64, len(rows)) for k in ("first", "last"))
+                at, bounds = np.searchsorted(away, a), np.concatenate(([-1], away, [hashes.size]))
+                low, high = np.maximum(a - CONTEXT, bounds[at] + 1), np.minimum(b + CONTEXT, bounds[at + 1])
+                heads, tails = _seams(hashes, a, a - low >= SEAM), _seams(hashes, b, high - b >= SEAM)
+                for row, begin, end, i, j, head, tail in zip(rows, low.tolist(), high.tolist(), a.tolist(), b.tolist(), heads, tails, strict=True):
+                    around = (hashes[begin:i].tobytes(), hashes[j:end].tobytes()) if row["outer"] else (None, None)
                     out.append((row["component"], head, tail, *around))
             cols = list(zip(*out, strict=True)) or [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
@@ -253,31 +251,35 @@ def _contexts(kept: DataFrame, spans: DataFrame, docs: DataFrame) -> DataFrame:
 SEAM = SHINGLE_WORDS - 1
 
 
-def _seam(hashes: np.ndarray, at: int) -> int:
-    """A hash of the words around ``at``, ``SEAM`` on either side."""
-    return int(grams_at(hashes, np.array([at - SEAM]), 2 * SEAM, 3).view(np.int64)[0])
+def _seams(hashes: np.ndarray, at: np.ndarray, known: np.ndarray) -> list[int | None]:
+    """Hashes of the words around each place, ``SEAM`` on either side; None where they are not ``known``."""
+    out: list[int | None] = [None] * at.size
+    whole = np.flatnonzero(known & (at >= SEAM) & (at <= hashes.size - SEAM))
+    for i, h in zip(whole.tolist(), grams_at(hashes, at[whole] - SEAM, 2 * SEAM, 3).view(np.int64).tolist(), strict=True):
+        out[i] = h
+    return out
 
 
-def _rows_of(units: list[dict], hashes: np.ndarray) -> list[list]:
+def _rows_of(units: list[tuple], seams: list[int | None]) -> list[list]:
     """[first, last, keep_ids] of stretches that can go whole: every five words in one stand next to each other where they are kept.
 
-    Units that only touch are parted, unless the keeper of one has the same words around the seam.
+    ``units`` (first, last, keep_id, head, tail), with the ``seams`` at their first words. Units that only touch are
+    parted, unless the keeper of one has the same words around the seam.
     """
     rows: list[list] = []
-    tail = None  # of the unit that ends the last row
-    for u in sorted(units, key=lambda u: (u["first"], -u["last"])):
-        a, b = u["first"], u["last"]
-        if rows and b <= rows[-1][1]:
-            rows[-1][2].add(u["keep_id"])
-            continue
+    before = None  # the tail of the unit that ends the last row
+    for i in sorted(range(len(units)), key=lambda i: (units[i][0], -units[i][1])):
+        a, b, keep_id, head, tail = units[i]
         end = rows[-1][1] if rows else -1
-        seam = _seam(hashes, a) if a == end and (tail is not None or u["head"] is not None) and SEAM <= a <= hashes.size - SEAM else None
-        if rows and (end - a >= SEAM or seam is not None and seam in (tail, u["head"])):
+        if b <= end:
+            rows[-1][2].add(keep_id)
+            continue
+        if rows and (end - a >= SEAM or a == end and seams[i] is not None and seams[i] in (before, head)):
             rows[-1][1] = b
-            rows[-1][2].add(u["keep_id"])
+            rows[-1][2].add(keep_id)
         else:
-            rows.append([max(a, end), b, {u["keep_id"]}])
-        tail = u["tail"]
+            rows.append([max(a, end), b, {keep_id}])
+        before = tail
     return rows
 
 
@@ -296,15 +298,22 @@ def _extended(runs: DataFrame, units: DataFrame, docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, tie, text, ends_, units_ in zip(*(batch.column(c) for c in (*_PLACE, "text", "runs", "units")), strict=True):
-                text, units_ = text.as_py(), units_.as_py()
+            lists = batch.column("units")
+            fields, cuts = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            first, last = (fields.field(k).to_numpy() for k in ("first", "last"))
+            keep, head, tail = (fields.field(k).to_pylist() for k in ("keep_id", "head", "tail"))
+            going = fields.field("keep_id").is_valid().to_numpy(zero_copy_only=False)
+            for doc, (doc_id, tie, text, ends_) in enumerate(zip(*(batch.column(c) for c in (*_PLACE, "text", "runs")), strict=True)):
+                text, own = text.as_py(), slice(cuts[doc], cuts[doc + 1])
                 hashes, starts, ends, _ = hashed_places(text)
-                free = np.ones(hashes.size, bool)
-                for u in units_:
-                    if u["keep_id"] is None:
-                        free[max(u["first"], 0) : u["last"]] = False
+                free, a, b, goes = np.ones(hashes.size, bool), first[own], last[own], going[own]
+                for i in np.flatnonzero(~goes).tolist():
+                    free[max(a[i], 0) : b[i]] = False
+                at = np.flatnonzero(goes)
+                seams = _seams(hashes, a[at], np.ones(at.size, bool))
+                number = (at + own.start).tolist()
+                rows = _rows_of([(x, y, keep[k], head[k], tail[k]) for x, y, k in zip(a[at].tolist(), b[at].tolist(), number, strict=True)], seams)
                 held = np.flatnonzero(~free)
-                rows = _rows_of([u for u in units_ if u["keep_id"] is not None], hashes)
                 by_start, by_end = {r[0]: r for r in rows}, {r[1]: r for r in rows}
                 for row in sorted(ends_.as_py(), key=lambda r: r["first"]):
                     a, b = row["first"], row["last"]
