@@ -34,7 +34,7 @@ SHARE = 0.75
 
 # ---------------------------------------------------------------- tokens
 
-_WORDS_HELD, _CHARS_AT_ONCE = 600_000, 4_000_000
+_WORDS_HELD, _CHARS_AT_ONCE = 300_000, 1_000_000
 _rng = np.random.default_rng(23)
 #: Two values for each byte, and the odd base of the polynomial that hashes bytes.
 _BYTES = _rng.integers(0, 2**64, (2, 256), np.uint64)
@@ -44,8 +44,12 @@ _BASE = int(_rng.integers(0, 2**63)) * 2 + 1
 @functools.lru_cache(4)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64."""
-    step = lambda b: np.multiply.accumulate(np.array([1, *[b] * size], np.uint64))
-    return step(_BASE), step(pow(_BASE, -1, 2**64))
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 2**64)):
+        steps = np.full(size + 1, base, np.uint64)
+        steps[0] = 1
+        out.append(np.multiply.accumulate(steps))
+    return out[0], out[1]
 
 
 def _begins(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
