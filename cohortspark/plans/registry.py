@@ -49,6 +49,14 @@ METHODS = (
     ("glmm", "models.clustered.fit_glmm", "quarantine", "binomial random intercept"),
     ("ipw", "models.clustered.fit_ipw", "quarantine", "inverse-probability weighting"),
     ("mi", "models.clustered.fit_mi", "quarantine", "multiple imputation"),
+    ("lmm_slopes", "models.mixed.fit_lmm_slopes", "quarantine", "random slopes"),
+    ("glmm_laplace", "models.mixed.fit_glmm_laplace", "quarantine", "binomial random intercept, Laplace likelihood"),
+    ("mi_chained", "models.imputation.fit_mi_chained", "quarantine", "several imputed columns"),
+    ("manifest_difference", "sources.hash_tree.manifest_difference", "promoted", "ranges of ids in which sites differ"),
+    ("glm_wide", "models.wide.fit_wide", "provisional", "L-BFGS on sparse rows"),
+    ("glm_exact", "models.link.fit_exact", "promoted", "regression in whole numbers"),
+    ("release_vector", "operators.layout.release_vector", "promoted", "all one- and two-way tables"),
+    ("guards", "operators.guards.guarded_table", "promoted", "checks inside a release's plan"),
 )
 
 
@@ -75,13 +83,3 @@ def numeric_preflight(n: int, bounds: list[tuple[float, float]], digits: int = 6
     largest = n * most * most
     left = 15.95 - math.log10(max(largest, 1.0)) if largest else 15.95
     return {"largest_sum": largest, "digits_left": left, "backend": "double" if left >= digits else "decimal"}
-
-
-def guard_matrix(n: int, p: int) -> bool:
-    """Matrices are released from 5 units per variable on only."""
-    return n >= max(5, 5 * p) and p / n <= 0.2
-
-
-def guard_table(counts: list[int], least: int = 5) -> bool:
-    """Tables with a filled cell below ``least`` are not released."""
-    return not any(0 < c < least for c in counts)
