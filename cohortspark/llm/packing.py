@@ -187,11 +187,6 @@ class WordTokens:
         return out
 
 
-@functools.cache
-def _word_tokens(path: str) -> WordTokens:
-    return WordTokens(path)
-
-
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): every document's ids and an end id, cut to the capacity.
 
@@ -203,11 +198,12 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordTokens(path)  # of this task alone: an idle worker holds no words
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             rows = []
             for part in slices(texts, _CHARS_AT_ONCE):
-                for doc_id, data in zip(ids[part], _word_tokens(path).encode(texts[part]), strict=True):
+                for doc_id, data in zip(ids[part], words.encode(texts[part]), strict=True):
                     data += end
                     n = len(data) // 4
                     cuts = [0, *range((n - 1) % capacity + 1, n + 1, capacity)] if n > capacity else [0, n]
@@ -219,6 +215,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
                 [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        _powers.cache_clear()
 
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
     return source.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
