@@ -45,6 +45,11 @@ def one_hot(df: DataFrame, column: str, levels: list[str], intercept: bool = Tru
     return df.withColumns({n: F.when(F.col(column) == v, 1.0).otherwise(0.0) for n, v in zip(names, used, strict=True)}), names
 
 
+def counted(df: DataFrame, copies: str = "copies_") -> DataFrame:
+    """Equal rows once, with their number in ``copies``: sums over rows become weighted sums over fewer of them."""
+    return df.groupBy(*df.columns).agg(F.count("*").alias(copies))
+
+
 def design(predictors: list[str], intercept: bool = True) -> list[Column]:
     return ([F.lit(1.0)] if intercept else []) + [F.col(c).cast("double") for c in predictors]
 

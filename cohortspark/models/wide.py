@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import held, releasing
+from .design import counted
 
 #: The coefficients are one vector on the driver and in every task, with a few more of steps and gradients on the driver.
-MAX_FEATURES = 1_000_000
+MAX_FEATURES = 10_000_000
+#: Numbers that the last steps and the gradients' changes hold on the driver (8 bytes each); wide designs remember fewer steps.
+MAX_HISTORY = 50_000_000
 
 
 def gathered(long: DataFrame, labels: DataFrame, row: str, feature: str, value: str, response: str) -> DataFrame:
@@ -23,20 +26,20 @@ def gathered(long: DataFrame, labels: DataFrame, row: str, feature: str, value:
     return both.select("y", F.col("c.f").alias("features"), F.col("c.v").alias("values"))
 
 
-def _loss(family: str, y: np.ndarray, eta: np.ndarray) -> tuple[float, np.ndarray]:
-    """(summed loss, its slope in eta per row)."""
+def _loss(family: str, y: np.ndarray, eta: np.ndarray, copies: np.ndarray) -> tuple[float, np.ndarray]:
+    """(loss summed over all copies of the rows, its slope in eta per row)."""
     if family == "gaussian":
-        return float(((eta - y) ** 2).sum() / 2), eta - y
+        return float(copies @ (eta - y) ** 2 / 2), copies * (eta - y)
     if family == "binomial":
-        return float((np.logaddexp(0, eta) - y * eta).sum()), 1 / (1 + np.exp(-np.clip(eta, -700, 700))) - y
+        return float(copies @ (np.logaddexp(0, eta) - y * eta)), copies * (1 / (1 + np.exp(-np.clip(eta, -700, 700))) - y)
     if family == "poisson":
         mu = np.exp(np.minimum(eta, 700))
-        return float((mu - y * eta).sum()), mu - y
+        return float(copies @ (mu - y * eta)), copies * (mu - y)
     raise ValueError("family is gaussian, binomial or poisson")
 
 
 def gradient(rows: DataFrame, beta: np.ndarray, family: str) -> tuple[float, np.ndarray]:
-    """(summed loss, summed gradient): one pass over the rows; each task sends the features that it met."""
+    """(summed loss, summed gradient): one pass over the rows (y, features, values, copies_); each task sends the features that it met."""
     sent = rows.sparkSession.sparkContext.broadcast(beta)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,10 +52,11 @@ def gradient(rows: DataFrame, beta: np.ndarray, family: str) -> tuple[float, np.
             sizes, features = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
             of = np.repeat(np.arange(len(y)), sizes)
             eta = np.bincount(of, coefficients[features] * cells, minlength=len(y))
-            part, slope = _loss(family, y, eta)
+            part, slope = _loss(family, y, eta, batch.column("copies_").to_numpy().astype(float))
             loss += part
-            total += np.bincount(features, cells * slope[of], minlength=len(total))
-            met[features] = True
+            own, place = np.unique(features, return_inverse=True)  # a batch has far fewer features than the design
+            total[own] += np.bincount(place, cells * slope[of], minlength=len(own))
+            met[own] = True
         at = np.flatnonzero(met)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(total[at], loss))], ["feature", "g"])
 
@@ -84,15 +88,15 @@ def fit_wide(
     """Coefficients of ``n_features`` columns that minimise the mean loss plus lambda/2 |beta|^2.
 
     ``rows``: (y, features, values), features from 0 on. No product of two columns is ever summed: a pass
-    gives one vector. ``lambda_`` above 0 makes the optimum one. Stops when no entry of the mean gradient
+    gives one vector. Equal rows count as one with a weight. ``lambda_`` above 0 makes the optimum one. Stops when no entry of the mean gradient
     is above ``tol``. More than ``MAX_FEATURES`` columns raise: hash them first.
     """
     if n_features > MAX_FEATURES:
         raise ValueError(f"more than {MAX_FEATURES} columns; hash the features")
     if lambda_ <= 0:
         raise ValueError("lambda_ is above 0")
-    rows = held(rows.select("y", "features", "values"))
-    n = rows.count()
+    rows = held(counted(rows.select("y", "features", "values")))
+    n = rows.agg(F.sum("copies_").alias("n")).first().n
     if not n:
         raise ValueError("no rows")
 
@@ -100,6 +104,7 @@ def fit_wide(
         loss, slope = gradient(rows, beta, family)
         return loss / n + lambda_ / 2 * beta @ beta, slope / n + lambda_ * beta
 
+    memory = max(2, min(memory, MAX_HISTORY // (2 * n_features)))
     beta = np.zeros(n_features)
     value, slope = measured(beta)
     steps: list[np.ndarray] = []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from . import checks
@@ -186,7 +188,8 @@ def lbfgs_one_hot(spark, sf_dir):
         F.array(F.lit(1.0), F.lit(1.0)).alias("values"),
     )
     beta, _ = wide.fit_wide(rows, n, "binomial", 1e-3, tol=1e-11)
-    df = spark.createDataFrame([(i, float(b)) for i, b in enumerate(beta) if b], "feature int, estimate double")
+    at = np.flatnonzero(beta)
+    df = spark.createDataFrame(pa.table({"feature": pa.array(at, pa.int32()), "estimate": pa.array(beta[at])}))
     return _rounded(df, 5)
 
 

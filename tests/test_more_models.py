@@ -329,3 +329,15 @@ def test_scores_of_named_levels_and_kinds_of_columns(spark):
     for name, kind in (("x", "categorical"), ("c", "numeric"), ("x", "other"), ("id", None)):
         with pytest.raises(ValueError):
             f.owner(name, kind)
+
+
+def test_wide_fit_beyond_a_million_columns(spark):
+    """Two million columns, three of them met; equal rows count as one with a weight, in the gradient too."""
+    at, top = [0, 1_500_000, 1_999_999], 2_000_000
+    rows = [(float(i % 3 == 0), [0, at[1 + i % 2]], [1.0, 1.0]) for i in range(60)]
+    df = spark.createDataFrame(rows, "y double, features array<int>, values array<double>")
+    beta, facts = wide.fit_wide(df, top, "binomial", 0.05, tol=1e-10)
+    assert facts["n"] == 60 and facts["gradient"] <= 1e-10 and np.flatnonzero(beta).tolist() == at
+    x = np.array([[1.0, float(i % 2 == 0), float(i % 2 == 1)] for i in range(60)])
+    mu = 1 / (1 + np.exp(-x @ beta[at]))
+    assert np.abs(x.T @ (mu - np.array([r[0] for r in rows])) / 60 + 0.05 * beta[at]).max() < 1e-9
