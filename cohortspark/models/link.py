@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import held, releasing
+from .design import counted
 
 #: A table's segments are broadcast: up to this number, 40 bytes each.
 MAX_SEGMENTS = 1_000_000
@@ -93,7 +94,7 @@ def fit_exact(
     """Projected gradient steps on the table's mean, all in whole numbers: the same bits at any number of partitions.
 
     Design values are rounded to 10^-6 once; eta, means and residuals are longs, and sums are
-    decimal(38, 0), so the order of rows cannot matter. Each of a fixed number of steps moves by
+    decimal(38, 0), so the order of rows cannot matter and equal rows are one row with their number. Each of a fixed number of steps moves by
     ``rate`` (a fraction) times the mean gradient plus ``ridge`` times the coefficient, rounded
     down, and is cut to ``box``. The response is a whole number. Missing values drop the row; no row
     raises. Design values and the response must stay below 1,000 in size.
@@ -101,8 +102,8 @@ def fit_exact(
     x = [F.lit(X_UNIT).cast("bigint"), *(F.round(F.col(c).cast("double") * X_UNIT).cast("bigint") for c in predictors)]
     names = [f"x{i}" for i in range(len(x))]
     data = df.select(response, *predictors).na.drop()
-    data = held(data.select(*[v.alias(n) for v, n in zip(x, names, strict=True)], F.col(response).cast("bigint").alias("y")))
-    n = data.count()
+    data = held(counted(data.select(*[v.alias(n) for v, n in zip(x, names, strict=True)], F.col(response).cast("bigint").alias("y"))))
+    n = data.agg(F.sum("copies_").alias("n")).first().n
     if not n:
         raise ValueError("no rows")
     if data.select(F.max(F.greatest(*[F.abs(c) for c in names], F.abs("y") * X_UNIT)).alias("m")).first().m >= 1000 * X_UNIT:
@@ -120,7 +121,7 @@ def fit_exact(
         rows = rows.withColumn("s", segment).withColumns({"low": F.element_at(knots, (F.col("s") + 1).cast("int")), "high": F.element_at(knots, (F.col("s") + 2).cast("int"))})
         mean = F.col("low") + F.expr(f"(cast(high - low as decimal(19, 0)) * cast(e - s * {step_units}L as decimal(19, 0))) div {step_units}L")
         rows = rows.withColumn("r", mean - F.col("y") * M_UNIT)
-        got = rows.agg(*[F.sum((F.col(c).cast("decimal(19,0)") * F.col("r").cast("decimal(19,0)")).cast("decimal(38,0)")).alias(c) for c in names]).first()
+        got = rows.agg(*[F.sum((F.col(c).cast("decimal(10,0)") * F.col("r").cast("decimal(19,0)") * F.col("copies_").cast("decimal(19,0)")).cast("decimal(38,0)")).alias(c) for c in names]).first()
         for i, c in enumerate(names):
             slope = int(got[c]) * B_UNIT // (n * X_UNIT * M_UNIT) + ridge[0] * beta[i] // ridge[1]
             beta[i] = min(max(beta[i] - rate[0] * slope // rate[1], -limit), limit)
