@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.linear import nelder_mead, solve_identifiable
 from ..sources.scratch import held, releasing
-from .design import as_matrix, as_vector, design, linear, sums, triangle, vector
+from .design import as_matrix, as_vector, counted, design, linear, sums, triangle, vector
 from .glm import Fit, _mean, fit_glm
 from .mixed import with_effects
 
@@ -133,20 +133,20 @@ def fit_glmm(df: DataFrame, cluster: str, response: str, predictors: list[str],
     sums only. Each round: one Newton step for the cluster effects and the fixed effects together
     (the cluster block is diagonal), then the variance from the effects and their posterior variances.
     """
-    data = held(df.select(cluster, response, *predictors).na.drop())
+    data = held(counted(df.select(cluster, response, *predictors).na.drop()))
     x = design(predictors)
-    p, y = len(x), F.col(response).cast("double")
-    beta = fit_glm(data, response, predictors, "binomial", hold=False).coefficients.copy()
+    p, y, m = len(x), F.col(response).cast("double"), F.col("copies_")
+    beta = fit_glm(data, response, predictors, "binomial", weights="copies_", hold=False).coefficients.copy()
     variance, step = 0.5, 0
     effects = held(data.select(cluster).distinct().withColumn("b", F.lit(0.0)))
     number = effects.count()
     for step in range(1, max_outer + 1):
         eta = linear(x, beta) + F.col("b")
         mu = 1 / (1 + F.exp(-eta))
-        w = mu * (1 - mu)
+        w, r = m * mu * (1 - mu), m * (y - mu)
         one = with_effects(data, effects, cluster, number).groupBy(cluster).agg(
-            F.first("b").alias("b"), F.sum(w).alias("w"), F.sum(y - mu).alias("r"), *[F.sum(w * c).alias(f"wx_{i}") for i, c in enumerate(x)],
-            *[F.sum(v).alias(k) for k, v in (triangle(x, w) | vector(x, y - mu)).items()],
+            F.first("b").alias("b"), F.sum(w).alias("w"), F.sum(r).alias("r"), *[F.sum(w * c).alias(f"wx_{i}") for i, c in enumerate(x)],
+            *[F.sum(v).alias(k) for k, v in (triangle(x, w) | vector(x, r)).items()],
         )
         clusters = one
         d = F.col("w") + F.lit(1 / variance)
@@ -168,7 +168,7 @@ def fit_glmm(df: DataFrame, cluster: str, response: str, predictors: list[str],
         if done:
             break
     names = ("(Intercept)", *predictors)
-    fit = Fit(names, beta, np.linalg.inv(information), "binomial", float(data.count()), float("nan"), float("nan"), float("nan"), step, step < max_outer)
+    fit = Fit(names, beta, np.linalg.inv(information), "binomial", float(data.agg(F.sum("copies_")).first()[0]), float("nan"), float("nan"), float("nan"), step, step < max_outer)
     return fit, {"sigma_b2": variance, "icc": variance / (variance + math.pi**2 / 3)}
 
 

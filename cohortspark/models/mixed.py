@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.linear import NotIdentifiable
 from ..sources.scratch import held, releasing
-from .design import as_matrix, as_vector, design, linear, sums, triangle
+from .design import as_matrix, as_vector, counted, design, linear, sums, triangle
 from .glm import Fit, fit_glm
 
 # ---------------------------------------------------------------- random slopes
@@ -193,15 +193,16 @@ def fit_glmm_laplace(
     the exact gradient in the coefficients and the log of the standard deviation (the modes'
     own movement included) needs sums per cluster only. Outer steps are quasi-Newton, begun
     with the marginal information. An estimate that leaves ``bounds`` stays at the bound (no variance
-    between clusters ends at the lower one). Returns the fit and sigma_b2, icc, the marginal log likelihood.
+    between clusters ends at the lower one). Rows that are equal in all used columns count as one with a
+    weight, so a step reads the distinct ones only. Returns the fit and sigma_b2, icc, the marginal log likelihood.
     """
     low, high = math.log(bounds[0]), math.log(bounds[1])
-    data = held(df.select(cluster, response, *predictors).na.drop())
+    data = held(counted(df.select(cluster, response, *predictors).na.drop()))
     x = design(predictors)
-    p, y = len(x), F.col(response).cast("double")
-    first = fit_glm(data, response, predictors, "binomial", hold=False)
+    p, y, m = len(x), F.col(response).cast("double"), F.col("copies_")
+    first = fit_glm(data, response, predictors, "binomial", weights="copies_", hold=False)
     effects = held(data.select(cluster).distinct().withColumn("b", F.lit(0.0)))
-    clusters = effects.count()
+    clusters, n = effects.count(), float(data.agg(F.sum("copies_")).first()[0] or 0)
     if clusters < 2:
         raise NotIdentifiable("a random intercept needs two clusters")
 
@@ -210,11 +211,11 @@ def fit_glmm_laplace(
         for _ in range(max_modes):
             eta = linear(x, beta) + F.col("b")
             mu = 1 / (1 + F.exp(-eta))
-            w = mu * (1 - mu)
+            w = m * mu * (1 - mu)
             dw = w * (1 - 2 * mu)
             softplus = F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta)))
-            parts = {"r": y - mu, "w": w, "dw": dw, "ll": y * eta - softplus}
-            parts |= {f"{k}_{i}": v * c for k, v in (("r", y - mu), ("w", w), ("dw", dw)) for i, c in enumerate(x)} | triangle(x, w, "wxx")
+            parts = {"r": m * (y - mu), "w": w, "dw": dw, "ll": m * (y * eta - softplus)}
+            parts |= {f"{k}_{i}": v * c for k, v in (("r", m * (y - mu)), ("w", w), ("dw", dw)) for i, c in enumerate(x)} | triangle(x, w, "wxx")
             one = with_effects(data, effects, cluster, clusters).groupBy(cluster).agg(F.first("b").alias("b"), *[F.sum(v).alias(k) for k, v in parts.items()])
             one = held(one.withColumn("h", F.col("w") + F.lit(1 / variance)).withColumn("move", (F.col("r") - F.col("b") / F.lit(variance)) / F.col("h")))
             if (one.agg(F.max(F.abs("move")).alias("m")).first().m or 0.0) <= 1e-10:
@@ -265,5 +266,5 @@ def fit_glmm_laplace(
             inverse = r @ inverse @ r.T + np.outer(s, s) / curve
     variance = math.exp(2 * theta[p])
     covariance = np.linalg.inv(as_matrix(got, p, "i"))
-    fit = Fit(first.names, theta[:p].copy(), covariance, "binomial", first.n, 2 * value, float("nan"), 2 * value + 2 * (p + 1), step, converged)
+    fit = Fit(first.names, theta[:p].copy(), covariance, "binomial", n, 2 * value, float("nan"), 2 * value + 2 * (p + 1), step, converged)
     return fit, {"sigma_b2": variance, "icc": variance / (variance + math.pi**2 / 3), "log_likelihood": -value, "clusters": clusters}

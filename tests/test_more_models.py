@@ -341,3 +341,20 @@ def test_wide_fit_beyond_a_million_columns(spark):
     x = np.array([[1.0, float(i % 2 == 0), float(i % 2 == 1)] for i in range(60)])
     mu = 1 / (1 + np.exp(-x @ beta[at]))
     assert np.abs(x.T @ (mu - np.array([r[0] for r in rows])) / 60 + 0.05 * beta[at]).max() < 1e-9
+
+
+def test_fits_read_equal_rows_once(spark, monkeypatch):
+    """Twenty copies of each row: what the passes read are the distinct rows with their number."""
+    from cohortspark.models import clustered, mixed
+
+    rng = np.random.default_rng(8)
+    some = {(i % 6, float(rng.random() < 0.4 + 0.05 * (i % 6)), float(i % 5)) for i in range(120)}
+    df = spark.createDataFrame(sorted(some) * 20, "g int, y double, x double")
+    seen = []
+    for module in (link, mixed, clustered):
+        monkeypatch.setattr(module, "held", lambda d, old=module.held: (seen.append(d.count()) if "copies_" in d.columns else None, old(d))[1])
+    link.fit_exact(df, "y", ["x"], iterations=2)
+    one, _ = mixed.fit_glmm_laplace(df, "g", "y", ["x"], max_outer=1)
+    two, _ = clustered.fit_glmm(df, "g", "y", ["x"], max_outer=1)
+    assert seen == [len({r[1:] for r in some}), len(some), len(some)]
+    assert one.n == two.n == 20 * len(some)
