@@ -22,6 +22,8 @@ RECALL = 0.99
 MISSED = 1e-4
 #: Rows on either side of a block when the classes of a bucket are compared.
 BLOCK = 256
+#: Nodes on either side of a block when all pairs of a class are compared.
+CLASS_BLOCK = 512
 _MULTIPLIERS = np.random.default_rng(7).integers(0, 2**64, TREES * DEPTH, np.uint64) | np.uint64(1)
 
 
@@ -245,6 +247,81 @@ def _similarity(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFra
 _BLOCK = ["bucket", "i", "j"]
 
 
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole blocks, which are sorted to stand together."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        key = np.stack([batch.column(c).to_numpy() for c in _BLOCK], 1)
+        at = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist()]
+        for a, b in zip(at, at[1:], strict=False):
+            yield batch.slice(a, b - a)
+        held = batch.slice(at[-1])
+    if held is not None:
+        yield held
+
+
+def _degrees(links: DataFrame, classes: DataFrame, sets: DataFrame, facts: DataFrame, similarity: float, scratch: list[str]) -> DataFrame:
+    """(node, degree, best): the documents of all other sets that are near, and the nearest of them as (similarity, minus its least id).
+
+    A link lies inside a class, so classes whose ``links`` are not all pairs already are compared in full, in
+    blocks of ``CLASS_BLOCK`` by ``CLASS_BLOCK``: bits of signatures first, then exact similarity. A block
+    gives out sums per node, not pairs, so a dense class of n nodes costs n * n / 2 comparisons and
+    n * n / ``CLASS_BLOCK`` rows. ``facts``: (node, least, c).
+    """
+    ends = links.select(F.col("a").alias("node"), F.col("b").alias("other"), "similarity").unionByName(
+        links.select(F.col("b").alias("node"), F.col("a").alias("other"), "similarity")
+    )
+    linked = (
+        ends.join(facts.select(F.col("node").alias("other"), "c", "least"), "other")
+        .groupBy("node")
+        .agg(F.sum("c").alias("degree"), F.max(F.struct("similarity", (-F.col("least")).alias("minus"))).alias("best"), F.count("*").alias("k"))
+    )
+    per_node = written(linked.join(classes, "node"), "linked", scratch)
+    size = per_node.groupBy("component").agg(F.count("*").alias("n"), F.sum("k").alias("k")).where("k < n * (n - 1)")
+    open_ = size.select("component", F.ceil(F.col("n") / CLASS_BLOCK).cast("int").alias("nb"))
+    slot = F.pmod(F.hash("node"), F.col("nb"))
+    dealt = per_node.select("node", "component").join(open_, "component").join(facts, "node").withColumn("slot", slot)
+    kept = ["node", "c", "least"]
+    left = dealt.withColumn("j", F.explode(F.sequence("slot", F.col("nb") - 1))).select(F.col("component").alias("bucket"), F.col("slot").alias("i"), "j", F.lit(0).alias("role"), *kept)
+    right = dealt.where("slot > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("slot") - 1))).select(F.col("component").alias("bucket"), "i", F.col("slot").alias("j"), F.lit(1).alias("role"), *kept)
+    blocks = left.unionByName(right).join(sets, "node").repartition(*_BLOCK).sortWithinPartitions(*_BLOCK)
+    most = most_unlike(similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches):
+            i, j, role, node, c, least = (group.column(n).to_numpy() for n in ("i", "j", "role", "node", "c", "least"))
+            bits = np.stack([group.column(b).to_numpy() for b in _BITS], 1)
+            x = np.flatnonzero(role == 0)
+            y = x if i[0] == j[0] else np.flatnonzero(role == 1)
+            unlike = np.zeros((x.size, y.size), np.int16)
+            for b in range(3):
+                differ = (bits[x, b][:, None] ^ bits[y, b][None, :]) | (bits[x, b + 3][:, None] ^ bits[y, b + 3][None, :])
+                unlike += np.bitwise_count(differ.view(np.uint64))
+            wanted = unlike <= most
+            if i[0] == j[0]:
+                wanted &= node[x][:, None] < node[y][None, :]
+            own = [np.frombuffer(v.as_buffer(), np.uint64) for v in group.column("shingles")]
+            likeness = jaccard([own[k] for k in x], [own[k] for k in y], wanted)
+            likeness[likeness < similarity] = -1.0
+            for a, b, like in ((x, y, likeness), (y, x, likeness.T)):
+                if not a.size or not b.size:
+                    continue
+                best = like.max(1)
+                some = best >= 0
+                minus = np.where(like == best[:, None], -least[b][None, :], np.iinfo(np.int64).min).max(1)
+                cols = [node[a][some], ((like >= 0) @ c[b])[some], best[some], minus[some]]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in cols], ["node", "degree", "similarity", "minus"])
+
+    compared = blocks.mapInArrow(run, "node long, degree long, similarity double, minus long")
+    compared = written(compared.groupBy("node").agg(F.sum("degree").alias("degree"), F.max(F.struct("similarity", "minus")).alias("best")), "compared", scratch)
+    rest = per_node.join(open_.select("component"), "component", "left_anti").select("node", "degree", "best")
+    return written(rest.unionByName(compared), "degrees")
+
+
 def _between_classes(members: DataFrame, classes: DataFrame, sets: DataFrame, similarity: float, scratch: list[str]) -> DataFrame:
     """(a, b, similarity): links between nodes that share a bucket and are not in one class yet, enough of them to connect the classes.
 
@@ -277,22 +354,6 @@ def _between_classes(members: DataFrame, classes: DataFrame, sets: DataFrame, si
         once = (component[y] == main[y])[None, :] | (node[x][:, None] < node[y][None, :])
         return x, y, (unlike <= most) & (component[x][:, None] != component[y][None, :]) & once
 
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Whole blocks, which are sorted to stand together."""
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if held is not None:
-                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            key = np.stack([batch.column(c).to_numpy() for c in _BLOCK], 1)
-            at = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist()]
-            for a, b in zip(at, at[1:], strict=False):
-                yield batch.slice(a, b - a)
-            held = batch.slice(at[-1])
-        if held is not None:
-            yield held
-
     def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches):
             x, y, near = candidates(group)
@@ -354,8 +415,8 @@ def connected(
     return links, classes
 
 
-def near_links(sigs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float = NEAR, target: float = RECALL) -> tuple[DataFrame, DataFrame]:
-    """(a, b, similarity): verified links between nodes that connect all linked nodes; and (node, component).
+def near_links(sigs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float = NEAR, target: float = RECALL) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(a, b, similarity): verified links between nodes that connect all linked nodes; (node, component); and (node, degree, best).
 
     ``nodes`` (h1, h2, node, …) are the distinct shingle sets of ``sigs``; a node is the number of one of its rows.
 
@@ -366,7 +427,17 @@ def near_links(sigs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: f
     2. Components of these links. Where a prefix of the shortest length is shared by nodes of
        different components, all pairs between these components are compared. So every pair that
        shares such a prefix has been compared or is connected by links.
+    3. Inside a class all pairs are compared for ``degree`` and ``best``, so no link between different
+       sets of one class is lost (``_degrees``).
     """
+    links, classes, sets, scratch = _connecting(sigs, docs, nodes, similarity, target)
+    degrees = _degrees(links, classes, sets, nodes.select("node", "least", "c"), similarity, scratch)
+    discard(docs.sparkSession, scratch)
+    return links, classes, degrees
+
+
+def _connecting(sigs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float, target: float) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
+    """Steps 1 and 2 of ``near_links``: links, classes, sets, and the tables to discard."""
     depth = shortest_prefix(target, similarity)
     mask = [-1 << 16 * (DEPTH // 2 - min(DEPTH // 2, d)) if d > 0 else 0 for d in (depth, depth - DEPTH // 2)]
     hi, lo = F.col("t.hi").bitwiseAND(F.lit(mask[0])), F.col("t.lo").bitwiseAND(F.lit(mask[1]))
@@ -380,8 +451,7 @@ def near_links(sigs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: f
     alike = members.select("node").distinct().join(own.withColumnRenamed("row", "node"), "node")
     sets = written(_sets(docs, alike.select("node", "doc_id", "h1", "h2")), "forest-sets", scratch)
     links, classes = connected(members, sets, similarity, scratch)
-    discard(docs.sparkSession, scratch)
-    return links, classes
+    return links, classes, sets, scratch
 
 
 def distinct_sets(sigs: DataFrame) -> DataFrame:
@@ -395,9 +465,8 @@ def ngram_join(docs: DataFrame, similarity: float = NEAR, target: float = RECALL
 
     Documents whose sets of five-word shingles have a Jaccard similarity of ``similarity`` or more
     share a class, and so do documents that a chain of such pairs connects. ``class_id`` is the
-    smallest doc_id of the class. ``n_links`` counts the documents to which a verified link was
-    kept: all that have the same shingles, and all of each linked shingle set; near copies of one
-    text are linked to some of their group, enough to connect it, not each to each. ``link_id`` and
+    smallest doc_id of the class. ``n_links`` counts the documents of the class that are this similar:
+    all that have the same shingles, and all of each near shingle set. ``link_id`` and
     ``link_similarity`` are the most similar of these (the smallest id of it; for a text whose
     shingles others have too, itself or the smallest of them), so the rows are the pairs between
     representatives and the membership.
@@ -409,20 +478,16 @@ def ngram_join(docs: DataFrame, similarity: float = NEAR, target: float = RECALL
     return _joined(docs, similarity, target).drop("tie", "component")
 
 
-def _joined(docs: DataFrame, similarity: float, target: float) -> DataFrame:
+def _joined(docs: DataFrame, similarity: float, target: float, counted: bool = True) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
     sigs = signatures(source)
     nodes = written(distinct_sets(sigs), "nodes")
-    links, classes = near_links(sigs, source, nodes, similarity, target)
-    facts = nodes.select("node", "least", "c")
-    ends = links.select(F.col("a").alias("node"), F.col("b").alias("other"), "similarity").unionByName(
-        links.select(F.col("b").alias("node"), F.col("a").alias("other"), "similarity")
-    )
-    degree = (
-        ends.join(facts.select(F.col("node").alias("other"), "c", "least"), "other")
-        .groupBy("node")
-        .agg(F.sum("c").alias("degree"), F.max(F.struct("similarity", (-F.col("least")).alias("minus"))).alias("best"))
-    )
+    if counted:
+        _, classes, degree = near_links(sigs, source, nodes, similarity, target)
+    else:  # classes alone
+        _, classes, _, scratch = _connecting(sigs, source, nodes, similarity, target)
+        discard(docs.sparkSession, scratch)
+        degree = classes.select("node", F.lit(None).cast("bigint").alias("degree"), F.lit(None).cast("struct<similarity: double, minus: bigint>").alias("best")).limit(0)
     known = written(
         nodes.join(classes, "node", "left")
         .join(degree, "node", "left")
@@ -458,7 +523,7 @@ def drop_near_copies(docs: DataFrame, similarity: float = NEAR) -> DataFrame:
     an id with texts of different classes are kept or dropped with their own class.
     """
     id_, tie, copies = (spare(docs, n) for n in ("id_of_kept", "hash_of_kept", "copies_of_kept"))
-    rows = _joined(docs, similarity, RECALL).where("doc_id is not null")
+    rows = _joined(docs, similarity, RECALL, counted=False).where("doc_id is not null")
     counted = rows.groupBy("component", "doc_id", "class_id", "tie").agg(F.count("*").alias("n"))
     first = counted.where("component is not null and doc_id = class_id").groupBy("component", "doc_id").agg(F.min(F.struct("tie", "n")).alias("x"))
     wordless = counted.where("component is null").select("doc_id", "tie", F.lit(1).alias("n"))

@@ -154,3 +154,31 @@ def test_block_similarities_match_pairs():
             a, b = set(xs[i].tolist()), set(ys[j].tolist())
             assert abs(every[i, j] - len(a & b) / len(a | b)) < 1e-9
             assert not few[i, j] or some[i, j] == every[i, j]
+
+
+def test_no_link_between_different_texts_of_a_class_is_left_out(spark, monkeypatch):
+    """Near copies that are all near each other, more than neighbours in a tree: every one is linked with every other, by blocks too."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(200)]
+    texts = {}
+    for i in range(60):
+        w = list(base)
+        w[rng.randrange(200)] = word()
+        texts[i] = " ".join(w)
+    for i in range(60, 70):
+        texts[i] = texts[5]
+    for i in range(70, 90):  # a chain: near the one before, not the ones far off
+        w = (texts[i - 1] if i > 70 else " ".join(word() for _ in range(200))).split()
+        texts[i] = " ".join([*w[8:], *(word() for _ in range(8))])
+    classes, degree = brute(texts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for size in (512, 7):
+        monkeypatch.setattr(nj, "CLASS_BLOCK", size)
+        rows = {r.doc_id: r for r in nj.ngram_join(docs).collect()}
+        assert {i: r.class_id for i, r in rows.items()} == classes
+        assert {i: r.n_links for i, r in rows.items()} == degree
+    sets = {i: sets_of(t) for i, t in texts.items()}
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    for i in (*range(5), *range(75, 85)):
+        assert rows[i].link_id == min((j for j in texts if j != i), key=lambda j: (-like(i, j), j))
