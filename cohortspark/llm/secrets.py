@@ -91,13 +91,15 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 def _upper_normal(z: Column) -> Column:
     """P(Z > z) for z >= 0 by a polynomial in 1 / (1 + 0.2316419 z); off by less than 1e-7."""
-    t = 1 / (1 + 0.2316419 * z)
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    return F.exp(-z * z / 2) / 2.5066282746310002 * poly
+
+    def poly(t: Column) -> Column:
+        return t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+
+    return _let(z, lambda z: F.exp(-z * z / 2) / 2.5066282746310002 * _let(1 / (1 + 0.2316419 * z), poly))
 
 
 def _one_sided(z: Column) -> Column:
-    return F.when(z >= 0, _upper_normal(z)).otherwise(1 - _upper_normal(-z))
+    return _let(z, lambda z: _let(_upper_normal(F.abs(z)), lambda p: F.when(z >= 0, p).otherwise(1 - p)))
 
 
 def _two_sided(z: Column) -> Column:
@@ -109,6 +111,7 @@ def randomness(token: Column) -> Column:
 
     Chi-squared uniformity, runs about the middle of the alphabet, and lag-1 serial correlation;
     the three p-values are combined by Fisher's method (six degrees of freedom, closed form).
+    What is used several times is bound once: written out, the plan would hold it as often.
     """
 
     def alphabet(bare: Column) -> Column:
@@ -118,7 +121,6 @@ def randomness(token: Column) -> Column:
         return found
 
     def battery(x: Column) -> Column:
-        n, k = F.size(x["v"]).cast("double"), x["k"].cast("double")
         counted = F.aggregate(  # sorted values: sum of squared counts = sum over values of (2 * run - 1)
             F.array_sort(x["v"]),
             F.struct(F.lit(-1).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("sq")),
@@ -128,9 +130,6 @@ def randomness(token: Column) -> Column:
                 (a["sq"] + F.when(v == a["last"], 2 * a["run"] + 1).otherwise(1)).alias("sq"),
             ),
         )["sq"].cast("double")
-        chi, df = counted * k / n - n, k - 1
-        third = F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3))
-        z_chi = (third - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
         moved = F.aggregate(
             x["v"],
             F.struct(
@@ -147,22 +146,32 @@ def randomness(token: Column) -> Column:
             ),
         )
 
-        def tests(m: Column) -> Column:
-            high, low = m["high"].cast("double"), n - m["high"]
-            both = 2 * high * low
-            expected, spread = both / n + 1, both * (both - n) / (n * n * (n - 1))
-            p_runs = F.when(spread > 0, _two_sided((m["runs"] - expected) / F.sqrt(spread))).otherwise(0.0)
+        def known(m: Column) -> Column:
+            n, high = F.size(x["v"]).cast("double"), m["high"].cast("double")
+            return F.struct(n.alias("n"), x["k"].cast("double").alias("k"), counted.alias("counted"), high.alias("high"), m.alias("m"))
+
+        def moments(y: Column) -> Column:
+            n, m, df = y["n"], y["m"], y["k"] - 1
+            third = F.pow(F.greatest(y["counted"] * y["k"] / n - n, F.lit(0.0)) / df, F.lit(1 / 3))
             mean = m["sum"] / n
-            variance = m["sq"] / n - mean * mean
+            return F.struct(
+                n.alias("n"), m.alias("m"), ((third - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))).alias("z_chi"),
+                (2 * y["high"] * (n - m["high"])).alias("both"), mean.alias("mean"), (m["sq"] / n - mean * mean).alias("variance"),
+            )
+
+        def tests(y: Column) -> Column:
+            n, m, both, mean, variance = (y[c] for c in ("n", "m", "both", "mean", "variance"))
+            expected, spread = both / n + 1, both * (both - n) / (n * n * (n - 1))
+            p_runs = _let(spread, lambda s: F.when(s > 0, _two_sided((m["runs"] - expected) / F.sqrt(s))).otherwise(0.0))
             first, last = F.element_at(x["v"], 1), F.element_at(x["v"], -1)
             lagged = m["lag"] - mean * (2 * m["sum"] - first - last) + (n - 1) * mean * mean
             z_lag = (lagged / (n * variance) + 1 / n) * F.sqrt(n)
             p_lag = F.when(variance > 0, _two_sided(z_lag)).otherwise(0.0)
             tiny = F.lit(1e-300)
-            half = -(F.log(F.greatest(_one_sided(z_chi), tiny)) + F.log(F.greatest(p_runs, tiny)) + F.log(F.greatest(p_lag, tiny)))
-            return F.exp(-half) * (1 + half + half * half / 2)
+            half = -(F.log(F.greatest(_one_sided(y["z_chi"]), tiny)) + F.log(F.greatest(p_runs, tiny)) + F.log(F.greatest(p_lag, tiny)))
+            return _let(half, lambda h: F.exp(-h) * (1 + h + h * h / 2))
 
-        return F.element_at(F.transform(F.array(moved), tests), 1)
+        return _let(_let(_let(moved, known), moments), tests)
 
     def coded(x: Column) -> Column:
         letters = F.filter(F.split(x["b"], ""), lambda c: c != "")

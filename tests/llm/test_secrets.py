@@ -161,3 +161,8 @@ def test_prose_has_few_random_spans_and_long_texts_are_whole(spark):
     long = "plain words " * 100_000 + token
     (row,) = secrets.scan(spark.createDataFrame([(1, long)], "doc_id long, text string")).collect()
     assert (len(long) - 64, len(long)) in [(x.s, x.e) for x in row.secrets]
+
+
+def test_plan_of_the_scan_holds_each_value_once(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(secrets._candidates(F.col("text")).alias("c"))
+    assert len(docs._jdf.queryExecution().toString()) < 200_000  # a million before: it is held by the driver many times over
