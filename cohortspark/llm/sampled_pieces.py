@@ -7,6 +7,7 @@ import math
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ _WORDS_HELD, _WAYS_HELD, _CHARS_AT_ONCE = 700_000, 6_000_000, 1_500_000
 #: Words with the blanks before them, cut between letters and other signs: no piece of the model has
 #: both, so the parts are independent.
 _WORD = re.compile(r" *[^\W\d_²³]+| *(?:(?![^\W\d_²³])[^ ])+| +")
-#: Ends of words up to this length are held for other words, and beginnings of this length with their pieces.
-_END_CHARS, _START_CHARS = 6, 4
+#: Words whose segmentations are listed together.
+_WORDS_AT_ONCE = 2000
 #: Cumulative shares of a word's segmentations are whole numbers of so many bits, so that a draw does not
 #: depend on which words a worker has met before.
 _CDF_BITS = 40
@@ -62,8 +63,20 @@ class Lattice:
         self.bytes = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.begun = {p[:n] for p in self.pieces for n in range(1, len(p) + 1)}
         self.fallback = inverse * _LEAST_SCORE
-        self.starts: dict[str, tuple] = {}
-        self.ends: dict[str, list] = {}
+        short = [p for p in self.pieces if len(p) <= WORD_CHARS]
+        self.piece_ids = np.array([int(np.frombuffer(self.pieces[p][0], np.uint32)[0]) for p in short], np.uint32)
+        self.piece_logs = np.array([self.pieces[p][1] for p in short])
+        number = {p: i for i, p in enumerate(short)}
+        #: Per length the sorted hashes of what pieces begin with, and the numbers of the pieces that are whole there (-1: none).
+        self.levels = []
+        for n in range(1, max(map(len, short)) + 1):
+            begun = [p for p in self.begun if len(p) == n]
+            points = np.frombuffer("".join(begun).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
+            hashes = np.zeros(len(begun), np.uint64)
+            for i in range(n):
+                hashes = _next_hash(hashes, points[:, i])
+            order = np.argsort(hashes)
+            self.levels.append((hashes[order], np.array([number.get(begun[i], -1) for i in order.tolist()], np.int64)))
         self.forget()
 
     def forget(self) -> None:
@@ -73,7 +86,8 @@ class Lattice:
         count of its options (segmentations of a word, or pieces that go on from a place), and flat columns over all options.
         """
         self.kinds: dict[str, int] = {}
-        self.count, self.logp, self.cdf, self.ids = array("q"), array("d"), array("q"), []
+        self.count, self.logp, self.cdf = array("q"), array("d"), array("q")
+        self.ids, self.width = bytearray(), array("q")  # of all options one after the other, and how many ids each has
         self.step = array("q")  # characters that an option of a long word takes; 0 for a whole word
         self.columns = None
 
@@ -83,34 +97,60 @@ class Lattice:
         lacking = [i for i, row in enumerate(found) if None in row]
         if lacking:
             new = dict.fromkeys(w for i in lacking for w, got in zip(parts[i], found[i], strict=True) if got is None)
-            if self.kinds and (len(self.count) + len(new) > _WORDS_HELD or len(self.ids) > _WAYS_HELD):
+            if self.kinds and (len(self.count) + len(new) > _WORDS_HELD or len(self.width) > _WAYS_HELD):
                 self.forget()
                 lacking, new = range(len(parts)), dict.fromkeys(w for p in parts for w in p)
             for word in new:
-                self._add(word)
+                if len(word) > WORD_CHARS:
+                    self.kinds[word] = len(self.count)
+                    self._add_long(word)
+            self._add_short([w for w in new if len(w) <= WORD_CHARS])
             self.columns = None
             for i in lacking:
                 found[i] = list(map(self.kinds.__getitem__, parts[i]))
         return [np.array(row, np.int64) for row in found]
 
     def flat(self) -> tuple[np.ndarray, ...]:
-        """(cdf, logp, start, count, step): options of number t are start[t] … start[t] + count[t] - 1."""
+        """(cdf, logp, start, count, step, ids, first, width): options of number t are start[t] … start[t] + count[t] - 1.
+
+        The ids of option i are ids[first[i]] … ids[first[i] + width[i] - 1].
+        """
         if self.columns is None:
             count = np.array(self.count, np.int64)
-            self.columns = (np.array(self.cdf, np.int64), np.array(self.logp), np.cumsum(count) - count, count, np.array(self.step, np.int64))
+            width = np.array(self.width, np.int64)
+            self.columns = (
+                np.array(self.cdf, np.int64), np.array(self.logp), np.cumsum(count) - count, count, np.array(self.step, np.int64),
+                np.array(np.frombuffer(self.ids, "<u4")), np.cumsum(width) - width, width,
+            )
         return self.columns
 
-    def _add(self, word: str) -> None:
-        self.kinds[word] = len(self.count)
-        if len(word) > WORD_CHARS:
-            self._add_long(word)
-            return
-        ways = self._ways(word, {})
-        if len(ways) == 1:
-            self._options([(0.0, ways[0][1], 0)])
-            return
-        mass, ways = _likely(ways)
-        self._options([(w - mass, ids, 0) for w, ids in ways])
+    def _add_short(self, words: list[str]) -> None:
+        """Words of up to ``WORD_CHARS`` characters, ``_WORDS_AT_ONCE`` walked together."""
+        for i in range(0, len(words), _WORDS_AT_ONCE):
+            part = words[i : i + _WORDS_AT_ONCE]
+            count, logp, cdf, ids = [], [], [], []
+            for number, (word, ways) in enumerate(zip(part, self._ways(part), strict=True), len(self.count)):
+                self.kinds[word] = number
+                top = (number + 1) << _CDF_BITS
+                if len(ways) == 1:
+                    count.append(1)
+                    logp.append(0.0)
+                    cdf.append(top)
+                    ids.append(ways[0][1])
+                    continue
+                mass, ways = _likely(ways)
+                own, base = [w - mass for w, _ in ways], top - _ONE
+                count.append(len(own))
+                logp += own
+                cdf += [base + min(int(t * _ONE), _ONE) for t in accumulate(map(math.exp, own))]
+                cdf[-1] = top
+                ids += [i for _, i in ways]
+            self.count.extend(count)
+            self.logp.extend(logp)
+            self.cdf.extend(cdf)
+            self.ids += b"".join(ids)
+            self.width.extend([len(i) // 4 for i in ids])
+            self.step.frombytes(bytes(self.step.itemsize * len(ids)))
 
     def _options(self, options: list[tuple[float, bytes, int]]) -> None:
         base, total = len(self.count) << _CDF_BITS, 0.0
@@ -119,7 +159,8 @@ class Lattice:
             total += math.exp(logp)
             self.logp.append(logp)
             self.cdf.append(base + min(int(total * _ONE), _ONE))
-            self.ids.append(ids)
+            self.ids += ids
+            self.width.append(len(ids) // 4)
             self.step.append(step)
         self.cdf[-1] = base + _ONE
 
@@ -142,58 +183,119 @@ class Lattice:
         for options in reversed(found):
             self._options(options)
 
-    def _start(self, head: str) -> tuple[list[tuple], bool]:
-        """Pieces with which a word that begins with ``head`` can begin, up to its length, and whether a longer one may follow."""
-        found = [(j, *self.pieces[head[:j]]) for j in range(1, len(head) + 1) if head[:j] in self.pieces]
-        if head[0] not in self.pieces:  # a character that is no piece is its bytes
-            data = head[0].encode("utf-8", "surrogatepass")
-            found.append((1, array("I", [self.bytes[b] for b in data]).tobytes(), self.fallback * len(data)))
-        if len(self.starts) >= _WORDS_HELD:
-            self.starts.clear()
-        self.starts[head] = known = (found, head in self.begun)
-        return known
-
-    def _ways(self, word: str, own: dict) -> list[tuple[float, bytes]]:
-        """[(log weight, ids)] of a word's segmentations, the likeliest first.
-
-        Built from the ends of the word; short ends, which other words share, are held. What has less than
-        the share ``_LOG_TINY`` of an end's mass has less of the word's.
+    def _matches(self, points: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, length, piece's number): the pieces that begin at each place of words with ``rest`` characters left."""
+        out, at, hashes = [], np.arange(points.size), np.zeros(points.size, np.uint64)
+        for n, (known, pieces) in enumerate(self.levels[:WORD_CHARS]):
+            if n:
+                inside = np.flatnonzero(rest[at] > n)
+                at, hashes = at[inside], hashes[inside]
+            hashes = _next_hash(hashes, points[at + n])
+            slot = np.minimum(np.searchsorted(known, hashes), known.size - 1)
+            same = np.flatnonzero(known[slot] == hashes)
+            at, hashes, slot = at[same], hashes[same], slot[same]
+            whole = np.flatnonzero(pieces[slot] >= 0)
+            out.append((at[whole], np.full(whole.size, n + 1), pieces[slot[whole]]))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+    def _ways(self, words: list[str]) -> list[list[tuple[float, bytes]]]:
+        """Per word [(log weight, ids)] of its segmentations, the likeliest first.
+
+        All words are walked together, by the characters that are left (``d``): sums of the best ways to the end and from
+        the beginning leave out the pieces of no way that counts, then the ways are listed from the ends on.
+        What has less than the share ``_LOG_TINY`` of an end's likeliest way is left out, so it has less of the word's mass.
         """
-        n, head = len(word), word[:_START_CHARS]
-        heads, longer = self.starts.get(head) or self._start(head)
-        if longer and n > _START_CHARS:
-            heads = heads.copy()
-            for j in range(_START_CHARS + 1, n + 1):
-                if (head := word[:j]) not in self.begun:
-                    break
-                if piece := self.pieces.get(head):
-                    heads.append((j, *piece))
-        top, options = -math.inf, []
-        for j, ids, w in heads:
-            if j == n:
-                rest = _NO_MORE
-            else:
-                end = word[j:]
-                held = self.ends if n - j <= _END_CHARS else own
-                if (rest := held.get(end)) is None:
-                    if len(held) >= _WORDS_HELD:
-                        held.clear()
-                    held[end] = rest = self._ways(end, own)
-            top = max(top, w + rest[0][0])
-            options.append((w, ids, rest))
-        least, ways = top + _LOG_TINY, []
-        for w, ids, rest in options:
-            for more, tail in rest:
-                if (weight := w + more) < least:
-                    break
-                ways.append((weight, ids + tail))
-        if len(ways) > 1:
-            ways.sort(reverse=True)
-        return ways
-
-
-#: The one way to go on after the last piece.
-_NO_MORE = [(0.0, b"")]
+        sizes = np.array(list(map(len, words)), np.int64)
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        first = np.cumsum(sizes) - sizes
+        word = np.repeat(np.arange(sizes.size), sizes)
+        rest = (first + sizes)[word] - np.arange(points.size)  # characters from a place to the word's end
+        place, length, kind = self._matches(points, rest)
+        ids, logs, width = self.piece_ids, self.piece_logs, np.ones(self.piece_ids.size, np.int64)
+        plain = np.zeros(points.size, bool)
+        plain[place[length == 1]] = True
+        if (odd := np.flatnonzero(~plain)).size:  # a character that is no piece is its bytes
+            chars, which = np.unique(points[odd], return_inverse=True)
+            data = [bytes(np.array([c], "<u4")).decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass") for c in chars.tolist()]
+            place, length, kind = (np.concatenate(c) for c in ((place, odd), (length, np.ones(odd.size, np.int64)), (kind, width.size + which)))
+            width = np.concatenate((width, [len(d) for d in data]))
+            ids = np.concatenate((ids, np.array([self.bytes[b] for d in data for b in d], np.uint32)))
+            logs = np.concatenate((logs, [self.fallback * len(d) for d in data]))
+        begin = np.cumsum(width) - width
+
+        # from each state (characters left, word) to another; the state of a word's end is always there
+        many = sizes.size
+        source, target = rest[place] * many + word[place], (rest[place] - length) * many + word[place]
+        order = np.argsort(source, kind="stable")
+        source, target, kind = source[order], target[order], kind[order]
+        weight = logs[kind]
+        best, ahead = np.full((WORD_CHARS + 1) * many, -np.inf), np.full((WORD_CHARS + 1) * many, -np.inf)
+        best[:many], ahead[sizes * many + np.arange(many)] = 0.0, 0.0
+        _walk(best, source, target, weight, range(1, WORD_CHARS + 1), many)
+        order = np.argsort(target, kind="stable")
+        _walk(ahead, target[order], source[order], weight[order], range(WORD_CHARS - 1, -1, -1), many)
+        least = best + _LOG_TINY
+        whole = least[sizes * many + np.arange(many)] - 1e-6
+        counts = np.flatnonzero(ahead[source] + weight + best[target] >= whole[source % many])
+        source, target, kind = source[counts], target[counts], kind[counts]
+        cuts = np.searchsorted(source, np.arange(WORD_CHARS + 2) * many)
+        edges = [(source[i:j] % many, target[i:j] // many, kind[i:j]) for i, j in zip(cuts[1:], cuts[2:], strict=False)]
+        least = least.reshape(-1, many).T
+        start, count = np.zeros((sizes.size, WORD_CHARS + 1), np.int64), np.zeros((sizes.size, WORD_CHARS + 1), np.int64)
+        start[:, 0], count[:, 0] = np.arange(sizes.size), 1
+        total, piece, after = np.zeros(sizes.size), np.full(sizes.size, -1), np.full(sizes.size, -1)
+        for d, (own, left, kind) in enumerate(edges, 1):
+            n = count[own, left]
+            edge = np.repeat(np.arange(own.size), n)
+            more = (start[own, left] - np.cumsum(n) + n)[edge] + np.arange(edge.size)
+            sums = logs[kind][edge] + total[more]
+            keep = sums >= least[own[edge], d]
+            edge, more, sums = edge[keep], more[keep], sums[keep]
+            count[:, d] = np.bincount(own[edge], minlength=sizes.size)
+            start[:, d] = total.size + np.cumsum(count[:, d]) - count[:, d]
+            total, piece, after = np.concatenate((total, sums)), np.concatenate((piece, kind[edge])), np.concatenate((after, more))
+
+        n, at = count[np.arange(sizes.size), sizes], start[np.arange(sizes.size), sizes]
+        owner = np.repeat(np.arange(sizes.size), n)
+        way = (at - np.cumsum(n) + n)[owner] + np.arange(owner.size)
+        way = way[np.lexsort((-total[way], owner))]
+        weights = total[way].tolist()
+        parts, step = [], way
+        while (piece[step] >= 0).any():
+            parts.append(piece[step])
+            step = np.where(after[step] >= 0, after[step], step)
+        path = np.stack(parts, 1)
+        taken = np.where(path >= 0, width[path], 0).sum(axis=1)
+        path = path[path >= 0]
+        long = width[path]
+        flat = ids[np.repeat(begin[path] - np.cumsum(long) + long, long) + np.arange(int(long.sum()))].tobytes()
+        upto = (4 * np.cumsum(taken)).tolist()
+        spelt = [flat[a:b] for a, b in zip([0, *upto], upto, strict=False)]
+        pairs, out, a = list(zip(weights, spelt, strict=True)), [], 0
+        for b in np.cumsum(n).tolist():
+            ways = pairs[a:b]
+            if b - a > 1:
+                ways.sort(reverse=True)  # of equal weights the larger ids first
+            out.append(ways)
+            a = b
+        return out
+
+
+def _walk(best: np.ndarray, states: np.ndarray, others: np.ndarray, weight: np.ndarray, levels: range, many: int) -> None:
+    """``best`` of each of the sorted ``states`` from those of the others; ``many`` states are of one level, walked in this order."""
+    cuts = np.searchsorted(states, np.arange(max(levels) + 2) * many)
+    for d in levels:
+        own = slice(cuts[d], cuts[d + 1])
+        if cuts[d] < cuts[d + 1]:
+            first = np.flatnonzero(np.diff(states[own], prepend=-1))
+            at = states[own][first]
+            best[at] = np.maximum(best[at], np.maximum.reduceat(best[others[own]] + weight[own], first))
+
+
+def _next_hash(hashes: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Hashes of strings that are longer by one character."""
+    x = (hashes + points.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
 def _likely(ways: list[tuple[float, bytes]]) -> tuple[float, list[tuple[float, bytes]]]:
@@ -234,7 +336,7 @@ def search(flat: tuple, types: np.ndarray, sizes: np.ndarray, k: int, rng: np.ra
     inclusion probability); the inclusion probability takes the next best score as the threshold.
     ``sizes`` holds the characters of long words, and 0 for the others.
     """
-    cdf, logp, start, count, step = flat
+    cdf, logp, start, count, step = flat[:5]
     long = np.flatnonzero(sizes)
 
     def draw(kinds: np.ndarray) -> np.ndarray:
@@ -318,13 +420,19 @@ def sample_texts(keys: list[int], texts: list[str], lattice: Lattice, k: int) ->
     """Per text its samples: (ids as little-endian 32-bit bytes, log-probability, perturbed score, log inclusion probability)."""
     parts = [words_of(t) for t in texts]
     types = lattice.types(parts)
-    flat, ids = lattice.flat(), lattice.ids
+    flat = lattice.flat()
+    ids, first, width = flat[5:]
+
+    def spelt(path: np.ndarray) -> bytes:
+        own = width[path]
+        return ids[np.repeat(first[path] - np.cumsum(own) + own, own) + np.arange(own.sum())].tobytes()
+
     out = []
     for key, words, own in zip(keys, parts, types, strict=True):
         rng = np.random.Generator(np.random.Philox(key=key))
         sizes = np.array([n if n > WORD_CHARS else 0 for n in map(len, words)], np.int64)
         rows = search(flat, own, sizes, k, rng)
-        out.append([(b"".join([ids[i] for i in path.tolist()]), *rest) for path, *rest in rows])
+        out.append([(spelt(path), *rest) for path, *rest in rows])
     return out
 
 

@@ -143,3 +143,22 @@ def test_no_piece_crosses_the_cuts_between_words():
         piece = model.id_to_piece(i).replace("▁", " ")
         assert piece.count(" ") > 1 or piece == " " or len(sp._WORD.findall(piece)) == 1, piece
     assert "".join(sp.words_of("a  b,c.\n d1 é²! ")) == " a  b,c.\n d1 é²! "
+
+
+def test_words_walked_together_have_the_ways_of_each_alone():
+    lattice = sp.Lattice(sp.model_path(), sp.INVERSE)
+    words = [" the", "a", " ", "   ", " naïve", " 漢字", "▁▁a", "🙂", " x🙂yéz", " internationali", "0000000000000000", " unosjauees"]
+
+    def slow(word):  # from the ends on; less than 1e-13 of an end's likeliest way is left out
+        if not word:
+            return [(0.0, b"")]
+        heads = [(n, *lattice.pieces[word[:n]]) for n in range(1, len(word) + 1) if word[:n] in lattice.pieces]
+        if word[0] not in lattice.pieces:
+            data = word[0].encode()
+            heads.append((1, np.array([lattice.bytes[b] for b in data], "<u4").tobytes(), lattice.fallback * len(data)))
+        ways = [(w + more, ids + tail) for n, ids, w in heads for more, tail in slow(word[n:])]
+        return sorted((x for x in ways if x[0] >= max(ways)[0] + sp._LOG_TINY), reverse=True)
+
+    together = lattice._ways(words)
+    assert together == [slow(w) for w in words] == [lattice._ways([w])[0] for w in words]
+    assert max(map(len, together)) > 20
