@@ -6,8 +6,10 @@ import functools
 import math
 import re
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import chain, islice, pairwise
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +28,23 @@ _LEAST_SCORE = -32_000.0
 WORD_CHARS = 16
 #: Listed segmentations of less than this share of the word's mass are left out: a draw's grain is coarser.
 _LOG_TINY = math.log(1e-13)
+#: What is left out must not count beside what the last sample is drawn from, so all words are walked in texts
+#: where the other samples could take more than this share of the mass.
+_SHARE_LISTED = 0.999
 _WORDS_HELD, _WAYS_HELD, _CHARS_AT_ONCE = 700_000, 6_000_000, 1_500_000
 #: Words with the blanks before them, cut between letters and other signs: no piece of the model has
 #: both, so the parts are independent.
 _WORD = re.compile(r" *[^\W\d_²³]+| *(?:(?![^\W\d_²³])[^ ])+| +")
+#: The same for texts in ASCII.
+_ASCII_WORD = re.compile(r" *[A-Za-z]+| *[^A-Za-z ]+| +")
 #: Words whose segmentations are listed together.
 _WORDS_AT_ONCE = 2000
 #: Cumulative shares of a word's segmentations are whole numbers of so many bits, so that a draw does not
 #: depend on which words a worker has met before.
 _CDF_BITS = 40
 _ONE = 1 << _CDF_BITS
+#: They are added up with so many bits more.
+_MORE_BITS = 10
 #: How the model writes a blank; in a text this character is an ordinary one, of no piece.
 _MARK = "▁"
 
@@ -53,6 +62,47 @@ def _processor(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
+class _Column:
+    """Numbers that more are added to in place."""
+
+    def __init__(self, kind: type) -> None:
+        self.held, self.size = np.empty(1024, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        size = self.size + values.size
+        if size > self.held.size:
+            old, self.held = self.held, np.empty(max(size, self.held.size * 3 // 2), self.held.dtype)
+            self.held[: self.size] = old[: self.size]
+        self.held[self.size : size] = values
+        self.size = size
+
+    def all(self) -> np.ndarray:
+        return self.held[: self.size]
+
+
+class Options(NamedTuple):
+    """Options of number t are start[t] … start[t] + count[t] - 1; limit[t] is the cdf of the first of them.
+
+    ``others`` is the log-probability of the number's other options. The ids of option i are
+    ids[first[i]] … ids[first[i] + width[i] - 1]. ``step`` counts the characters that an option of a walked word
+    takes; it is 0 for a whole word.
+    """
+
+    start: np.ndarray
+    count: np.ndarray
+    limit: np.ndarray
+    cdf: np.ndarray
+    logp: np.ndarray
+    others: np.ndarray
+    step: np.ndarray
+    first: np.ndarray
+    width: np.ndarray
+    ids: np.ndarray
+
+
+_KINDS = Options(np.int64, np.int64, np.int64, np.int64, np.float64, np.float64, np.int64, np.int64, np.int64, np.uint32)
+
+
 class Lattice:
     """All segmentations of single words into pieces of a model, with their log-probabilities."""
 
@@ -82,90 +132,84 @@ class Lattice:
     def forget(self) -> None:
         """Empty the table of words.
 
-        A word has a number; so has each place inside a long word, from the word's number on. Per number the
-        count of its options (segmentations of a word, or pieces that go on from a place), and flat columns over all options.
+        A word has a number; so has each place inside a walked word, from the word's number on. Per number there are
+        options: segmentations of a word, or pieces that go on from a place.
         """
-        self.kinds: dict[str, int] = {}
-        self.count, self.logp, self.cdf = array("q"), array("d"), array("q")
-        self.ids, self.width = bytearray(), array("q")  # of all options one after the other, and how many ids each has
-        self.step = array("q")  # characters that an option of a long word takes; 0 for a whole word
-        self.columns = None
-
-    def types(self, parts: list[list[str]]) -> list[np.ndarray]:
-        """The words' numbers in the table; new words are added."""
-        found = [list(map(self.kinds.get, p)) for p in parts]
-        lacking = [i for i, row in enumerate(found) if None in row]
-        if lacking:
-            new = dict.fromkeys(w for i in lacking for w, got in zip(parts[i], found[i], strict=True) if got is None)
-            if self.kinds and (len(self.count) + len(new) > _WORDS_HELD or len(self.width) > _WAYS_HELD):
-                self.forget()
-                lacking, new = range(len(parts)), dict.fromkeys(w for p in parts for w in p)
-            for word in new:
-                if len(word) > WORD_CHARS:
-                    self.kinds[word] = len(self.count)
-                    self._add_long(word)
-            self._add_short([w for w in new if len(w) <= WORD_CHARS])
-            self.columns = None
-            for i in lacking:
-                found[i] = list(map(self.kinds.__getitem__, parts[i]))
-        return [np.array(row, np.int64) for row in found]
-
-    def flat(self) -> tuple[np.ndarray, ...]:
-        """(cdf, logp, start, count, step, ids, first, width): options of number t are start[t] … start[t] + count[t] - 1.
-
-        The ids of option i are ids[first[i]] … ids[first[i] + width[i] - 1].
-        """
-        if self.columns is None:
-            count = np.array(self.count, np.int64)
-            width = np.array(self.width, np.int64)
-            self.columns = (
-                np.array(self.cdf, np.int64), np.array(self.logp), np.cumsum(count) - count, count, np.array(self.step, np.int64),
-                np.array(np.frombuffer(self.ids, "<u4")), np.cumsum(width) - width, width,
-            )
-        return self.columns
-
-    def _add_short(self, words: list[str]) -> None:
-        """Words of up to ``WORD_CHARS`` characters, ``_WORDS_AT_ONCE`` walked together."""
-        for i in range(0, len(words), _WORDS_AT_ONCE):
-            part = words[i : i + _WORDS_AT_ONCE]
-            count, logp, cdf, ids = [], [], [], []
-            for number, (word, ways) in enumerate(zip(part, self._ways(part), strict=True), len(self.count)):
-                self.kinds[word] = number
-                top = (number + 1) << _CDF_BITS
-                if len(ways) == 1:
-                    count.append(1)
-                    logp.append(0.0)
-                    cdf.append(top)
-                    ids.append(ways[0][1])
-                    continue
-                mass, ways = _likely(ways)
-                own, base = [w - mass for w, _ in ways], top - _ONE
-                count.append(len(own))
-                logp += own
-                cdf += [base + min(int(t * _ONE), _ONE) for t in accumulate(map(math.exp, own))]
-                cdf[-1] = top
-                ids += [i for _, i in ways]
-            self.count.extend(count)
-            self.logp.extend(logp)
-            self.cdf.extend(cdf)
-            self.ids += b"".join(ids)
-            self.width.extend([len(i) // 4 for i in ids])
-            self.step.frombytes(bytes(self.step.itemsize * len(ids)))
-
-    def _options(self, options: list[tuple[float, bytes, int]]) -> None:
-        base, total = len(self.count) << _CDF_BITS, 0.0
-        self.count.append(len(options))
-        for logp, ids, step in options:
-            total += math.exp(logp)
-            self.logp.append(logp)
-            self.cdf.append(base + min(int(total * _ONE), _ONE))
-            self.ids += ids
-            self.width.append(len(ids) // 4)
-            self.step.append(step)
-        self.cdf[-1] = base + _ONE
-
-    def _add_long(self, word: str) -> None:
-        """Sums over all segmentations from each place to the end; a place's options are the pieces that begin there."""
+        self.words: defaultdict[str, int] = defaultdict()  # in the order met
+        self.words.default_factory = self.words.__len__
+        self.number, self.walk = _Column(np.int64), _Column(np.int64)  # per word, and its characters if it is walked, else 0
+        self.options = Options(*map(_Column, _KINDS))
+
+    def types(self, parts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' numbers in the table, and their characters if they are walked (else 0); new words are added."""
+        total, known = sum(map(len, parts)), len(self.words)
+        at = np.fromiter(map(self.words.__getitem__, chain.from_iterable(parts)), np.int64, total)
+        if len(self.words) > known > 0 and (len(self.words) > _WORDS_HELD or self.options.width.size > _WAYS_HELD):
+            self.forget()
+            known = 0
+            at = np.fromiter(map(self.words.__getitem__, chain.from_iterable(parts)), np.int64, total)
+        new = list(islice(reversed(self.words), len(self.words) - known))[::-1]
+        sizes = np.fromiter(map(len, new), np.int64, len(new))
+        number = np.empty(sizes.size, np.int64)
+        long = np.flatnonzero(sizes > WORD_CHARS)
+        number[long] = self.add_walked([new[i] for i in long.tolist()])
+        short = np.flatnonzero(sizes <= WORD_CHARS)
+        for i in range(0, short.size, _WORDS_AT_ONCE):
+            part = short[i : i + _WORDS_AT_ONCE]
+            number[part] = self._add_listed([new[j] for j in part.tolist()]) + np.arange(part.size)
+        self.number.add(number)
+        self.walk.add(np.where(sizes > WORD_CHARS, sizes, 0))
+        return self.number.all()[at], self.walk.all()[at]
+
+    def flat(self) -> Options:
+        return Options(*(c.all() for c in self.options))
+
+    def _add(self, count: np.ndarray, logp: np.ndarray, width: np.ndarray, ids: np.ndarray, step: np.ndarray) -> int:
+        """The first of new numbers with so many options each; numbers do not depend on what is added together."""
+        o = self.options
+        number, options = o.count.size, o.logp.size
+        begin, owner = np.cumsum(count) - count, np.repeat(np.arange(count.size), count)
+        last = begin + count - 1
+        share = np.cumsum((np.exp(logp) * (_ONE << _MORE_BITS)).astype(np.int64))  # differences stay right if it runs over
+        share -= np.concatenate(([0], share[last[:-1]]))[owner]
+        share = np.minimum(share >> _MORE_BITS, _ONE)
+        share[last] = _ONE
+        cdf = ((number + owner) << _CDF_BITS) + share
+        o.start.add(options + begin)
+        o.count.add(count)
+        o.limit.add(cdf[begin])
+        o.cdf.add(cdf)
+        o.logp.add(logp)
+        o.others.add(_others(logp, begin, owner))
+        o.step.add(step)
+        o.first.add(o.ids.size + np.cumsum(width) - width)
+        o.width.add(width)
+        o.ids.add(ids)
+        return number
+
+    def _add_listed(self, words: list[str]) -> int:
+        """The number of the first of words of up to ``WORD_CHARS`` characters, which are walked together."""
+        count, weight, width, ids = self._listed(words)
+        begin, owner = np.cumsum(count) - count, np.repeat(np.arange(count.size), count)
+        top = weight[begin]
+        mass = top + np.log(np.add.reduceat(np.exp(weight - top[owner]), begin))
+        logp = np.where(count[owner] == 1, 0.0, weight - mass[owner])
+        keep = logp > _LOG_TINY
+        return self._add(np.bincount(owner[keep], minlength=count.size), logp[keep], width[keep], ids[np.repeat(keep, width)], np.zeros(int(keep.sum()), np.int64))
+
+    def add_walked(self, words: list[str]) -> np.ndarray:
+        """The words' numbers; they are added to the table whether it has them or not."""
+        if not words:
+            return np.empty(0, np.int64)
+        places = list(chain.from_iterable(map(self._walked, words)))
+        logp, ids, step = zip(*chain.from_iterable(places), strict=True)
+        width = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first = self._add(np.fromiter(map(len, places), np.int64, len(places)), np.array(logp), width, np.frombuffer(b"".join(ids), "<u4"), np.array(step, np.int64))
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        return first + np.cumsum(sizes) - sizes
+
+    def _walked(self, word: str) -> list[list[tuple[float, bytes, int]]]:
+        """Per place the pieces that begin there: (log-probability, ids, characters), by sums over all segmentations from a place to the end."""
         n = len(word)
         rest, found = [0.0] * (n + 1), []
         for at in range(n - 1, -1, -1):
@@ -180,8 +224,8 @@ class Lattice:
             top = max(w for w, *_ in options)
             rest[at] = top + math.log(sum(math.exp(w - top) for w, *_ in options))
             found.append([(w - rest[at], ids, step) for w, ids, step in options])
-        for options in reversed(found):
-            self._options(options)
+        found.reverse()
+        return found
 
     def _matches(self, points: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place, length, piece's number): the pieces that begin at each place of words with ``rest`` characters left."""
@@ -198,8 +242,8 @@ class Lattice:
             out.append((at[whole], np.full(whole.size, n + 1), pieces[slot[whole]]))
         return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
-    def _ways(self, words: list[str]) -> list[list[tuple[float, bytes]]]:
-        """Per word [(log weight, ids)] of its segmentations, the likeliest first.
+    def _listed(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Segmentations per word, their log weights and numbers of ids, and the ids; of each word the likeliest first.
 
         All words are walked together, by the characters that are left (``d``): sums of the best ways to the end and from
         the beginning leave out the pieces of no way that counts, then the ways are listed from the ends on.
@@ -259,26 +303,28 @@ class Lattice:
         owner = np.repeat(np.arange(sizes.size), n)
         way = (at - np.cumsum(n) + n)[owner] + np.arange(owner.size)
         way = way[np.lexsort((-total[way], owner))]
-        weights = total[way].tolist()
+        weights = total[way]
         parts, step = [], way
         while (piece[step] >= 0).any():
             parts.append(piece[step])
             step = np.where(after[step] >= 0, after[step], step)
         path = np.stack(parts, 1)
+        tied = np.flatnonzero((np.diff(weights) == 0) & (np.diff(owner) == 0))
+        for run in np.split(tied, np.flatnonzero(np.diff(tied) > 1) + 1) if tied.size else ():
+            a, b = int(run[0]), int(run[-1]) + 2  # of equal weights the larger ids first
+            spelt = [b"".join(ids[begin[p] : begin[p] + width[p]].tobytes() for p in row if p >= 0) for row in path[a:b].tolist()]
+            path[a:b] = path[a:b][sorted(range(b - a), key=spelt.__getitem__, reverse=True)]
         taken = np.where(path >= 0, width[path], 0).sum(axis=1)
         path = path[path >= 0]
         long = width[path]
-        flat = ids[np.repeat(begin[path] - np.cumsum(long) + long, long) + np.arange(int(long.sum()))].tobytes()
-        upto = (4 * np.cumsum(taken)).tolist()
-        spelt = [flat[a:b] for a, b in zip([0, *upto], upto, strict=False)]
-        pairs, out, a = list(zip(weights, spelt, strict=True)), [], 0
-        for b in np.cumsum(n).tolist():
-            ways = pairs[a:b]
-            if b - a > 1:
-                ways.sort(reverse=True)  # of equal weights the larger ids first
-            out.append(ways)
-            a = b
-        return out
+        return n, weights, taken, ids[np.repeat(begin[path] - np.cumsum(long) + long, long) + np.arange(int(long.sum()))]
+
+    def _ways(self, words: list[str]) -> list[list[tuple[float, bytes]]]:
+        """``_listed`` as one list per word: [(log weight, ids)]."""
+        count, weight, width, ids = self._listed(words)
+        upto = [0, *np.cumsum(width).tolist()]
+        pairs = [(w, ids[a:b].tobytes()) for w, (a, b) in zip(weight.tolist(), pairwise(upto), strict=True)]
+        return [pairs[a:b] for a, b in pairwise([0, *np.cumsum(count).tolist()])]
 
 
 def _walk(best: np.ndarray, states: np.ndarray, others: np.ndarray, weight: np.ndarray, levels: range, many: int) -> None:
@@ -298,32 +344,38 @@ def _next_hash(hashes: np.ndarray, points: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _likely(ways: list[tuple[float, bytes]]) -> tuple[float, list[tuple[float, bytes]]]:
-    """The log mass of the segmentations, and those that are not left out."""
-    top = ways[0][0]
-    mass = top + math.log(sum([math.exp(w - top) for w, _ in ways]))
-    least = mass + _LOG_TINY
-    return mass, [x for x in ways if x[0] > least]
+def _others(logp: np.ndarray, begin: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """log(1 - p) of options with the log-probabilities ``logp``, which begin at ``begin`` for each owner.
+
+    For a likely option it is the sum of the others, so that it holds for shares far below a double's grain.
+    """
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = np.log1p(-np.exp(np.minimum(logp, 0.0)))
+        likely = np.flatnonzero(logp > -0.5)  # one for each owner at most
+        rest = logp.copy()
+        rest[likely] = -np.inf
+        top = np.maximum.reduceat(rest, begin)
+        sums = top + np.log(np.add.reduceat(np.exp(rest - top[owner]), begin))
+    out[likely] = np.where(np.isneginf(top), -np.inf, sums)[owner[likely]]
+    return out
 
 
 def words_of(text: str) -> list[str]:
     """The parts of a text whose segmentations do not depend on each other: words with the blank before them."""
-    return _WORD.findall(" " + text) if text else []
+    return (_ASCII_WORD if text.isascii() else _WORD).findall(" " + text) if text else []
 
 
 def _below(mass: np.ndarray, bound: float, rng: np.random.Generator) -> np.ndarray:
     """Gumbel variables with the locations ``mass``, each conditioned on being at most ``bound``."""
-    with np.errstate(over="ignore", divide="ignore"):
-        return -np.log(math.exp(-bound) + rng.exponential(size=mass.size) * np.exp(-mass))
+    return -np.logaddexp(-bound, np.log(rng.exponential(size=mass.size)) - mass)
 
 
-def _rest(logp: np.ndarray) -> np.ndarray:
-    """log(1 - p)."""
-    with np.errstate(divide="ignore"):
-        return np.log(np.maximum(-np.expm1(logp), 0.0))
+def _log_sum(logs: np.ndarray) -> float:
+    top = float(logs.max(initial=-np.inf))
+    return top + math.log(float(np.exp(logs - top).sum())) if top > -np.inf else -np.inf
 
 
-def search(flat: tuple, types: np.ndarray, sizes: np.ndarray, k: int, rng: np.random.Generator) -> list[tuple]:
+def search(flat: Options, types: np.ndarray, sizes: np.ndarray, k: int, rng: np.random.Generator) -> list[tuple]:
     """Up to ``k`` distinct segmentations of one text, by falling perturbed score.
 
     A-star over sets of segmentations: a set is all that share the choices before some place with a
@@ -331,26 +383,29 @@ def search(flat: tuple, types: np.ndarray, sizes: np.ndarray, k: int, rng: np.ra
     lattice, so the largest perturbed score in the set can be drawn without looking inside. The set
     with the largest one is opened: its best segmentation is drawn and given out, and what is left
     of it falls apart by the place of the first difference, each part bounded by the score just
-    found. A place is a word (its choices are segmentations), or in a long word the end of a piece
+    found. A place is a word (its choices are segmentations), or in a walked word the end of a piece
     (its choices are the next pieces). Returns (choices, log-probability, perturbed score, log
     inclusion probability); the inclusion probability takes the next best score as the threshold.
-    ``sizes`` holds the characters of long words, and 0 for the others.
+    ``sizes`` holds the characters of walked words, and 0 for the others.
     """
-    cdf, logp, start, count, step = flat[:5]
-    long = np.flatnonzero(sizes)
+    start, count, limit, cdf, logp, others, step = flat[:7]
+    walked, every = np.flatnonzero(sizes), np.arange(types.size)
 
     def draw(kinds: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(cdf, (kinds << _CDF_BITS) + (rng.random(kinds.size) * _ONE).astype(np.int64), "right")
-        return np.minimum(np.maximum(at, start[kinds]), start[kinds] + count[kinds] - 1)
+        point = (kinds << _CDF_BITS) + (rng.random(kinds.size) * _ONE).astype(np.int64)
+        at = start[kinds]
+        later = np.flatnonzero(point >= limit[kinds])  # few: of listed words the first option is the likeliest
+        at[later] = np.searchsorted(cdf, point[later], "right")
+        return at
 
     def tail(unit: int, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Numbers, choices and words of a draw from the word ``unit`` on, inside it from the number ``kind`` on."""
-        if not long.size:
-            return types[unit:], draw(types[unit:]), np.arange(unit, types.size)
+        if not walked.size:
+            return types[unit:], draw(types[unit:]), every[unit:]
         parts = []
-        for i in [*long[np.searchsorted(long, unit) :].tolist(), types.size]:
+        for i in [*walked[np.searchsorted(walked, unit) :].tolist(), types.size]:
             if unit < i:
-                parts.append((types[unit:i], draw(types[unit:i]), np.arange(unit, i)))
+                parts.append((types[unit:i], draw(types[unit:i]), every[unit:i]))
                 kind = -1
             if i < types.size:
                 kind, end, kinds, choices = int(types[i]) if kind < 0 else kind, int(types[i] + sizes[i]), [], []
@@ -364,43 +419,46 @@ def search(flat: tuple, types: np.ndarray, sizes: np.ndarray, k: int, rng: np.ra
 
     path = tail(0, -1)
     score = -math.log(rng.exponential())
-    out, frontier = [], []  # frontier: (scores, path, first place, excluded choices at the first place)
+    out, frontier = [], []  # frontier: (scores, path, first place, options at the first place that are not taken)
+
+    def options_without(kind: int, options: np.ndarray | None, choice: int) -> np.ndarray:
+        options = np.arange(start[kind], start[kind] + count[kind]) if options is None else options
+        return options[options != choice]
+
+    def open_up(path: tuple, place: int, options: np.ndarray | None, score: float) -> None:
+        """The parts left of the set (shares choices before ``place``) when ``path`` is taken out of it.
 
-    def open_up(path: tuple, place: int, excluded: tuple, score: float) -> None:
-        """The parts left of the set (shares choices before ``place``) when ``path`` is taken out of it."""
+        ``options`` are those at ``place`` that the set still had, None for all.
+        """
         kinds, choices, _ = path
-        got = logp[choices]
-        before = np.concatenate(([0.0], np.cumsum(got)))
-        mass = before[place:-1] + _rest(got[place:])
-        excluded = (*excluded, int(choices[place]))
-        if len(excluded) == count[kinds[place]]:
-            mass[0] = -np.inf
-        elif len(excluded) > 1:
-            mass[0] = before[place] + math.log(max(1e-300, 1 - float(np.exp(logp[list(excluded)]).sum())))
-        mass[count[kinds[place:]] == 1] = -np.inf
-        frontier.append((_below(mass, score, rng), path, place, excluded))
+        before = np.zeros(choices.size)
+        np.cumsum(logp[choices[:-1]], out=before[1:])
+        mass = before[place:] + others[choices[place:]]
+        if options is not None:
+            options = options_without(int(kinds[place]), options, int(choices[place]))
+            mass[0] = before[place] + _log_sum(logp[options])
+        frontier.append((_below(mass, score, rng), path, place, options))
 
     if path[0].size:
-        open_up(path, 0, (), score)
+        open_up(path, 0, None, score)
     out.append((path[1], score))
     while len(out) < k:
         best = max(range(len(frontier)), key=lambda i: frontier[i][0].max(), default=None)
         if best is None or (score := float(frontier[best][0].max())) == -np.inf:
             break
-        scores, parent, place, excluded = frontier[best]
+        scores, (kinds, choices, units), place, options = frontier[best]
         at = int(scores.argmax())
         scores[at] = -np.inf
         at += place
-        kinds, choices, units = parent
-        excluded = excluded if at == place else (int(choices[at]),)
         kind, unit = int(kinds[at]), int(units[at])
-        options = np.setdiff1d(np.arange(start[kind], start[kind] + count[kind]), excluded)
+        if at > place or options is None:
+            options = options_without(kind, None, int(choices[at]))
         weight = np.exp(logp[options] - logp[options].max())
         chosen = options[min(int(np.searchsorted(np.cumsum(weight), rng.random() * weight.sum(), "right")), options.size - 1)]
         inside = kind + int(step[chosen]) if sizes[unit] and kind + int(step[chosen]) < types[unit] + sizes[unit] else -1
         rest = tail(unit, inside) if inside >= 0 else tail(unit + 1, -1)
         path = tuple(np.concatenate(c) for c in zip((kinds[:at], choices[:at], units[:at]), ([kind], [chosen], [unit]), rest, strict=True))
-        open_up(path, at, excluded, score)
+        open_up(path, at, options, score)
         out.append((path[1], score))
     threshold = max((float(f[0].max()) for f in frontier), default=-np.inf)
     rows = []
@@ -419,20 +477,24 @@ def _lattice(path: str, inverse: float) -> Lattice:
 def sample_texts(keys: list[int], texts: list[str], lattice: Lattice, k: int) -> list[list[tuple]]:
     """Per text its samples: (ids as little-endian 32-bit bytes, log-probability, perturbed score, log inclusion probability)."""
     parts = [words_of(t) for t in texts]
-    types = lattice.types(parts)
-    flat = lattice.flat()
-    ids, first, width = flat[5:]
+    types, sizes = lattice.types(parts)
+    flat, most = lattice.flat(), math.log(_SHARE_LISTED / max(k - 1, 1)) if k > 1 else 0.0
 
     def spelt(path: np.ndarray) -> bytes:
-        own = width[path]
-        return ids[np.repeat(first[path] - np.cumsum(own) + own, own) + np.arange(own.sum())].tobytes()
-
-    out = []
-    for key, words, own in zip(keys, parts, types, strict=True):
+        own = flat.width[path]
+        return flat.ids[np.repeat(flat.first[path] - np.cumsum(own) + own, own) + np.arange(own.sum())].tobytes()
+
+    out, end = [], 0
+    for key, words in zip(keys, parts, strict=True):
+        begin, end = end, end + len(words)
+        own, walked = types[begin:end], sizes[begin:end]
+        if words and float(np.where(walked, 0.0, flat.logp[flat.start[own]]).sum()) > most:
+            distinct = list(dict.fromkeys(words))
+            numbers = dict(zip(distinct, lattice.add_walked(distinct).tolist(), strict=True))
+            own, walked = np.array([numbers[w] for w in words], np.int64), np.array([len(w) for w in words], np.int64)
+            flat = lattice.flat()
         rng = np.random.Generator(np.random.Philox(key=key))
-        sizes = np.array([n if n > WORD_CHARS else 0 for n in map(len, words)], np.int64)
-        rows = search(flat, own, sizes, k, rng)
-        out.append([(spelt(path), *rest) for path, *rest in rows])
+        out.append([(spelt(path), *rest) for path, *rest in search(flat, own, walked, k, rng)])
     return out
 
 
@@ -449,7 +511,8 @@ def encode_samples(
     Blanks join the word after them, as in the model. Words of more than ``WORD_CHARS`` characters are
     walked piece by piece over sums to their end, so all their segmentations can be drawn. Of shorter
     words those of less than 1e-13 of the word's mass are left out, less than the grain of a draw
-    (2^-40). Defined cases: a null text counts as
+    (2^-40); but where the first ``k`` - 1 samples could take more than 0.999 of a text's mass, so that
+    what is left out would count in the next, all its words are walked. Defined cases: a null text counts as
     empty; an empty text has one segmentation, without pieces; a text with fewer than ``k``
     segmentations gives as many as it has; rows that repeat an id and text repeat their samples; an
     empty table gives no rows. Other columns are ignored.

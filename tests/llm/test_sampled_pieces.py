@@ -1,3 +1,4 @@
+import cProfile
 import math
 from collections import Counter
 from itertools import product
@@ -162,3 +163,36 @@ def test_words_walked_together_have_the_ways_of_each_alone():
     together = lattice._ways(words)
     assert together == [slow(w) for w in words] == [lattice._ways([w])[0] for w in words]
     assert max(map(len, together)) > 20
+
+
+@pytest.mark.parametrize("text", ["De esmi asie de.", "Nden of as. Hein."])
+def test_dominated_texts_have_a_second_sample(text):
+    lattice = sp._lattice(sp.model_path(), sp.INVERSE)
+    p = every_segmentation(lattice, text)
+    best, *others = sorted(p.values(), reverse=True)
+    assert best > 1 - 1e-12 and len(p) > 2
+    drawn = sp.sample_texts(list(range(400)), [text] * 400, lattice, 2)
+    assert all(len(rows) == 2 and rows[0][0] != rows[1][0] for rows in drawn)
+    for rows in drawn:
+        assert all(r[1] == pytest.approx(math.log(p[unpack(r)]), abs=1e-9) for r in rows)
+    second = Counter(unpack(rows[1]) for rows in drawn)
+    likely = max((ids for ids in p if p[ids] < best), key=p.get)
+    assert abs(second[likely] / 400 - p[likely] / sum(others)) < 0.1
+
+
+def test_samples_do_not_depend_on_words_met_before():
+    texts = ["de", "the cat  sat on internationalisations", "naïve 漢字 🙂", "De esmi asie de.", "unosjauees " * 30]
+    keys = list(range(len(texts)))
+    fresh = [sp.sample_texts([key], [t], sp.Lattice(sp.model_path(), sp.INVERSE), 3)[0] for key, t in zip(keys, texts, strict=True)]
+    lattice = sp.Lattice(sp.model_path(), sp.INVERSE)
+    lattice.types([sp.words_of("some other words of responsibilities")])
+    assert sp.sample_texts(keys, texts, lattice, 3) == sp.sample_texts(keys, texts, lattice, 3) == fresh
+
+
+def test_new_words_are_listed_without_python_calls_for_each():
+    rng = np.random.default_rng(3)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(6000)]
+    lattice = sp.Lattice(sp.model_path(), sp.INVERSE)
+    profile = cProfile.Profile()
+    profile.runcall(lattice.types, [words])
+    assert sum(x.callcount for x in profile.getstats()) < 2 * len(words)
