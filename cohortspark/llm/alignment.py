@@ -155,7 +155,8 @@ def align_chunks(chunks: list[str], tokens: Tokenizers) -> list[tuple | bool]:
     shown = "".join(map(tokens.shown.__getitem__, code.tolist()))
     n = np.arange(len(chunks) + 1)
     at = np.concatenate(([0], np.cumsum(tokens.shown_sizes[code])))[np.searchsorted(of, n)].tolist()
-    pairs, cut = links["pair"].tobytes(), (8 * np.searchsorted(links["chunk"], n)).tolist()
+    pairs = links["pair"][np.lexsort((links["pair"], links["chunk"]))].tobytes()  # DuckDB leaves the order inside a chunk open
+    cut = (8 * np.searchsorted(links["chunk"], n)).tolist()
     n_groups = np.bincount(of[new_group], minlength=len(chunks)).tolist()
     return [
         (na, nb, ng, shown[s:e], pairs[p:q])

@@ -109,6 +109,16 @@ def test_chunks_are_forgotten_and_found_again():
         A.CHUNKS_HELD = old
 
 
+def test_pairs_of_a_chunk_do_not_depend_on_what_is_aligned_with_it():
+    small = A.Aligner(A._paths(None, None, None))
+    chunks = list(dict.fromkeys(c for t in odd_texts(4, 200) for c in A.chunks_of(t)))
+    together = A.align_chunks(chunks, small.tokens)
+    for begin in range(0, len(chunks), 150):
+        assert A.align_chunks(chunks[begin : begin + 150], small.tokens) == together[begin : begin + 150]
+    for found in together:
+        assert not found or (np.diff(np.frombuffer(found[4], np.int64)) >= 0).all()
+
+
 def test_given_table(spark):
     path = "/root/testdata/sf0.001"
     docs = [tuple(r) for r in spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").collect()]
