@@ -10,7 +10,8 @@ import os
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, count
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ CHUNKS_AT_ONCE = 50_000
 #: Pairs of ids whose counts are sent to the workers at once: 17 bytes each. Where there are more, the counts
 #: go in several parts, each with a pass of its own over the units.
 PAIRS_SENT = 4_000_000
+#: Bytes of a row group of units, which Spark's writers and readers hold whole: some units.
+GROUP_BYTES = 2**24
 #: An id pair is one number: the first id times this, plus the second.
 PAIR = 2**32
 
@@ -126,20 +129,71 @@ def _same(flat: np.ndarray, counts: np.ndarray, table: list[bytes], sizes: np.nd
     return np.array([whole[e - n : e] == t for e, n, t in zip(ends.tolist(), lengths.tolist(), text, strict=True)], bool)
 
 
-def align_chunks(chunks: list[str], tokens: Tokenizers) -> list[tuple | bool]:
-    """For each chunk (number of A tokens, of B tokens, of groups, groups as text, pairs as bytes); False where bytes differ."""
+class Aligned(NamedTuple):
+    """Alignments of chunks, one behind the other: a few arrays, not objects per chunk, so that memory can be given back whole."""
+
+    right: np.ndarray  # whether the tokens' bytes are the chunk; all else is zero or empty if not
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    shown: str  # groups as text, to where each chunk's end
+    shown_ends: np.ndarray
+    pairs: np.ndarray  # of ids, to where each chunk's end
+    pair_ends: np.ndarray
+
+    @staticmethod
+    def joined(parts: list[Aligned]) -> Aligned:
+        def ends(name: str, sizes: list[int]) -> np.ndarray:
+            return np.concatenate([getattr(p, name) + begin for p, begin in zip(parts, _starts(np.cumsum(sizes)), strict=False)])
+
+        plain = (np.concatenate([getattr(p, name) for p in parts]) for name in ("right", "n_a", "n_b", "n_groups"))
+        shown_ends, pair_ends = ends("shown_ends", [len(p.shown) for p in parts]), ends("pair_ends", [len(p.pairs) for p in parts])
+        return Aligned(*plain, "".join(p.shown for p in parts), shown_ends, np.concatenate([p.pairs for p in parts]), pair_ends)
+
+    def texts(self, at: np.ndarray | slice = slice(None)) -> list[str]:
+        ends = self.shown_ends[at].tolist()
+        return [self.shown[s:e] for s, e in zip(_starts(self.shown_ends)[:-1][at].tolist(), ends, strict=True)]
+
+    def take(self, at: np.ndarray) -> Aligned:
+        """Those of the chunks ``at``, in that order."""
+        shown, starts = self.texts(at), _starts(self.pair_ends)[:-1][at]
+        sizes = self.pair_ends[at] - starts
+        ends = np.cumsum(sizes)
+        pairs = self.pairs[np.arange(sizes.sum()) + np.repeat(starts - ends + sizes, sizes)]
+        plain = (x[at] for x in self[:4])
+        return Aligned(*plain, "".join(shown), np.cumsum(np.fromiter(map(len, shown), np.int64, len(shown))), pairs, ends)
+
+    def spread(self, right: np.ndarray) -> Aligned:
+        """With nothing between them for each chunk that is not right."""
+        at = np.cumsum(right)  # so many chunks before, and itself
+        plain = (np.where(right, np.append(x, 0)[at - right], 0) for x in self[1:4])
+        return Aligned(right, *plain, self.shown, _starts(self.shown_ends)[at], self.pairs, _starts(self.pair_ends)[at])
+
+    def rows(self) -> list[tuple | bool]:
+        """For each chunk (number of A tokens, of B tokens, of groups, groups as text, pairs as bytes); False where bytes differ."""
+        whole, cut = self.pairs.tobytes(), (8 * _starts(self.pair_ends)).tolist()
+        each = zip(self.right.tolist(), self.n_a.tolist(), self.n_b.tolist(), self.n_groups.tolist(), self.texts(), cut, cut[1:], strict=False)
+        return [right and (na, nb, ng, shown, whole[s:e]) for right, na, nb, ng, shown, s, e in each]
+
+
+def _no_chunks() -> Aligned:
+    none = np.zeros(0, np.int64)
+    return Aligned(none.astype(bool), none, none, none, "", none, none, none)
+
+
+def _aligned(chunks: list[str], tokens: Tokenizers) -> Aligned:
     import duckdb
 
+    if not chunks:
+        return _no_chunks()
     ids_a, ids_b = tokens.encode(chunks)
     text = [b" " + c.encode() for c in chunks]
     (flat_a, counts_a), (flat_b, counts_b) = _flat(ids_a), _flat(ids_b)
+    del ids_a, ids_b
     right = _same(flat_a, counts_a, tokens.a_bytes, tokens.a_sizes, text) & _same(flat_b, counts_b, tokens.b_bytes, tokens.b_sizes, text)
     if not right.all():
-        out: list[tuple | bool] = [False] * len(chunks)
-        at = np.flatnonzero(right).tolist()
-        for i, got in zip(at, align_chunks([chunks[i] for i in at], tokens) if at else [], strict=True):
-            out[i] = got
-        return out
+        return _aligned([chunks[i] for i in np.flatnonzero(right).tolist()], tokens).spread(right)
+    del text
     a, b = _intervals(flat_a, counts_a, tokens.a_sizes), _intervals(flat_b, counts_b, tokens.b_sizes)
     with duckdb.connect(config={"threads": 1}) as db:
         db.register("a", pa.table(a))
@@ -153,37 +207,76 @@ def align_chunks(chunks: list[str], tokens: Tokenizers) -> list[tuple | bool]:
     mark = np.where(np.diff(of, prepend=-1) != 0, 0, np.where(new_group, 1, np.where(np.diff(side, prepend=False), 2, 3)))
     code = mark * len(tokens.a_bytes) + np.concatenate((flat_a, flat_b))[order]
     shown = "".join(map(tokens.shown.__getitem__, code.tolist()))
-    n = np.arange(len(chunks) + 1)
-    at = np.concatenate(([0], np.cumsum(tokens.shown_sizes[code])))[np.searchsorted(of, n)].tolist()
-    pairs = links["pair"][np.lexsort((links["pair"], links["chunk"]))].tobytes()  # DuckDB leaves the order inside a chunk open
-    cut = (8 * np.searchsorted(links["chunk"], n)).tolist()
-    n_groups = np.bincount(of[new_group], minlength=len(chunks)).tolist()
-    return [
-        (na, nb, ng, shown[s:e], pairs[p:q])
-        for na, nb, ng, s, e, p, q in zip(counts_a.tolist(), counts_b.tolist(), n_groups, at, at[1:], cut, cut[1:], strict=False)
-    ]
+    n = np.arange(1, len(chunks) + 1)
+    shown_ends = _starts(np.cumsum(tokens.shown_sizes[code]))[np.searchsorted(of, n)]
+    pairs = links["pair"][np.lexsort((links["pair"], links["chunk"]))]  # DuckDB leaves the order inside a chunk open
+    pair_ends = np.searchsorted(links["chunk"], n)
+    n_groups = np.bincount(of[new_group], minlength=len(chunks))
+    return Aligned(right, counts_a, counts_b, n_groups, shown, shown_ends, pairs, pair_ends)
+
+
+def align_chunks(chunks: list[str], tokens: Tokenizers) -> list[tuple | bool]:
+    """``Aligned.rows`` of the chunks."""
+    return _aligned(chunks, tokens).rows()
+
+
+class Held:
+    """Alignments of chunks met before, found by the chunk's hash and then its bytes."""
+
+    def __init__(self) -> None:
+        self.hashes, self.row = np.zeros(0, np.int64), np.zeros(0, np.int64)  # sorted by hash
+        self.text, self.ends, self.aligned = b"", np.zeros(0, np.int64), _no_chunks()
+
+    def __len__(self) -> int:
+        return len(self.row)
+
+    def find(self, hashes: np.ndarray, texts: list[bytes]) -> np.ndarray:
+        """Row of each chunk, -1 where there is none."""
+        out = np.full(len(hashes), -1)
+        if len(self) and len(hashes):
+            place = np.minimum(np.searchsorted(self.hashes, hashes), len(self) - 1)
+            maybe = np.flatnonzero(self.hashes[place] == hashes)
+            row = self.row[place[maybe]]
+            starts, ends = _starts(self.ends)[row].tolist(), self.ends[row].tolist()
+            same = [self.text[s:e] == texts[i] for i, s, e in zip(maybe.tolist(), starts, ends, strict=True)]
+            out[maybe] = np.where(same, row, -1)
+        return out
+
+    def add(self, hashes: np.ndarray, texts: list[bytes], aligned: Aligned) -> None:
+        hashes, row = np.concatenate((self.hashes, hashes)), np.concatenate((self.row, len(self) + np.arange(len(hashes))))
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.row = hashes[order], row[order]
+        self.ends = np.concatenate((self.ends, len(self.text) + np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))))
+        self.text += b"".join(texts)
+        self.aligned = Aligned.joined([self.aligned, aligned])
 
 
 class Aligner:
     """Alignment of chunks, remembered from unit to unit in two tables of at most ``CHUNKS_HELD`` chunks."""
 
     def __init__(self, paths: tuple[str, ...]) -> None:
-        self.tokens, self.held, self.older = _tokenizers(*paths), {}, {}
-
-    def aligned(self, chunks: list[str]) -> list[tuple | bool]:
-        found = list(map(self.held.get, chunks))
-        missing = [i for i, f in enumerate(found) if f is None]
-        for i in missing:
-            found[i] = self.older.get(chunks[i])
-        new = [i for i in missing if found[i] is None]
+        self.tokens, self.held, self.older = _tokenizers(*paths), Held(), Held()
+
+    def found(self, chunks: list[str]) -> Aligned:
+        texts, hashes = [c.encode() for c in chunks], np.fromiter(map(hash, chunks), np.int64, len(chunks))
+        at = self.held.find(hashes, texts)
+        missing = np.flatnonzero(at < 0)
+        old = self.older.find(hashes[missing], [texts[i] for i in missing.tolist()])
+        new = missing[old < 0]
+        parts = [self.held.aligned.take(at[at >= 0]), self.older.aligned.take(old[old >= 0])]
         for begin in range(0, len(new), CHUNKS_AT_ONCE):
-            part = new[begin : begin + CHUNKS_AT_ONCE]
-            for i, got in zip(part, align_chunks([chunks[i] for i in part], self.tokens), strict=True):
-                found[i] = got
+            parts.append(_aligned([chunks[i] for i in new[begin : begin + CHUNKS_AT_ONCE].tolist()], self.tokens))
+        out = Aligned.joined(parts).take(np.argsort(np.concatenate((np.flatnonzero(at >= 0), missing[old >= 0], new))))
+        del parts
         if len(self.held) + len(missing) > CHUNKS_HELD:
-            self.older, self.held = self.held, {}
-        self.held.update((chunks[i], found[i]) for i in missing if len(chunks[i]) <= CHUNK_CHARS)
-        return found
+            self.older, self.held = self.held, Held()
+        keep = [i for i in missing.tolist() if len(chunks[i]) <= CHUNK_CHARS]
+        self.held.add(hashes[keep], [texts[i] for i in keep], out.take(np.array(keep, np.int64)))
+        return out
+
+    def aligned(self, chunks: list[str]) -> list[tuple | bool]:
+        """``Aligned.rows`` of the chunks."""
+        return self.found(chunks).rows()
 
 
 @functools.cache
@@ -213,32 +306,29 @@ def _unit(unit: int, ids: list, texts: list[str], aligner: Aligner) -> dict[str,
     ``pairs`` of each chunk's links; both end at ``ref_ends`` and ``chunk_ends``. ``counts`` are
     the pairs' links in the unit.
     """
-    number: defaultdict[str, int] = defaultdict()
-    number.default_factory = number.__len__
+    number: defaultdict[str, int] = defaultdict(count().__next__)  # the table's own __len__ would be a cycle, which keeps it alive
     refs = [list(map(number.__getitem__, chunks_of(t))) if t else [] for t in texts]
-    found = aligner.aligned(list(number))
-    wrong = {i for i, f in enumerate(found) if not f}
-    if wrong:
+    found = aligner.found(list(number))
+    if not found.right.all():
+        wrong = set(np.flatnonzero(~found.right).tolist())
         refs = [[] if any(r in wrong for r in set(doc)) else doc for doc in refs]
-        found = [f or (0, 0, 0, "", b"") for f in found]
     sizes = np.fromiter(map(len, refs), np.int64, len(refs))
     ends, flat = np.cumsum(sizes), np.fromiter(chain.from_iterable(refs), np.int32, int(sizes.sum()))
-    n_a, n_b, n_groups = (np.fromiter((f[k] for f in found), np.int64, len(found)) for k in range(3))
-    shown = [f[3] for f in found]
+    shown = found.texts()
     sha = [hashlib.sha256(";".join(map(shown.__getitem__, doc)).encode()).hexdigest() if doc else "" for doc in refs]
-    all_pairs = np.frombuffer(b"".join(f[4] for f in found), np.int64)
-    n_links = np.fromiter((len(f[4]) // 8 for f in found), np.int64, len(found))
+    del number, refs, shown
+    all_pairs, n_links = found.pairs, np.diff(found.pair_ends, prepend=0)
     pairs, places = np.unique(all_pairs, return_inverse=True)
-    often = np.bincount(flat, minlength=len(found))
+    often = np.bincount(flat, minlength=len(n_links))
     counts = np.zeros(len(pairs), np.int64)
     np.add.at(counts, places, np.repeat(often, n_links))
     used = counts > 0  # chunks of documents without tokens have none
     if not used.all():
+        all_pairs = all_pairs[np.repeat(often > 0, n_links)]
         n_links = np.where(often > 0, n_links, 0)
-        all_pairs = all_pairs[np.repeat(often > 0, np.fromiter((len(f[4]) // 8 for f in found), np.int64, len(found)))]
         pairs, places = np.unique(all_pairs, return_inverse=True)
         counts = counts[used]
-    per_chunk = {"n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_links}
+    per_chunk = {"n_a": found.n_a, "n_b": found.n_b, "n_groups": found.n_groups, "n_links": n_links}
     return {
         "unit": unit,
         "doc_id": ids,
@@ -289,7 +379,7 @@ def units(docs: DataFrame, paths: tuple[str, ...]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in schema], schema=schema)
 
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
-    return written(source.mapInArrow(run, _UNIT), "units")
+    return written(source.mapInArrow(run, _UNIT), "units", group_bytes=GROUP_BYTES)
 
 
 # ---------------------------------------------------------------- counts
@@ -311,6 +401,7 @@ def _with_counts(of_units: DataFrame, counted: DataFrame) -> DataFrame:
     names = ["unit", "place", *_DOC_LONGS, "n_best", "count_sum", "groups_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _aligner.cache_clear()  # workers live on from the step before
         keys, links, best = sent.value
         for batch in batches:
             for row in range(batch.num_rows):

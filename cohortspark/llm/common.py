@@ -53,15 +53,20 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, name: str, scratch: list[str] | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, scratch: list[str] | None = None, group_bytes: int | None = None) -> DataFrame:
     """``df`` written once as Parquet in the shared folder, and read again.
 
     Cuts lineage: what follows survives lost executors without redoing ``df``. The table is
     removed when the driver ends, or with ``discard`` of the list ``scratch``, which gets its path.
+    ``group_bytes`` is for rows of megabytes: a row group, which writers and readers hold whole, ends
+    with the row that passes it (else it has 100 rows at least).
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/cohortspark-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    if group_bytes:
+        writer = writer.options(**{"parquet.block.size": str(group_bytes), "parquet.page.size.row.check.min": "1"})
+    writer.parquet(path)
     atexit.register(_remove, spark, path)
     if scratch is not None:
         scratch.append(path)

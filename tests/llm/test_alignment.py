@@ -1,14 +1,17 @@
 """Alignment against the definition on whole texts: both tokenizers over the whole text, all pairs of tokens compared."""
 
+import gc
 import hashlib
 import random
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from cohortspark.llm import alignment as A
+from cohortspark.llm.common import written
 
 #: What texts of the tests are made of.
 PARTS = [
@@ -143,3 +146,39 @@ def test_pairs_and_groups(spark):
 @pytest.mark.parametrize("rows", [[], [(1, None)]])
 def test_nothing_to_align(spark, tmp_path, rows):
     assert run(spark, rows, tmp_path) == [(1, 0, 0, 0, 0, 0, 0, "")][: len(rows)]
+
+
+def test_a_unit_leaves_no_cycles():
+    aligner = A.Aligner(A._paths(None, None, None))
+    texts = [t for t in odd_texts(5, 50) if "▁" not in t]
+    A._unit(0, [0], texts[:1], aligner)
+    gc.collect()
+    gc.disable()  # as in a task
+    try:
+        gc.set_debug(gc.DEBUG_SAVEALL)
+        A._unit(1, list(range(len(texts))), texts, aligner)
+        gc.collect()
+        assert not [g for g in gc.garbage if isinstance(g, dict)]
+    finally:
+        gc.set_debug(0)
+        gc.garbage.clear()
+        gc.enable()
+
+
+def test_a_row_group_of_large_rows_is_bounded(spark):
+    large = spark.range(60, numPartitions=1).select("id", F.expr("repeat(uuid(), 100)").alias("x"))
+    (file,) = written(large, "large", group_bytes=20_000).inputFiles()
+    groups = pq.ParquetFile(file.removeprefix("file://")).metadata
+    assert groups.num_rows == 60
+    assert max(groups.row_group(k).num_rows for k in range(groups.num_row_groups)) < 20  # 100 or more without it
+
+
+def test_chunks_of_one_hash_are_told_apart():
+    paths = A._paths(None, None, None)
+    chunks = ["one", "two", "three", "zwei"]
+    texts, held = [c.encode() for c in chunks], A.Held()
+    held.add(np.array([5, 7, 5]), texts[:3], A._aligned(chunks[:3], A._tokenizers(*paths)))
+    got = held.find(np.array([5, 7, 7, 9]), [texts[0], texts[1], texts[3], texts[2]]).tolist()
+    assert got == [0, 1, -1, -1]
+    assert held.find(np.array([5]), texts[2:3]).tolist() == [-1]  # aligned again: never another's figures
+    assert held.aligned.take(np.array([2, 0])).rows() == A.align_chunks(["three", "one"], A._tokenizers(*paths))
